@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -169,3 +169,11 @@ def anchor_merge(times: Column, amounts: Column, gap: float) -> Column:
         return F.when((n > 0) & (p["t"] - last["t"] < gap), F.concat(F.slice(done, 1, n - 1), F.array(joined))).otherwise(F.concat(done, F.array(new)))
 
     return F.aggregate(pairs, empty, lambda done, p: F.when(F.size(done) == 0, F.array(F.struct(p["t"].cast("double").alias("t"), p["b"].cast("double").alias("b")))).otherwise(step(done, p)))
+
+
+def trailing(*keys: str, seconds: float, ts: str = "ts") -> WindowSpec:
+    """The rows of the same keys in the seconds up to each row, both edges included."""
+    w = Window.partitionBy(*keys)
+    if float(seconds).is_integer():
+        return w.orderBy(ts).rangeBetween(-int(seconds), 0)
+    return w.orderBy(F.col(ts) * 1000).rangeBetween(-int(seconds * 1000), 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net, stats
@@ -24,7 +24,7 @@ def flood_window(records: DataFrame, *, seconds: float = 10.0, id_col: str = "ev
 
     Counts and shares are running sums; distinct sources and ports come from the window's rows.
     """
-    w = Window.partitionBy("dst").orderBy("ts").rangeBetween(-seconds, 0)
+    w = stats.trailing("dst", seconds=seconds)
     share = lambda c: F.sum(F.col(c).cast("int")).over(w)
     sources = F.collect_list("src").over(w)
     ports = F.collect_list("dport").over(w)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import functions
+from . import detect, functions
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (functions,)
+MODULES = (detect, functions)
 
 
 def queries() -> dict[str, Query]:
