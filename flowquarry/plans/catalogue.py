@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import detect, functions, report
+from . import behave, detect, functions, report
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (detect, functions, report)
+MODULES = (behave, detect, functions, report)
 
 
 def queries() -> dict[str, Query]:
