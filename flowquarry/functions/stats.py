@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SPECTRUM = ["score", "frequency", "harmonic_ratio", "entropy", "prominence"]
 
 
 def clamp01(x: Column) -> Column:
@@ -97,7 +100,7 @@ def anomaly_confidence(mse: Column, threshold: float = 0.7) -> Column:
     return F.when(mse > threshold, 1 - F.exp(-(mse - threshold) / threshold)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fft_prominence(values: pd.Series) -> pd.Series:
     """How far the strongest line of the spectrum stands over its median, in its standard deviations."""
 
@@ -108,7 +111,7 @@ def fft_prominence(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fft_prominence_capped(values: pd.Series) -> pd.Series:
     """The strongest line over the mean one, by length, of the centred first 128 values; at most 1."""
 
@@ -122,7 +125,7 @@ def fft_prominence_capped(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("struct<score:double,frequency:double,harmonic_ratio:double,entropy:double,prominence:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SPECTRUM]))
 def fft_features(values: pd.Series) -> pd.DataFrame:
     """Five features of the spectrum of the centred values."""
 
@@ -140,7 +143,7 @@ def fft_features(values: pd.Series) -> pd.DataFrame:
         bits = -(share[share > 0] * np.log2(share[share > 0])).sum() / np.log2(max(2, len(share)))
         return float(share[at]), float((at + 1) / len(x)), float((power[at] + harmonics) / whole), float(bits), float(power[at] / (np.median(power) + 1e-9))
 
-    return pd.DataFrame([one(x) for x in values], columns=["score", "frequency", "harmonic_ratio", "entropy", "prominence"])
+    return pd.DataFrame([one(x) for x in values], columns=SPECTRUM)
 
 
 def acf_peak(times: Column, bin_seconds: float = 5.0, low: float = 10.0, high: float = 900.0) -> Column:

@@ -83,10 +83,10 @@ def validate_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def canonical_json(columns: list[str]) -> Column:
-    """An object of the columns with sorted keys and all values as strings: doubles with nine decimals; nulls stay null."""
+    """An object of the columns with sorted keys and all values as strings (doubles: see fixed()); nulls stay null."""
 
     def value(name: str) -> Column:
-        text = F.when(F.col(name).cast("double").isNotNull(), F.col(name).cast("string")).otherwise(F.col(name).cast("string"))
+        text = F.col(name).cast("string")
         return F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null"))
 
     return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), value(n)) for n in sorted(columns)]), F.lit("}"))

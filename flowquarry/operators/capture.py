@@ -41,3 +41,12 @@ def label_windows(windows: DataFrame, labels: DataFrame, *, by: list[str], polic
     ends = {"src": ["src"], "dst": ["dst"], "both": ["src", "dst"]}[policy]
     hosts = labels.select(F.explode(F.array(*ends)).alias("host"), *by).where("host is not null").distinct().withColumn("attack", F.lit(True))
     return windows.join(hosts, ["host", *by], "left").fillna(False, ["attack"])
+
+
+def align_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """(long table of side, feature and x over the columns whose normalised names both have, names left in a, in b)."""
+    plain = lambda df: {c: "".join(ch for ch in c.lower() if ch.isalnum()) for c in df.columns}
+    names_a, names_b = plain(a), plain(b)
+    common = sorted(set(names_a.values()) & set(names_b.values()))
+    long = lambda df, names, side: df.select(F.lit(side).alias("side"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c, n in names.items() if n in common])))
+    return long(a, names_a, 0).unionByName(long(b, names_b, 1)), sorted(set(names_a.values()) - set(common)), sorted(set(names_b.values()) - set(common))

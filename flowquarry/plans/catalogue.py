@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import behave, detect, functions, report
+from . import audits, behave, detect, functions, report, sources
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (behave, detect, functions, report)
+MODULES = (audits, behave, detect, functions, report, sources)
 
 
 def queries() -> dict[str, Query]:
