@@ -29,7 +29,7 @@ from .common import range_splits, saved, with_range_bucket
 LONGEST = 4096
 END_TOKEN = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 #: Letters that normalisation leaves alone or only lower-cases, one to one.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,:;!?|]?)")
 
@@ -40,43 +40,45 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class _Words(dict):
+    """Ids of words as they come up. Nothing refers back to it, so it goes as soon as it is dropped."""
+
+    def __init__(self, tokenizer, letters: dict[int, str]):
+        super().__init__()
+        self.tokenizer, self.letters, self.parts = tokenizer, letters, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = PLAIN.fullmatch(text)
+        if plain is None:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:  # letters, then at most one mark: pieces of their own to the tokenizer, for its model alone
+            ids = b"".join([self.part(p.lower()) for p in plain.groups() if p])
+        self[word] = ids
+        return ids
+
+    def part(self, text: str) -> bytes:
+        own = self.parts.get(text)
+        if own is None:
+            mapped = text if text.isascii() else text.translate(self.letters)
+            own = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        return own
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        tokenizer, parts = self.tokenizer, {}
-
-        def encoded(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> bytes:
-                text = word.decode()
-                plain = PLAIN.fullmatch(text)
-                if plain is None:
-                    ids = encoded(text)
-                else:  # letters, then at most one mark: the tokenizer splits them alike
-                    ids = b""
-                    for part in plain.groups():
-                        if part:
-                            part = part.lower()
-                            if (own := parts.get(part)) is None:
-                                own = parts[part] = encoded(part)
-                            ids += own
-                self[word] = ids
-                return ids
-
-        self.words, self.parts = Words(), parts
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.words = _Words(self.tokenizer, self.letters)
 
     def ids(self, text: str) -> bytes:
         if len(self.words) > CACHE_WORDS:
-            self.forget()
+            self.words = _Words(self.tokenizer, self.letters)
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 

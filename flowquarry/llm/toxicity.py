@@ -27,7 +27,7 @@ from .common import hash_below
 WORD = regex.compile(r"\p{L}+")
 ORDERS = (3, 4, 5, 6)
 BINS = 1 << 18
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def word_features(word: str, bins: int = BINS) -> list[int]:
