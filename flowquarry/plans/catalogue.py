@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audits, behave, detect, functions, report, sources
+from . import audits, behave, detect, functions, models, report, sources, streams
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = (audits, behave, detect, functions, report, sources)
+MODULES = (audits, behave, detect, functions, models, report, sources, streams)
 
 
 def queries() -> dict[str, Query]:
