@@ -36,7 +36,7 @@ GRAM = 4
 MOST_BITS = 1 << 28
 SEGMENTS = 256
 PROBES = 3
-GROUP_WORDS = 400_000
+GROUP_WORDS = 65_536
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
