@@ -53,7 +53,7 @@ WORD_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 REACH = 16
 #: Index words of a template that are looked up in each document, rarest first.
 RAREST = 4
-#: Share of a template's index weight that must agree on a start.
+#: Share of the weight of a template's RAREST heaviest words that must agree on a start.
 LEAST_SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,7 +108,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rar
     # A word in no document cannot be met; it still counts in its template's weight, as rare as a word can be.
     weighed = postings.crossJoin(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.log(F.col("n") + 1.0)) + 1e-9).drop("n")
     by_rarity = Window.partitionBy("template").orderBy(F.desc("idf"), "word", "place")
-    weighed = weighed.withColumn("rank", F.row_number().over(by_rarity)).withColumn("all_weight", F.sum("idf").over(Window.partitionBy("template")))
+    weighed = weighed.withColumn("rank", F.row_number().over(by_rarity))
+    # What a start must reach a share of: the weight of as many words as are looked up.
+    weighed = weighed.withColumn("all_weight", F.sum(F.when(F.col("rank") <= rarest, F.col("idf"))).over(Window.partitionBy("template")))
     anchor = weighed.where(F.col("base") & (F.col("rank") == 1) | ~F.col("base"))
 
     met = hits.join(F.broadcast(anchor), "word")  # the postings of the templates above, a fixed number

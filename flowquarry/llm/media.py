@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 576
 RATE = 8000
@@ -255,7 +256,8 @@ def correct_types(rows: DataFrame, *, id_col: str, data_col: str, type_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(types, pa.string()), pa.array(fixed), pa.array(magics, pa.int64()), pa.array(carved, kind)], ["id", "declared_type", "media_type", "corrected", "magics", "carved"])
 
     given = rows.select(F.col(id_col).alias("id"), declared.alias("declared_type"), F.col(data_col).alias("data"))
-    schema = given.select("id", "declared_type").schema.add("media_type", "string").add("corrected", "boolean").add("magics", "long").add("carved", "array<struct<at:long,media_type:string,data:binary>>")
+    found = T.StructType().add("at", "long").add("media_type", "string").add("data", "binary")
+    schema = given.select("id", "declared_type").schema.add("media_type", "string").add("corrected", "boolean").add("magics", "long").add("carved", T.ArrayType(found))
     return given.mapInArrow(run, schema)
 
 
