@@ -1,8 +1,10 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-A feature is present or absent in a document: an n-gram of a padded lower-case word, hashed to a fixed number
-of bins. Each present feature has the value r = log(p / q), its smoothed log-count ratio between toxic and
-other documents, and a logistic regression is fitted on those values. Scores depend on the text alone.
+A feature is an n-gram of the padded lower-case words, hashed to a fixed number of bins. Its value in a document is
+how often it comes up a word, full from one word in fifty on, so that a chance occurrence in a long text counts
+little. The values are summed over toxic and over other documents, and each feature is scaled by the smoothed log
+ratio of those counts. A logistic regression is fitted on the features that tell the classes apart best. Scores
+depend on the text alone.
 
 Defined cases: null and empty texts get the score of a text without features; rows with a null or unlearnable
 label are left out of training; with labels of one class only, or none, every score is that class's share
@@ -12,6 +14,7 @@ label are left out of training; with labels of one class only, or none, every sc
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,8 @@ from .common import hash_below
 WORD = regex.compile(r"\p{L}+")
 ORDERS = (3, 4, 5, 6)
 BINS = 1 << 18
+#: A feature's value is its rate a word times this, at most 1.
+FULL = 50
 CACHE_WORDS = 300_000
 
 
@@ -35,84 +40,101 @@ def word_features(word: str, bins: int = BINS) -> list[int]:
     return list({zlib.crc32(padded[i : i + n].encode()) & (bins - 1) for n in ORDERS for i in range(len(padded) - n + 1)})
 
 
+def word_counts(text: str | None) -> tuple[Counter, int]:
+    words = WORD.findall((text or "").lower())
+    return Counter(words), len(words)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [sorted({f for w in set(WORD.findall((t or "").lower())) for f in word_features(w)}) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["label", "features"])
+        at, values = [], []
+        for text in batch.column(1).to_pylist():
+            words, n = word_counts(text)
+            own: Counter = Counter()
+            for word, k in words.items():
+                for f in word_features(word):
+                    own[f] += k
+            at.append(sorted(own))
+            values.append([min(1.0, FULL * own[f] / n) for f in at[-1]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["label", "features", "counts"])
 
 
 @dataclass
 class RatioModel:
-    weights: np.ndarray  # per bin: the coefficient times the log-count ratio
+    weights: dict[int, float]  # bin of a chosen feature: the coefficient times the log-count ratio
     intercept: float
 
 
 def fit(
     labelled: DataFrame,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample_per_class: int = 3000,
+    chosen: int = 2000,
     min_documents: int = 3,
     smoothing: float = 1.0,
-    regularisation: float = 0.0005,
-    iterations: int = 40,
+    regularisation: float = 1e-4,
+    iterations: int = 100,
 ) -> RatioModel:
-    """Fits on about sample_per_class labelled rows of each class, chosen by a hash of the id."""
+    """Fits on labelled rows, all of them: give it a bounded sample, as labelled_sample() does."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(sizes.values())
-    if len(sizes) < 2:
-        share = sizes.get(1, 0) / total if total else 0.5
-        return RatioModel(np.zeros(BINS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    shares = {k: min(1.0, sample_per_class / n) for k, n in sizes.items()}
-    sample = rows.where(hash_below("i", F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0])))).select("label", "t")
-    featured = sample.mapInArrow(_features, "label int, features array<int>").repartition(4).cache()  # a bounded sample
-    counts = featured.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    p, q = np.zeros(BINS), np.zeros(BINS)
-    for r in counts.toPandas().itertuples(index=False):  # at most BINS rows
-        p[r.f], q[r.f] = r.pos, r.neg
+    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("t")).where(F.col("label").isin(0, 1))
+    featured = rows.mapInArrow(_features, "label int, features array<int>, counts array<double>").repartition(4).cache()  # a bounded sample
     n = {r["label"]: r["count"] for r in featured.groupBy("label").count().collect()}
-    ratio = np.log(((p + smoothing) / (n.get(1, 0) + 2 * smoothing)) / ((q + smoothing) / (n.get(0, 0) + 2 * smoothing)))
-    ratio[p + q < min_documents] = 0.0
-    shared = labelled.sparkSession.sparkContext.broadcast(ratio)
+    if len(n) < 2:
+        featured.unpersist()
+        share = n.get(1, 0) / sum(n.values()) if n else 0.5
+        return RatioModel({}, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    one = F.col("label") == 1
+    counts = featured.select("label", F.explode(F.arrays_zip("features", "counts")).alias("x")).groupBy("x.features").agg(
+        F.sum(F.when(one, F.col("x.counts")).otherwise(0.0)).alias("pos"), F.sum(F.when(one, 0.0).otherwise(F.col("x.counts"))).alias("neg"), F.count("*").alias("documents")
+    )
+    found = counts.where(F.col("documents") >= min_documents).toPandas()  # at most BINS rows
+    p, q = (found["pos"] + smoothing) / (n[1] + 2 * smoothing), (found["neg"] + smoothing) / (n[0] + 2 * smoothing)
+    found["ratio"] = np.log(p / q)
+    found["apart"] = (p - q).abs() / np.sqrt(p * (1 - p.clip(upper=0.999)) / n[1] + q * (1 - q.clip(upper=0.999)) / n[0])
+    best = found.sort_values(["apart", "features"], ascending=[False, True]).head(chosen)
+    if best.empty:
+        featured.unpersist()
+        return RatioModel({}, float(np.log(n[1] / n[0])))
+    place = {int(f): i for i, f in enumerate(best["features"])}
+    ratio = best["ratio"].to_numpy()
+    shared = labelled.sparkSession.sparkContext.broadcast((place, ratio))
 
     @F.udf(VectorUDT())
-    def scaled(features):
-        at = np.asarray(features or [], dtype=np.int64)
-        at = at[shared.value[at] != 0.0] if len(at) else at
-        return Vectors.sparse(BINS, at.tolist(), shared.value[at].tolist())
+    def scaled(features, values):
+        place, ratio = shared.value
+        own = {place[f]: v * ratio[place[f]] for f, v in zip(features, values, strict=True) if f in place}
+        return Vectors.sparse(len(ratio), own)
 
-    train = featured.select(F.col("label").cast("double").alias("label"), scaled("features").alias("x"))
+    train = featured.select(F.col("label").cast("double").alias("label"), scaled("features", "counts").alias("x")).cache()
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=regularisation, maxIter=iterations, standardization=False).fit(train)
     featured.unpersist()
-    # The sample is balanced by class, so the intercept is moved back to the share of toxic rows among all labels.
-    odds = np.log(shares[0] / shares[1]) if shares[1] and shares[0] else 0.0
-    return RatioModel(model.coefficients.toArray() * ratio, float(model.intercept + odds))
+    train.unpersist()
+    weights = model.coefficients.toArray() * ratio
+    return RatioModel({f: float(weights[i]) for f, i in place.items()}, float(model.intercept))
 
 
 class _Scorer:
-    def __init__(self, model: RatioModel, least: float = 1e-6):
+    def __init__(self, model: RatioModel):
         self.weights, self.intercept = model.weights, model.intercept
-        self.live = np.abs(model.weights) > least
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # chosen features of words
 
     def score(self, text: str | None) -> float:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        present: set[int] = set()
-        known = self.known
-        for word in set(WORD.findall((text or "").lower())):
+        words, n = word_counts(text)
+        counts: dict[int, int] = {}
+        known, weights = self.known, self.weights
+        for word, k in words.items():
             own = known.get(word)
             if own is None:
-                own = known[word] = tuple(f for f in word_features(word) if self.live[f])
-            if own:
-                present.update(own)
-        x = self.intercept + float(self.weights[sorted(present)].sum()) if present else self.intercept
+                own = known[word] = tuple(f for f in word_features(word) if f in weights)
+            for f in own:
+                counts[f] = counts.get(f, 0) + k
+        x = self.intercept + sum(weights[f] * min(1.0, FULL * counts[f] / n) for f in sorted(counts))
         return float(1.0 / (1.0 + np.exp(-np.clip(x, -60, 60))))
 
 
@@ -130,14 +152,13 @@ def score(docs: DataFrame, model: RatioModel, *, keep: list[str], text_col: str
     return docs.select(*[F.col(k) for k in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample_per_class: int = 3000) -> DataFrame:
-    """(doc_id, text, toxic) of about sample_per_class labelled documents of each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000) -> DataFrame:
+    """(doc_id, text, toxic) of about ``sample`` labelled documents, chosen by a hash of the id, so that the classes
+    keep their shares.
 
-    Sampling ids before the join keeps the texts of other documents out of it: the ids are at most a bounded number.
+    Sampling ids before the join keeps the texts of other documents out of it: the ids are a bounded number.
     """
-    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("toxic") == label, F.lit(min(1.0, sample_per_class / n))).otherwise(share)
-    chosen = labels.where(hash_below("doc_id", share)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.join(F.broadcast(chosen), "doc_id")  # about sample_per_class rows a class
+    known = labels.where(F.col("toxic").isin(0, 1))
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = known.where(hash_below("doc_id", F.lit(share))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(chosen), "doc_id")  # about `sample` rows

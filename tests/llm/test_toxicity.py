@@ -6,9 +6,9 @@ from flowquarry.llm.queries import op3_toxicity
 
 
 def test_held_out_scores_separate_the_labels(spark):
-    got = op3_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    got = op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
     pos, neg = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
-    assert len(pos) > 3 and (pos[:, None] > neg[None, :]).mean() > 0.95
+    assert len(pos) > 50 and (pos[:, None] > neg[None, :]).mean() > 0.95 and (pos >= 0.5).mean() > 0.85 and (neg >= 0.5).mean() < 0.01
     assert (got.predicted == (got.score >= 0.5)).all()
 
 
@@ -22,10 +22,11 @@ def test_one_class_or_none(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, none, keep=["doc_id"]).count() == 0
 
 
-def test_score_is_linear_in_present_features():
-    w = np.zeros(toxicity.BINS)
+def test_score_is_linear_in_rates():
     f = toxicity.word_features("bad")
-    w[f] = 1.0
-    s = toxicity._Scorer(toxicity.RatioModel(w, -1.0))
+    s = toxicity._Scorer(toxicity.RatioModel(dict.fromkeys(f, 1.0), -1.0))
     odds = lambda p: np.log(p / (1 - p))
-    assert np.isclose(odds(s.score("bad Bad fine")), len(set(f)) - 1.0 + sum(w[x] for x in set(toxicity.word_features("fine")) - set(f)))
+    rest = "other " * 199
+    assert np.isclose(odds(s.score(f"Bad {rest}")), len(f) * 0.25 - 1.0)
+    assert np.isclose(odds(s.score(f"bad BAD {rest[6:]}")), len(f) * 0.5 - 1.0)
+    assert np.isclose(odds(s.score("bad " * 10)), len(f) - 1.0) and np.isclose(odds(s.score(None)), -1.0)
