@@ -22,6 +22,11 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.nullif(b, F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where body uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -32,55 +37,76 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Population standard deviation."""
-    m = mean(values)
-    return F.sqrt(mean(F.transform(values, lambda x: (x - m) * (x - m))))
+    return let(mean(values), lambda m: F.sqrt(mean(F.transform(values, lambda x: (x - m) * (x - m)))))
 
 
 def median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, lo) + F.get(s, hi)) / 2.0)
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+    return let(F.array_sort(values), of)
 
 
 def mad_ratio(values: Column) -> Column:
     """Median absolute deviation over the median; 1 where the median is not positive."""
-    m = median(values)
-    return F.when((F.size(values) == 0) | (m <= 0), 1.0).otherwise(median(F.transform(values, lambda x: F.abs(x - m))) / m)
+    return let(median(values), lambda m: F.when((F.size(values) == 0) | (m <= 0), 1.0).otherwise(median(F.transform(values, lambda x: F.abs(x - m))) / m))
 
 
 def iat_cv(values: Column) -> Column:
-    m = mean(values)
-    return F.when(m > 0, deviation(values) / m).otherwise(0.0)
+    return let(mean(values), lambda m: F.when(m > 0, deviation(values) / m).otherwise(0.0))
 
 
 def jitter(values: Column) -> Column:
     """Mean absolute deviation from the mean."""
-    m = mean(values)
-    return F.coalesce(mean(F.transform(values, lambda x: F.abs(x - m))), F.lit(0.0))
+    return let(mean(values), lambda m: F.coalesce(mean(F.transform(values, lambda x: F.abs(x - m))), F.lit(0.0)))
 
 
 def shannon_bits(counts: Column) -> Column:
-    positive = F.filter(counts, lambda c: c > 0)
-    n = total(F.transform(positive, lambda c: c.cast("double")))
-    return F.when(F.size(positive) == 0, 0.0).otherwise(total(F.transform(positive, lambda c: -(c / n) * F.log2(c / n))))
+    def of(positive: Column) -> Column:
+        return let(total(positive), lambda n: F.when(F.size(positive) == 0, 0.0).otherwise(total(F.transform(positive, lambda c: -(c / n) * F.log2(c / n)))))
+
+    return let(F.transform(F.filter(counts, lambda c: c > 0), lambda c: c.cast("double")), of)
+
+
+def frequencies(values: Column) -> Column:
+    """Struct of an array of strings or numbers: how many kinds, the commonest one's count, and the entropy in bits.
+
+    One pass over the sorted array, so it stays cheap for long windows.
+    """
+    text = F.array_sort(F.transform(values, lambda x: x.cast("string")))
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("kinds"), F.lit(0).alias("most"), F.lit(0.0).alias("s"))
+    weight = lambda run: F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["last"].eqNullSafe(x) & (a["run"] > 0)
+        return F.struct(
+            x.alias("last"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), F.when(same, a["kinds"]).otherwise(a["kinds"] + 1).alias("kinds"),
+            F.when(same, a["most"]).otherwise(F.greatest(a["most"], a["run"])).alias("most"), F.when(same, a["s"]).otherwise(a["s"] + weight(a["run"])).alias("s"),
+        )
+
+    def done(a: Column) -> Column:
+        n = F.size(values)
+        bits = F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n.cast("double")) - (a["s"] + weight(a["run"])) / n)).otherwise(0.0)
+        return F.struct(a["kinds"].alias("kinds"), F.greatest(a["most"], a["run"]).alias("most"), bits.alias("bits"))
+
+    return F.aggregate(text, zero, step, done)
 
 
 def _ks(values: Column, cdf: Callable[[Column], Column]) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    gaps = F.transform(s, lambda x, i: F.greatest((i + 1) / n - cdf(x), cdf(x) - i / n))
-    return F.array_max(gaps)
+    n = F.size(values)
+    return F.array_max(F.transform(F.array_sort(values), lambda x, i: F.greatest((i + 1) / n - cdf(x), cdf(x) - i / n)))
 
 
 def ks_uniform(values: Column) -> Column:
     """Distance of the values' distribution from the uniform one over their range."""
-    lo, hi = F.array_min(values), F.array_max(values)
-    return F.when((F.size(values) == 0) | (hi <= lo), 1.0).otherwise(_ks(values, lambda x: (x - lo) / (hi - lo)))
+    ends = F.struct(F.array_min(values).alias("lo"), F.array_max(values).alias("hi"))
+    return let(ends, lambda e: F.when((F.size(values) == 0) | (e["hi"] <= e["lo"]), 1.0).otherwise(_ks(values, lambda x: (x - e["lo"]) / (e["hi"] - e["lo"]))))
 
 
 def ks_exponential(values: Column) -> Column:
     """Distance of the values' distribution from the exponential one of their mean."""
-    m = mean(values)
-    return F.when((F.size(values) == 0) | (m <= 0), 1.0).otherwise(_ks(values, lambda x: 1 - F.exp(-x / m)))
+    return let(mean(values), lambda m: F.when((F.size(values) == 0) | (m <= 0), 1.0).otherwise(_ks(values, lambda x: 1 - F.exp(-x / m))))
 
 
 def differences(times: Column) -> Column:
@@ -90,10 +116,8 @@ def differences(times: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.exp(x - top))
-    n = total(powers)
-    return F.transform(powers, lambda x: x / n)
+    powers = let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(total(p), lambda n: F.transform(p, lambda x: x / n)))
 
 
 def anomaly_confidence(mse: Column, threshold: float = 0.7) -> Column:
@@ -148,10 +172,10 @@ def fft_features(values: pd.Series) -> pd.DataFrame:
 
 def acf_peak(times: Column, bin_seconds: float = 5.0, low: float = 10.0, high: float = 900.0) -> Column:
     """The largest autocorrelation of the binned times over lags from low to high seconds."""
-    lo = F.array_min(times)
-    bins = F.array_distinct(F.transform(times, lambda t: F.floor((t - lo) / bin_seconds).cast("int")))
     lags = F.sequence(F.lit(int(low // bin_seconds)), F.lit(int(high // bin_seconds)))
-    return F.when(F.size(times) < 3, 0.0).otherwise(F.array_max(F.transform(lags, lambda k: F.size(F.array_intersect(bins, F.transform(bins, lambda b: b + k))) / F.size(bins))))
+    bins = let(F.array_min(times), lambda lo: F.array_distinct(F.transform(times, lambda t: F.floor((t - lo) / bin_seconds).cast("int"))))
+    best = let(bins, lambda own: F.array_max(F.transform(lags, lambda k: F.size(F.array_intersect(own, F.transform(own, lambda b: b + k))) / F.size(own))))
+    return F.when(F.size(times) < 3, 0.0).otherwise(best)
 
 
 def histories(df: DataFrame, keys: list[str], order: list[str], values: list[str], name: str = "history") -> DataFrame:

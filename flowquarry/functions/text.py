@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import stats
+
 #: Second-level labels under which two-letter country domains register names.
 COUNTRY_SECONDS = ["co", "com", "net", "org", "gov", "ac", "edu", "nic", "res", "gen", "ind", "mil"]
 #: Suffixes and names that are not worth lexical analysis.
@@ -56,9 +58,7 @@ def pieces(s: Column, n: int) -> Column:
 
 def entropy_of(values: Column) -> Column:
     """Shannon entropy, in bits, of the values of an array; 0 if it is empty."""
-    total = F.size(values)
-    share = lambda v: F.size(F.filter(values, lambda x: x == v)) / total
-    return F.when(total == 0, 0.0).otherwise(F.aggregate(F.transform(F.array_sort(F.array_distinct(values)), lambda v: -share(v) * F.log2(share(v))), F.lit(0.0), lambda a, x: a + x))
+    return stats.frequencies(values)["bits"]
 
 
 def char_entropy(s: Column) -> Column:

@@ -99,7 +99,7 @@ def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions:
     f = base.withColumns({"times": F.array_sort(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w), "shapes": F.collect_list("shape").over(w)})
     n = F.size("times")
     gaps = stats.differences(F.col("times"))
-    commonest = F.array_max(F.transform(F.array_distinct("shapes"), lambda v: F.size(F.filter("shapes", lambda x: x == v))))
+    commonest = stats.frequencies(F.col("shapes"))["most"]
     one, zero = F.lit(1.0), F.lit(0.0)
     f = f.where(n >= least_sessions).withColumns({
         "sessions": n,

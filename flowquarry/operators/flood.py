@@ -28,22 +28,20 @@ def flood_window(records: DataFrame, *, seconds: float = 10.0, id_col: str = "ev
     share = lambda c: F.sum(F.col(c).cast("int")).over(w)
     sources = F.collect_list("src").over(w)
     ports = F.collect_list("dport").over(w)
-    counts = lambda a: F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.size(F.filter(a, lambda x: x == v)))
     out = records.withColumns({
         "n": F.count("*").over(w), "__first": F.min("ts").over(w), "n_bytes": F.sum("bytes").over(w), "n_pkts": F.sum("pkts").over(w), "n_syn": share("syn_only"), "n_handshake": share("handshake"),
-        "n_udp": F.sum((F.col("proto") == 17).cast("int")).over(w), "__sources": sources, "__ports": ports,
+        "n_udp": F.sum((F.col("proto") == 17).cast("int")).over(w), "__sources": stats.frequencies(sources), "__ports": stats.frequencies(ports),
         "n_bogon": F.sum(net.is_bogon(F.col("src")).cast("int")).over(w),
     })
-    by_source = counts(F.col("__sources"))
     span = F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(float(seconds)), F.col("ts") - F.col("__first"))))
-    out = out.withColumn("span", span).withColumn("sources", F.size(F.array_distinct("__sources")))
-    bits = stats.shannon_bits(by_source)
+    out = out.withColumn("span", span).withColumn("sources", F.col("__sources.kinds"))
+    bits = F.col("__sources.bits")
     return out.withColumns({
         "rate": F.col("n") / F.col("span"),
         "entropy_bits": bits,
         "entropy_norm": F.when(F.col("n") > 1, bits / F.log2(F.col("n").cast("double"))).otherwise(0.0),
         "syn_share": F.col("n_syn") / F.col("n"), "udp_share": F.col("n_udp") / F.col("n"), "handshake_share": F.col("n_handshake") / F.col("n"), "bogon_share": F.col("n_bogon") / F.col("n"),
-        "port_share": F.array_max(counts(F.col("__ports"))) / F.col("n"), "bytes_per_packet": F.col("n_bytes") / F.col("n_pkts"), "unique_share": F.col("sources") / F.col("n"),
+        "port_share": F.col("__ports.most") / F.col("n"), "bytes_per_packet": F.col("n_bytes") / F.col("n_pkts"), "unique_share": F.col("sources") / F.col("n"),
     }).drop("__sources", "__ports", "__first")
 
 
