@@ -87,7 +87,7 @@ def src5_read_labels(spark, sf_dir):
 
 
 @query(
-    "SELECT src, dst, (syn)::INT AS syn, (ack)::INT AS ack, round(CASE WHEN k % 3 = 0 THEN (k + 1) * 1000000.0 WHEN k % 3 = 1 THEN (k + 1) * 1000.0 ELSE k + 1 END, 3) AS bytes, CASE WHEN k % 4 = 0 THEN 'normal' ELSE 'attacker' END AS class, count(*) AS n FROM flows GROUP BY ALL"
+    "SELECT src, dst, (syn)::INT AS syn, (ack)::INT AS ack, round((CASE WHEN k % 3 = 0 THEN (k + 1) * 1000000 WHEN k % 3 = 1 THEN (k + 1) * 1000 ELSE k + 1 END)::DOUBLE, 3) AS bytes, CASE WHEN k % 4 = 0 THEN 'normal' ELSE 'attacker' END AS class, count(*) AS n FROM flows GROUP BY ALL"
 )
 def src6_read_labelled_flows(spark, sf_dir):
     f = flows(spark, sf_dir)
