@@ -11,7 +11,6 @@ repeated results; an empty table gives an empty result; other columns of the inp
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ WORD = regex.compile(r"\p{L}+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Words of evidence beyond which confidence no longer grows, so that long mixed texts stay unsure.
 EVIDENCE_WORDS = 8
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -39,59 +38,56 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class BackoffModel:
-    """Log frequencies: words and n-grams map to a row with one figure per language."""
+    """Log frequencies: words and n-grams map to a row of the table with one figure per language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    ngrams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, int]
+    ngrams: dict[int, dict[str, int]]
+    table: np.ndarray  # 32-bit, so that workers hold little more than the keys
 
     def word_row(self, word: str) -> np.ndarray:
-        row = self.words.get(word)
-        if row is not None:
-            return row
+        at = self.words.get(word)
+        if at is not None:
+            return self.table[at]
         for n in ORDERS:
-            known = [r for g in grams(word, n) if (r := self.ngrams[n].get(g)) is not None]
+            known = [i for g in grams(word, n) if (i := self.ngrams[n].get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+                return self.table[known].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
 
-class _Scorer:
-    """Word rows as they come up, kept for the worker's later documents."""
+class _Index(dict):
+    """Row numbers of words as they come up. Nothing refers back to it, so it goes as soon as it is dropped."""
 
     def __init__(self, model: BackoffModel):
+        super().__init__()
         self.model = model
-        self.reset()
+        self.rows = np.zeros((4096, len(model.languages)), np.float32)
 
-    def reset(self) -> None:
-        scorer = self
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[i] = self.model.word_row(word)
+        return i
 
-        class Index(dict):
-            def __missing__(self, word: str) -> int:
-                i = self[word] = scorer.add(word)
-                return i
 
-        self.index = Index()
-        self.used = 0
-        self.rows = np.zeros((4096, len(self.model.languages)))
+class _Scorer:
+    """Word rows kept for the task's later documents."""
 
-    def add(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = self.model.word_row(word)
-        self.used += 1
-        return self.used - 1
+    def __init__(self, model: BackoffModel):
+        self.model, self.index = model, _Index(model)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages or not LETTER.search(text):
             return "und", 0.0
-        if self.used > CACHE_WORDS:
-            self.reset()
+        if len(self.index) > CACHE_WORDS:
+            self.index = _Index(self.model)
         words = WORD.findall(text.lower())
         if not words:
             return "und", 0.0
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        mean = np.bincount(at, minlength=self.used) @ self.rows[: self.used] / len(words) if len(words) > self.used else self.rows[at].mean(axis=0)
+        mean = self.index.rows[at].mean(axis=0, dtype=np.float64)
         lifted = mean * min(len(words), EVIDENCE_WORDS)
         share = np.exp(lifted - lifted.max())
         best = int(np.argmax(share))
@@ -119,7 +115,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1500, vocabulary: int = 30_000, max_languages: int = 200
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1500, vocabulary: int = 10_000, max_languages: int = 200
 ) -> BackoffModel:
     """Learns from about sample_per_language documents of each of the max_languages commonest languages.
 
@@ -129,7 +125,7 @@ def fit(
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("t").isNotNull())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
-        return BackoffModel([], {}, {n: {} for n in ORDERS})
+        return BackoffModel([], {}, {n: {} for n in ORDERS}, np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_per_language / n))])
     sample = labelled.where(F.col("lang").isin(list(sizes)) & hash_below("i", share[F.col("lang")])).select("lang", "t")
     counted = sample.mapInArrow(_counts, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
@@ -137,20 +133,20 @@ def fit(
     found = ranked.where(F.col("rank") <= vocabulary).select("lang", "ord", "gram", "n").toPandas()
     languages = sorted(sizes)
     place = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{n: {} for n in ORDERS}}
+    tables: dict[int, dict[str, int]] = {0: {}, **{n: {} for n in ORDERS}}
+    parts, begin = [], 0
     for order, own in found.groupby("ord"):
-        size = own["gram"].nunique()
+        keys = {g: begin + i for i, g in enumerate(sorted(own["gram"].unique()))}
         total = np.zeros(len(languages))
         np.add.at(total, own["lang"].map(place).to_numpy(), own["n"].to_numpy(float))
-        floor = np.log(0.5 / (total + 0.5 * size + 1.0))
-        rows = tables[int(order)]
-        for lang, gram, n in zip(own["lang"], own["gram"], own["n"], strict=True):
-            i = place[lang]
-            row = rows.get(gram)
-            if row is None:
-                row = rows[gram] = floor.copy()
-            row[i] = math.log((n + 0.5) / (total[i] + 0.5 * size + 1.0))
-    return BackoffModel(languages, tables.pop(0), tables)
+        whole = total + 0.5 * len(keys) + 1.0
+        rows = np.tile(np.log(0.5 / whole), (len(keys), 1))
+        at, lang = own["gram"].map(keys).to_numpy() - begin, own["lang"].map(place).to_numpy()
+        rows[at, lang] = np.log((own["n"].to_numpy(float) + 0.5) / whole[lang])
+        tables[int(order)] = keys
+        parts.append(rows.astype(np.float32))
+        begin += len(keys)
+    return BackoffModel(languages, tables.pop(0), tables, np.concatenate(parts) if parts else np.zeros((0, len(languages)), np.float32))
 
 
 def predict(docs: DataFrame, model: BackoffModel, *, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -162,7 +158,7 @@ def predict(docs: DataFrame, model: BackoffModel, *, keep: list[str], text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(len(keep)).to_pylist()]
+            found = [scorer.predict(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*keep, "lang_pred", "score"]
             )
@@ -183,7 +179,7 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.5, **fit_options) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(names.index("text")).to_pylist()]
+            found = [scorer.predict(t.as_py()) for t in batch.column(names.index("text"))]
             yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

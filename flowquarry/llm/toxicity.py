@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: RatioModel, *, keep: list[str], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = np.array([scorer.score(t) for t in batch.column(len(keep)).to_pylist()], dtype=np.float64)
+            found = np.array([scorer.score(t.as_py()) for t in batch.column(len(keep))], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     return docs.select(*[F.col(k) for k in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)

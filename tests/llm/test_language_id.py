@@ -16,11 +16,11 @@ def test_held_out_accuracy_on_the_given_documents(spark):
 def test_backoff_goes_to_shorter_grams():
     import numpy as np
 
-    a, b = np.array([0.0, -9.0]), np.array([-9.0, 0.0])
-    model = language_id.BackoffModel(["x", "y"], {"known": a}, {5: {"<unse": b}, 4: {}, 3: {}, 2: {"q>": a}, 1: {}})
-    assert model.word_row("known") is a
-    assert (model.word_row("unseen") == b).all()
-    assert (model.word_row("zzq") == a).all()
+    table = np.array([[0.0, -9.0], [-9.0, 0.0]], np.float32)
+    model = language_id.BackoffModel(["x", "y"], {"known": 0}, {5: {"<unse": 1}, 4: {}, 3: {}, 2: {"q>": 0}, 1: {}}, table)
+    assert (model.word_row("known") == table[0]).all()
+    assert (model.word_row("unseen") == table[1]).all()
+    assert (model.word_row("zzq") == table[0]).all()
     assert (model.word_row("kkk") == 0).all()
 
 
