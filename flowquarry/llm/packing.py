@@ -5,8 +5,9 @@ as fit, then one for each set bit of the rest. Pieces of one length form a bucke
 own, so no sequence crosses documents and none needs padding. Sequence ids number the pieces without gaps, bucket
 after bucket, longest first, in document order.
 
-Words repeat, so each worker keeps the ids of the pieces of text between ASCII white space; the tokenizer's own
-rules never join characters across it.
+Words repeat, so each task keeps the ids of the pieces of text between ASCII white space; the tokenizer's own
+rules never join characters across it. The tokenizer and the ids of runs of letters stay with the worker for its next
+task. Both stores have a fixed bound.
 
 Defined cases: null and empty texts are their end token alone; rows of one id are packed each on its own, told
 apart by a hash of their text, and identical rows in either order; rows with a null id come first; an empty table
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,9 @@ from .common import range_splits, saved, with_range_bucket
 LONGEST = 4096
 END_TOKEN = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 300_000, 200_000
 #: Letters that normalisation leaves alone or only lower-cases, one to one.
+MARKS = frozenset(b".,:;!?|")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,:;!?|]?)")
 
 
@@ -43,11 +46,18 @@ def default_vocabulary() -> str:
 class _Words(dict):
     """Ids of words as they come up. Nothing refers back to it, so it goes as soon as it is dropped."""
 
-    def __init__(self, tokenizer, letters: dict[int, str]):
+    def __init__(self, tokenizer, letters: dict[int, str], parts: dict[str, bytes]):
         super().__init__()
-        self.tokenizer, self.letters, self.parts = tokenizer, letters, {}
+        self.tokenizer, self.letters, self.parts = tokenizer, letters, parts
 
     def __missing__(self, word: bytes) -> bytes:
+        letters = word[:-1] if word[-1] in MARKS else word
+        if letters.isalpha():  # ASCII letters alone; the same as below, without the pattern
+            ids = self.part(letters.lower().decode())
+            if len(letters) < len(word):
+                ids += self.part(word[-1:].decode())
+            self[word] = ids
+            return ids
         text = word.decode()
         plain = PLAIN.fullmatch(text)
         if plain is None:
@@ -60,6 +70,8 @@ class _Words(dict):
     def part(self, text: str) -> bytes:
         own = self.parts.get(text)
         if own is None:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
             mapped = text if text.isascii() else text.translate(self.letters)
             own = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
         return own
@@ -74,12 +86,26 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.words = _Words(self.tokenizer, self.letters)
+        self.parts: dict[str, bytes] = {}
+        self.forget_words()
+
+    def forget_words(self) -> None:
+        self.words = _Words(self.tokenizer, self.letters, self.parts)
 
     def ids(self, text: str) -> bytes:
+        return self.ids_of_bytes(text.encode())
+
+    def ids_of_bytes(self, text: bytes) -> bytes:
+        """The ids of a text in UTF-8."""
         if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self.tokenizer, self.letters)
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+            self.forget_words()
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker, as reading the vocabulary takes as long as a few MB of text."""
+    return WordTokenizer(path)
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -99,11 +125,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lon
     orders = longest.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for batch in batches:
             tokens, counts, crcs = [], [], []
             for text in batch.column(2):
-                ids = tokenizer.ids(text.as_py() or "") + end
+                ids = tokenizer.ids_of_bytes(text.as_buffer().to_pybytes() if text.is_valid else b"") + end
                 n = len(ids) // 4
                 at, found, count = 0, [], [0] * orders
                 for size in piece_lengths(n, longest):
@@ -114,6 +140,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lon
                 crcs.append(found)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tokens, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "tie", "doc_tokens", "counts", "crcs"])
+        tokenizer.forget_words()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("t"))
     cut = saved(rows.mapInArrow(run, "doc_id long, tie long, doc_tokens long, counts array<long>, crcs array<long>"), "pieces")
