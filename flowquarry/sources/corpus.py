@@ -78,7 +78,8 @@ def export_pseudonymised(windows: DataFrame) -> DataFrame:
     """Windows that are not flagged, with hosts named site-01 and so on in their order."""
     kept = windows.where(~F.coalesce("flagged", F.lit(False)))
     names = kept.select("host").distinct().withColumn("__n", F.row_number().over(Window.orderBy("host")))  # a row a host
-    return kept.join(names, "host").withColumn("host", F.concat(F.lit("site-"), F.lpad(F.col("__n").cast("string"), 2, "0"))).drop("__n")
+    n = F.col("__n").cast("string")
+    return kept.join(names, "host").withColumn("host", F.concat(F.lit("site-"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))).drop("__n")  # lpad shortens what is longer
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:
