@@ -69,6 +69,64 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
     return leaves.select("block", "seq", "leaf").repartition("block").sortWithinPartitions("block", "seq").mapInPandas(run, "block long, root string, n long")
 
 
+def _levels(hashes: list[bytes]) -> list[list[bytes]]:
+    """A tree from its leaves to its root; the last node of an odd level moves up as it is."""
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        levels.append([hashlib.sha256(b"\x01" + x[i] + x[i + 1]).digest() if i + 1 < len(x) else x[i] for i in range(0, len(x), 2)])
+    return levels
+
+
+def _siblings(levels: list[list[bytes]], at: int) -> list[tuple[str, str]]:
+    """(hash in hex, side) of the siblings from a leaf up to the root."""
+    out = []
+    for x in levels[:-1]:
+        if at ^ 1 < len(x):
+            out.append((x[at ^ 1].hex(), "L" if at & 1 else "R"))
+        at >>= 1
+    return out
+
+
+SIBLINGS = "array<struct<hash:string,side:string>>"
+
+
+def sibling_paths(leaves: DataFrame, *, size: int = 4096) -> DataFrame:
+    """(id, block, siblings) from (id, block, seq, leaf hash in hex), for verify_inclusion.
+
+    Leaves stream through each task in order, ``size`` (a power of two) of them at a time; a block's tree over the
+    roots of these subtrees, one in ``size`` of its leaves, is made in one piece.
+    """
+    names = ["id", "block", "part", "head", "low"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def subtree() -> pd.DataFrame:
+            levels = _levels([bytes.fromhex(x) for _, x in held])
+            return pd.DataFrame([(i, block, part, levels[-1][0].hex(), _siblings(levels, at)) for at, (i, _) in enumerate(held)], columns=names)
+
+        block, part, held = None, 0, []
+        for batch in batches:
+            for i, b, leaf in batch[["id", "block", "leaf"]].itertuples(index=False):
+                if held and (b != block or len(held) == size):
+                    yield subtree()
+                    part, held = part + 1, []
+                if b != block:
+                    block, part = b, 0
+                held.append((i, leaf))
+        if held:
+            yield subtree()
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        levels = _levels([bytes.fromhex(x) for x in pdf["head"]])
+        return pd.DataFrame([(b, part, _siblings(levels, at)) for at, (b, part) in enumerate(pdf[["block", "part"]].itertuples(index=False))], columns=["block", "part", "high"])
+
+    kind = leaves.schema["id"].dataType.simpleString()
+    rows = leaves.select("id", "block", "seq", "leaf").repartition("block").sortWithinPartitions("block", "seq").mapInPandas(run, f"id {kind}, block long, part long, head string, low {SIBLINGS}")
+    high = rows.select("block", "part", "head").distinct().groupBy("block").applyInPandas(top, f"block long, part long, high {SIBLINGS}")
+    return rows.join(high, ["block", "part"]).select("id", "block", F.concat("low", "high").alias("siblings"))
+
+
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
     """valid: whether the leaf hash and its siblings (hash in hex, side L or R) lead to the root."""
     fold = F.aggregate("siblings", F.col("leaf"), lambda h, s: F.when(s["side"] == "L", node_hash(s["hash"], h)).otherwise(node_hash(h, s["hash"])))
@@ -111,14 +169,27 @@ def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str
     the receipt before. A receipt's own digest leaves the chain out, so no fold is needed."""
     base = alerts.withColumns({"evidence_digest": alert_ops.canonical_digest(evidence), "decision_digest": alert_ops.canonical_digest(decision)})
     w = Window.partitionBy("sensor").orderBy("ts", "id")
-    numbered = base.withColumn("seq", F.row_number().over(w)).withColumn("digest", F.sha2(F.concat_ws("|", "sensor", F.col("seq").cast("string"), "evidence_digest", "decision_digest").cast("binary"), 256))
+    numbered = base.withColumn("seq", F.row_number().over(w)).withColumn("digest", receipt_digest())
     return numbered.withColumn("previous", F.coalesce(F.lag("digest").over(w), F.lit(GENESIS))).select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", "digest", "previous")
 
 
+def receipt_digest() -> Column:
+    """A receipt's own digest, from its fields."""
+    return F.sha2(F.concat_ws("|", "sensor", F.col("seq").cast("string"), "evidence_digest", "decision_digest").cast("binary"), 256)
+
+
+def _block_leaves(receipts: DataFrame, seconds: int) -> DataFrame:
+    return receipts.select("id", (F.floor(F.col("ts") / seconds)).alias("block"), F.struct("ts", "id").alias("seq"), leaf_hash(F.col("digest")).alias("leaf"))
+
+
+def inclusion_proofs(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
+    """(id, window_start, siblings): what is kept of each receipt when its block is sealed."""
+    return sibling_paths(_block_leaves(receipts, seconds)).select("id", (F.col("block") * seconds).alias("window_start"), "siblings")
+
+
 def checkpoint_blocks(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """A block for each window of time from the first receipt to the last, empty ones too: root and count."""
-    leaves = receipts.select((F.floor(F.col("ts") / seconds)).alias("block"), F.struct("ts", "id").alias("seq"), leaf_hash(F.col("digest")).alias("leaf"))
-    roots = merkle_roots(leaves)
+    roots = merkle_roots(_block_leaves(receipts, seconds))
     spine = receipts.agg(F.floor(F.min("ts") / seconds).alias("lo"), F.floor(F.max("ts") / seconds).alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
     empty = hashlib.sha256(b"").hexdigest()
     return spine.join(roots, "block", "left").select((F.col("block") * seconds).alias("window_start"), F.coalesce("root", F.lit(empty)).alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -144,16 +215,19 @@ def replay_alerts(alerts: DataFrame, digests: DataFrame) -> DataFrame:
 CLAIMS = ("schema", "evidence", "feature_source", "model_weights", "decision", "policy", "inclusion", "chain", "sequence")
 
 
-def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, replayed: DataFrame, *, evidence: list[str], seconds: int = 60) -> DataFrame:
+def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, replayed: DataFrame, *, evidence: list[str], seconds: int = 60, proofs: DataFrame | None = None) -> DataFrame:
     """Nine claims for each alert, each PASS, FAIL or UNVERIFIABLE, and whether none fails. What is not kept, the source
-    of features and the weights of models, is never verifiable."""
+    of features and the weights of models, is never verifiable; nor is the inclusion of a receipt without one of the
+    proofs (inclusion_proofs) that were kept when its block was sealed."""
     c = F.col
     say = lambda known, ok: F.when(known, F.when(ok, "PASS").otherwise("FAIL")).otherwise("UNVERIFIABLE")
-    own = alerts.withColumn("__evidence", alert_ops.canonical_digest(evidence)).withColumn("__window", (F.floor(c("ts") / seconds) * seconds).cast("long"))
+    own = alerts.withColumn("__evidence", alert_ops.canonical_digest(evidence))
     w = Window.partitionBy("sensor").orderBy("seq")
+    kept = proofs.select("id", F.col("window_start").alias("__window"), "siblings") if proofs is not None else receipts.select("id", F.lit(None).cast("long").alias("__window"), F.lit(None).cast(SIBLINGS).alias("siblings")).where("false")
+    sealed = receipts.select("id", leaf_hash(receipt_digest()).alias("leaf")).join(kept, "id").join(blocks.select(F.col("window_start").alias("__window"), "root"), "__window", "left")
+    sealed = verify_inclusion(sealed).select("id", F.coalesce("valid", F.lit(False)).alias("__sealed"))
     r = receipts.withColumns({"__prev": F.lag("digest").over(w), "__prev_seq": F.lag("seq").over(w)}).select("id", F.col("evidence_digest"), F.col("previous"), F.col("seq"), "__prev", "__prev_seq")
-    b = blocks.select(F.col("window_start").alias("__window"), F.col("n").alias("__n"))
-    j = own.join(r, "id", "left").join(b, "__window", "left").join(replayed.select("id", "verdict", "drift"), "id", "left")
+    j = own.join(r, "id", "left").join(sealed, "id", "left").join(replayed.select("id", "verdict", "drift"), "id", "left")
     have = c("evidence_digest").isNotNull()
     claims = {
         "schema": say(F.lit(True), c("confidence").between(0, 1) & c("threat_class").isNotNull()),
@@ -162,7 +236,7 @@ def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, rep
         "model_weights": F.lit("UNVERIFIABLE"),
         "decision": F.coalesce("verdict", F.lit("UNVERIFIABLE")),
         "policy": say(c("drift").isNotNull(), ~c("drift")),
-        "inclusion": say(have & c("__n").isNotNull(), c("__n") > 0),
+        "inclusion": say(c("__sealed").isNotNull(), c("__sealed")),
         "chain": say(have, c("previous") == F.coalesce("__prev", F.lit(GENESIS))),
         "sequence": say(have, c("seq") == F.coalesce("__prev_seq", F.lit(0)) + 1),
     }

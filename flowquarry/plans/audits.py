@@ -93,5 +93,5 @@ def au1_verify_alerts(spark, sf_dir):
     blocks = ops.checkpoint_blocks(r, seconds=86_400)
     k = flows(spark, sf_dir).select(F.col("event_id").alias("id"), "k")
     tampered = a.join(k, "id").withColumn("src", F.when(F.col("k") % 13 == 0, "changed").otherwise(F.col("src"))).drop("k")
-    v = ops.verify_alerts(tampered, r, blocks, ops.replay_alerts(a, _known(spark)), evidence=["src"], seconds=86_400)
+    v = ops.verify_alerts(tampered, r, blocks, ops.replay_alerts(a, _known(spark)), evidence=["src"], seconds=86_400, proofs=ops.inclusion_proofs(r, seconds=86_400))
     return v.select("id", "schema", "evidence", "decision", "chain", "sequence", "holds")
