@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,30 +74,52 @@ def flood_family(windows: DataFrame, *, shape: float = 0.8, port_share: float =
 
 
 def evaluations(windows: DataFrame, *, seconds: float = 1.0, growth: int = 50) -> DataFrame:
-    """The rows at which a destination is judged: a second after the last such row, or once n doubled and grew enough."""
-    h = stats.histories(windows.select("dst", "ts", "event_id", "n"), ["dst"], ["ts", "event_id"], ["n"])
-    start = F.struct(F.lit(-1e18).alias("ts"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("kept"))
+    """The rows at which a destination is judged: a second after the last such row, or once n doubled and grew enough.
 
-    def step(a, x):
-        due = (x["ts"] - a["ts"] >= seconds) | ((x["n"] >= 2 * a["n"]) & (x["n"] - a["n"] >= growth))
-        return F.struct(F.when(due, x["ts"]).otherwise(a["ts"]).alias("ts"), F.when(due, x["n"]).otherwise(a["n"]).cast("long").alias("n"), F.when(due, F.concat(a["kept"], F.array(x["event_id"].cast("long")))).otherwise(a["kept"]).alias("kept"))
+    Rows stream through each task in order; what is held is a destination's last such row.
+    """
 
-    kept = h.select(F.explode(F.aggregate("history", start, step, lambda a: a["kept"])).alias("event_id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dst, last, judged = None, -1e18, 0
+        for batch in batches:
+            out = []
+            for d, ts, i, n in batch[["dst", "ts", "event_id", "n"]].itertuples(index=False):
+                if d != dst:
+                    dst, last, judged = d, -1e18, 0
+                if ts - last >= seconds or (n >= 2 * judged and n - judged >= growth):
+                    last, judged = ts, n
+                    out.append(i)
+            if out:
+                yield pd.DataFrame({"event_id": out})
+
+    kept = windows.select("dst", "ts", "event_id", "n").repartition("dst").sortWithinPartitions("dst", "ts", "event_id").mapInPandas(run, "event_id long")
     return windows.join(kept, "event_id", "left_semi")
 
 
 def ewma_baseline(windows: DataFrame, *, alpha: float = 0.05, factor: float = 5.0) -> DataFrame:
     """baseline before each row: the moving average of the destination's rates on rows without a family; and over,
-    whether the rate is at least factor times it (true before there is one)."""
-    h = stats.histories(windows.select("dst", "ts", "event_id", "rate", "family"), ["dst"], ["ts", "event_id"], ["rate", "family"])
-    row = "array<struct<event_id:bigint,baseline:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("b"), F.array().cast(row).alias("out"))
+    whether the rate is at least factor times it (true before there is one).
 
-    def step(a, x):
-        b = F.when(x["family"].isNotNull(), a["b"]).otherwise(F.when(a["b"].isNull(), x["rate"]).otherwise((1 - alpha) * a["b"] + alpha * x["rate"]))
-        return F.struct(b.alias("b"), F.concat(a["out"], F.array(F.struct(x["event_id"].cast("long").alias("event_id"), a["b"].alias("baseline")))).alias("out"))
+    Rows stream through each task in order; what is held is a destination's average.
+    """
 
-    found = h.select(F.inline(F.aggregate("history", start, step, lambda a: a["out"])))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dst, b = None, None
+        for batch in batches:
+            out = []
+            for d, i, rate, calm in batch[["dst", "event_id", "rate", "calm"]].itertuples(index=False):
+                if d != dst:
+                    dst, b = d, None
+                out.append((i, b))
+                if calm:
+                    b = rate if b is None else (1 - alpha) * b + alpha * rate
+            if out:
+                yield pd.DataFrame(out, columns=["event_id", "baseline"]).astype({"baseline": float})
+
+    rows = windows.select("dst", "ts", "event_id", "rate", F.col("family").isNull().alias("calm"))
+    found = rows.repartition("dst").sortWithinPartitions("dst", "ts", "event_id").mapInPandas(run, "event_id long, baseline double")
+    # NaN is how pandas says that there is no baseline yet
+    found = found.withColumn("baseline", F.when(~F.isnan("baseline"), F.col("baseline")))
     return windows.join(found, "event_id").withColumn("over", F.col("baseline").isNull() | (F.col("rate") >= factor * F.col("baseline")))
 
 

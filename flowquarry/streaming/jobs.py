@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,16 +124,18 @@ def stream_calibrate(sdf: DataFrame, *, trained: float, device_hours: int = 24,
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         errors, cells, done = state.get if state.exists else ([], [], False)
-        errors, cells = list(errors), set(cells)
+        cells = set(cells)
         if not done:
-            for host, hour, error in pd.concat(list(batches)).sort_values("ts", kind="stable")[["host", "hour", "error"]].itertuples(index=False):
-                errors.append(float(error))
-                cells.add(f"{host}|{int(hour)}")
+            parts = [np.asarray(errors, float)]  # all errors until then: an exact percentile needs them
+            for batch in batches:
+                parts.append(batch["error"].to_numpy(float, copy=True))
+                cells.update(f"{host}|{int(hour)}" for host, hour in batch[["host", "hour"]].drop_duplicates().itertuples(index=False))
+            errors = np.concatenate(parts)
             if len(cells) >= device_hours and len({int(c.rsplit("|", 1)[1]) % 24 for c in cells}) >= hours_of_day:
                 done = True
                 yield pd.DataFrame([(key[0], max(float(pd.Series(errors).quantile(0.99)), trained), len(cells))], columns=["network", "threshold", "device_hours"])
                 errors, cells = [], set()
-        state.update((errors, sorted(cells), done))
+        state.update((np.asarray(errors, float).tolist(), sorted(cells), done))
 
     return sdf.groupBy("network").applyInPandasWithState(run, "network string, threshold double, device_hours int", "errors array<double>, cells array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
