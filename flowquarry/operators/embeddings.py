@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,36 +48,133 @@ def knn_overlap(vectors: DataFrame, *, first: int, k: int, every: int = 50) -> D
     return whole.join(part, "vec_id").withColumn("shared", F.size(F.array_intersect("neighbours", "others")))
 
 
-def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim: float = 0.05, most: int = 5000) -> DataFrame:
+def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim: float = 0.05) -> DataFrame:
     """(host, id, distance): the least robust Mahalanobis distance of each row from its host's components.
 
-    A host's components are clusters of a hashed sample of at most ``most`` of its fit rows (host, id, x array); their
-    covariance is shrunk towards its diagonal, and a share of far rows is trimmed. Scoring streams all rows.
+    A host's components are clusters of all its fit rows (host, id, x array), started at the rows whose ids hash
+    lowest; their covariance is shrunk towards its diagonal, and a share of far rows is trimmed. Each step is a pass
+    over rows laid out by host, which adds up counts, sums and outer products; a host's rows may be in any number of
+    tasks. Broadcast are the centres, one a host and component, which is all that the driver collects.
     """
-    from pyspark.sql import Window
+    from ..sources.corpus import shared_path
 
-    ranked = fit.withColumn("__i", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("id"), "id"))).where(F.col("__i") <= most)
+    spark = fit.sparkSession
+    kind = fit.schema["host"].dataType.simpleString()
+    path = shared_path(spark, "baseline")
+    mixed = fit.where("host is not null").select("host", "id", "x", F.xxhash64("id").alias("h"))
+    mixed.repartitionByRange("host", "h").sortWithinPartitions("host").write.parquet(path)
+    rows = spark.read.parquet(path)
+    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("h", "id"))).where(F.col("i") <= components)
+    centres: dict = {}
+    for r in first.select("host", "x").orderBy("host", "i").collect():
+        centres.setdefault(r.host, []).append(r.x)
+    centres = {host: np.array(c, float) for host, c in centres.items()}
+
+    def moments(own: dict, limits: dict | None) -> DataFrame:
+        """(host, i, part, n, total, outer) of the rows nearest to centre i, those over its limit left out; outer only
+        where there are limits. Both sums are of differences from the centre."""
+        shared = spark.sparkContext.broadcast((own, limits))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            own, limits = shared.value
+            part, host, sums = TaskContext.get().partitionId(), None, {}
+            frame = lambda: pd.DataFrame([(host, i, part, n, t, o.ravel()) for i, (n, t, o) in sums.items()], columns=["host", "i", "part", "n", "total", "outer"])
+            for batch in batches:
+                for k, g in batch.groupby("host", sort=False):
+                    if k != host:
+                        if sums:
+                            yield frame()
+                        host, sums = k, {}
+                    x, near, d = _nearest(g["x"], own[k])
+                    for i in np.unique(near):
+                        mine = near == i if limits is None else (near == i) & (d <= limits[k, i])
+                        z = x[mine] - own[k][i]
+                        n, t, o = sums.get(i, (0, 0.0, np.zeros(0)))
+                        sums[i] = (n + len(z), t + z.sum(axis=0), o if limits is None else (o if o.size else 0) + z.T @ z)
+            if sums:
+                yield frame()
+
+        return rows.select("host", "x").mapInPandas(run, f"host {kind}, i int, part int, n long, total array<double>, outer array<double>")
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        return pd.DataFrame([(pdf["host"].iloc[0], pdf["i"].iloc[0], np.sum(pdf["total"].tolist(), axis=0) / pdf["n"].sum())], columns=["host", "i", "shift"])
+
+    for _ in range(20):
+        moved = 0.0
+        for r in moments(centres, None).groupBy("host", "i").applyInPandas(mean, f"host {kind}, i int, shift array<double>").collect():
+            centres[r.host][r.i] += r.shift
+            moved = max(moved, np.abs(r.shift).max() / (np.abs(centres[r.host]).max() or 1.0))
+        if moved < 1e-12:
+            break
+    limits = _nearest_share(rows, centres, 1 - trim, kind)
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("id")["x"].tolist(), float)
-        centres = x[np.linspace(0, len(x) - 1, min(components, len(x))).astype(int)]
-        for _ in range(20):
-            near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.array([x[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
-        out = []
-        for i, c in enumerate(centres):
-            own = x[near == i]
-            if not len(own):
-                continue
-            own = own[np.argsort(((own - c) ** 2).sum(axis=1))[: max(1, int(np.ceil(len(own) * (1 - trim))))]]
-            cov = np.cov(own.T, bias=True).reshape(x.shape[1], -1) if len(own) > 1 else np.zeros((x.shape[1],) * 2)
-            shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-6 * np.eye(x.shape[1])
-            out.append((pdf["host"].iloc[0], own.mean(axis=0).tolist(), np.linalg.inv(shrunk).ravel().tolist()))
-        return pd.DataFrame(out, columns=["host", "centre", "inverse"])
-
-    kind = fit.schema["host"].dataType.simpleString()
-    models = ranked.groupBy("host").applyInPandas(model, f"host {kind}, centre array<double>, inverse array<double>")
-    joined = score.join(models, "host").withColumn("d", F.zip_with("x", "centre", lambda a, b: a - b))
-    n = F.size("d")
-    form = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.get("d", i) * F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda t, j: t + F.get("inverse", i * n + j) * F.get("d", j)))
-    return joined.withColumn("distance", F.sqrt(form)).groupBy("host", "id").agg(F.min("distance").alias("distance"))
+        pdf = pdf.sort_values("part")
+        host, i, n = pdf["host"].iloc[0], pdf["i"].iloc[0], pdf["n"].sum()
+        shift = np.sum(pdf["total"].tolist(), axis=0) / n
+        cov = np.sum(pdf["outer"].tolist(), axis=0).reshape(len(shift), -1) / n - np.outer(shift, shift)
+        shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-6 * np.eye(len(shift))
+        return pd.DataFrame([(host, known.value[host][i] + shift, np.linalg.inv(shrunk).ravel())], columns=["host", "centre", "inverse"])
+
+    known = spark.sparkContext.broadcast(centres)
+    models = moments(centres, limits).groupBy("host", "i").applyInPandas(model, f"host {kind}, centre array<double>, inverse array<double>")
+
+    def distances(own: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(models):
+            return pd.DataFrame({"host": [], "id": [], "distance": []})
+        x = np.array(own["x"].tolist(), float)
+        least = np.full(len(x), np.inf)
+        for centre, inverse in models[["centre", "inverse"]].itertuples(index=False):
+            d = x - centre
+            least = np.minimum(least, ((d @ np.asarray(inverse).reshape(len(centre), -1)) * d).sum(axis=1))
+        return pd.DataFrame({"host": own["host"], "id": own["id"], "distance": np.sqrt(np.maximum(least, 0.0))})
+
+    # a host's rows go in pieces of about 20,000, each with the host's models
+    pieces = score.groupBy("host").agg(F.ceil(F.count("*") / 20_000).alias("pieces"))
+    left = score.join(pieces, "host").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces"))
+    right = models.join(pieces, "host").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    schema = f"host {kind}, id {score.schema['id'].dataType.simpleString()}, distance double"
+    return left.select("host", "id", "x", "piece").groupBy("host", "piece").cogroup(right.select("host", "piece", "centre", "inverse").groupBy("host", "piece")).applyInPandas(distances, schema)
+
+
+def _nearest(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as a matrix, which centre each is nearest to, and the square of that distance."""
+    x = np.array(vectors.tolist(), float)
+    d = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    return x, d.argmin(axis=1), d.min(axis=1)
+
+
+def _nearest_share(rows: DataFrame, centres: dict, share: float, kind: str) -> dict:
+    """For each (host, component) the squared distance within which the given share of its rows lies, exactly.
+
+    It is found from the top 16 bits down: each pass counts the rows by the next 16 bits of their distance.
+    """
+    sc = rows.sparkSession.sparkContext
+    found: dict = {}  # (host, component): bits so far, and the rank among the rows that share them
+    for shift in (48, 32, 16, 0):
+        shared = sc.broadcast((centres, found))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, shift=shift) -> Iterator[pd.DataFrame]:
+            centres, found = shared.value
+            for batch in batches:
+                for host, g in batch.groupby("host", sort=False):
+                    _, near, d = _nearest(g["x"], centres[host])
+                    bits = d.view(np.uint64)
+                    for i in np.unique(near):
+                        own, need = bits[near == i], None
+                        if found:
+                            prefix, need = found[host, i]
+                            own = own[own >> np.uint64(shift + 16) == np.uint64(prefix)]
+                        digit, n = np.unique((own >> np.uint64(shift)) & np.uint64(0xFFFF), return_counts=True)
+                        yield pd.DataFrame({"host": host, "i": i, "digit": digit.astype(int), "n": n, "need": pd.array([need] * len(n), "Int64")})
+
+        counts = rows.select("host", "x").mapInPandas(run, f"host {kind}, i int, digit int, n long, need long").groupBy("host", "i", "digit").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        w = Window.partitionBy("host", "i")
+        ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("digit")), "all": F.sum("n").over(w)})
+        need = F.coalesce("need", F.greatest(F.lit(1), F.ceil(F.col("all") * share)))
+        hit = ranked.withColumn("need", need).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+        found = {(r.host, r.i): ((found[r.host, r.i][0] if found else 0) << 16 | r.digit, r.need - (r.upto - r.n)) for r in hit.collect()}
+    return {k: float(np.uint64(bits).view(np.float64)) for k, (bits, _) in found.items()}

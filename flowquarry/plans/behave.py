@@ -205,7 +205,7 @@ def ev5_sign_test(spark, sf_dir):
 
 @query()
 def ev6_boot_auc(spark, sf_dir):
-    b = ev.boot_auc(scores(spark, sf_dir), reps=50)
+    b = ev.boot_auc(scores(spark, sf_dir))
     return b.select(F.round(F.col("ci")[0], 6).alias("low"), F.round(F.col("ci")[1], 6).alias("high"), F.round("mean", 6).alias("mean"))
 
 

@@ -19,7 +19,7 @@ def udf1_detector(spark, sf_dir):
 @query()
 def ml1_train_flood(spark, sf_dir):
     f = flows(spark, sf_dir).select("event_id", "fwd_bytes", "bwd_bytes", "fwd_pkts", "bwd_pkts", (F.col("event_type") == "error").cast("double").alias("label"))
-    m = ops.train_flood(f, ["fwd_bytes", "bwd_bytes", "fwd_pkts", "bwd_pkts"], trees=5)
+    m = ops.train_flood(f, ["fwd_bytes", "bwd_bytes", "fwd_pkts", "bwd_pkts"])
     return m.transform(f).select("event_id", (ops.positive() > 0.5).alias("flood"))
 
 
@@ -55,5 +55,5 @@ def ml4_lexical_anomaly(spark, sf_dir):
 
 @query()
 def ml5_host_baseline(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("host"), F.col("vec_id").alias("id"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("x"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("host"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return embeddings.host_baseline(e.where("id % 2 = 0"), e.where("id % 2 = 1")).withColumn("distance", F.round("distance", 4))
