@@ -10,33 +10,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = None) -> DataFrame:
+def _packed(vectors: DataFrame, size: int, dims: int | None) -> DataFrame:
+    """(ids, data): vectors in rows of at most size, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), size):
+                part = batch.iloc[i : i + size]
+                data = np.array([e[:dims] for e in part["embedding"]], np.float64)
+                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "ids binary, data binary")
+
+
+def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = None, block: int = 512) -> DataFrame:
     """(vec_id, neighbours): the k nearest others of each query, exactly.
 
-    The stated queries, one in fifty, are broadcast in blocks against all vectors: each task keeps the k best of its
-    vectors for each query, and the best of those are kept per query.
+    Blocks of ``block`` queries meet all vectors, packed in rows of ``block`` too. A matrix product gives distances
+    that are a little off; those within its error of the k-th are worked out again from the differences. A task keeps
+    k for each query of the block that it is at, and the best of those are kept per query.
     """
-    block = [(r.vec_id, r.embedding) for r in queries.select("vec_id", "embedding").toLocalIterator()]
-    ids = np.array([b[0] for b in block], np.int64)
-    q = np.array([b[1][:dims] for b in block], np.float64).reshape(len(block), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        at, ids, q, best = None, None, None, {}
+
+        def out() -> pd.DataFrame:
+            rows = [(ids[i], o, d) for i, found in best.items() for d, o in found]
+            return pd.DataFrame(rows, columns=["vec_id", "other", "distance"])
+
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            own = batch["vec_id"].to_numpy()
-            v = np.array([e[:dims] for e in batch["embedding"]], np.float64)
-            for i in range(0, len(ids), 256):
-                d = ((q[i : i + 256, None, :] - v[None, :, :]) ** 2).sum(axis=2)
-                d[ids[i : i + 256, None] == own[None, :]] = np.inf
-                for row, x in enumerate(d):
-                    best = np.lexsort((own, x))[: k]
-                    best = best[np.isfinite(x[best])]
-                    yield pd.DataFrame({"vec_id": ids[i + row], "other": own[best], "distance": x[best]})
-
-    near = vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, other long, distance double")
+            for name, data, own, theirs in batch[["qids", "qdata", "ids", "data"]].itertuples(index=False):
+                if name != at:
+                    if best:
+                        yield out()
+                    at, ids, best = name, np.frombuffer(name, np.int64), {}
+                    q = np.frombuffer(data, np.float64).reshape(len(ids), -1)
+                own = np.frombuffer(own, np.int64)
+                v = np.frombuffer(theirs, np.float64).reshape(len(own), -1)
+                qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+                near = qq[:, None] + vv[None] - 2 * (q @ v.T)
+                near[ids[:, None] == own[None]] = np.inf
+                slack = 1e-9 * (qq + vv.max())
+                kth = np.partition(near, k - 1, axis=1)[:, k - 1] if len(own) >= k else np.full(len(ids), np.inf)
+                for i in range(len(ids)):
+                    held = best.get(i, [])
+                    limit = min(kth[i], held[-1][0] if len(held) == k else np.inf) + slack[i]
+                    few = np.flatnonzero((near[i] <= limit) & np.isfinite(near[i]))
+                    if len(few):
+                        d = ((q[i] - v[few]) ** 2).sum(axis=1)
+                        best[i] = sorted([*held, *zip(d.tolist(), own[few].tolist())])[:k]
+        if best:
+            yield out()
+
+    left = _packed(queries, block, dims).toDF("qids", "qdata")
+    near = left.crossJoin(_packed(vectors, block, dims)).mapInPandas(run, "vec_id long, other long, distance double")
     return near.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n")).select("vec_id", F.transform("n", lambda x: x["other"]).alias("neighbours"))
 
 
