@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, local sessions take a temporary folder; on a cluster it would not be shared, so this raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = _fallback_root(spark)
@@ -27,17 +30,29 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 def _fallback_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, *, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsaved(df: DataFrame) -> None:
+    """Deletes the files of a frame that saved() returned, once nothing that is still to run reads them."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_crc(doc_id: str | Column) -> Column:
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary"))

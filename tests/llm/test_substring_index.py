@@ -1,5 +1,8 @@
 import hashlib
 import random
+import shutil
+
+import numpy as np
 
 from flowquarry.llm import substring_index as si
 
@@ -49,14 +52,51 @@ def test_runs_are_compacted(spark):
     index.drop()
 
 
-def test_filter_has_no_false_negative(spark):
-    import numpy as np
+def test_filter_on_fingerprints_of_windows():
+    """Fingerprints are minima, so far from uniform: segments must fill alike and false positives stay rare."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, 120_000, dtype=np.uint64)
+    fp = np.unique(si._windows(h, np.array([0, len(h)]), si.WINDOW, si.GRAM)[2])
+    inside, outside = fp[::2], fp[1::2]
+    counts = np.bincount(si._segment(inside), minlength=si.SEGMENTS)
+    assert counts.max() < 2 * counts.mean() and counts.min() > counts.mean() / 2
+    segment_bits = 1 << int(16 * len(inside) // si.SEGMENTS).bit_length()
+    segments = {}
+    for k in range(si.SEGMENTS):
+        bits = np.zeros(segment_bits, bool)
+        for place in si.BitFilter.places(inside[si._segment(inside) == k], segment_bits):
+            bits[place] = True
+        segments[k] = np.packbits(bits, bitorder="little").tobytes()
+    f = si.BitFilter(segment_bits, segments)
+    assert f.has(inside).all() and f.has(outside).mean() < 0.02
+
 
+def test_filter_is_built_without_false_negatives(spark):
     x = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
     f = si.bit_filter(spark.createDataFrame([(int(v),) for v in x], "fp long"))
     assert f.has(x.view(np.uint64)).all()
-    y = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    assert f.has(y.view(np.uint64)).mean() < 0.05
+
+
+def test_later_batches_need_no_earlier_texts(spark, tmp_path):
+    docs = corpus(60)
+    expected = brute(docs)
+    index = si.SubstringIndex(spark, max_runs=2)
+    got = {}
+    for k, part in enumerate((docs[:25], docs[25:30], docs[30:])):
+        path = str(tmp_path / str(k))
+        spark.createDataFrame(part, "doc_id long, text string").write.parquet(path)
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.add(spark.read.parquet(path)).collect()}
+        shutil.rmtree(path)
+    assert got == expected
+    index.drop()
+    assert not index.runs and not index.passages
+
+
+def test_a_full_filter_loses_nothing(spark):
+    docs = corpus(40)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in si.deduplicate(df, most_bits=si.SEGMENTS * 64).collect()}
+    assert got == brute(docs)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
