@@ -4,9 +4,10 @@ A word known to the model scores by its log frequency in each language. A word t
 backs off to its longest known character n-grams, then to ever shorter ones. A document's language is the
 one with the largest sum over its words.
 
-Defined cases: null text, empty text and text without a letter give ``und`` with score 0; rows with a null
-id are scored like any other; a tie between languages goes to the first by code point; repeated rows give
-repeated results; an empty table gives an empty result; other columns of the input are not read.
+Defined cases: null text, empty text and text without a letter give ``und`` with score 0; very long texts are scored
+whole, one at a time; rows with a null id are scored like any other; a tie between languages goes to the first by code
+point, and of words that tie for a place in the vocabulary the first by code point is kept; repeated rows give
+repeated results; an empty table gives an empty result; other columns are not read, so their names are free.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_below
+from .common import hash_below, saved
 
 LETTER = regex.compile(r"\p{L}")
 WORD = regex.compile(r"\p{L}+")
@@ -114,23 +115,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: What a fitted model may take on the driver and in each worker, and the languages that such a model can tell apart.
+MOST_BYTES = 1 << 29
+MOST_LANGUAGES = 2000
+
+
 def fit(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1500, vocabulary: int = 10_000, max_languages: int = 200
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 1500, vocabulary: int = 10_000, most_bytes: int = MOST_BYTES
 ) -> BackoffModel:
-    """Learns from about sample_per_language documents of each of the max_languages commonest languages.
+    """Learns from about sample_per_language documents of each language.
 
     The sample is chosen by a hash of the id. The model holds the commonest ``vocabulary`` words, and as many
-    n-grams of each order, of each language, so its size has a fixed bound. All rows given may be learned from.
+    n-grams of each order, of each language. No language is left out: labels that would take a model beyond
+    most_bytes raise an error, before anything of it is collected. All rows given may be learned from.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("t").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return BackoffModel([], {}, {n: {} for n in ORDERS}, np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_per_language / n))])
-    sample = labelled.where(F.col("lang").isin(list(sizes)) & hash_below("i", share[F.col("lang")])).select("lang", "t")
+    sample = labelled.where(hash_below("i", share[F.col("lang")])).select("lang", "t")
     counted = sample.mapInArrow(_counts, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram")))
-    found = ranked.where(F.col("rank") <= vocabulary).select("lang", "ord", "gram", "n").toPandas()
+    chosen = saved(ranked.where(F.col("rank") <= vocabulary).select("lang", "ord", "gram", "n"), "grams")
+    # A row of the table, a key, and what the counts take on the driver.
+    need = chosen.select("ord", "gram").distinct().count() * (4 * len(sizes) + 100) + chosen.count() * 100
+    if need > most_bytes:
+        raise ValueError(f"a model of {len(sizes)} languages takes {need} bytes, more than {most_bytes}; lower vocabulary")
+    found = chosen.toPandas()
     languages = sorted(sizes)
     place = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, int]] = {0: {}, **{n: {} for n in ORDERS}}
@@ -152,7 +166,7 @@ def fit(
 def predict(docs: DataFrame, model: BackoffModel, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, with lang_pred and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by fit()
+    shared = spark.sparkContext.broadcast(model)  # at most MOST_BYTES, by fit()
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,11 @@ little. The values are summed over toxic and over other documents, and each feat
 ratio of those counts. A logistic regression is fitted on the features that tell the classes apart best. Scores
 depend on the text alone.
 
-Defined cases: null and empty texts get the score of a text without features; rows with a null or unlearnable
-label are left out of training; with labels of one class only, or none, every score is that class's share
-(0.5 without any); repeated rows give repeated results; an empty table gives an empty result.
+Defined cases: null and empty texts get the score of a text without features; very long texts are scored whole, one at
+a time; rows with a null or unlearnable label are left out of training, and so are documents labelled both ways; with
+labels of one class only, or none, every score is that class's share (0.5 without any); features that tie at the cut
+are taken by number, and a score of just 0.5 predicts 1; repeated rows give repeated results; an empty table gives an
+empty result; other columns are not read, so their names are free.
 """
 
 from __future__ import annotations
@@ -156,9 +158,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000)
     """(doc_id, text, toxic) of about ``sample`` labelled documents, chosen by a hash of the id, so that the classes
     keep their shares.
 
-    Sampling ids before the join keeps the texts of other documents out of it: the ids are a bounded number.
+    Documents whose labels disagree are left out. Sampling ids before the join keeps the texts of other documents
+    out of it: the ids are a bounded number.
     """
-    known = labels.where(F.col("toxic").isin(0, 1))
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("__most")).where(F.col("toxic") == F.col("__most"))
     share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(hash_below("doc_id", F.lit(share))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    chosen = known.where(hash_below("doc_id", F.lit(share))).select("doc_id", "toxic")
     return docs.join(F.broadcast(chosen), "doc_id")  # about `sample` rows
