@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -20,6 +22,24 @@ def targets_by_hand(sizes):
         full |= over
 
 
+def brute_mix(rows):
+    """(doc_id, text) of every taking, from (doc_id, text, source)."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    sizes = Counter()
+    for (_, _, source), w in zip(rows, words, strict=True):
+        sizes[source] += len(w)
+    out = []
+    for source, target in targets_by_hand(sizes).items():
+        own = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i, len(w), i, t, w) for (i, t, s), w in zip(rows, words, strict=True) if s == source)
+        for begin in (0, sizes[source]):
+            for _, _, n, i, text, w in own:
+                take = max(0, min(n, math.floor(target + 0.5) - begin))
+                begin += n
+                if take:
+                    out.append((i, text if take == n else " ".join(w[:take])))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 500, None: 40}, {"a": 5}, {"a": 1, "b": 1, "c": 1, "d": 90_000}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -56,4 +76,12 @@ def test_mix_repeats_and_cuts_texts(spark, odd_docs, no_docs):
     for r in plan:
         want[r.doc_id] += r.taken
     assert {k: v for k, v in want.items() if v} == dict(words)
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == brute_mix([(r.doc_id, r.text, r.source) for r in odd_docs.collect()])
     assert mixing.mix(no_docs).count() == 0 and mixing.mixture(no_docs).count() == 0
+
+
+def test_sources_all_null(spark):
+    docs = spark.createDataFrame([(i, "a b c " * i, None) for i in range(5)], "doc_id long, text string, source string")
+    rows = mixing.plan(docs).collect()
+    assert {r.source_size for r in rows} == {30} and {r.target for r in rows} == {45.0} and sum(r.taken for r in rows) == 45
+    assert sorted(((r.doc_id, r.text) for r in mixing.mix(docs).collect()), key=str) == brute_mix([(r.doc_id, r.text, r.source) for r in docs.collect()])

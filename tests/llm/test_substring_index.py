@@ -22,6 +22,23 @@ def brute(docs):
     return out
 
 
+def brute_texts(docs):
+    """(doc_id, text) of what is left of each document, without those that lose everything; null ids take no part."""
+    first, out = {}, []
+    split = lambda t: (t or "").encode().split()
+    for i, t in docs:
+        w = split(t)
+        for s in range(len(w) - 12) if i is not None else ():
+            key = tuple(w[s : s + 13])
+            first[key] = min(first.get(key, i), i)
+    for i, t in docs:
+        w = split(t)
+        gone = {p for s in range(len(w) - 12) if i is not None and first[tuple(w[s : s + 13])] < i for p in range(s, s + 13)}
+        if len(gone) < len(w) or not gone:
+            out.append((i, b" ".join(x for p, x in enumerate(w) if p not in gone).decode() if gone else t))
+    return out
+
+
 def corpus(n=120, seed=3):
     rng = random.Random(seed)
     shared = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([12, 13, 14, 40]))) for _ in range(12)]
