@@ -46,11 +46,13 @@ def saved(df: DataFrame, tag: str, *, compression: str | None = None) -> DataFra
 
 def unsaved(df: DataFrame) -> None:
     """Deletes the files of a frame that saved() returned, once nothing that is still to run reads them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_crc(doc_id: str | Column) -> Column:
@@ -69,11 +71,14 @@ def code_points(text: str | Column) -> Column:
     return F.length(text).cast("long")
 
 
-def range_splits(df: DataFrame, key: str, parts: int, error: float = 0.002) -> list[float]:
-    """At most parts - 1 increasing quantiles of a numeric key: bounded, and found in one pass over that column."""
+def range_splits(df: DataFrame, key: str, parts: int) -> list[float]:
+    """At most parts - 1 increasing quantiles of a numeric key: bounded, and found in one pass over that column.
+
+    The error allowed follows the number of parts, so that no part is much larger than another.
+    """
     if parts < 2:
         return []
-    cuts = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], error)
+    cuts = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)
     return sorted(set(cuts))
 
 

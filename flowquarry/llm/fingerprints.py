@@ -1,14 +1,17 @@
 """Document fingerprints: a threshold-scaled sketch of five-word shingles.
 
 Every shingle hash below a fixed fraction of the hash range is retained, whatever the text's length, so sketches
-merge by union and the containment of a short text in a very long one can be estimated. Texts with few hashes
-below the fraction also retain their smallest ones up to a floor, and the threshold the sketch is complete below
-is written in it; two sketches are compared below the lower of their thresholds.
+merge by union and the containment of a short text in a very long one can be estimated. An option, ``floor``, also
+retains the smallest hashes of texts with fewer than so many below the fraction, and writes the threshold that the
+sketch is complete below in it; two sketches are compared below the lower of their thresholds, so merging and
+containment stay sound. With it off (0) a text of under some 16 words may have no hash at all; with it on, a likeness
+rests on 32 hashes at least where there are as many, a standard error of at most 0.09 for two texts of one length.
 
 Defined cases: a null text counts as empty; a text under five words is one shingle of all its words; a wordless
-text has an empty sketch, alike (1) to another empty one and unlike (0) any other; the document after the last is
-the first, also when it is the same; rows with a null id come before all others; rows of one id follow each other
-by a hash of their text; an empty table gives an empty result.
+text has an empty sketch, alike (1) to another empty one and unlike (0) any other; very long texts are sketched whole,
+two at a time; the document after the last is the first, also when it is the same; rows with a null id come before all
+others; rows of one id follow each other by a hash of their text, and rows that are equal in both in either order; an
+empty table gives an empty result; other columns are not read, so their names are free.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_splits, with_range_bucket
+from .common import range_splits, saved, with_range_bucket
 
 WIDTH = 5
 FRACTION = 1 / 16
@@ -117,7 +120,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     splits = range_splits(base, "doc_id", buckets or 4 * parts)
     rows = with_range_bucket(base, "doc_id", splits, "bucket").withColumn("tie", F.xxhash64("text"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("head")).cache()
+    heads = saved(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("head")), "heads")
     before = F.lag("bucket").over(Window.orderBy("bucket"))
     prior = heads.select("bucket", "head", F.coalesce(before, F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior"))
     sent = rows.join(F.broadcast(prior), "bucket").select(  # one row a bucket, at most `buckets`
@@ -129,7 +132,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         "tie",
         "text",
     )
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "role", "doc_id", "tie")
+    # Buckets hold about as many rows each: dealt in turn, every task gets as many of them.
+    return dealt.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "role", "doc_id", "tie")
 
 
 def edited(text: str, following: str) -> str:

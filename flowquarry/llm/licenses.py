@@ -11,8 +11,10 @@ Base phrases are templates whose key phrase is the whole phrase. Each is looked
 one of its places has, so all places are found.
 
 Defined cases: null and empty texts have no words and no labels; words are runs of ASCII letters and digits and
-of characters beyond ASCII; overlapping places all count; rows with a null id get labels by their own text; repeated rows
-give repeated results; an empty table gives an empty result; other columns of the input are not read.
+of characters beyond ASCII; overlapping places all count; words that tie in rarity are taken by code point, then place;
+very long texts are scanned whole, one at a time, and keep some thirty words for each index word in them; rows with a
+null id get labels by their own text; repeated rows give repeated results; an empty table gives an empty result; other
+columns are not read, so their names are free.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ each takes the position of its first word's time. The result is range-sorted by
 found in two levels (hash buckets within a source), so one source may hold any share of the rows.
 
 Defined cases: null and wordless texts have size 0 and take nothing; null is a source of its own, after the others;
-ties in the order go by id, then size; rows of one id are rows of their own; a corpus without words takes nothing; an empty table
-gives an empty result; other columns of the input are carried through mix() untouched.
+ties in the order go by id, then size; rows of one id are rows of their own; very long texts are counted and cut whole;
+a corpus without words takes nothing; an empty table gives an empty result; other columns are carried through mix()
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 #: Leaning of the schedules, repeating by the source's rank: weight(t) = 1 + slope * (2 t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
-BUCKETS = 256
+#: Hexadecimal digits of the hash that name a bucket of a source: 4,096 buckets a source.
+DIGITS = 3
 
 
 def word_count(text: str | Column) -> Column:
@@ -70,7 +72,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), word_count(text_col).alias("size"), *[F.col(k).alias(i) for k, i in zip(keep, inner, strict=True)])
     if not keep:
         rows = saved(rows, "sizes")  # small, and spares counting the words twice
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("int"))
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     total = Window.partitionBy()

@@ -10,8 +10,9 @@ rules never join characters across it. The tokenizer and the ids of runs of lett
 task. Both stores have a fixed bound.
 
 Defined cases: null and empty texts are their end token alone; rows of one id are packed each on its own, told
-apart by a hash of their text, and identical rows in either order; rows with a null id come first; an empty table
-gives an empty result; other columns of the input are not read.
+apart by a hash of their text, and identical rows in either order; rows with a null id come first; very long texts are
+tokenized whole, one at a time; an empty table gives an empty result; other columns are not read, so their names are
+free.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class _Words(dict):
             if len(self.parts) >= CACHE_PARTS:
                 self.parts.clear()
             mapped = text if text.isascii() else text.translate(self.letters)
-            own = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+            own = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
         return own
 
 

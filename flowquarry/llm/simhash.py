@@ -7,8 +7,9 @@ exclusive-or and bit counts. Links found in a task leave it as a spanning star,
 components are found by repeated star contraction.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; texts under the shingle
-width give one shingle of all their words; rows with a null id get a component but never name one; repeated rows
-give repeated results; an empty table gives an empty result; other columns of the input are not read.
+width give one shingle of all their words; very long texts are hashed whole, one at a time; a bit set in just half of
+the shingles is 0; rows with a null id get a component but never name one; repeated rows give repeated results; an
+empty table gives an empty result; other columns are not read, so their names are free.
 """
 
 from __future__ import annotations
@@ -19,18 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, unsaved
 
 SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 ROWS, COLUMNS = 512, 1024
-#: Rows of one tile that a task holds at once; larger tiles are cut into chunks, compared chunk by chunk.
+#: Rows of one tile that a task holds at once; larger tiles, by count, are cut into chunks, compared chunk by chunk.
 CHUNK_ROWS = 65_536
-#: Share of random fingerprints in the fullest tile, (C(16,8) / 2**16) ** 4.
-FULLEST_TILE = 0.0015
 
 
 def text_fingerprint(text: str | None, width: int = 3) -> int:
@@ -74,29 +74,47 @@ def _shifts(radius: int) -> np.ndarray:
     return np.array([d for d in itertools.product(span, repeat=BLOCKS) if 0 < sum(map(abs, d)) <= radius], np.int64).reshape(-1, BLOCKS)
 
 
-def _deal(radius: int, chunks: int):
-    """Sends each fingerprint to its own tile (role 0), and as a guest (role 1) to every lower tile or chunk in reach."""
+BASE = np.array([(BLOCK_BITS + 1) ** i for i in range(BLOCKS)], np.int64)
+TILES = (BLOCK_BITS + 1) ** BLOCKS
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a tile, summed within the task."""
+    sums = np.zeros(TILES, np.int64)
+    for batch in batches:
+        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums += np.bincount(_block_counts(fps.view(np.uint64)) @ BASE, minlength=TILES)
+    own = np.nonzero(sums)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[own])], ["tile", "n"])
+
+
+def _deal(radius: int, shared: Broadcast):
+    """Sends each fingerprint to its own tile (role 0), and as a guest (role 1) to every lower tile or chunk in reach.
+    ``shared`` has the number of chunks of each tile."""
     shifts = _shifts(radius)
-    base = np.array([(BLOCK_BITS + 1) ** i for i in range(BLOCKS)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = shared.value
+        most = int(chunks.max())
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(fps):
                 continue
             counts = _block_counts(fps.view(np.uint64))
-            tile = counts @ base
-            own = (((fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(chunks)).astype(np.int64)
-            out = [(tile * chunks + own, np.zeros(len(fps), np.int8), fps)]
-            for c in range(chunks - 1):
+            tile = counts @ BASE
+            own = ((fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % chunks[tile]
+            out = [(tile * most + own, np.zeros(len(fps), np.int8), fps)]
+            for c in range(most - 1):
                 low = own > c
-                out.append((tile[low] * chunks + c, np.ones(int(low.sum()), np.int8), fps[low]))
+                out.append((tile[low] * most + c, np.ones(int(low.sum()), np.int8), fps[low]))
             for shift in shifts:
                 near = counts + shift
-                key = near @ base
-                ok = ((near >= 0) & (near <= BLOCK_BITS)).all(axis=1) & (key < tile)
-                for c in range(chunks):
-                    out.append((key[ok] * chunks + c, np.ones(int(ok.sum()), np.int8), fps[ok]))
+                ok = ((near >= 0) & (near <= BLOCK_BITS)).all(axis=1)
+                ok[ok] = (near[ok] @ BASE < tile[ok]) & (chunks[near[ok] @ BASE] > 0)  # to lower tiles that have rows
+                key, guests = near[ok] @ BASE, fps[ok]
+                for c in range(most):
+                    some = chunks[key] > c
+                    out.append((key[some] * most + c, np.ones(int(some.sum()), np.int8), guests[some]))
             for key, role, fp in out:
                 if len(fp):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(fp)], ["cell", "role", "fp"])
@@ -186,10 +204,12 @@ def _compare(radius: int):
 
 def links(distinct: DataFrame, *, radius: int = 2) -> DataFrame:
     """(a, b): spanning links, per tile, among distinct fingerprints (column fp) that differ in at most radius bits."""
-    n = distinct.count()
-    chunks = 1 + int(n * FULLEST_TILE) // CHUNK_ROWS
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("fp").mapInArrow(_deal(radius, chunks), "cell long, role byte, fp long")
+    spark = distinct.sparkSession
+    chunks = np.zeros(TILES, np.int64)
+    for r in distinct.select("fp").mapInArrow(_tiles, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n")).collect():  # at most TILES rows
+        chunks[r["tile"]] = 1 + (r["n"] - 1) // CHUNK_ROWS
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp").mapInArrow(_deal(radius, spark.sparkContext.broadcast(chunks)), "cell long, role byte, fp long")
     return dealt.repartition(4 * parts, "cell").sortWithinPartitions("cell", "role", "fp").mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -207,7 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, now = now, saved(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        unsaved(last)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:

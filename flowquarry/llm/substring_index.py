@@ -307,7 +307,7 @@ def deduplicate(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batc
     """Adds docs (doc_id, text, others) to a new index in batches of rising ids; the rows that add() returns of each."""
     corpus = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     index = SubstringIndex(docs.sparkSession, window=window, gram=gram, max_runs=max_runs, most_bits=most_bits)
-    bounds = [None, *sorted({int(x) for x in range_splits(corpus, "doc_id", batches, 0.01)}), None]
+    bounds = [None, *sorted({int(x) for x in range_splits(corpus, "doc_id", batches)}), None]
     try:
         parts = []
         for low, high in pairwise(bounds):

@@ -10,8 +10,9 @@ has no payload of its own: its length and digest are those of the response that
 
 Defined cases: null and empty payloads are responses of zero bytes; payloads under the least size are all responses;
 of equal payloads the smallest id is the response, and rows of one id with equal payloads are repeated responses;
-rows with a null id are responses that none refers to; an empty table gives an empty result; other columns of the
-input are not read. A record whose segments or length do not fit raises an error naming it.
+rows with a null id are responses that none refers to; very long payloads are cut into segments, and are held whole one
+at a time; an empty table gives an empty result; other columns are not read, so their names are free. A record whose
+segments or length do not fit raises an error naming it, and so does a revisit whose response is not there.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import delete, saved, shared_dir, unsaved
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
@@ -34,6 +35,8 @@ CHUNK_BYTES = 8 * 1024
 LEAST_REVISIT = 100
 #: Records in an archive, at most, so that a reader can hold one whole: 512 segments are at most 16 MB.
 RECORDS = 512
+#: Revisits that are broadcast at most, at some 120 bytes each.
+MOST_BROADCAST = 100_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,10 +102,13 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     url = F.col(url_col) if url_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # The first page of each payload: pre-aggregated, so a payload on a third of the pages costs a row a task.
-    firsts = rows.where(F.octet_length("payload") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    decided = rows.join(firsts.hint("shuffle_hash"), "digest", "left")
-    decided = decided.select("page_id", "url", "payload", "digest", F.when((F.col("first_id") < F.col("page_id")), F.col("first_id")).alias("refers_to"))
+    # The first page of each payload: pre-aggregated, so a payload on a third of the pages costs a row a task. Payloads
+    # themselves are not moved to find it, and only go by (digest, page) where revisits are too many to broadcast.
+    keys = saved(rows.where(F.octet_length("payload") >= least_revisit).groupBy("digest", "page_id").agg(F.lit(True).alias("known")), "digests")
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    again = saved(keys.join(firsts, "digest").where("first_id < page_id").select("digest", "page_id", "first_id"), "revisits")
+    decided = rows.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, ["digest", "page_id"], "left")
+    decided = decided.select("page_id", "url", "payload", "digest", F.col("first_id").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -115,6 +121,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     records = decided.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    unsaved(keys)
+    unsaved(again)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -176,12 +184,12 @@ def _decoded(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests = [], []
-            for kind, declared, block in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+            for kind, declared, blocks in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 if kind == "revisit":
                     sizes.append(None)
                     digests.append(None)
                     continue
-                payload = payload_of(block)
+                payload = payload_of(b"".join(blocks.as_py()))
                 found = hashlib.sha256(payload).hexdigest()
                 if declared and declared != found:
                     raise ValueError(f"payload digest {found} is not the declared {declared}")
@@ -189,35 +197,36 @@ def _decoded(records: DataFrame) -> DataFrame:
                 digests.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [x.split()[0] for x in schema.split(", ")])
 
-    return records.select("page_id", "kind", "refers_to", "digest", "block").mapInArrow(run, schema)
+    return records.select("page_id", "kind", "refers_to", "digest", "blocks").mapInArrow(run, schema)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """Whole records: those of one segment as they are, the others put together from their segments."""
-    whole = records.where("origin is null").select("page_id", "kind", "refers_to", "digest", "block")
+    """Whole records, their blocks as an array in order: those of one segment, and the others with all their segments."""
+    whole = records.where("origin is null").select("page_id", "kind", "refers_to", "digest", F.array("block").alias("blocks"))
     parts = F.array_sort(F.collect_list(F.struct("segment", "total", "page_id", "kind", "refers_to", "digest", "block")))
     joined = records.where("origin is not null").groupBy("origin").agg(parts.alias("parts"))
     first, last = F.col("parts")[0], F.element_at("parts", -1)
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
     complete = (F.size("parts") == last["segment"]) & (first["segment"] == 1) & (length == last["total"])
-    checked = F.when(complete, F.aggregate("parts", F.lit(b""), lambda b, p: F.concat(b, p["block"]))).otherwise(F.raise_error(F.concat(F.lit("segments do not fit: "), F.col("origin"))))
-    return whole.unionByName(joined.select(first["page_id"].alias("page_id"), first["kind"].alias("kind"), first["refers_to"].alias("refers_to"), first["digest"].alias("digest"), checked.alias("block")))
+    checked = F.when(complete, F.transform("parts", lambda p: p["block"])).otherwise(F.raise_error(F.concat(F.lit("segments do not fit: "), F.col("origin"))))
+    return whole.unionByName(joined.select(first["page_id"].alias("page_id"), first["kind"].alias("kind"), first["refers_to"].alias("refers_to"), first["digest"].alias("digest"), checked.alias("blocks")))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page in the archives under path."""
-    from .common import saved
-
     found = saved(_decoded(reassembled(read_records(spark, path))), "records")
     responses = found.where("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
     originals = responses.where("page_id is not null").groupBy(F.col("page_id").alias("at"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = found.where("kind = 'revisit'").select("page_id", "refers_to", "digest").join(originals, (F.col("refers_to") == F.col("at")) & (F.col("digest") == F.col("of")))
-    return responses.unionByName(revisits.select("page_id", "payload_bytes", F.col("of").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
+    revisits = found.where("kind = 'revisit'").select("page_id", "refers_to", "digest").join(originals, (F.col("refers_to") == F.col("at")) & (F.col("digest") == F.col("of")), "left")
+    size = F.when(F.col("at").isNotNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("no response that the revisit refers to: page "), F.col("refers_to").cast("string"))))
+    return responses.unionByName(revisits.select("page_id", size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes pages to new archives in the shared folder and returns what is read back from them."""
+    """Writes pages to new archives in the shared folder, returns what is read back from them, and deletes them."""
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_archives(pages, path, **options)
-    return read_archives(spark, path)
+    found = read_archives(spark, path)
+    delete(spark, path)
+    return found

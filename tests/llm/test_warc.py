@@ -41,6 +41,29 @@ def test_missing_segments_are_noticed(spark):
         warc.reassembled(spark.createDataFrame(rows, warc.RECORD)).collect()
 
 
+def test_missing_responses_are_noticed(spark, tmp_path):
+    import pyspark.errors
+
+    path = f"file://{tmp_path}/out"
+    two = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, "u", "y" * 200)], "page_id long, url string, html string")
+    warc.write_archives(two, path)
+    kept = spark.read.format("text").load(path).count()
+    assert kept > 3
+    records = warc.read_records(spark, path).where("page_id <> 1")
+    name = f"file://{tmp_path}/part"
+    lines = [warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:x>"), ("X-Page-Id", "2"), ("X-Refers-To-Page-Id", "1"), ("WARC-Payload-Digest", "sha256:00")], b"")[:-1]]
+    spark.createDataFrame([(x.decode(),) for x in lines], "value string").coalesce(1).write.option("compression", "gzip").text(name)
+    assert records.count() == 2
+    with pytest.raises(pyspark.errors.PySparkException):
+        warc.read_archives(spark, name).collect()
+
+
+def test_a_very_long_page(spark):
+    html = "".join(f"<li>{i}</li>" for i in range(600_000))
+    rows = warc.archive_round_trip(spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in rows} == {(i, len(html), hashlib.sha256(html.encode()).hexdigest()) for i in (1, 2)}
+
+
 def test_chunked_framing():
     for n in (0, 1, 8191, 8192, 8193, 100_000):
         body = bytes(i % 251 for i in range(n))
