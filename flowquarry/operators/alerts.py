@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import net, stats
+from ..functions import net, ordered
 
 #: Default severity, ATT&CK mapping and family letter of each class of threat.
 SEVERITIES = {"DDoS": "CRITICAL", "C2 Beacon": "HIGH", "DGA": "HIGH", "DNS Tunnel": "HIGH", "VPN Traffic": "MEDIUM", "Encrypted Malware": "CRITICAL", "Port Scan": "MEDIUM", "Data Exfiltration": "HIGH"}
@@ -121,19 +121,18 @@ def attach_evidence(alerts: DataFrame, other: DataFrame, keys: list[str]) -> Dat
 
 def cooldown(alerts: DataFrame, keys: list[str], *, seconds: float, inclusive: bool = False, id_col: str = "id") -> DataFrame:
     """Alerts that are let through: a key's first, then the first at least ``seconds`` after the last let through (more
-    than that if inclusive), each with how many were held since. Each key's alerts are folded in time order."""
-    h = stats.histories(alerts, keys, ["ts", id_col], [])
-    row = f"array<struct<{id_col}:bigint,held:bigint>>"
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("held"), F.array().cast(row).alias("out"))
-
-    def step(a, x):
-        gap = x["ts"] - a["last"]
-        held = a["last"].isNotNull() & ((gap <= seconds) if inclusive else (gap < seconds))
-        out = F.concat(a["out"], F.array(F.struct(x[id_col].cast("long").alias(id_col), a["held"].alias("held"))))
-        return F.struct(F.when(held, a["last"]).otherwise(x["ts"]).alias("last"), F.when(held, a["held"] + 1).otherwise(0).cast("long").alias("held"), F.when(held, a["out"]).otherwise(out).alias("out"))
-
-    allowed = h.select(F.inline(F.aggregate("history", start, step, lambda a: a["out"])))
-    return alerts.join(allowed, id_col)
+    than that if inclusive), each with how many were held since. What is held of a key is its last time and count."""
+
+    def step(state: dict, ts: float) -> tuple | None:
+        last = state["last"]
+        if last is not None and (ts - last <= seconds if inclusive else ts - last < seconds):
+            state["held"] += 1
+            return None
+        held = state["held"]
+        state.update(last=ts, held=0)
+        return (held,)
+
+    return ordered.folded(alerts, keys, ["ts", id_col], needs=["ts"], start=lambda: {"last": None, "held": 0}, step=step, adds={"held": "long"})
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from . import alerts as alert_ops
 
 GENESIS = "0" * 64
@@ -140,19 +141,18 @@ def block_hash() -> Column:
 
 def build_chain(rows: DataFrame, *, chain: str = "chain") -> DataFrame:
     """Blocks (chain, idx, stamp, unix_seconds, root, prev_hash, n) from rows (chain, seq, stamp, unix_seconds, root, n):
-    each block names the hash of the one before. A chain's rows are folded in order."""
-    h = rows.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("seq", "stamp", "unix_seconds", "root", "n"))).alias("h"))
-    block = "struct<idx:bigint,stamp:string,unix_seconds:bigint,root:string,prev_hash:string,n:bigint>"
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast(f"array<{block}>").alias("out"))
+    each block names the hash of the one before, which is all that is held of a chain."""
 
-    def step(a: Column, x: Column) -> Column:
-        idx = F.size(a["out"]).cast("long")
-        fields = [idx, x["stamp"].cast("string"), x["unix_seconds"].cast("long"), x["root"], a["prev"], x["n"].cast("long")]
-        names = ["idx", "stamp", "unix_seconds", "root", "prev_hash", "n"]
-        own = F.sha2(F.concat_ws("|", *[f.cast("string") for f in fields]).cast("binary"), 256)
-        return F.struct(own.alias("prev"), F.concat(a["out"], F.array(F.struct(*[f.alias(n) for f, n in zip(fields, names, strict=True)]))).alias("out"))
+    def step(state: dict, stamp: str, at: int, root: str, n: int) -> tuple:
+        idx, before = state["idx"], state["hash"]
+        # as concat_ws in block_hash(), which leaves nulls out
+        text = "|".join(str(x) for x in (idx, stamp, at, root, before, n) if x is not None)
+        state.update(idx=idx + 1, hash=hashlib.sha256(text.encode()).hexdigest())
+        return idx, before
 
-    return h.select(chain, F.inline(F.aggregate("h", start, step, lambda a: a["out"])))
+    typed = rows.select(chain, "seq", F.col("stamp").cast("string").alias("stamp"), F.col("unix_seconds").cast("long").alias("unix_seconds"), "root", F.col("n").cast("long").alias("n"))
+    out = ordered.folded(typed, [chain], ["seq"], needs=["stamp", "unix_seconds", "root", "n"], start=lambda: {"idx": 0, "hash": GENESIS}, step=step, adds={"idx": "long", "prev_hash": "string"})
+    return out.select(chain, "idx", "stamp", "unix_seconds", "root", "prev_hash", "n")
 
 
 def verify_chain(blocks: DataFrame, *, chain: str = "chain") -> DataFrame:
@@ -168,9 +168,10 @@ def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str
     """A receipt for each alert: digests of its evidence and decision, its sensor's sequence number and the digest of
     the receipt before. A receipt's own digest leaves the chain out, so no fold is needed."""
     base = alerts.withColumns({"evidence_digest": alert_ops.canonical_digest(evidence), "decision_digest": alert_ops.canonical_digest(decision)})
-    w = Window.partitionBy("sensor").orderBy("ts", "id")
-    numbered = base.withColumn("seq", F.row_number().over(w)).withColumn("digest", receipt_digest())
-    return numbered.withColumn("previous", F.coalesce(F.lag("digest").over(w), F.lit(GENESIS))).select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", "digest", "previous")
+    numbered = ordered.running_total(base, F.lit(1), ["ts", "id"], by=["sensor"], name="seq").withColumn("seq", F.col("seq").cast("int")).withColumn("digest", receipt_digest())
+    before = numbered.select(F.col("sensor").alias("__sensor"), (F.col("seq") + 1).alias("__seq"), F.col("digest").alias("__digest"))
+    linked = numbered.join(before, F.col("sensor").eqNullSafe(F.col("__sensor")) & (F.col("seq") == F.col("__seq")), "left")
+    return linked.withColumn("previous", F.coalesce("__digest", F.lit(GENESIS))).select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", "digest", "previous")
 
 
 def receipt_digest() -> Column:

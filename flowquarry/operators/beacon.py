@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import net, stats
+from ..functions import net, ordered, stats
+from . import sessions
 
 #: Ports of protocols that are periodic by nature.
 PERIODIC_PORTS = (53, 123, 1900, 5353, 5355, 137, 138, 67, 68, 546, 547)
@@ -13,15 +14,12 @@ WEIGHTS = {"t": 0.30, "f": 0.20, "s": 0.20, "r": 0.15, "c": 0.15}
 
 
 def checkins(flows: DataFrame, *, window_seconds: int, gap: float = 5.0) -> DataFrame:
-    """Per (src, dst, window): merged check-ins as arrays of times and bytes.
+    """Per (src, dst, window): merged check-ins as arrays of times and bytes, at most one a gap.
 
     Starts under gap seconds after their group's first start are one check-in, their bytes summed.
     """
     f = flows.withColumn("window_start", F.floor(F.col("ts") / window_seconds) * window_seconds)
-    h = stats.histories(f, ["src", "dst", "window_start"], ["ts", "event_id"], ["fwd_bytes"])
-    merged = stats.anchor_merge(F.transform("history", lambda x: x["ts"]), F.transform("history", lambda x: x["fwd_bytes"]), gap)
-    out = h.select("src", "dst", "window_start", merged.alias("m"))
-    return out.select("src", "dst", "window_start", F.transform("m", lambda x: x["t"]).alias("times"), F.transform("m", lambda x: x["b"]).alias("sizes"))
+    return sessions.checkin_series(f, ["src", "dst", "window_start"], gap=gap)
 
 
 def beacon_scores(flows: DataFrame, *, window_seconds: int = 21_600, gap: float = 5.0, least_checkins: int = 20, least_span: float = 1800.0, drop_ports: tuple[int, ...] = PERIODIC_PORTS) -> DataFrame:
@@ -84,10 +82,10 @@ def exfil_ratio(flows: DataFrame, *, seconds: float = 900.0, least_bytes: int =
 
 
 def running_distinct(df: DataFrame, *, of: str, order: list[str], by: list[str] | None = None, name: str = "population") -> DataFrame:
-    """How many different values of ``of`` have come up so far within ``by``: a sum of first occurrences."""
+    """How many different values of ``of`` have come up so far within ``by``: a running total of first occurrences."""
     by = by or []
     first = F.row_number().over(Window.partitionBy(*by, of).orderBy(*order)) == 1
-    return df.withColumn("__first", first.cast("int")).withColumn(name, F.sum("__first").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("__first")
+    return ordered.running_total(df.withColumn("__first", first.cast("int")), F.col("__first"), order, by=by, name=name).drop("__first")
 
 
 def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions: int = 8) -> DataFrame:
@@ -95,13 +93,15 @@ def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions:
     their weighted score. Rarity counts clients of the fingerprint so far, 0 until five clients have been seen."""
     base = running_distinct(flows, of="src", order=["ts", "event_id"], by=["sensor"], name="population")
     base = running_distinct(base, of="src", order=["ts", "event_id"], by=["sensor", "ja4"], name="clients")
+    base = ordered.trailing_state(base, ["src", "dst", "ja4"], seconds=seconds, n="__n", kinds={"__shapes": F.col("shape")})
     w = stats.trailing("src", "dst", "ja4", seconds=seconds)
-    f = base.withColumns({"times": F.array_sort(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w), "shapes": F.collect_list("shape").over(w)})
-    n = F.size("times")
+    # Medians need the window's values themselves: of a client and server with one fingerprint, and only where it has enough.
+    f = base.withColumns({"times": F.array_sort(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w)}).where(F.col("__n") >= least_sessions)
+    n = F.col("__n")
     gaps = stats.differences(F.col("times"))
-    commonest = stats.frequencies(F.col("shapes"))["most"]
+    commonest = F.col("__shapes.most")
     one, zero = F.lit(1.0), F.lit(0.0)
-    f = f.where(n >= least_sessions).withColumns({
+    f = f.withColumns({
         "sessions": n,
         "r": F.when(F.col("population") < 5, zero).otherwise(1 - F.least(one, (F.col("clients") - 1) / 4)),
         "t": F.when(F.size(gaps) >= 3, 1 - F.least(one, stats.mad_ratio(gaps))).otherwise(zero),
@@ -109,7 +109,7 @@ def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions:
         "p": commonest / n,
         "h": F.least(one, F.col("flags") / 3),
     })
-    return f.withColumn("score", 0.30 * F.col("r") + 0.20 * F.col("t") + 0.15 * F.col("s") + 0.15 * F.col("p") + 0.20 * F.col("h")).drop("times", "sizes", "shapes")
+    return f.withColumn("score", 0.30 * F.col("r") + 0.20 * F.col("t") + 0.15 * F.col("s") + 0.15 * F.col("p") + 0.20 * F.col("h")).drop("times", "sizes", "__shapes", "__n")
 
 
 def top_fingerprints(flows: DataFrame, *, n: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import net, stats, text
+from ..functions import net, ordered, stats, text
 
 #: Record types that ordinary lookups rarely ask for.
 RARE_TYPES = ("TXT", "NULL", "CNAME", "MX", "SRV", "ANY", "PRIVATE")
@@ -23,27 +23,26 @@ def nxdomain_rate(messages: DataFrame, *, seconds: float = 300.0, least: int = 1
 
 def nx_burst(responses: DataFrame, *, seconds: float = 300.0, nx: int = 20, rate: float = 0.5, replies: int = 25, bases: int = 10) -> DataFrame:
     """Responses after which a client's failures are many, frequent, and spread over base domains."""
-    w = stats.trailing("client", seconds=seconds)
-    f = responses.withColumns({
-        "replies": F.count("*").over(w), "nx": F.sum((F.col("rcode") == 3).cast("int")).over(w), "nx_bases": F.size(F.collect_set(F.when(F.col("rcode") == 3, F.col("base"))).over(w)),
-    }).withColumn("nx_rate", F.col("nx") / F.col("replies"))
+    failed = F.col("rcode") == 3
+    f = ordered.trailing_state(responses, ["client"], seconds=seconds, n="replies", sums={"nx": failed.cast("int")}, kinds={"__bases": F.when(failed, F.col("base"))})
+    f = f.withColumns({"nx_bases": F.col("__bases.kinds"), "nx_rate": F.col("nx") / F.col("replies")}).drop("__bases")
     conf = 0.6 + 0.25 * F.least(F.lit(1.0), (F.col("nx_rate") - 0.5) / 0.5) + 0.15 * F.least(F.lit(1.0), F.col("nx") / 80)
     return f.where((F.col("nx") >= nx) & (F.col("nx_rate") >= rate) & (F.col("replies") >= replies) & (F.col("nx_bases") >= bases)).withColumn("confidence", F.round(conf, 6))
 
 
 def rtype_anomaly(queries: DataFrame, *, seconds: float = 300.0, least: int = 30, names: int = 20, share: float = 0.5) -> DataFrame:
     """Queries after which a client asks one base domain for many names, mostly of rare types."""
-    w = stats.trailing("client", "base", seconds=seconds)
-    f = queries.withColumns({"queries": F.count("*").over(w), "names": F.size(F.collect_set("name").over(w)), "rare": F.sum(F.col("type").isin(*RARE_TYPES).cast("int")).over(w)})
-    f = f.withColumn("rare_share", F.col("rare") / F.col("queries"))
+    f = ordered.trailing_state(queries, ["client", "base"], seconds=seconds, n="queries", sums={"rare": F.col("type").isin(*RARE_TYPES).cast("int")}, kinds={"__names": F.col("name")})
+    f = f.withColumns({"names": F.col("__names.kinds"), "rare_share": F.col("rare") / F.col("queries")}).drop("__names")
     conf = 0.6 + 0.25 * F.least(F.lit(1.0), (F.col("rare_share") - 0.5) / 0.5) + 0.15 * F.least(F.lit(1.0), F.col("names") / 100)
     return f.where((F.col("queries") >= least) & (F.col("names") >= names) & (F.col("rare_share") >= share)).withColumn("confidence", F.round(conf, 6))
 
 
 def subdomain_fanout(queries: DataFrame, *, seconds: float = 300.0, names: int = 50, label: float = 20.0) -> DataFrame:
     """Queries after which a client has asked one base domain for many long names."""
-    w = stats.trailing("client", "base", seconds=seconds)
-    f = queries.withColumns({"names": F.size(F.collect_set("name").over(w)), "mean_label": F.avg(F.length(F.substring_index("name", ".", 1))).over(w)})
+    label_length = F.length(F.substring_index("name", ".", 1))
+    f = ordered.trailing_state(queries, ["client", "base"], seconds=seconds, n="__n", sums={"__labels": label_length}, kinds={"__names": F.col("name")})
+    f = f.withColumns({"names": F.col("__names.kinds"), "mean_label": F.col("__labels") / F.col("__n")}).drop("__names", "__labels", "__n")
     conf = 0.6 + 0.2 * F.least(F.lit(1.0), (F.col("mean_label") - label) / 40) + 0.2 * F.least(F.lit(1.0), F.col("names") / 200)
     return f.where((F.col("names") >= names) & (F.col("mean_label") >= label)).withColumn("confidence", F.round(conf, 6))
 

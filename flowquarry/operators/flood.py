@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import net, stats
+from ..functions import net, ordered, stats
 
 
 def flow_record(flows: DataFrame) -> DataFrame:
@@ -22,20 +19,19 @@ def flow_record(flows: DataFrame) -> DataFrame:
     })
 
 
-def flood_window(records: DataFrame, *, seconds: float = 10.0, id_col: str = "event_id") -> DataFrame:
+def flood_window(records: DataFrame, *, seconds: float = 10.0) -> DataFrame:
     """For each flow, the state of its destination over the seconds before it, itself included.
 
-    Counts and shares are running sums; distinct sources and ports come from the window's rows.
+    A destination's time is cut into slices, so a flooded one is shared out among tasks.
     """
-    w = stats.trailing("dst", seconds=seconds)
-    share = lambda c: F.sum(F.col(c).cast("int")).over(w)
-    sources = F.collect_list("src").over(w)
-    ports = F.collect_list("dport").over(w)
-    out = records.withColumns({
-        "n": F.count("*").over(w), "__first": F.min("ts").over(w), "n_bytes": F.sum("bytes").over(w), "n_pkts": F.sum("pkts").over(w), "n_syn": share("syn_only"), "n_handshake": share("handshake"),
-        "n_udp": F.sum((F.col("proto") == 17).cast("int")).over(w), "__sources": stats.frequencies(sources), "__ports": stats.frequencies(ports),
-        "n_bogon": F.sum(net.is_bogon(F.col("src")).cast("int")).over(w),
-    })
+    out = ordered.trailing_state(
+        records, ["dst"], seconds=seconds, first="__first",
+        sums={
+            "n_bytes": F.col("bytes"), "n_pkts": F.col("pkts"), "n_syn": F.col("syn_only").cast("int"), "n_handshake": F.col("handshake").cast("int"), "n_udp": (F.col("proto") == 17).cast("int"),
+            "n_bogon": net.is_bogon(F.col("src")).cast("int"),
+        },
+        kinds={"__sources": F.col("src"), "__ports": F.col("dport")},
+    )
     span = F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(float(seconds)), F.col("ts") - F.col("__first"))))
     out = out.withColumn("span", span).withColumn("sources", F.col("__sources.kinds"))
     bits = F.col("__sources.bits")
@@ -79,21 +75,13 @@ def evaluations(windows: DataFrame, *, seconds: float = 1.0, growth: int = 50) -
     Rows stream through each task in order; what is held is a destination's last such row.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dst, last, judged = None, -1e18, 0
-        for batch in batches:
-            out = []
-            for d, ts, i, n in batch[["dst", "ts", "event_id", "n"]].itertuples(index=False):
-                if d != dst:
-                    dst, last, judged = d, -1e18, 0
-                if ts - last >= seconds or (n >= 2 * judged and n - judged >= growth):
-                    last, judged = ts, n
-                    out.append(i)
-            if out:
-                yield pd.DataFrame({"event_id": out})
+    def step(state: dict, ts: float, n: int) -> tuple | None:
+        if ts - state["last"] >= seconds or (n >= 2 * state["judged"] and n - state["judged"] >= growth):
+            state.update(last=ts, judged=n)
+            return ()
+        return None
 
-    kept = windows.select("dst", "ts", "event_id", "n").repartition("dst").sortWithinPartitions("dst", "ts", "event_id").mapInPandas(run, "event_id long")
-    return windows.join(kept, "event_id", "left_semi")
+    return ordered.folded(windows, ["dst"], ["ts", "event_id"], needs=["ts", "n"], start=lambda: {"last": -1e18, "judged": 0}, step=step, adds={})
 
 
 def ewma_baseline(windows: DataFrame, *, alpha: float = 0.05, factor: float = 5.0) -> DataFrame:
@@ -103,24 +91,14 @@ def ewma_baseline(windows: DataFrame, *, alpha: float = 0.05, factor: float = 5.
     Rows stream through each task in order; what is held is a destination's average.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dst, b = None, None
-        for batch in batches:
-            out = []
-            for d, i, rate, calm in batch[["dst", "event_id", "rate", "calm"]].itertuples(index=False):
-                if d != dst:
-                    dst, b = d, None
-                out.append((i, b))
-                if calm:
-                    b = rate if b is None else (1 - alpha) * b + alpha * rate
-            if out:
-                yield pd.DataFrame(out, columns=["event_id", "baseline"]).astype({"baseline": float})
-
-    rows = windows.select("dst", "ts", "event_id", "rate", F.col("family").isNull().alias("calm"))
-    found = rows.repartition("dst").sortWithinPartitions("dst", "ts", "event_id").mapInPandas(run, "event_id long, baseline double")
-    # NaN is how pandas says that there is no baseline yet
-    found = found.withColumn("baseline", F.when(~F.isnan("baseline"), F.col("baseline")))
-    return windows.join(found, "event_id").withColumn("over", F.col("baseline").isNull() | (F.col("rate") >= factor * F.col("baseline")))
+    def step(state: list, rate: float, family: str | None) -> tuple:
+        before = state[0]
+        if family is None:
+            state[0] = rate if before is None else (1 - alpha) * before + alpha * rate
+        return (before,)
+
+    found = ordered.folded(windows, ["dst"], ["ts", "event_id"], needs=["rate", "family"], start=lambda: [None], step=step, adds={"baseline": "double"})
+    return found.withColumn("over", F.col("baseline").isNull() | (F.col("rate") >= factor * F.col("baseline")))
 
 
 def flood_alerts(windows: DataFrame, *, rate: float = 100.0, sources: int = 10, shape: float = 0.8) -> DataFrame:

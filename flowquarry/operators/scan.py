@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import net, stats
+from ..functions import net, ordered
 
 #: External service ports that a normal client fans out on.
 EXEMPT_PORTS = (53, 80, 123, 443, 853, 5353)
@@ -91,18 +91,16 @@ def succession(events: DataFrame, *, alpha: str = "alpha", most: int = LONGEST_S
 
 def sprt(events: DataFrame, *, alpha: str = "alpha", theta0: float = 0.8, theta1: float = 0.2, low: float = 0.001, high: float = 999.0) -> DataFrame:
     """Sequential probability ratio test over a source's windows in order: decision (scanner, normal or pending) and
-    ratio after each; a decision sets the ratio back to 1."""
-    h = stats.histories(events.select("src", "window_start", alpha), ["src"], ["window_start"], [alpha])
-    row = "array<struct<window_start:bigint,ratio:double,decision:string>>"
-    start = F.struct(F.lit(1.0).alias("r"), F.array().cast(row).alias("out"))
-
-    def step(a, x):
-        r = a["r"] * F.when(x[alpha] > 0, (1 - theta1) / (1 - theta0)).otherwise(theta1 / theta0)
-        decision = F.when(r >= high, "scanner").when(r <= low, "normal").otherwise("pending")
-        out = F.struct(x["window_start"].cast("long").alias("window_start"), r.alias("ratio"), decision.alias("decision"))
-        return F.struct(F.when(decision == "pending", r).otherwise(1.0).alias("r"), F.concat(a["out"], F.array(out)).alias("out"))
-
-    return h.select("src", F.inline(F.aggregate("history", start, step, lambda a: a["out"])))
+    ratio after each; a decision sets the ratio back to 1. What is held is a source's ratio."""
+
+    def step(state: list, value: float) -> tuple:
+        r = state[0] * ((1 - theta1) / (1 - theta0) if (value or 0) > 0 else theta1 / theta0)
+        decision = "scanner" if r >= high else "normal" if r <= low else "pending"
+        state[0] = r if decision == "pending" else 1.0
+        return r, decision
+
+    rows = events.select("src", F.col("window_start").cast("long").alias("window_start"), alpha)
+    return ordered.folded(rows, ["src"], ["window_start"], needs=[alpha], start=lambda: [1.0], step=step, adds={"ratio": "double", "decision": "string"}).drop(alpha)
 
 
 def suppress_flooding_sources(scans: DataFrame, floods: DataFrame, *, seconds: float = 120.0) -> DataFrame:

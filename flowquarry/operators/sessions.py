@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import ordered, stats
 
 FLOW_SCHEMA = "key string, flow_no int, first_ts double, last_ts double, src string, dst string, sport int, dport int, proto int, fwd_pkts long, bwd_pkts long, fwd_bytes long, bwd_bytes long, ended string, stub boolean"
 FIN, SYN, RST, ACK = 1, 2, 4, 16
@@ -88,19 +89,61 @@ def session_starts(flows: DataFrame, keys: list[str], *, gap: float = 60.0, ts:
 
 
 def count_sessions(flows: DataFrame, keys: list[str], *, n: int = 100, horizon: float = 21_600.0) -> DataFrame:
-    """Per key, batches of n rows none of which is older than horizon at the batch's last; a full batch starts anew."""
-    h = stats.histories(flows, keys, ["ts", "event_id"], ["fwd_bytes"])
-    item = "struct<ts:double,event_id:bigint,fwd_bytes:bigint>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("open"), F.array().cast(f"array<array<{item}>>").alias("done"))
-
-    def step(a, x):
-        row = F.struct(x["ts"].alias("ts"), x["event_id"].cast("long").alias("event_id"), x["fwd_bytes"].cast("long").alias("fwd_bytes"))
-        held = F.concat(F.filter(a["open"], lambda y: y["ts"] >= x["ts"] - horizon), F.array(row))
-        full = F.size(held) >= n
-        return F.struct(F.when(full, F.array().cast(f"array<{item}>")).otherwise(held).alias("open"), F.when(full, F.concat(a["done"], F.array(held))).otherwise(a["done"]).alias("done"))
-
-    out = h.select(*keys, F.posexplode(F.aggregate("history", start, step, lambda a: a["done"])).alias("session", "rows"))
-    return out.withColumn("gaps", stats.differences(F.transform("rows", lambda r: r["ts"])))
+    """Per key, batches of n rows none of which is older than horizon at the batch's last; a full batch starts anew.
+
+    Rows stream through each task in order; what is held is the open batch, at most n rows.
+    """
+
+    def step(state: dict, ts: float, event_id: int, size: int) -> list[tuple]:
+        held = state["open"]
+        while held and held[0]["ts"] < ts - horizon:
+            held.popleft()
+        held.append({"ts": ts, "event_id": event_id, "fwd_bytes": size})
+        if len(held) < n:
+            return []
+        done = (state["session"], list(held))
+        state["session"] += 1
+        held.clear()
+        return [done]
+
+    makes = "session bigint, rows array<struct<ts:double,event_id:bigint,fwd_bytes:bigint>>"
+    rows = flows.withColumns({"event_id": F.col("event_id").cast("long"), "fwd_bytes": F.col("fwd_bytes").cast("long")})
+    out = ordered.gathered(rows, keys, ["ts", "event_id"], needs=["ts", "event_id", "fwd_bytes"], start=lambda: {"open": deque(), "session": 0}, step=step, end=lambda _: [], makes=makes)
+    return out.withColumn("session", F.col("session").cast("int")).withColumn("gaps", stats.differences(F.transform("rows", lambda r: r["ts"])))
+
+
+def merge_checkins(flows: DataFrame, keys: list[str], *, gap: float, amount: str = "fwd_bytes") -> DataFrame:
+    """(keys, t, b): starts under gap seconds after their group's first start are one check-in, their amounts summed.
+
+    Rows stream through each task in order; what is held is the open check-in.
+    """
+
+    def step(state: list, ts: float, b: float) -> list[tuple]:
+        if state and ts - state[0] < gap:
+            state[1] += b
+            return []
+        done = [tuple(state)] if state else []
+        state[:] = [ts, b]
+        return done
+
+    rows = flows.withColumn("__b", F.col(amount).cast("double"))
+    return ordered.gathered(rows, keys, ["ts", "event_id"], needs=["ts", "__b"], start=list, step=step, end=lambda s: [tuple(s)], makes="t double, b double")
+
+
+def checkin_series(flows: DataFrame, keys: list[str], *, gap: float, amount: str = "fwd_bytes") -> DataFrame:
+    """(keys, times, sizes): the check-ins of merge_checkins as arrays, for keys that bound them, such as a window of time."""
+
+    def step(state: dict, ts: float, b: float) -> list[tuple]:
+        if state["t"] and ts - state["t"][-1] < gap:
+            state["b"][-1] += b
+        else:
+            state["t"].append(ts)
+            state["b"].append(b)
+        return []
+
+    rows = flows.withColumn("__b", F.col(amount).cast("double"))
+    makes = "times array<double>, sizes array<double>"
+    return ordered.gathered(rows, keys, ["ts", "event_id"], needs=["ts", "__b"], start=lambda: {"t": [], "b": []}, step=step, end=lambda s: [(s["t"], s["b"])], makes=makes)
 
 
 def model_series(checkins: DataFrame, *, n: int = 100) -> DataFrame:

@@ -146,9 +146,7 @@ r AS (SELECT src, dst, i, ts AS anchor, ts, fwd_bytes FROM o WHERE i = 1 UNION A
 
 @query(f"WITH RECURSIVE {MERGED} SELECT src, dst, anchor AS t, sum(fwd_bytes)::DOUBLE AS b FROM r GROUP BY ALL")
 def ses3_merge_checkins(spark, sf_dir):
-    h = stats.histories(flows(spark, sf_dir), ["src", "dst"], ["ts", "event_id"], ["fwd_bytes"])
-    merged = stats.anchor_merge(F.transform("history", lambda x: x["ts"]), F.transform("history", lambda x: x["fwd_bytes"]), float(DAY))
-    return h.select("src", "dst", F.inline(merged))
+    return sessions.merge_checkins(flows(spark, sf_dir), ["src", "dst"], gap=float(DAY))
 
 
 @query("SELECT event_id, src, dst FROM flows QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY src, dst ORDER BY ts, event_id) > 3600, true)")
@@ -168,10 +166,7 @@ def ses5_count_sessions(spark, sf_dir):
     f"WITH RECURSIVE {MERGED}, c AS (SELECT src, dst, anchor AS t, row_number() OVER (PARTITION BY src, dst ORDER BY anchor DESC) AS back FROM (SELECT DISTINCT src, dst, anchor FROM r)) SELECT src, dst, greatest(0, count(*) - 1) AS gaps, round(max(t) - min(t), 3) AS span FROM c WHERE back <= 5 GROUP BY ALL"
 )
 def ses6_model_series(spark, sf_dir):
-    h = stats.histories(flows(spark, sf_dir), ["src", "dst"], ["ts", "event_id"], ["fwd_bytes"])
-    merged = stats.anchor_merge(F.transform("history", lambda x: x["ts"]), F.transform("history", lambda x: x["fwd_bytes"]), float(DAY))
-    c = h.select("src", "dst", F.transform(merged, lambda x: x["t"]).alias("times"))
-    s = sessions.model_series(c, n=5)
+    s = sessions.model_series(sessions.checkin_series(flows(spark, sf_dir), ["src", "dst"], gap=float(DAY)), n=5)
     return s.select("src", "dst", F.size("series").cast("long").alias("gaps"), F.round(stats.total(F.col("series")), 3).alias("span"))
 
 
