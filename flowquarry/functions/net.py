@@ -109,14 +109,27 @@ def is_bogon(ip: Column) -> Column:
     return F.coalesce(~_known(n, h) | _unspecified(ip) | _loopback(ip, n) | _multicast(n, h) | reserved, F.lit(True))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, null for anything else. Spellings without colons are taken too."""
+    halves = F.split(F.lower(ip), "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    left = groups(F.get(halves, F.lit(0)))
+    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    digits = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+    whole = F.when(F.size(halves) == 1, n == 8).otherwise((F.size(halves) == 2) & (n < 8))
+    spelled = F.when(whole, F.concat(digits(left), F.repeat(F.lit("0000"), 8 - n), digits(right)))
+    return F.when(ip.rlike("^[0-9A-Fa-f]{32}$"), F.lower(ip)).when(ip.contains(":") & ip.rlike("^([0-9A-Fa-f]{1,4}|:)+$"), spelled)
+
+
 def is_local(ip: Column, local_ips: list[str] | None = None) -> Column:
-    """In the given set of local addresses, or private in either spelling of IPv6 if none is given."""
+    """In the given set of local addresses; if none is given, private, loopback or link-local."""
     if local_ips is not None:
         return F.coalesce(ip.isin(local_ips), F.lit(False))
-    flat = F.lower(F.regexp_replace(ip, ":", ""))
-    v4 = ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|127\.|169\.254\.)")
-    v6 = (ip == "::1") | ((F.btrim(flat, F.lit("0")) == "1") & (F.length(flat) <= 32)) | flat.rlike("^(fe[89ab]|f[cd])") | ip.rlike("(?i)^(fe[89ab]|f[cd])")
-    return F.coalesce(F.when(ip.contains(".") & ~ip.contains(":"), v4).otherwise(v6), F.lit(False))
+    n, x = ipv4_number(ip), ipv6_hex(ip)
+    head = F.conv(F.substring(x, 1, 4), 16, 10).cast("int")
+    v4 = _in(n, "10.0.0.0/8") | _in(n, "172.16.0.0/12") | _in(n, "192.168.0.0/16") | _loopback(ip, n) | _link_local(n, head)
+    return F.coalesce(v4, F.lit(False)) | F.coalesce((F.shiftright(head, 9) == 0xFC00 >> 9) | (F.shiftright(head, 6) == 0xFE80 >> 6) | (x == "1".zfill(32)), F.lit(False))
 
 
 def net_prefix(ip: Column) -> Column:
@@ -158,12 +171,13 @@ def conn_state(rst: Column, fin: Column, bwd_pkts: Column, fwd_pkts: Column) ->
     return F.when(rst > 0, "RST").when(fin > 0, "FIN").when(bwd_pkts == 0, "REQ").when((fwd_pkts > 0) & (bwd_pkts > 0), "CON").otherwise("INT")
 
 
-def community_id_v4(src: Column, dst: Column, sport: Column, dport: Column, proto: Column) -> Column:
-    """Community ID version 1 of an IPv4 flow, the same for both directions; null for other flows."""
-    a, b = ipv4_number(src), ipv4_number(dst)
-    turned = (a > b) | ((a == b) & (sport > dport))
+def community_id(src: Column, dst: Column, sport: Column, dport: Column, proto: Column) -> Column:
+    """Community ID version 1 of an IPv4 or IPv6 flow, the same for both directions; null for other flows."""
     h = lambda x, n: F.lpad(F.hex(x.cast("long")), n, "0")
-    pick = lambda x, y, n: F.when(turned, h(y, n)).otherwise(h(x, n))
-    data = F.concat(F.lit("0000"), pick(a, b, 8), pick(b, a, 8), h(proto, 2), F.lit("00"), pick(sport, dport, 4), pick(dport, sport, 4))
-    ok = a.isNotNull() & b.isNotNull() & proto.isin(6, 17, 132) & sport.between(0, 65535) & dport.between(0, 65535)
+    number = lambda ip: F.coalesce(F.lower(h(ipv4_number(ip), 8)), ipv6_hex(ip))
+    a, b = number(src), number(dst)
+    turned = (a > b) | ((a == b) & (sport > dport))
+    pick = lambda x, y: F.when(turned, y).otherwise(x)
+    data = F.concat(F.lit("0000"), pick(a, b), pick(b, a), h(proto, 2), F.lit("00"), pick(h(sport, 4), h(dport, 4)), pick(h(dport, 4), h(sport, 4)))
+    ok = (F.length(a) == F.length(b)) & proto.isin(6, 17, 132) & sport.between(0, 65535) & dport.between(0, 65535)
     return F.when(ok, F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(data))))))

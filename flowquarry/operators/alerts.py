@@ -135,6 +135,12 @@ def cooldown(alerts: DataFrame, keys: list[str], *, seconds: float, inclusive: b
     return ordered.folded(alerts, keys, ["ts", id_col], needs=["ts"], start=lambda: {"last": None, "held": 0}, step=step, adds={"held": "long"})
 
 
+def new_services(flows: DataFrame, *, service: str, by: str, ts: str = "ts", seconds: int = 86_400) -> DataFrame:
+    """Per day (or other span): how many pairs of ``by`` and service were first seen in it."""
+    first = flows.groupBy(service, by).agg(F.min(F.floor(F.col(ts) / seconds)).alias("day"))
+    return first.groupBy("day").agg(F.count("*").alias("new_services"))
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__i = 1").drop("__i")
 

@@ -73,6 +73,18 @@ def to_connections(flows: DataFrame, *, local_ips: list[str] | None = None, src:
     return flows.where(here | there).withColumns({"host": pick(src, dst), "peer": pick(dst, src), "up": pick(up, down), "down": pick(down, up)})
 
 
+def name_connections(conns: DataFrame, server_names: DataFrame, answers: DataFrame, *, order: str = "event_id") -> DataFrame:
+    """Connections (uid, peer, ts and others) with name and named_by: the server name of their TLS session, else the
+    latest DNS answer for the peer at or before them, else the peer's address.
+
+    server_names has uid, server_name and ``order``, of which the last counts; answers has peer, ts and name.
+    """
+    last = server_names.where("server_name is not null and server_name <> ''").groupBy("uid").agg(F.max_by("server_name", order).alias("__server"))
+    found = asof_names(conns.join(last, "uid", "left"), answers)
+    by = F.when(F.col("__server").isNotNull(), "server").when(F.col("name").isNotNull(), "dns").otherwise("address")
+    return found.withColumns({"named_by": by, "name": F.coalesce("__server", "name", "peer")}).drop("__server")
+
+
 def asof_names(conns: DataFrame, answers: DataFrame, *, ip: str = "peer", ts: str = "ts") -> DataFrame:
     """Each connection with the latest name answered for its peer at or before it; an answer of the same time counts.
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+
 from .select import hash_unit
 
 #: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom.
@@ -30,6 +32,12 @@ def within_host_auc(scores: DataFrame, *, least_pos: int = 1, least_neg: int = 5
     return per.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), F.count("*").alias("hosts"), F.sum("n_pos").alias("positives"))
 
 
+def paired_hosts(scores: DataFrame) -> DataFrame:
+    """(host, a, b): a host's mean score on attacks and on other rows, for hosts with both; one pre-aggregated pass."""
+    of = lambda test: F.round(F.avg(F.when(test, F.col("score"))), 6)
+    return scores.groupBy("host").agg(of(F.col("attack")).alias("a"), of(~F.col("attack")).alias("b")).where("a is not null and b is not null")
+
+
 def budget_curve(scores: DataFrame, budgets: list[float]) -> DataFrame:
     """Per budget: share of teacher flags and of attacks among its highest scores, ties by id.
 
@@ -45,10 +53,8 @@ def budget_curve(scores: DataFrame, budgets: list[float]) -> DataFrame:
 
 
 def global_rank(scores: DataFrame) -> DataFrame:
-    """rank by falling score, then id: rank within each score plus the number of rows above it."""
-    per = scores.groupBy("score").agg(F.count("*").alias("__n")).withColumn("__above", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("score").orderBy("doc_id"))
-    return scores.join(per.select("score", "__above"), "score").withColumn("rank", own + F.col("__above")).drop("__above")
+    """rank by falling score, then id: a running count over ranges of scores, so no task sorts all rows."""
+    return ordered.running_total(scores.withColumn("__down", -F.col("score")), F.lit(1), ["__down", "doc_id"], name="rank").drop("__down")
 
 
 def threshold_sweep(scores: DataFrame, grid: list[float]) -> DataFrame:
@@ -136,8 +142,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     out = rows
     for c in (x, y):
         per = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        before = F.sum("__n").over(Window.orderBy(c)) - F.col("__n")
-        out = out.join(per.select(F.col(c), (before + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}")), c)
+        per = ordered.running_total(per, F.col("__n"), [c], name="__upto")
+        out = out.join(per.select(F.col(c), (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}")), c)
     return out.agg(F.corr(f"__rank_{x}", f"__rank_{y}").alias("spearman"))
 
 

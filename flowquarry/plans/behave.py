@@ -22,10 +22,30 @@ def _windows(spark, sf_dir):
 DAYS = "w AS (SELECT host, floor((ts + 19800) / 86400)::BIGINT AS lhour, cat, count(*) AS n, ln(1 + sum(up)) AS log_bytes_up, (sum(up) - sum(down)) / (sum(up) + sum(down) + 1.0) AS egress_asymmetry, count(DISTINCT peer) / count(*) AS distinct_endpoint_ratio, ln(1 + avg(dur)) AS log_duration_mean FROM conns GROUP BY ALL)"
 
 
-@query(f"WITH {DAYS} SELECT host, lhour, cat, n, round(log_bytes_up, 6) AS log_bytes_up, round(egress_asymmetry, 6) AS egress_asymmetry, round(distinct_endpoint_ratio, 6) AS distinct_endpoint_ratio, round(log_duration_mean, 6) AS log_duration_mean FROM w")
+#: Windows of a week for a network, whose gaps are enough for the timing features.
+WEEKS = """
+c AS (SELECT host % 10 AS host, floor(ts / 604800)::BIGINT AS lhour, cat, peer, up, down, dur, ts / 168 AS t FROM conns),
+g AS (SELECT *, t - lag(t) OVER (PARTITION BY host, lhour, cat ORDER BY t) AS gap FROM c),
+b AS (SELECT host, lhour, cat, count(*) AS n, ln(1 + count(*)) AS log_n_flows, ln(1 + sum(up)) AS log_bytes_up, ln(1 + sum(down)) AS log_bytes_down, (sum(up) - sum(down)) / (sum(up) + sum(down) + 1.0) AS egress_asymmetry,
+  count(DISTINCT peer) / count(*) AS distinct_endpoint_ratio, ln(1 + avg(dur)) AS log_duration_mean, stddev_pop(gap) / nullif(avg(gap), 0) AS cv FROM g GROUP BY ALL),
+o AS (SELECT host, lhour, cat, gap, row_number() OVER (PARTITION BY host, lhour, cat ORDER BY gap) AS i, row_number() OVER (PARTITION BY host, lhour, cat ORDER BY t) - 1 AS j, count(*) OVER p::DOUBLE AS k, min(gap) OVER p AS lo, max(gap) OVER p AS hi, avg(gap) OVER p AS m
+  FROM g WHERE gap IS NOT NULL WINDOW p AS (PARTITION BY host, lhour, cat)),
+d AS (SELECT *, (gap - lo) / nullif(hi - lo, 0) AS u, 1 - exp(-gap / nullif(m, 0)) AS e FROM o),
+ks AS (SELECT host, lhour, cat, any_value(k) AS k, coalesce(max(greatest(i / k - u, u - (i - 1) / k)), 1.0) AS ks_uniform, coalesce(max(greatest(i / k - e, e - (i - 1) / k)), 1.0) AS ks_exponential FROM d GROUP BY ALL),
+x AS (SELECT host, lhour, cat, gap, j, least(k, 128) AS k, avg(gap) OVER (PARTITION BY host, lhour, cat) AS m FROM d WHERE j < 128),
+s AS (SELECT host, lhour, cat, any_value(k) AS k, f, sqrt(pow(sum((gap - m) * cos(2 * pi() * f * j / k)), 2) + pow(sum((gap - m) * sin(2 * pi() * f * j / k)), 2)) AS a FROM (SELECT *, unnest(range(1, k::BIGINT // 2 + 1)) AS f FROM x) GROUP BY host, lhour, cat, f),
+fp AS (SELECT host, lhour, cat, CASE WHEN avg(a) > 0 THEN least(1.0, max(a) / avg(a) / any_value(k)) ELSE 0 END AS prominence FROM s GROUP BY ALL)"""
+AG12_TIMING = {"iat_cv": ("coalesce(cv, 0)", "0.0"), "ks_uniform": ("ks_uniform", "1.0"), "ks_exponential": ("ks_exponential", "1.0"), "fft_prominence": ("coalesce(prominence, 0)", "0.0")}
+
+
+@query(
+    f"WITH {WEEKS} SELECT b.host, b.lhour, b.cat, n, {', '.join(f'round(CASE WHEN coalesce(k, 0) >= 4 THEN {a} ELSE {z} END, 6) AS {c}' for c, (a, z) in AG12_TIMING.items())}, {', '.join(f'round({c}, 6) AS {c}' for c in ops.FEATURES if c not in AG12_TIMING)} "
+    "FROM b LEFT JOIN ks ON b.host = ks.host AND b.lhour = ks.lhour AND b.cat = ks.cat LEFT JOIN fp ON b.host = fp.host AND b.lhour = fp.lhour AND b.cat = fp.cat"
+)
 def ag12_behaviour_windows(spark, sf_dir):
-    w = _windows(spark, sf_dir)
-    return w.select("host", "lhour", "cat", "n", *[F.round(c, 6).alias(c) for c in ("log_bytes_up", "egress_asymmetry", "distinct_endpoint_ratio", "log_duration_mean")])
+    """All ten features; an hour of the operator is a week of the given events, which are sparse."""
+    c = conns(spark, sf_dir).withColumns({"host": F.col("host") % 10, "ts": F.col("ts") / 168})
+    return ops.behaviour_windows(c).select("host", "lhour", "cat", "n", *[F.round(x, 6).alias(x) for x in ops.FEATURES])
 
 
 @query(f"WITH {DAYS} SELECT cat, count(*) AS windows, count(DISTINCT host) AS hosts, count(DISTINCT (host, lhour // 24)) AS host_days, min(lhour) AS first_hour, max(lhour) AS last_hour FROM w GROUP BY 1")
@@ -161,9 +181,7 @@ AUCS = "per AS (SELECT host, score, sum(attack::INT) AS p, sum((NOT attack)::INT
 
 @query("WITH a AS (SELECT host, avg(score) AS a FROM scores WHERE attack GROUP BY 1), b AS (SELECT host, avg(score) AS b FROM scores WHERE NOT attack GROUP BY 1) SELECT host, round(a, 6) AS a, round(b, 6) AS b FROM a JOIN b USING (host)")
 def jn11_paired_hosts(spark, sf_dir):
-    s = scores(spark, sf_dir)
-    a = s.where("attack").groupBy("host").agg(F.round(F.avg("score"), 6).alias("a"))
-    return a.join(s.where("not attack").groupBy("host").agg(F.round(F.avg("score"), 6).alias("b")), "host")
+    return ev.paired_hosts(scores(spark, sf_dir))
 
 
 @query("WITH s AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM scores) SELECT (sum(r) FILTER (WHERE attack) - count(*) FILTER (WHERE attack) * (count(*) FILTER (WHERE attack) + 1) / 2) / (count(*) FILTER (WHERE attack) * count(*) FILTER (WHERE NOT attack)) AS auc FROM s")
@@ -339,12 +357,15 @@ def win22_cusum(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT user_id, ts, event_type AS a, lead(event_type) OVER (PARTITION BY user_id, event_id >= 5000 ORDER BY ts, event_id) AS b, event_id >= 5000 AS late FROM flows), p AS (SELECT a, b, count(*) AS n FROM s WHERE NOT late AND b IS NOT NULL GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM p GROUP BY 1) "
+    "WITH h AS (SELECT *, ts >= (min(ts) OVER () + max(ts) OVER ()) / 2 AS late FROM flows), s AS (SELECT user_id, ts, event_type AS a, lead(event_type) OVER (PARTITION BY user_id, late ORDER BY ts, event_id) AS b, late FROM h), p AS (SELECT a, b, count(*) AS n FROM s WHERE NOT late AND b IS NOT NULL GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM p GROUP BY 1) "
     "SELECT user_id AS host, round(-avg(ln((coalesce(n, 0) + 1) / (coalesce(t, 0) + 5))), 6) AS surprise FROM s LEFT JOIN p USING (a, b) LEFT JOIN t USING (a) WHERE late AND b IS NOT NULL GROUP BY 1"
 )
 def win23_markov_surprise(spark, sf_dir):
-    rows = flows(spark, sf_dir).select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("state"), "event_id")
-    return ops.markov_surprise(rows.where("event_id < 5000"), rows.where("event_id >= 5000")).withColumn("surprise", F.round("surprise", 6))
+    """Transitions of the first half of the time span, against those of the second."""
+    f = flows(spark, sf_dir)
+    middle = f.agg(((F.min("ts") + F.max("ts")) / 2).alias("middle"))  # one row
+    rows = f.join(F.broadcast(middle)).select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("state"), (F.col("ts") >= F.col("middle")).alias("late"))
+    return ops.markov_surprise(rows.where("not late"), rows.where("late")).withColumn("surprise", F.round("surprise", 6))
 
 
 @query(

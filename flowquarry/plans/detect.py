@@ -20,12 +20,18 @@ def _rounded(df, *cols, digits=6):
 
 
 @query(
-    "WITH names AS (SELECT event_id % 5000 AS uid, max_by('s' || k, event_id) AS server_name FROM flows WHERE event_type = 'purchase' GROUP BY 1) SELECT f.event_id, n.server_name FROM flows f LEFT JOIN names n ON f.event_id % 5000 = n.uid"
+    "WITH names AS (SELECT event_id AS uid, 's' || k AS server_name FROM flows WHERE event_type = 'purchase' AND k % 3 <> 0), a AS (SELECT dst AS peer, ts, 'n' || event_id AS name FROM flows WHERE event_type = 'view'), "
+    "c AS (SELECT f.event_id, f.dst AS peer, f.ts, a.name FROM flows f ASOF LEFT JOIN a ON f.dst = a.peer AND f.ts >= a.ts) "
+    "SELECT event_id, coalesce(server_name, name, peer) AS name, CASE WHEN server_name IS NOT NULL THEN 'server' WHEN name IS NOT NULL THEN 'dns' ELSE 'address' END AS named_by FROM c LEFT JOIN names n ON c.event_id = n.uid"
 )
 def jn1_server_name(spark, sf_dir):
-    f = flows(spark, sf_dir).withColumn("uid", F.col("event_id") % 5000)
-    names = f.where("event_type = 'purchase'").groupBy("uid").agg(F.max_by(F.concat(F.lit("s"), "k"), "event_id").alias("server_name"))  # the last one wins
-    return f.join(names, "uid", "left").select("event_id", "server_name")
+    """Server names of purchases, some of them sent twice; answers from views."""
+    f = flows(spark, sf_dir).select("event_id", "event_type", "k", "ts", F.col("dst").alias("peer"), F.col("event_id").alias("uid"))
+    bought = f.where("event_type = 'purchase'")
+    names = bought.where("k % 3 <> 0").select("uid", F.concat(F.lit("s"), "k").alias("server_name"), "event_id")
+    names = names.unionByName(bought.select("uid", F.when(F.col("k") % 3 == 0, "").otherwise("early").alias("server_name"), (F.col("event_id") - 1).alias("event_id")))
+    answers = f.where("event_type = 'view'").select("peer", "ts", F.concat(F.lit("n"), "event_id").alias("name"))
+    return enrich.name_connections(f.select("event_id", "uid", "peer", "ts"), names, answers).select("event_id", "name", "named_by")
 
 
 @query(
@@ -364,11 +370,14 @@ def win8_subdomain_fanout(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, round(0.6 + 0.25 * least(1.0, (value / 500 - 0.5) / 0.5) + 0.15 * least(1.0, k / 80), 6) AS nx_confidence FROM flows WHERE value >= 250"
+    "WITH v AS (SELECT event_id, k, least(1.0, value / 100) AS share FROM flows) SELECT event_id, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * least(1.0, k / 80), 6) AS nx_confidence, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * least(1.0, k / 100), 6) AS rtype_confidence, "
+    "round(0.6 + 0.2 * least(1.0, (share * 60 - 20) / 40) + 0.2 * least(1.0, k / 200), 6) AS fanout_confidence FROM v"
 )
 def win9_dns_confidence(spark, sf_dir):
-    f = flows(spark, sf_dir).where("value >= 250")
-    return f.select("event_id", F.round(0.6 + 0.25 * F.least(F.lit(1.0), (F.col("value") / 500 - 0.5) / 0.5) + 0.15 * F.least(F.lit(1.0), F.col("k") / 80), 6).alias("nx_confidence"))
+    share, k = F.least(F.lit(1.0), F.col("value") / 100), F.col("k")
+    return flows(spark, sf_dir).select(
+        "event_id", dns_ops.nx_confidence(share, k).alias("nx_confidence"), dns_ops.rtype_confidence(share, k).alias("rtype_confidence"), dns_ops.fanout_confidence(share * 60, k).alias("fanout_confidence")
+    )
 
 
 # ---- beacons, exfiltration, TLS
@@ -388,15 +397,29 @@ def _scores(spark, sf_dir):
     return beacon.beacon_scores(flows(spark, sf_dir), window_seconds=30 * DAY, gap=3600.0, least_checkins=5, least_span=0.0, drop_ports=(53,))
 
 
-@query(f"WITH RECURSIVE {SCORED} SELECT src, dst, window_start, checkins, round(t, 6) AS t, round(s, 6) AS s, round(1 / sources, 6) AS r, round(seen / captured_hours, 6) AS c FROM sc JOIN rare USING (dst, window_start) JOIN hours USING (window_start)")
+SPECTRA = """
+gi AS (SELECT src, dst, window_start, gap, row_number() OVER (PARTITION BY src, dst, window_start ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY src, dst, window_start) AS n FROM (SELECT * FROM g WHERE gap IS NOT NULL) JOIN med USING (src, dst, window_start)),
+sp AS (SELECT src, dst, window_start, q, sqrt(pow(sum(gap * cos(2 * pi() * q * i / n)), 2) + pow(sum(gap * sin(2 * pi() * q * i / n)), 2)) AS a FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS q FROM gi) GROUP BY src, dst, window_start, q),
+pr AS (SELECT src, dst, window_start, least(1.0, (max(a) - median(a)) / (stddev_pop(a) + 1e-9) / 8) AS f FROM sp GROUP BY ALL),
+bs AS (SELECT src, dst, window_start, checkins, t, s, f, 1 / sources AS r, seen / captured_hours AS c FROM sc JOIN pr USING (src, dst, window_start) JOIN rare USING (dst, window_start) JOIN hours USING (window_start)),
+bt AS (SELECT *, 0.30 * t + 0.20 * f + 0.20 * s + 0.15 * r + 0.15 * c AS score FROM bs)"""
+
+
+@query(f"WITH RECURSIVE {SCORED}, {SPECTRA} SELECT src, dst, window_start, checkins, {', '.join(f'round({x}, 6) AS {x}' for x in ('t', 'f', 's', 'r', 'c', 'score'))} FROM bt")
 def ag7_beacon_score(spark, sf_dir):
-    s = _rounded(_scores(spark, sf_dir), "t", "s", "r", "c")
-    return s.select("src", "dst", "window_start", F.col("checkins").cast("long").alias("checkins"), "t", "s", "r", "c")
+    s = _rounded(_scores(spark, sf_dir), "t", "f", "s", "r", "c", "score")
+    return s.select("src", "dst", "window_start", F.col("checkins").cast("long").alias("checkins"), "t", "f", "s", "r", "c", "score")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SCORED}, {SPECTRA}, best AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, window_start) AS i FROM bt WHERE score >= 0.3), "
+    "x AS (SELECT src, dst, window_start, stddev_pop(gap) / avg(gap) AS cv, max(t) - min(t) AS span, list(round(gap, 3) ORDER BY t) FILTER (WHERE gap IS NOT NULL) AS gaps FROM g GROUP BY ALL) "
+    "SELECT src, dst, window_start, round(score, 6) AS score, checkins, round(cv, 6) AS cv, round(span, 3) AS span, array_to_string(list_transform(gaps[1:24], lambda v: round(v * 1000)::BIGINT), ',') AS first_gaps FROM best JOIN x USING (src, dst, window_start) WHERE i = 1"
+)
 def ag8_beacon_alerts(spark, sf_dir):
-    return beacon.beacon_alerts(_scores(spark, sf_dir), least=0.3).withColumn("first_gaps", F.to_json("first_gaps"))
+    a = beacon.beacon_alerts(_scores(spark, sf_dir).withColumn("score", F.col("score")), least=0.3)
+    millis = F.array_join(F.transform("first_gaps", lambda x: F.round(F.round(x, 3) * 1000).cast("long").cast("string")), ",")
+    return a.select("src", "dst", "window_start", F.round("score", 6).alias("score"), F.col("checkins").cast("long").alias("checkins"), F.round("cv", 6).alias("cv"), F.round("span", 3).alias("span"), millis.alias("first_gaps"))
 
 
 @query(
@@ -407,9 +430,9 @@ def prj30_benign_periodic(spark, sf_dir):
     return beacon.benign_periodic(h).select("src", "dst", "dport", "benign_periodic")
 
 
-@query()
+@query(f"WITH RECURSIVE {SCORED}, {SPECTRA} SELECT src, dst, round(arg_max(score, window_start), 6) AS score FROM bt GROUP BY ALL ORDER BY arg_max(score, window_start) DESC, src, dst LIMIT 10")
 def top1_beacons(spark, sf_dir):
-    return beacon.top_beacons(_scores(spark, sf_dir))
+    return _rounded(beacon.top_beacons(_scores(spark, sf_dir)), "score")
 
 
 @query(

@@ -121,13 +121,15 @@ def prj10_orient_client(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN dst ELSE src END AS a, CASE WHEN k % 4 = 0 THEN src ELSE dst END AS b, fwd_bytes, bwd_bytes FROM flows WHERE dst NOT LIKE '192%') "
-    "SELECT event_id, CASE WHEN a LIKE '10.%' THEN a ELSE b END AS host, CASE WHEN a LIKE '10.%' THEN b ELSE a END AS peer, CASE WHEN a LIKE '10.%' THEN fwd_bytes ELSE bwd_bytes END AS up, CASE WHEN a LIKE '10.%' THEN bwd_bytes ELSE fwd_bytes END AS down FROM s"
+    "WITH o AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN '198.51.100.' || (k % 7) ELSE src END AS src, dst, k, fwd_bytes, bwd_bytes FROM flows), "
+    "s AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN dst ELSE src END AS a, CASE WHEN k % 4 = 0 THEN src ELSE dst END AS b, fwd_bytes, bwd_bytes FROM o), l AS (SELECT *, a LIKE '10.%' OR a LIKE '192.168.%' AS here, b LIKE '10.%' OR b LIKE '192.168.%' AS there FROM s) "
+    "SELECT event_id, CASE WHEN here THEN a ELSE b END AS host, CASE WHEN here THEN b ELSE a END AS peer, CASE WHEN here THEN fwd_bytes ELSE bwd_bytes END AS up, CASE WHEN here THEN bwd_bytes ELSE fwd_bytes END AS down FROM l WHERE here OR there"
 )
 def prj11_to_connections(spark, sf_dir):
     from ..operators.enrich import to_connections
 
-    f = flows(spark, sf_dir).where("dst not like '192%'")
+    """Some sources are outside, so that flows are inbound, internal or in transit too."""
+    f = flows(spark, sf_dir).withColumn("src", F.when(F.col("k") % 5 == 0, F.concat(F.lit("198.51.100."), F.col("k") % 7)).otherwise(F.col("src")))
     turned = F.col("k") % 4 == 0
     f = f.select("event_id", F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"), "fwd_bytes", "bwd_bytes")
     return to_connections(f).select("event_id", "host", "peer", "up", "down")
@@ -169,11 +171,16 @@ def prj15_conn_state(spark, sf_dir):
     r"""WITH n AS (SELECT event_id, proto, sport, dport, list_reduce(string_split(src, '.')::BIGINT[], lambda a, b: a * 256 + b) AS a, list_reduce(string_split(dst, '.')::BIGINT[], lambda a, b: a * 256 + b) AS b FROM flows),
     o AS (SELECT *, (a > b OR (a = b AND sport > dport)) AS t FROM n),
     h AS (SELECT event_id, '0000' || lpad(hex(CASE WHEN t THEN b ELSE a END), 8, '0') || lpad(hex(CASE WHEN t THEN a ELSE b END), 8, '0') || lpad(hex(proto), 2, '0') || '00' || lpad(hex(CASE WHEN t THEN dport ELSE sport END), 4, '0') || lpad(hex(CASE WHEN t THEN sport ELSE dport END), 4, '0') AS x FROM o)
-    SELECT event_id, '1:' || to_base64(unhex(sha1(unhex(x)))) AS community_id FROM h"""
+    SELECT event_id, '1:' || to_base64(unhex(sha1(unhex(x)))) AS community_id FROM h UNION ALL
+    SELECT event_id, '1:' || to_base64(unhex(sha1(unhex('0000' || '20010DB8' || repeat('0', 16) || lpad(hex(CASE WHEN t THEN b ELSE a END), 8, '0') || '20010DB8' || repeat('0', 16) || lpad(hex(CASE WHEN t THEN a ELSE b END), 8, '0') || x[21:])))) FROM h JOIN o USING (event_id)"""
 )
 def prj16_community_id(spark, sf_dir):
+    """Flows as they are, and once more between IPv6 addresses that end in the IPv4 ones."""
     c = F.col
-    return flows(spark, sf_dir).select("event_id", net.community_id_v4(c("src"), c("dst"), c("sport"), c("dport"), c("proto")).alias("community_id"))
+    f = flows(spark, sf_dir)
+    six = lambda ip: F.concat(F.lit("2001:db8::"), *[x for i in (1, 5) for x in ((F.lit(":") if i > 1 else F.lit("")), F.substring(F.lpad(F.lower(F.hex(net.ipv4_number(c(ip)))), 8, "0"), i, 4))])
+    both = f.unionByName(f.withColumns({"src": six("src"), "dst": six("dst")}))
+    return both.select("event_id", net.community_id(c("src"), c("dst"), c("sport"), c("dport"), c("proto")).alias("community_id"))
 
 
 HOSTS = "SELECT page_id, name FROM dns"

@@ -159,9 +159,9 @@ def top3_triage(spark, sf_dir):
     return ops.triage(_alerts(spark, sf_dir), n=50).select("id", F.round("priority", 4).alias("priority"))
 
 
-@query(f"WITH {A} SELECT id, severity FROM al ORDER BY rank DESC, ts DESC, id LIMIT 100")
+@query(f"WITH {A} SELECT id, severity FROM al ORDER BY rank DESC, ts DESC, id")
 def top4_sort_alerts(spark, sf_dir):
-    return ops.sort_alerts(_alerts(spark, sf_dir), "severity").limit(100).select("id", "severity")
+    return ops.sort_alerts(_alerts(spark, sf_dir), "severity").select("id", "severity")
 
 
 @query(f"WITH {A} SELECT CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS lane, id, ts FROM al WHERE ts >= (SELECT max(ts) FROM al) - 86400")
@@ -175,8 +175,7 @@ def win25_timeline(spark, sf_dir):
     "WITH r AS (SELECT dport AS port, src AS net, min(floor(ts / 86400)::BIGINT) AS day FROM flows GROUP BY ALL) SELECT day, count(*) AS new_services FROM r GROUP BY 1"
 )
 def win24_new_services(spark, sf_dir):
-    first = flows(spark, sf_dir).groupBy(F.col("dport").alias("port"), F.col("src").alias("net")).agg(F.min(F.floor(F.col("ts") / 86_400)).alias("day"))
-    return first.groupBy("day").agg(F.count("*").alias("new_services"))
+    return ops.new_services(flows(spark, sf_dir), service="dport", by="src")
 
 
 @query(

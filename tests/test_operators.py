@@ -21,7 +21,7 @@ def test_addresses(spark):
 
 def test_community_id_published_vector_and_both_directions(spark):
     rows = [("128.232.110.120", "66.35.250.204", 34855, 80, 6), ("66.35.250.204", "128.232.110.120", 80, 34855, 6)]
-    c = net.community_id_v4(*[F.col(x) for x in ("s", "d", "sp", "dp", "p")])
+    c = net.community_id(*[F.col(x) for x in ("s", "d", "sp", "dp", "p")])
     assert values(spark, c, rows, "s string, d string, sp int, dp int, p int") == ["1:LQU9qZlK+B5F3KDmev6m5PMibrg="] * 2
 
 
