@@ -213,6 +213,17 @@ def replay_alerts(alerts: DataFrame, digests: DataFrame) -> DataFrame:
     return out.withColumns({"verdict": F.when(F.col("again_ppm").isNull(), "UNVERIFIABLE").when(same, "PASS").otherwise("FAIL"), "drift": F.col("known_digest").isNotNull() & (F.col("known_digest") != F.col("params_digest"))}).drop("i", "rule")
 
 
+def inclusion(receipts: DataFrame, blocks: DataFrame, proofs: DataFrame | None) -> DataFrame:
+    """(id, inclusion) of each receipt: PASS if its digest, worked out anew, and the siblings kept when its block was sealed
+    lead to the block's root, FAIL if not or if there is no such block, UNVERIFIABLE without siblings."""
+    if proofs is None:
+        return receipts.select("id", F.lit("UNVERIFIABLE").alias("inclusion"))
+    kept = proofs.select("id", F.col("window_start").alias("__window"), "siblings")
+    found = receipts.select("id", leaf_hash(receipt_digest()).alias("leaf")).join(kept, "id", "left").join(blocks.select(F.col("window_start").alias("__window"), "root"), "__window", "left")
+    verdict = F.when(F.col("siblings").isNull(), "UNVERIFIABLE").when(F.col("valid"), "PASS").otherwise("FAIL")
+    return verify_inclusion(found).select("id", verdict.alias("inclusion"))
+
+
 CLAIMS = ("schema", "evidence", "feature_source", "model_weights", "decision", "policy", "inclusion", "chain", "sequence")
 
 
@@ -224,9 +235,7 @@ def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, rep
     say = lambda known, ok: F.when(known, F.when(ok, "PASS").otherwise("FAIL")).otherwise("UNVERIFIABLE")
     own = alerts.withColumn("__evidence", alert_ops.canonical_digest(evidence))
     w = Window.partitionBy("sensor").orderBy("seq")
-    kept = proofs.select("id", F.col("window_start").alias("__window"), "siblings") if proofs is not None else receipts.select("id", F.lit(None).cast("long").alias("__window"), F.lit(None).cast(SIBLINGS).alias("siblings")).where("false")
-    sealed = receipts.select("id", leaf_hash(receipt_digest()).alias("leaf")).join(kept, "id").join(blocks.select(F.col("window_start").alias("__window"), "root"), "__window", "left")
-    sealed = verify_inclusion(sealed).select("id", F.coalesce("valid", F.lit(False)).alias("__sealed"))
+    sealed = inclusion(receipts, blocks, proofs).select("id", F.col("inclusion").alias("__sealed"))
     r = receipts.withColumns({"__prev": F.lag("digest").over(w), "__prev_seq": F.lag("seq").over(w)}).select("id", F.col("evidence_digest"), F.col("previous"), F.col("seq"), "__prev", "__prev_seq")
     j = own.join(r, "id", "left").join(sealed, "id", "left").join(replayed.select("id", "verdict", "drift"), "id", "left")
     have = c("evidence_digest").isNotNull()
@@ -237,7 +246,7 @@ def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, rep
         "model_weights": F.lit("UNVERIFIABLE"),
         "decision": F.coalesce("verdict", F.lit("UNVERIFIABLE")),
         "policy": say(c("drift").isNotNull(), ~c("drift")),
-        "inclusion": say(c("__sealed").isNotNull(), c("__sealed")),
+        "inclusion": F.coalesce("__sealed", F.lit("UNVERIFIABLE")),
         "chain": say(have, c("previous") == F.coalesce("__prev", F.lit(GENESIS))),
         "sequence": say(have, c("seq") == F.coalesce("__prev_seq", F.lit(0)) + 1),
     }

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from . import alerts as alert_ops
@@ -112,11 +113,48 @@ def lexical_decision(rows: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     return rows.withColumns({"confidence": F.when(heuristic, F.greatest(F.lit(0.75), conf)).otherwise(conf), "strong": strong})
 
 
+def _field(number: int, value: int | bytes) -> bytes:
+    """A field of a protocol buffer: a number, or bytes with their length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n >= 0x80:
+            out += bytes([n & 0x7F | 0x80])
+            n >>= 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def linear_onnx(weights: list[list[float]], bias: list[float]) -> bytes:
+    """An ONNX model of softmax(x W + b), for linear models fitted elsewhere; weights have a row a feature and a column
+    a class."""
+    import struct
+
+    rows, classes = len(weights), len(bias)
+
+    def tensor(name: str, dims: list[int], values: list[float]) -> bytes:
+        return b"".join(_field(1, d) for d in dims) + _field(2, 1) + _field(8, name.encode()) + _field(9, struct.pack(f"<{len(values)}f", *values))
+
+    def value(name: str, width: int) -> bytes:
+        shape = _field(1, _field(2, b"n")) + _field(1, _field(1, width))
+        return _field(1, name.encode()) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
+
+    def node(op: str, inputs: list[str], output: str) -> bytes:
+        return b"".join(_field(1, i.encode()) for i in inputs) + _field(2, output.encode()) + _field(4, op.encode())
+
+    graph = b"".join(_field(1, n) for n in (node("MatMul", ["x", "w"], "xw"), node("Add", ["xw", "b"], "z"), node("Softmax", ["z"], "p"))) + _field(2, b"linear")
+    graph += _field(5, tensor("w", [rows, classes], [v for row in weights for v in row])) + _field(5, tensor("b", [classes], bias)) + _field(11, value("x", rows)) + _field(12, value("p", classes))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 13))
+
+
 def score_onnx(rows: DataFrame, model: bytes, features: list[str], *, keep: list[str]) -> DataFrame:
     """Probabilities of an ONNX model (its bytes) for the features in order; missing ones are 0, and rows that are all 0
     get no probability but the first class. One session a task."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select(*keep).schema.add("p", "array<double>")
+    schema = rows.select(*keep).schema.add("p", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

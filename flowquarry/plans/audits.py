@@ -84,14 +84,35 @@ def au6_policy_drift(spark, sf_dir):
     return r.select("id", F.when(F.col("drift"), "FAIL").otherwise("PASS").alias("policy"))
 
 
-@query(
-    "SELECT event_id AS id, 'PASS' AS schema, CASE WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS decision, 'PASS' AS chain, 'PASS' AS sequence, NOT (k % 13 = 0 OR (k % 5 <> 0 AND (k % 7 = 0 OR k % 11 = 0))) AS holds FROM flows"
-)
-def au1_verify_alerts(spark, sf_dir):
+def _sealed(spark, sf_dir):
+    """(alerts, receipts as they are now, sealed blocks, proofs kept when they were sealed): after that some alerts got
+    another source, some receipts another decision, and the proofs of some were lost."""
     a = _replayable(spark, sf_dir)
-    r = ops.build_receipts(a, evidence=["src"], decision=["threat_class"])
-    blocks = ops.checkpoint_blocks(r, seconds=86_400)
+    sealed = ops.build_receipts(a, evidence=["src"], decision=["threat_class"])
     k = flows(spark, sf_dir).select(F.col("event_id").alias("id"), "k")
+    changed = F.concat(F.lit("sha256:"), F.sha2(F.lit("another").cast("binary"), 256))
+    receipts = sealed.join(k, "id").withColumn("decision_digest", F.when(F.col("k") % 17 == 0, changed).otherwise(F.col("decision_digest"))).drop("k")
     tampered = a.join(k, "id").withColumn("src", F.when(F.col("k") % 13 == 0, "changed").otherwise(F.col("src"))).drop("k")
-    v = ops.verify_alerts(tampered, r, blocks, ops.replay_alerts(a, _known(spark)), evidence=["src"], seconds=86_400, proofs=ops.inclusion_proofs(r, seconds=86_400))
-    return v.select("id", "schema", "evidence", "decision", "chain", "sequence", "holds")
+    proofs = ops.inclusion_proofs(sealed, seconds=86_400).join(k.where("k % 19 <> 0").select("id"), "id", "left_semi")
+    return tampered, receipts, ops.checkpoint_blocks(sealed, seconds=86_400), proofs
+
+
+INCLUSION = "CASE WHEN k % 19 = 0 THEN 'UNVERIFIABLE' WHEN k % 17 = 0 THEN 'FAIL' ELSE 'PASS' END"
+
+
+@query(f"SELECT event_id AS id, {INCLUSION} AS inclusion FROM flows")
+def jn12_inclusion(spark, sf_dir):
+    """Each receipt joined with its kept proof and its block's root."""
+    _, receipts, blocks, proofs = _sealed(spark, sf_dir)
+    return ops.inclusion(receipts, blocks, proofs).select("id", "inclusion")
+
+
+@query(
+    f"SELECT event_id AS id, 'PASS' AS schema, CASE WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS decision, {INCLUSION} AS inclusion, 'PASS' AS chain, 'PASS' AS sequence, "
+    f"NOT (k % 13 = 0 OR {INCLUSION} = 'FAIL' OR (k % 5 <> 0 AND (k % 7 = 0 OR k % 11 = 0))) AS holds FROM flows"
+)
+def au1_verify_alerts(spark, sf_dir):
+    tampered, receipts, blocks, proofs = _sealed(spark, sf_dir)
+    replayed = ops.replay_alerts(_replayable(spark, sf_dir), _known(spark))
+    v = ops.verify_alerts(tampered, receipts, blocks, replayed, evidence=["src"], seconds=86_400, proofs=proofs)
+    return v.select("id", "schema", "evidence", "decision", "inclusion", "chain", "sequence", "holds")

@@ -289,6 +289,39 @@ def str10_ja4(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT event_id, 'h' || k || '.example.com' AS sni, 49195 + k AS first_cipher, 'h2' AS alpn, 4865 + k % 3 AS cipher, 772 AS negotiated, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0') AS ja3, md5('771,' || (4865 + k % 3) || ',43-' || (60 + k)) AS ja3s FROM flows WHERE event_type = 'purchase' AND k % 5 <> 0 UNION ALL "
+    "SELECT event_id, 'h' || k || '.example.com', 49195 + k, 'h2', NULL, NULL, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0'), NULL FROM flows WHERE event_type = 'purchase' AND k % 5 = 0"
+)
+def str11_tls_hellos(spark, sf_dir):
+    """A TLS handshake for each purchase, its ClientHello in two records and two packets; some servers do not answer."""
+    from ..sources import capture
+
+    def u(n: int, x):
+        return F.unhex(F.lpad(F.hex(x.cast("long")), 2 * n, "0"))
+
+    def sized(n: int, *parts):
+        body = F.concat(*parts)
+        return F.concat(u(n, F.octet_length(body)), body)
+
+    raw = lambda h: F.unhex(F.lit(h))
+    k = F.col("k")
+    name = F.encode(F.concat(F.lit("h"), k, F.lit(".example.com")), "utf-8")
+    extensions = F.concat(raw("0000"), sized(2, sized(2, raw("00"), sized(2, name))), raw("00100005000302" + "6832"), raw("000a00060004001d0017"), raw("000b00020100"))
+    client = F.concat(raw("01"), sized(3, raw("0303" + "11" * 32 + "00"), sized(2, u(2, 49195 + k), raw("1301")), raw("0100"), sized(2, extensions)))
+    server = F.concat(raw("02"), sized(3, raw("0303" + "22" * 32 + "00"), u(2, 4865 + k % 3), raw("00"), sized(2, raw("002b00020304"), u(2, 60 + k), raw("0000"))))
+    record = lambda part: F.concat(raw("160301"), sized(2, part))
+    f = flows(spark, sf_dir).where("event_type = 'purchase'").withColumns({"client": client, "server": server})
+    two = F.array(
+        F.struct(F.lit(0).alias("i"), F.lit("c").alias("src"), record(F.substring("client", 1, 50)).alias("payload")),
+        F.struct(F.lit(1).alias("i"), F.lit("c").alias("src"), record(F.substring("client", 51, 10_000)).alias("payload")),
+        F.struct(F.lit(2).alias("i"), F.lit("s").alias("src"), F.when(k % 5 != 0, record(F.col("server"))).alias("payload")),
+    )
+    packets = f.select(F.col("event_id").cast("string").alias("key"), "ts", F.inline(two)).withColumns({"ts": F.col("ts") + F.col("i"), "sport": F.lit(1)})
+    t = capture.tls_sessions(packets)
+    return t.select(F.col("key").cast("long").alias("event_id"), "sni", F.col("ciphers")[0].alias("first_cipher"), F.col("alpn")[0].alias("alpn"), "cipher", "negotiated", "ja3", "ja3s")
+
+
 @query("SELECT event_id, CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN -14400 WHEN 2 THEN 3600 ELSE 0 END AS offset_s, floor((ts + CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN -14400 WHEN 2 THEN 3600 ELSE 0 END) / 3600)::BIGINT AS lhour FROM flows")
 def str12_local_hour(spark, sf_dir):
     tz = F.element_at(F.array(F.lit("+05:30"), F.lit("-4"), F.lit("3600"), F.lit("0")), (F.col("k") % 4 + 1).cast("int"))

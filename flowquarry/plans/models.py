@@ -16,6 +16,16 @@ def udf1_detector(spark, sf_dir):
     return d.detect(flows(spark, sf_dir)).select("event_id")
 
 
+@query(
+    "WITH x AS (SELECT event_id, k % 8 AS a, event_id % 4 AS b FROM flows), z AS (SELECT *, 0.5 * a - 0.75 * b + 0.25 AS z FROM x) SELECT event_id, CASE WHEN a = 0 AND b = 0 THEN 0 ELSE round(1 / (1 + exp(-z)), 4) END AS p FROM z"
+)
+def udf2_score_onnx(spark, sf_dir):
+    """A given model, here a linear one of three features of which the rows have two."""
+    model = ops.linear_onnx([[0.0, 0.5], [0.0, -0.75], [0.0, 5.0]], [0.0, 0.25])
+    f = flows(spark, sf_dir).select("event_id", (F.col("k") % 8).alias("a"), (F.col("event_id") % 4).alias("b"))
+    return ops.score_onnx(f, model, ["a", "b", "missing"], keep=["event_id"]).select("event_id", F.round(F.col("p")[1], 4).alias("p"))
+
+
 @query()
 def ml1_train_flood(spark, sf_dir):
     f = flows(spark, sf_dir).select("event_id", "fwd_bytes", "bwd_bytes", "fwd_pkts", "bwd_pkts", (F.col("event_type") == "error").cast("double").alias("label"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import ipaddress
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text
 
 PACKET_SCHEMA = "file string, ts double, src string, dst string, proto int, sport int, dport int, flags int, window int, header_size int, payload_size int, l4_len int, wire_len int, payload binary"
 DNS_SCHEMA = "ts double, src string, dst string, name string, qtype int, is_response boolean, rcode int, answers int, answer_ips array<string>, bytes int"
@@ -141,7 +144,8 @@ def parse_captures(files: DataFrame) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of all captures that the path matches, one task a few files. Spark reads the files, from any store."""
+    """Packets of all captures that the path matches, one task a few files. Spark reads the files, from any store; each
+    is held whole by its task, so a capture may have 2 GB at most."""
     return parse_captures(spark.read.format("binaryFile").load(path))
 
 
@@ -202,66 +206,135 @@ def dns_messages(packets: DataFrame) -> DataFrame:
     return packets.where(ports & (F.length("payload") > 12)).select("ts", "src", "dst", "proto", "payload").mapInPandas(run, DNS_SCHEMA)
 
 
-HELLO_SCHEMA = "key string, version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>, sig_algs array<int>, alpn array<string>, versions array<int>, sni string"
+HELLO_FIELDS = "version int, ciphers array<int>, extensions array<int>, groups array<int>, formats array<int>, sig_algs array<int>, alpn array<string>, versions array<int>, sni string"
+SERVER_FIELDS = "server_version int, cipher int, server_extensions array<int>, negotiated int, server_alpn string"
+HELLO_SCHEMA = f"key string, src string, sport int, {HELLO_FIELDS}"
+SERVER_SCHEMA = f"key string, src string, sport int, {SERVER_FIELDS}"
+
+
+def handshake(data: bytes, kind: int) -> bytes | None:
+    """The body of the handshake message at the start of a TLS stream, put together from as many records as it takes;
+    None if it is of another kind or not whole."""
+    message, at = b"", 0
+    while at + 5 <= len(data) and data[at] == 22:
+        size = struct.unpack_from(">H", data, at + 3)[0]
+        message += data[at + 5 : at + 5 + size]
+        at += 5 + size
+        if message and message[0] != kind:
+            return None
+        if len(message) >= 4 and len(message) >= 4 + int.from_bytes(message[1:4], "big"):
+            return message[4 : 4 + int.from_bytes(message[1:4], "big")]
+    return None
+
+
+def _extensions(body: bytes, at: int) -> Iterator[tuple[int, bytes]]:
+    """(type, data) of the extensions whose length stands at ``at``; none if there is no such length."""
+    if at + 2 > len(body):
+        return
+    end = at + 2 + struct.unpack_from(">H", body, at)[0]
+    at += 2
+    while at + 4 <= end:
+        kind, size = struct.unpack_from(">HH", body, at)
+        if at + 4 + size > len(body):
+            raise ValueError("an extension is cut off")
+        yield kind, body[at + 4 : at + 4 + size]
+        at += 4 + size
+
+
+def _numbers(data: bytes, at: int) -> list[int]:
+    return list(struct.unpack_from(f">{(len(data) - at) // 2}H", data, at))
+
+
+def _strings(data: bytes, at: int) -> list[str]:
+    out = []
+    while at < len(data):
+        out.append(data[at + 1 : at + 1 + data[at]].decode("latin-1"))
+        at += 1 + data[at]
+    return out
 
 
 def client_hello(data: bytes) -> tuple | None:
-    """The fields of a TLS ClientHello at the start of a stream, None for anything else."""
+    """HELLO_FIELDS of a TLS ClientHello at the start of a stream, None for anything else."""
     try:
-        if data[0] != 22 or data[5] != 1:
+        body = handshake(data, 1)
+        if body is None:
             return None
-        at = 9
-        version = struct.unpack_from(">H", data, at)[0]
-        at += 34
-        at += 1 + data[at]
-        n = struct.unpack_from(">H", data, at)[0]
-        ciphers = list(struct.unpack_from(f">{n // 2}H", data, at + 2))
+        version = struct.unpack_from(">H", body)[0]
+        at = 35 + body[34]
+        n = struct.unpack_from(">H", body, at)[0]
+        ciphers = _numbers(body[at + 2 : at + 2 + n], 0)
         at += 2 + n
-        at += 1 + data[at]
-        end = at + 2 + struct.unpack_from(">H", data, at)[0]
-        at += 2
-        extensions, groups, formats, algs, alpn, versions, sni = [], [], [], [], [], [], None
-        while at + 4 <= end:
-            kind, size = struct.unpack_from(">HH", data, at)
-            body = data[at + 4 : at + 4 + size]
-            if len(body) < size:
-                return None
+        at += 1 + body[at]
+        found = dict.fromkeys((10, 13, 43), [])
+        extensions, formats, alpn, sni = [], [], [], None
+        for kind, value in _extensions(body, at):
             extensions.append(kind)
-            if kind == 0 and size > 5:
-                sni = body[5:].decode("latin-1")
-            elif kind == 10:
-                groups = list(struct.unpack_from(f">{(size - 2) // 2}H", body, 2))
+            if kind == 0 and len(value) > 5:
+                sni = value[5:].decode("latin-1")
+            elif kind in (10, 13):
+                found[kind] = _numbers(value, 2)
             elif kind == 11:
-                formats = list(body[1:])
-            elif kind == 13:
-                algs = list(struct.unpack_from(f">{(size - 2) // 2}H", body, 2))
+                formats = list(value[1:])
             elif kind == 16:
-                p = 2
-                while p < size:
-                    alpn.append(body[p + 1 : p + 1 + body[p]].decode("latin-1"))
-                    p += 1 + body[p]
+                alpn = _strings(value, 2)
             elif kind == 43:
-                versions = list(struct.unpack_from(f">{(size - 1) // 2}H", body, 1))
-            at += 4 + size
-    except (IndexError, struct.error):
+                found[kind] = _numbers(value, 1)
+    except (IndexError, struct.error, ValueError):
         return None
-    return version, ciphers, extensions, groups, formats, algs, alpn, versions, sni
+    return version, ciphers, extensions, found[10], formats, found[13], alpn, found[43], sni
 
 
-def client_hellos(packets: DataFrame, *, first: int = 8) -> DataFrame:
-    """A row for each flow (column key) whose first payloads begin with a ClientHello."""
-    from pyspark.sql import Window
+def server_hello(data: bytes) -> tuple | None:
+    """SERVER_FIELDS of a TLS ServerHello at the start of a stream, None for anything else."""
+    try:
+        body = handshake(data, 2)
+        if body is None:
+            return None
+        version = struct.unpack_from(">H", body)[0]
+        at = 35 + body[34]
+        cipher = struct.unpack_from(">H", body, at)[0]
+        extensions, negotiated, alpn = [], version, None
+        for kind, value in _extensions(body, at + 3):
+            extensions.append(kind)
+            if kind == 43 and len(value) == 2:
+                negotiated = struct.unpack(">H", value)[0]
+            elif kind == 16:
+                alpn = next(iter(_strings(value, 2)), None)
+    except (IndexError, struct.error, ValueError):
+        return None
+    return version, cipher, extensions, negotiated, alpn
+
 
-    names = [c.split()[0] for c in HELLO_SCHEMA.split(", ")]
+def _hellos(packets: DataFrame, first: int, parse: Callable[[bytes], tuple | None], schema: str) -> DataFrame:
+    names = T.StructType.fromDDL(schema).fieldNames()
     w = Window.partitionBy("key", "src", "sport").orderBy("ts")
     early = packets.where("length(payload) > 0").withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= first)
-    streams = early.groupBy("key", "src", "sport").agg(F.array_sort(F.collect_list(F.struct("__i", "payload"))).alias("p"))
-    joined = streams.select("key", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["payload"])).alias("data"))
+    streams = early.groupBy("key", "src", "sport").agg(F.array_sort(F.collect_list(F.struct("__i", F.hex("payload").alias("x")))).alias("p"))
+    joined = streams.select("key", "src", "sport", F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), "")).alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, *h) for k, d in batch.itertuples(index=False) if (h := client_hello(bytes(d))) is not None]
+            out = [(k, s, p, *h) for k, s, p, d in batch.itertuples(index=False) if (h := parse(bytes(d))) is not None]
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return joined.mapInPandas(run, HELLO_SCHEMA)
+    return joined.mapInPandas(run, schema)
+
+
+def client_hellos(packets: DataFrame, *, first: int = 8) -> DataFrame:
+    """A row for each direction of a flow (column key) whose first payloads begin with a ClientHello."""
+    return _hellos(packets, first, client_hello, HELLO_SCHEMA)
+
+
+def server_hellos(packets: DataFrame, *, first: int = 8) -> DataFrame:
+    """A row for each direction of a flow (column key) whose first payloads begin with a ServerHello."""
+    return _hellos(packets, first, server_hello, SERVER_SCHEMA)
+
+
+def tls_sessions(packets: DataFrame, *, first: int = 8) -> DataFrame:
+    """Per flow with a ClientHello: both hellos' fields, with ja3 and, where the server's was seen, ja3s."""
+    c = client_hellos(packets, first=first)
+    s = server_hellos(packets, first=first).drop("src", "sport")
+    ja3 = text.ja3(*[F.col(x) for x in ("version", "ciphers", "extensions", "groups", "formats")])
+    ja3s = F.when(F.col("cipher").isNotNull(), text.ja3s(F.col("server_version"), F.col("cipher"), F.col("server_extensions")))
+    return c.join(s, "key", "left").withColumns({"ja3": ja3, "ja3s": ja3s})
