@@ -95,16 +95,20 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def stream_cooldown(sdf: DataFrame, keys: list[str], *, seconds: float, delay: str = "10 seconds") -> DataFrame:
-    """Alerts let through: a key's first, then the first at least seconds after the last one; with how many were held."""
+    """Alerts let through: a key's first, then the first at least seconds after the last one; with how many were held.
+
+    State goes once the seconds have passed, but for a key with held alerts, which the next one let through tells of.
+    """
     schema = sdf.select(*keys).schema.add("ts", "double").add("id", "long").add("held", "long")
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
-            state.remove()
+            if not held:
+                state.remove()
             return
-        last, held = state.get if state.exists else (None, 0)
         out = []
-        for ts, i in pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")[["ts", "id"]].itertuples(index=False):
+        for ts, i in sorted(x for batch in batches for x in batch[["ts", "id"]].itertuples(index=False, name=None)):
             if last is not None and ts - last < seconds:
                 held += 1
             else:
@@ -162,10 +166,19 @@ def stream_lifecycle(sdf: DataFrame) -> DataFrame:
     return sdf.groupBy("host").applyInPandasWithState(run, "host long, seq long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def rows_held(query: StreamingQuery) -> int:
+    """Rows of state after the query's last batch."""
+    return sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"])
+
+
+def once_each(sdf: DataFrame, *, delay: str = "1 hour") -> DataFrame:
+    """Alerts, each id once within the delay."""
+    return sdf.withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
+
+
 def write_alert_stream(sdf: DataFrame, path: str, checkpoint: str, *, delay: str = "1 hour") -> StreamingQuery:
     """Appends alerts to path, each id once within the delay."""
-    once = sdf.withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
-    return once.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    return once_each(sdf, delay=delay).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def run_available(sdf: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
