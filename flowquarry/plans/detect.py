@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import net, stats
 from ..operators import beacon, dns as dns_ops, enrich, flood, scan, sessions
 from .registry import query
-from .views import conns, dense, dns, flows, read
+from .views import conns, dense, dns, flows, packets, read
 
 DAY = 86_400
 
@@ -131,11 +131,7 @@ def jn9_attach_evidence(spark, sf_dir):
 
 @query()
 def ses1_assemble_flows(spark, sf_dir):
-    f = flows(spark, sf_dir)
-    flags = F.col("syn") * 2 + F.col("ack") * 16 + F.col("rst") * 4 + F.col("fin")
-    packets = f.select("ts", "src", "dst", F.lit(40000).alias("sport"), "dport", "proto", flags.alias("flags"), F.col("fwd_bytes").alias("payload_size"))
-    back = f.where("bwd_pkts > 0").select((F.col("ts") + 1).alias("ts"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dport").alias("sport"), F.lit(40000).alias("dport"), "proto", F.lit(16).alias("flags"), F.col("bwd_bytes").alias("payload_size"))
-    return sessions.assemble_flows(packets.unionByName(back), idle=7200.0, active=DAY)
+    return sessions.assemble_flows(packets(spark, sf_dir), idle=7200.0, active=DAY)
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.corpus import shared_path
 from ..streaming import jobs
 from .registry import query
-from .views import alerts, flows
+from .views import alerts, flows, packets
 
 PARTS = 3
 
@@ -41,10 +41,7 @@ def _run(df: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts",
 
 @query()
 def stm1_stream_flows(spark, sf_dir):
-    f = flows(spark, sf_dir)
-    flags = F.col("syn") * 2 + F.col("ack") * 16 + F.col("rst") * 4 + F.col("fin")
-    packets = f.select("ts", "src", "dst", F.lit(40000).alias("sport"), "dport", "proto", flags.alias("flags"), F.col("fwd_bytes").alias("payload_size"))
-    return _run(packets, lambda s: jobs.stream_flows(s, idle=7200.0, active=86_400.0))[0]
+    return _run(packets(spark, sf_dir), lambda s: jobs.stream_flows(s, idle=7200.0, active=86_400.0))[0]
 
 
 @query("WITH m AS (SELECT max(ts) - 120 AS w FROM flows) SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(*) AS n, count(*) FILTER (WHERE bwd_pkts = 0) AS unanswered, count(DISTINCT dport)::INT AS ports, count(DISTINCT dst)::INT AS hosts FROM flows, m GROUP BY 1, 2 HAVING floor(any_value(ts) / 86400)::BIGINT * 86400 + 86400 <= any_value(w)")
