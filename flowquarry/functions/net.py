@@ -119,7 +119,8 @@ def ipv6_hex(ip: Column) -> Column:
     digits = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
     whole = F.when(F.size(halves) == 1, n == 8).otherwise((F.size(halves) == 2) & (n < 8))
     spelled = F.when(whole, F.concat(digits(left), F.repeat(F.lit("0000"), 8 - n), digits(right)))
-    return F.when(ip.rlike("^[0-9A-Fa-f]{32}$"), F.lower(ip)).when(ip.contains(":") & ip.rlike("^([0-9A-Fa-f]{1,4}|:)+$"), spelled)
+    short = F.forall(F.concat(left, right), lambda g: F.length(g) <= 4)
+    return F.when(ip.rlike("^[0-9A-Fa-f]{32}$"), F.lower(ip)).when(ip.contains(":") & ip.rlike("^[0-9A-Fa-f:]+$") & ~ip.contains(":::") & short, spelled)
 
 
 def is_local(ip: Column, local_ips: list[str] | None = None) -> Column:
