@@ -183,21 +183,6 @@ def histories(df: DataFrame, keys: list[str], order: list[str], values: list[str
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias(name))
 
 
-def anchor_merge(times: Column, amounts: Column, gap: float) -> Column:
-    """Merges starts closer than gap to their group's first start: an array of (t, b), amounts summed."""
-    pairs = F.arrays_zip(times.alias("t"), amounts.alias("b"))
-    empty = F.array().cast("array<struct<t:double,b:double>>")
-
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        n = F.size(done)
-        new = F.struct(p["t"].cast("double").alias("t"), p["b"].cast("double").alias("b"))
-        joined = F.struct(last["t"].alias("t"), (last["b"] + new["b"]).alias("b"))
-        return F.when((n > 0) & (p["t"] - last["t"] < gap), F.concat(F.slice(done, 1, n - 1), F.array(joined))).otherwise(F.concat(done, F.array(new)))
-
-    return F.aggregate(pairs, empty, lambda done, p: F.when(F.size(done) == 0, F.array(F.struct(p["t"].cast("double").alias("t"), p["b"].cast("double").alias("b")))).otherwise(step(done, p)))
-
-
 def trailing(*keys: str, seconds: float, ts: str = "ts") -> WindowSpec:
     """The rows of the same keys in the seconds up to each row, both edges included."""
     w = Window.partitionBy(*keys)

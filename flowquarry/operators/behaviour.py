@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import ordered, stats
 
 FEATURES = ["log_n_flows", "log_bytes_up", "log_bytes_down", "egress_asymmetry", "iat_cv", "ks_uniform", "ks_exponential", "fft_prominence", "distinct_endpoint_ratio", "log_duration_mean"]
 
@@ -261,23 +261,26 @@ def coverage_report(hosts: DataFrame, tiers: DataFrame, *, per_host: float = 1 /
 LIFECYCLE = ("COMMISSIONING", "SENTRY_PRIMARY", "ESCALATED", "INCIDENT_HOLD", "RECOMMISSIONING")
 
 
+def next_state(state: str, command: str | None, ready: bool | None) -> str:
+    """A host's state after a command (step with ready, escalate, open_incident, release_incident, mark_stale)."""
+    held = state == "INCIDENT_HOLD"
+    if command == "open_incident":
+        return "INCIDENT_HOLD"
+    if command == "release_incident" and held or command == "mark_stale" and not held:
+        return "RECOMMISSIONING"
+    if command == "escalate" and state == "SENTRY_PRIMARY":
+        return "ESCALATED"
+    if command == "step" and (state == "ESCALATED" or ready and state in ("COMMISSIONING", "RECOMMISSIONING")):
+        return "SENTRY_PRIMARY"
+    return state
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
-    """Per host, its state after each command (step with ready, escalate, open_incident, release_incident, mark_stale)."""
-    h = stats.histories(events, ["host"], ["seq"], ["command", "ready"])
-    row = "array<struct<seq:bigint,state:string>>"
-    start = F.struct(F.lit("COMMISSIONING").alias("s"), F.array().cast(row).alias("out"))
-
-    def step(a, x):
-        s, c = a["s"], x["command"]
-        new = (
-            F.when(c == "open_incident", "INCIDENT_HOLD")
-            .when((c == "release_incident") & (s == "INCIDENT_HOLD"), "RECOMMISSIONING")
-            .when((c == "mark_stale") & (s != "INCIDENT_HOLD"), "RECOMMISSIONING")
-            .when((c == "escalate") & (s == "SENTRY_PRIMARY"), "ESCALATED")
-            .when((c == "step") & (s == "ESCALATED"), "SENTRY_PRIMARY")
-            .when((c == "step") & x["ready"] & s.isin("COMMISSIONING", "RECOMMISSIONING"), "SENTRY_PRIMARY")
-            .otherwise(s)
-        )
-        return F.struct(new.alias("s"), F.concat(a["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), new.alias("state")))).alias("out"))
-
-    return h.select("host", F.inline(F.aggregate("history", start, step, lambda a: a["out"])))
+    """Per host, its state after each command, which is all that is held of it."""
+
+    def step(held: list, command: str | None, ready: bool | None) -> tuple:
+        held[0] = next_state(held[0], command, ready)
+        return (held[0],)
+
+    rows = events.select("host", F.col("seq").cast("long").alias("seq"), "command", "ready")
+    return ordered.folded(rows, ["host"], ["seq"], needs=["command", "ready"], start=lambda: [LIFECYCLE[0]], step=step, adds={"state": "string"}).select("host", "seq", "state")

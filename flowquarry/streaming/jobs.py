@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import net, stats
+from ..operators.behaviour import LIFECYCLE, next_state
 from ..operators.sessions import ACK, FIN, RST, SYN, with_flow_key
 
 FLOW = "key string, first_ts double, last_ts double, src string, sport int, pkts long, bytes long, ended string"
@@ -148,17 +148,10 @@ def stream_lifecycle(sdf: DataFrame) -> DataFrame:
     """A host's state after each command; the state is its name."""
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (s,) = state.get if state.exists else ("COMMISSIONING",)
+        (s,) = state.get if state.exists else (LIFECYCLE[0],)
         out = []
-        for seq, command, ready in pd.concat(list(batches)).sort_values("seq")[["seq", "command", "ready"]].itertuples(index=False):
-            if command == "open_incident":
-                s = "INCIDENT_HOLD"
-            elif command == "release_incident" and s == "INCIDENT_HOLD" or command == "mark_stale" and s != "INCIDENT_HOLD":
-                s = "RECOMMISSIONING"
-            elif command == "escalate" and s == "SENTRY_PRIMARY":
-                s = "ESCALATED"
-            elif command == "step" and (s == "ESCALATED" or ready and s in ("COMMISSIONING", "RECOMMISSIONING")):
-                s = "SENTRY_PRIMARY"
+        for seq, command, ready in sorted(x for batch in batches for x in batch[["seq", "command", "ready"]].itertuples(index=False, name=None)):
+            s = next_state(s, command, ready)
             out.append((int(key[0]), int(seq), s))
         state.update((s,))
         yield pd.DataFrame(out, columns=["host", "seq", "state"])

@@ -31,9 +31,11 @@ def test_base_domain(spark):
 
 
 def test_anchor_is_the_first_start_of_a_group(spark):
-    rows = [([0.0, 4.0, 8.0, 9.0, 20.0], [1.0, 2.0, 3.0, 4.0, 5.0])]
-    got = values(spark, stats.anchor_merge(F.col("t"), F.col("b"), 5.0), rows, "t array<double>, b array<double>")[0]
-    assert [(x.t, x.b) for x in got] == [(0.0, 3.0), (8.0, 7.0), (20.0, 5.0)]
+    rows = [(i, "a", t, float(i + 1)) for i, t in enumerate([0.0, 4.0, 8.0, 9.0, 20.0])]
+    df = spark.createDataFrame(rows, "event_id long, src string, ts double, fwd_bytes double")
+    assert sorted((x.t, x.b) for x in sessions.merge_checkins(df, ["src"], gap=5.0).collect()) == [(0.0, 3.0), (8.0, 7.0), (20.0, 5.0)]
+    (series,) = sessions.checkin_series(df, ["src"], gap=5.0).collect()
+    assert (series.times, series.sizes) == ([0.0, 8.0, 20.0], [3.0, 7.0, 5.0])
 
 
 def test_statistics(spark):
