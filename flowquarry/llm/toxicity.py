@@ -34,7 +34,8 @@ ORDERS = (3, 4, 5, 6)
 BINS = 1 << 18
 #: A feature's value is its rate a word times this, at most 1.
 FULL = 50
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+FEATURE_ROWS = 64
 
 
 def word_features(word: str, bins: int = BINS) -> list[int]:
@@ -48,17 +49,21 @@ def word_counts(text: str | None) -> tuple[Counter, int]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, features, counts) of each row; a few rows at a time, as a text has thousands of features."""
     for batch in batches:
-        at, values = [], []
-        for text in batch.column(1).to_pylist():
-            words, n = word_counts(text)
-            own: Counter = Counter()
-            for word, k in words.items():
-                for f in word_features(word):
-                    own[f] += k
-            at.append(sorted(own))
-            values.append([min(1.0, FULL * own[f] / n) for f in at[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["label", "features", "counts"])
+        for i in range(0, batch.num_rows, FEATURE_ROWS):
+            rows = batch.slice(i, FEATURE_ROWS)
+            at, values = [], []
+            for text in rows.column(1):
+                words, n = word_counts(text.as_py())
+                own: Counter = Counter()
+                for word, k in words.items():
+                    for f in word_features(word):
+                        own[f] += k
+                found = np.array(sorted(own), np.int32)
+                at.append(found)
+                values.append(np.minimum(1.0, FULL * np.array([own[f] for f in found.tolist()], float) / max(1, n)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["label", "features", "counts"])
 
 
 @dataclass
