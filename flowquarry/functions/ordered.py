@@ -54,7 +54,10 @@ def folded(df: DataFrame, keys: list[str], order: list[str], *, needs: list[str]
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def gathered(df: DataFrame, keys: list[str], order: list[str], *, needs: list[str], start: Callable[[], Any], step: Callable[..., list[tuple]], end: Callable[[Any], list[tuple]], makes: str) -> DataFrame:
+def gathered(
+    df: DataFrame, keys: list[str], order: list[str], *, needs: list[str], start: Callable[[], Any], step: Callable[..., list[tuple]], end: Callable[[Any], list[tuple]],
+    makes: str,
+) -> DataFrame:
     """(keys, makes): rows that step(state, *needs) returns as a list for each row of a key in order, and end(state)
     after its last. The state is start() at a key's first row."""
     names = [*keys, *dict.fromkeys(c for c in needs if c not in keys)]

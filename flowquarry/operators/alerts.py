@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import net, ordered
 
 #: Default severity, ATT&CK mapping and family letter of each class of threat.
-SEVERITIES = {"DDoS": "CRITICAL", "C2 Beacon": "HIGH", "DGA": "HIGH", "DNS Tunnel": "HIGH", "VPN Traffic": "MEDIUM", "Encrypted Malware": "CRITICAL", "Port Scan": "MEDIUM", "Data Exfiltration": "HIGH"}
+SEVERITIES = {
+    "DDoS": "CRITICAL", "C2 Beacon": "HIGH", "DGA": "HIGH", "DNS Tunnel": "HIGH", "VPN Traffic": "MEDIUM", "Encrypted Malware": "CRITICAL", "Port Scan": "MEDIUM",
+    "Data Exfiltration": "HIGH",
+}
 TACTICS = {
     "DDoS": ("Impact", "T1498"),
     "C2 Beacon": ("Command and Control", "T1071"),
@@ -61,7 +64,10 @@ def build_alerts(detections: DataFrame, *, decision: tuple[str, ...] = ("id", "t
     rows = map_mitre(detections)
     return rows.select(
         c("id"), c("threat_class"), conf.alias("confidence"), severity(c("threat_class"), conf, col("model"), F.coalesce(col("strong", "boolean"), F.lit(False))).alias("severity"),
-        F.struct(scope.alias("scope"), c("src").alias("src_ip"), c("dst").alias("dst_ip"), col("sport", "int").alias("src_port"), col("dport", "int").alias("dst_port"), net.proto_name(col("proto", "int")).alias("protocol")).alias("flow_id"),
+        F.struct(
+            scope.alias("scope"), c("src").alias("src_ip"), c("dst").alias("dst_ip"), col("sport", "int").alias("src_port"), col("dport", "int").alias("dst_port"),
+            net.proto_name(col("proto", "int")).alias("protocol"),
+        ).alias("flow_id"),
         F.struct(F.least(c("ts"), last).alias("start"), F.greatest(c("ts"), last).alias("end")).alias("event_window"),
         F.struct("tactic", "technique").alias("mitre"), F.lit("rule_score").alias("confidence_kind"), F.map_filter(kept, lambda _, v: v != "{}").alias("evidence"),
     )
@@ -162,7 +168,10 @@ def alert_stats(alerts: DataFrame, *, hours: float, salt: str = "salt") -> DataF
 def group_alerts(alerts: DataFrame) -> DataFrame:
     """Alerts by class, source and target: first, latest, count, worst severity."""
     g = alerts.withColumn("target", F.coalesce("domain", "dst")).groupBy("threat_class", "src", "target")
-    return g.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("id", F.struct("ts", "id")).alias("latest"), F.count("*").alias("n"), F.max(rank(F.col("severity"))).alias("worst"))
+    return g.agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("id", F.struct("ts", "id")).alias("latest"), F.count("*").alias("n"),
+        F.max(rank(F.col("severity"))).alias("worst"),
+    )
 
 
 def alert_histogram(alerts: DataFrame, *, most_bins: int = 90, least_bins: int = 30, buckets: tuple[int, ...] = (60, 300, 900, 3600, 10800, 21600, 43200, 86400, 604800)) -> DataFrame:
@@ -180,9 +189,15 @@ def alert_histogram(alerts: DataFrame, *, most_bins: int = 90, least_bins: int =
 
 def host_rollup(alerts: DataFrame) -> DataFrame:
     """Per address: alerts as source and as destination, counts by class, worst severity, first and last."""
-    per = by_role(alerts).groupBy("entity", "threat_class").agg(F.count_if(F.col("role") == "src").alias("as_src"), F.count_if(F.col("role") == "dst").alias("as_dst"), F.max(rank(F.col("severity"))).alias("worst"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    per = by_role(alerts).groupBy("entity", "threat_class").agg(
+        F.count_if(F.col("role") == "src").alias("as_src"), F.count_if(F.col("role") == "dst").alias("as_dst"), F.max(rank(F.col("severity"))).alias("worst"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
     classes = F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_class", F.col("as_src") + F.col("as_dst")))))
-    return per.groupBy("entity").agg(F.sum("as_src").alias("as_src"), F.sum("as_dst").alias("as_dst"), F.max("worst").alias("worst"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), classes.alias("classes"))
+    return per.groupBy("entity").agg(
+        F.sum("as_src").alias("as_src"), F.sum("as_dst").alias("as_dst"), F.max("worst").alias("worst"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), classes.alias("classes"),
+    )
 
 
 def alert_graph(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +211,9 @@ def alert_graph(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pipeline_metrics(events: DataFrame, *, seconds: int = 10) -> DataFrame:
     """Events in each second and over the seconds up to it, with latency percentiles."""
-    per = events.groupBy(F.floor("ts").cast("long").alias("second")).agg(F.count("*").alias("n"), F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("latency").alias("latency_max"))
+    per = events.groupBy(F.floor("ts").cast("long").alias("second")).agg(
+        F.count("*").alias("n"), F.percentile("latency", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("latency").alias("latency_max"),
+    )
     per = per.withColumn("block", F.floor(F.col("second") / 86_400))
     w = Window.partitionBy("block").orderBy("second").rangeBetween(-(seconds - 1), 0)
     return per.withColumn("rate", F.sum("n").over(w) / seconds).select("second", "n", "rate", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "latency_max")

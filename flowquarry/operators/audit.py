@@ -208,9 +208,14 @@ def replay_alerts(alerts: DataFrame, digests: DataFrame) -> DataFrame:
     burst = 0.6 + 0.25 * F.least(one, (F.col("i.nx_rate") - 0.5) / 0.5) + 0.15 * F.least(one, F.col("i.nx") / 80)
     again = F.when(F.col("i.rule") == "flood", flood).when(F.col("i.rule") == "exfil", exfil).when(F.col("i.rule") == "nx_burst", burst)
     threat = F.when(F.col("i.rule") == "flood", "DDoS").when(F.col("i.rule") == "exfil", "Data Exfiltration").when(F.col("i.rule") == "nx_burst", "DGA")
-    out = alerts.withColumn("i", i).withColumns({"again_ppm": alert_ops.to_ppm(again), "again_class": threat}).join(F.broadcast(digests.select("rule", F.col("digest").alias("known_digest"))), F.col("i.rule") == F.col("rule"), "left")  # a row a rule
+    out = alerts.withColumn("i", i).withColumns({"again_ppm": alert_ops.to_ppm(again), "again_class": threat}).join(
+        F.broadcast(digests.select("rule", F.col("digest").alias("known_digest"))), F.col("i.rule") == F.col("rule"), "left",
+    )  # a row a rule
     same = (F.col("again_class") == F.col("threat_class")) & (F.abs(F.col("again_ppm") - alert_ops.to_ppm(F.col("confidence"))) <= 1)
-    return out.withColumns({"verdict": F.when(F.col("again_ppm").isNull(), "UNVERIFIABLE").when(same, "PASS").otherwise("FAIL"), "drift": F.col("known_digest").isNotNull() & (F.col("known_digest") != F.col("params_digest"))}).drop("i", "rule")
+    return out.withColumns({
+        "verdict": F.when(F.col("again_ppm").isNull(), "UNVERIFIABLE").when(same, "PASS").otherwise("FAIL"),
+        "drift": F.col("known_digest").isNotNull() & (F.col("known_digest") != F.col("params_digest")),
+    }).drop("i", "rule")
 
 
 def inclusion(receipts: DataFrame, blocks: DataFrame, proofs: DataFrame | None) -> DataFrame:

@@ -51,13 +51,19 @@ def beacon_scores(flows: DataFrame, *, window_seconds: int = 21_600, gap: float
 def beacon_alerts(scores: DataFrame, *, least: float = 0.80) -> DataFrame:
     """The best window of each pair that scores enough, with its span, gap variation and first 24 gaps."""
     best = scores.where(F.col("score") >= least).withColumn("__rank", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("score"), "window_start"))).where("__rank = 1")
-    return best.select("src", "dst", "window_start", "score", "checkins", stats.iat_cv(F.col("gaps")).alias("cv"), (F.element_at("times", -1) - F.col("times")[0]).alias("span"), F.slice("gaps", 1, 24).alias("first_gaps"))
+    return best.select(
+        "src", "dst", "window_start", "score", "checkins", stats.iat_cv(F.col("gaps")).alias("cv"), (F.element_at("times", -1) - F.col("times")[0]).alias("span"),
+        F.slice("gaps", 1, 24).alias("first_gaps"),
+    )
 
 
 def benign_periodic(rows: DataFrame) -> DataFrame:
     """Marks regular traffic with a known cause: time sync, keep-alive, name refresh, health checks."""
     c = F.col
-    return rows.withColumn("benign_periodic", (c("dport") == 123) | ((c("dport") == 53) & (c("mean_gap") >= 30)) | ((c("mean_bytes") < 100) & c("mean_gap").between(10, 120)) | (c("dport").isin(80, 443) & c("mean_gap").between(4, 31) & (c("mean_bytes") < 500)))
+    return rows.withColumn(
+        "benign_periodic",
+        (c("dport") == 123) | ((c("dport") == 53) & (c("mean_gap") >= 30)) | ((c("mean_bytes") < 100) & c("mean_gap").between(10, 120)) | (c("dport").isin(80, 443) & c("mean_gap").between(4, 31) & (c("mean_bytes") < 500)),
+    )
 
 
 def top_beacons(scores: DataFrame, *, n: int = 10) -> DataFrame:

@@ -38,7 +38,10 @@ def behaviour_windows(conns: DataFrame, *, tz_seconds: int = 0) -> DataFrame:
 
 def corpus_summary(windows: DataFrame) -> DataFrame:
     day = F.floor(F.col("lhour") / 24)
-    return windows.groupBy("cat").agg(F.count("*").alias("windows"), F.count_distinct("host").alias("hosts"), F.count_distinct("host", day).alias("host_days"), F.min("lhour").alias("first_hour"), F.max("lhour").alias("last_hour"))
+    return windows.groupBy("cat").agg(
+        F.count("*").alias("windows"), F.count_distinct("host").alias("hosts"), F.count_distinct("host", day).alias("host_days"), F.min("lhour").alias("first_hour"),
+        F.max("lhour").alias("last_hour"),
+    )
 
 
 def fanin_profile(flows: DataFrame) -> DataFrame:
@@ -185,7 +188,9 @@ def guarded_threshold(rows: DataFrame, *, q: float = 0.99, least: int = 200, ste
                 yield pd.DataFrame(out, columns=["key", "seq", "score", "threshold", "alert", "frozen"])
 
     schema = "key string, seq long, score double, threshold double, alert boolean, frozen boolean"
-    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("score").cast("double").alias("score"), "eligible").repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
+    return rows.select(
+        F.col("key").cast("string").alias("key"), "seq", F.col("score").cast("double").alias("score"), "eligible",
+    ).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
 
 
 def cusum(rows: DataFrame, *, mu0: float, sigma: float, k: float = 0.5, h: float = 10.6) -> DataFrame:
@@ -237,7 +242,10 @@ def visibility_gate(rows: DataFrame, *, tolerance: float = 0.15, floor: float =
     quic = c("c_quic_readable") & ~c("quic_readable")
     action = F.when(regime | better, "recommission").when(lost | low | quic, "refuse").when(sni, "warn_and_score").otherwise("score")
     worse = ~(regime | better)
-    reasons = [(regime, "regime changed"), (~regime & better, "naming improved"), (worse & lost, "naming under floor"), (worse & low, "naming fell"), (worse & sni, "server names fell"), (worse & quic, "QUIC unreadable")]
+    reasons = [
+        (regime, "regime changed"), (~regime & better, "naming improved"), (worse & lost, "naming under floor"), (worse & low, "naming fell"),
+        (worse & sni, "server names fell"), (worse & quic, "QUIC unreadable"),
+    ]
     return rows.withColumns({"action": action, "reasons": F.array_compact(F.array(*[F.when(t, r) for t, r in reasons]))})
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def capture_audit(flows: DataFrame, *, by: str = "file") -> DataFrame:
     """Per file: packets, shares of TLS, of UDP and of unanswered flows, and hosts."""
     share = lambda test: F.avg(test.cast("int"))
-    return flows.groupBy(by).agg(F.count("*").alias("packets"), share(F.col("dport") == 443).alias("tls_share"), share(F.col("proto") == 17).alias("udp_share"), share(F.col("bwd_pkts") == 0).alias("silent_share"), F.count_distinct("src").alias("hosts"))
+    return flows.groupBy(by).agg(
+        F.count("*").alias("packets"), share(F.col("dport") == 443).alias("tls_share"), share(F.col("proto") == 17).alias("udp_share"),
+        share(F.col("bwd_pkts") == 0).alias("silent_share"), F.count_distinct("src").alias("hosts"),
+    )
 
 
 def top_names(messages: DataFrame, *, n: int = 15) -> DataFrame:
@@ -33,7 +36,10 @@ def load_report(packets: DataFrame) -> DataFrame:
 
 def visibility_profile(flows: DataFrame) -> DataFrame:
     """One row of what a sensor can see."""
-    return flows.agg(F.avg((F.col("dport") == 443).cast("int")).alias("tls_share"), F.avg(F.col("named").cast("int")).alias("named_flow_ratio"), F.max("fwd_bytes").alias("snaplen"), (F.max((F.col("proto") == 17).cast("int")) == 1).alias("quic_readable"))
+    return flows.agg(
+        F.avg((F.col("dport") == 443).cast("int")).alias("tls_share"), F.avg(F.col("named").cast("int")).alias("named_flow_ratio"), F.max("fwd_bytes").alias("snaplen"),
+        (F.max((F.col("proto") == 17).cast("int")) == 1).alias("quic_readable"),
+    )
 
 
 def label_windows(windows: DataFrame, labels: DataFrame, *, by: list[str], policy: str = "both") -> DataFrame:
@@ -48,5 +54,8 @@ def align_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[str], lis
     plain = lambda df: {c: "".join(ch for ch in c.lower() if ch.isalnum()) for c in df.columns}
     names_a, names_b = plain(a), plain(b)
     common = sorted(set(names_a.values()) & set(names_b.values()))
-    long = lambda df, names, side: df.select(F.lit(side).alias("side"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c, n in names.items() if n in common])))
+    long = lambda df, names, side: df.select(
+        F.lit(side).alias("side"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c, n in names.items() if n in common])),
+    )
     return long(a, names_a, 0).unionByName(long(b, names_b, 1)), sorted(set(names_a.values()) - set(common)), sorted(set(names_b.values()) - set(common))

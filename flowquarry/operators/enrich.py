@@ -22,7 +22,10 @@ CATEGORIES = [
     ("Recon_API", r"(ip-api\.com|ipify\.org|ifconfig\.me|icanhazip|ipinfo\.io|myexternalip)"),
     ("Code_Repo_Paste", r"(github|githubusercontent|gitlab|bitbucket|pastebin|paste\.ee|gist\.)"),
     ("Messaging_API", r"(telegram|discord|slack\.com|teams\.microsoft|graph\.microsoft|mattermost|intercom\.io|zoom\.us|webex)"),
-    ("Cloud_Storage", r"(drive\.google|docs\.google|dropbox|onedrive|1drv\.ms|s3[.-].*amazonaws|box\.com|mega\.nz|storage\.googleapis|substrate\.office|officeclient\.microsoft|sharepoint|blob\.core\.windows\.net)"),
+    (
+        "Cloud_Storage",
+        r"(drive\.google|docs\.google|dropbox|onedrive|1drv\.ms|s3[.-].*amazonaws|box\.com|mega\.nz|storage\.googleapis|substrate\.office|officeclient\.microsoft|sharepoint|blob\.core\.windows\.net)",
+    ),
     ("CI_CD", r"(circleci|travis-ci|jenkins|actions\.github|codecov|docker\.io|ghcr\.io|pypi\.org|registry\.npmjs)"),
     ("Sync", r"(sync\.|clientsync|dropboxusercontent|apple-cloudkit|icloud|events\.data\.microsoft|settings-win\.data\.microsoft|-updater\.|updatecheck|oneclient\.sfx\.ms|edgedl|gvt1\.com)"),
 ]

@@ -12,7 +12,10 @@ from ..functions import ordered
 from .select import hash_unit
 
 #: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom.
-T_975 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
+T_975 = [
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069,
+    2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
+]
 
 
 def roc_auc(scores: DataFrame, keys: list[str] | None = None, *, weight: str | None = None) -> DataFrame:
@@ -48,7 +51,10 @@ def budget_curve(scores: DataFrame, budgets: list[float]) -> DataFrame:
     grid = scores.sparkSession.createDataFrame([(b,) for b in budgets], "budget double")
     cuts = grid.crossJoin(n).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("budget") * F.col("n"), 0)).cast("long"))
     tests = ranked.crossJoin(F.broadcast(cuts)).where(F.col("rank") <= F.col("k"))  # a row a budget
-    got = tests.groupBy("budget").agg(F.max("k").alias("k"), (F.sum(F.col("attack").cast("int")) / F.max("attacks")).alias("attack_recall"), (F.sum(F.col("teacher_flag").cast("int")) / F.max("flags")).alias("flag_recall"))
+    got = tests.groupBy("budget").agg(
+        F.max("k").alias("k"), (F.sum(F.col("attack").cast("int")) / F.max("attacks")).alias("attack_recall"),
+        (F.sum(F.col("teacher_flag").cast("int")) / F.max("flags")).alias("flag_recall"),
+    )
     return got
 
 
@@ -62,11 +68,17 @@ def threshold_sweep(scores: DataFrame, grid: list[float]) -> DataFrame:
     per = scores.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("attack").cast("int")).alias("p"))
     cuts = scores.sparkSession.createDataFrame([(g,) for g in grid], "threshold double")
     total = per.agg(F.sum("n").alias("rows"), F.sum("p").alias("positives"))
-    hit = per.crossJoin(F.broadcast(cuts)).groupBy("threshold").agg(F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("n")).otherwise(0)).alias("alerts"), F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("p")).otherwise(0)).alias("confirmed"))
+    hit = per.crossJoin(F.broadcast(cuts)).groupBy("threshold").agg(
+        F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("n")).otherwise(0)).alias("alerts"),
+        F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("p")).otherwise(0)).alias("confirmed"),
+    )
     out = hit.crossJoin(F.broadcast(total))  # a row a threshold, and one row
     precision, recall = F.when(F.col("alerts") > 0, F.col("confirmed") / F.col("alerts")).otherwise(0.0), F.col("confirmed") / F.col("positives")
     out = out.withColumns({"precision": precision, "recall": recall})
-    return out.withColumns({"f1": F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0), "per_thousand": 1000.0 * F.col("alerts") / F.col("rows")}).drop("rows", "positives")
+    return out.withColumns({
+        "f1": F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0),
+        "per_thousand": 1000.0 * F.col("alerts") / F.col("rows"),
+    }).drop("rows", "positives")
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -112,7 +124,10 @@ def classification_report(rows: DataFrame, *, truth: str = "truth", predicted: s
     total = m.agg(F.sum("n").alias("rows"))  # one row
     out = t.join(p, "class", "full").na.fill(0).crossJoin(F.broadcast(total))
     c = F.col
-    out = out.withColumns({"precision": F.when(c("called") > 0, c("hits") / c("called")).otherwise(0.0), "recall": F.when(c("support") > 0, c("hits") / c("support")).otherwise(0.0), "fpr": F.when(c("rows") > c("support"), (c("called") - c("hits")) / (c("rows") - c("support"))).otherwise(0.0)})
+    out = out.withColumns({
+        "precision": F.when(c("called") > 0, c("hits") / c("called")).otherwise(0.0), "recall": F.when(c("support") > 0, c("hits") / c("support")).otherwise(0.0),
+        "fpr": F.when(c("rows") > c("support"), (c("called") - c("hits")) / (c("rows") - c("support"))).otherwise(0.0),
+    })
     return out.withColumn("f1", F.when(c("precision") + c("recall") > 0, 2 * c("precision") * c("recall") / (c("precision") + c("recall"))).otherwise(0.0)).drop("rows", "called")
 
 

@@ -16,7 +16,10 @@ def _timed(packets: DataFrame, keys: list[str]) -> DataFrame:
 
 def _stats(name: str, x, scale: float = 1.0) -> list:
     """Minimum, maximum, mean and population deviation."""
-    return [(F.min(x) * scale).alias(f"{name}_min"), F.max(x).alias(f"{name}_max") if scale == 1.0 else (F.max(x) * scale).alias(f"{name}_max"), (F.avg(x) * scale).alias(f"{name}_mean"), (F.stddev_pop(x) * scale).alias(f"{name}_std")]
+    return [
+        (F.min(x) * scale).alias(f"{name}_min"), F.max(x).alias(f"{name}_max") if scale == 1.0 else (F.max(x) * scale).alias(f"{name}_max"),
+        (F.avg(x) * scale).alias(f"{name}_mean"), (F.stddev_pop(x) * scale).alias(f"{name}_std"),
+    ]
 
 
 def cic_features(packets: DataFrame, keys: list[str], *, idle: float = 5.0) -> DataFrame:

@@ -90,7 +90,10 @@ def train_reconstruction(rows: DataFrame, features: list[str], *, k: int = 4):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True), PCA(k=k, inputCol="z", outputCol="pc")]
+    stages = [
+        VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True),
+        PCA(k=k, inputCol="z", outputCol="pc"),
+    ]
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -107,14 +107,19 @@ def suppress_flooding_sources(scans: DataFrame, floods: DataFrame, *, seconds: f
     """Scan alerts (src, dst, ts) without a flood decision (dst, ts, sources array) on their destination that names
     their source within the seconds around. Times are cut into slots, so the join is on (dst, src, slot)."""
     slot = lambda ts: F.floor(ts / seconds).cast("long")
-    named = floods.select(F.col("dst").alias("__dst"), F.col("ts").alias("__ts"), F.explode("sources").alias("__src")).withColumn("__slot", F.explode(F.array(slot(F.col("__ts")) - 1, slot(F.col("__ts")), slot(F.col("__ts")) + 1)))
+    named = floods.select(F.col("dst").alias("__dst"), F.col("ts").alias("__ts"), F.explode("sources").alias("__src")).withColumn(
+        "__slot", F.explode(F.array(slot(F.col("__ts")) - 1, slot(F.col("__ts")), slot(F.col("__ts")) + 1)),
+    )
     hit = (F.col("dst") == F.col("__dst")) & (F.col("src") == F.col("__src")) & (slot(F.col("ts")) == F.col("__slot")) & (F.abs(F.col("ts") - F.col("__ts")) <= seconds)
     return scans.join(named, hit, "left_anti")
 
 
 def quick_scan(flows: DataFrame, *, n: int = 3) -> DataFrame:
     """The n sources with the highest triage score, from fan-out tiers and failed connections."""
-    per = flows.groupBy("src").agg(F.count_distinct("dport").alias("ports"), F.count_distinct("dst").alias("hosts"), F.sum((F.col("bwd_pkts") == 0).cast("int")).alias("failed"), F.count("*").alias("flows"))
+    per = flows.groupBy("src").agg(
+        F.count_distinct("dport").alias("ports"), F.count_distinct("dst").alias("hosts"), F.sum((F.col("bwd_pkts") == 0).cast("int")).alias("failed"),
+        F.count("*").alias("flows"),
+    )
     tier = lambda c: F.when(F.col(c) >= 100, 3).when(F.col(c) >= 20, 2).when(F.col(c) >= 5, 1).otherwise(0)
     score = tier("ports") + tier("hosts") + F.when(F.col("failed") * 2 > F.col("flows"), 2).otherwise(0)
     return per.withColumn("score", score).orderBy(F.desc("score"), F.desc("flows"), "src").limit(n)

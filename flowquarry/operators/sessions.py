@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered, stats
 
-FLOW_SCHEMA = "key string, flow_no int, first_ts double, last_ts double, src string, dst string, sport int, dport int, proto int, fwd_pkts long, bwd_pkts long, fwd_bytes long, bwd_bytes long, ended string, stub boolean"
+FLOW_SCHEMA = (
+    "key string, flow_no int, first_ts double, last_ts double, src string, dst string, sport int, dport int, proto int, fwd_pkts long, bwd_pkts long, fwd_bytes long, "
+    "bwd_bytes long, ended string, stub boolean"
+)
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
 
@@ -168,7 +171,10 @@ def active_idle(flows: DataFrame, keys: list[str], *, gap: float = 5.0) -> DataF
     step = F.col("ts") - F.lag("ts").over(w)
     islands = flows.withColumn("__gap", step).withColumn("__island", F.sum(F.when(F.col("__gap") > gap, 1).otherwise(0)).over(w))
     spans = islands.groupBy(*keys, "__island").agg((F.max("ts") - F.min("ts")).alias("active"), F.max(F.when(F.col("__gap") > gap, F.col("__gap"))).alias("idle"))
-    return spans.groupBy(*keys).agg(F.count("*").alias("stretches"), F.avg("active").alias("active_mean"), F.max("active").alias("active_max"), F.avg("idle").alias("idle_mean"), F.max("idle").alias("idle_max"))
+    return spans.groupBy(*keys).agg(
+        F.count("*").alias("stretches"), F.avg("active").alias("active_mean"), F.max("active").alias("active_max"), F.avg("idle").alias("idle_mean"),
+        F.max("idle").alias("idle_max"),
+    )
 
 
 def splt(packets: DataFrame, keys: list[str], *, n: int = 20) -> DataFrame:

@@ -26,7 +26,10 @@ def au4_build_receipts(spark, sf_dir):
     return _receipts(spark, sf_dir).select("id", F.col("seq").cast("long").alias("seq"), "evidence_digest", "decision_digest", "digest", "previous")
 
 
-@query("WITH b AS (SELECT floor(ts / 86400)::BIGINT AS b FROM alerts), s AS (SELECT unnest(range(min(b), max(b) + 1)) AS b FROM b), n AS (SELECT b, count(*) AS n FROM b GROUP BY 1) SELECT b * 86400 AS window_start, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (b)")
+@query(
+    "WITH b AS (SELECT floor(ts / 86400)::BIGINT AS b FROM alerts), s AS (SELECT unnest(range(min(b), max(b) + 1)) AS b FROM b), n AS (SELECT b, count(*) AS n FROM b "
+    "GROUP BY 1) SELECT b * 86400 AS window_start, coalesce(n, 0) AS n FROM s LEFT JOIN n USING (b)"
+)
 def au5_checkpoint_blocks(spark, sf_dir):
     return ops.checkpoint_blocks(_receipts(spark, sf_dir), seconds=86_400).select("window_start", "n")
 
@@ -37,11 +40,15 @@ def hsh1_merkle_roots(spark, sf_dir):
 
 
 @query(
-    "WITH l AS (SELECT event_id, sha256(unhex('00') || encode(event_id::VARCHAR)) AS leaf, sha256(unhex('00') || encode('b' || event_id)) AS sib, sha256(unhex('00') || encode('c' || event_id)) AS sib2, k FROM flows) SELECT event_id, k % 3 <> 0 AS valid FROM l"
+    "WITH l AS (SELECT event_id, sha256(unhex('00') || encode(event_id::VARCHAR)) AS leaf, sha256(unhex('00') || encode('b' || event_id)) AS sib, "
+    "sha256(unhex('00') || encode('c' || event_id)) AS sib2, k FROM flows) SELECT event_id, k % 3 <> 0 AS valid FROM l"
 )
 def hsh2_verify_inclusion(spark, sf_dir):
     c = F.col
-    p = flows(spark, sf_dir).select("event_id", "k", ops.leaf_hash(c("event_id").cast("string")).alias("leaf"), ops.leaf_hash(F.concat(F.lit("b"), "event_id")).alias("s1"), ops.leaf_hash(F.concat(F.lit("c"), "event_id")).alias("s2"))
+    p = flows(spark, sf_dir).select(
+        "event_id", "k", ops.leaf_hash(c("event_id").cast("string")).alias("leaf"), ops.leaf_hash(F.concat(F.lit("b"), "event_id")).alias("s1"),
+        ops.leaf_hash(F.concat(F.lit("c"), "event_id")).alias("s2"),
+    )
     siblings = F.array(F.struct(c("s1").alias("hash"), F.lit("L").alias("side")), F.struct(c("s2").alias("hash"), F.lit("R").alias("side")))
     root = ops.node_hash(ops.node_hash(c("s1"), c("leaf")), c("s2"))
     p = p.withColumn("siblings", siblings).withColumn("root", F.when(c("k") % 3 == 0, F.sha2(root.cast("binary"), 256)).otherwise(root))
@@ -49,11 +56,15 @@ def hsh2_verify_inclusion(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT user_id AS chain, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM flows) SELECT chain, min(CASE WHEN event_id % 97 = 0 AND i + 1 < n THEN i + 1 END) AS first_bad, count(*) AS blocks FROM b GROUP BY 1"
+    "WITH b AS (SELECT user_id AS chain, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n "
+    "FROM flows) SELECT chain, min(CASE WHEN event_id % 97 = 0 AND i + 1 < n THEN i + 1 END) AS first_bad, count(*) AS blocks FROM b GROUP BY 1"
 )
 def au3_verify_chain(spark, sf_dir):
     """A chain for each user, with the roots of some blocks changed afterwards."""
-    rows = flows(spark, sf_dir).select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.lit("t").alias("stamp"), F.col("event_id").alias("unix_seconds"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("root"), F.lit(1).alias("n"))
+    rows = flows(spark, sf_dir).select(
+        F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.lit("t").alias("stamp"), F.col("event_id").alias("unix_seconds"),
+        F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("root"), F.lit(1).alias("n"),
+    )
     blocks = ops.build_chain(rows)
     tampered = blocks.withColumn("root", F.when(F.col("unix_seconds") % 97 == 0, F.lit("00")).otherwise(F.col("root")))
     return ops.verify_chain(tampered)
@@ -66,7 +77,10 @@ def _replayable(spark, sf_dir):
     conf = F.round(0.6 + 0.2 * F.log10(rate / 100) + 0.2 * F.least(F.lit(1.0), (share - 0.8) / 0.2), 6)
     rule = F.when(k % 5 == 0, "sprt").otherwise("flood")
     inputs = F.to_json(F.struct(rule.alias("rule"), rate.alias("rate"), share.alias("share")))
-    return f.select(F.col("event_id").alias("id"), "ts", F.lit("DDoS").alias("threat_class"), F.when(k % 7 == 0, conf - 0.1).otherwise(conf).alias("confidence"), inputs.alias("replay_inputs"), F.when(k % 11 == 0, "old").otherwise("new").alias("params_digest"), "src", F.concat(F.lit("s"), k % 4).alias("sensor"))
+    return f.select(
+        F.col("event_id").alias("id"), "ts", F.lit("DDoS").alias("threat_class"), F.when(k % 7 == 0, conf - 0.1).otherwise(conf).alias("confidence"),
+        inputs.alias("replay_inputs"), F.when(k % 11 == 0, "old").otherwise("new").alias("params_digest"), "src", F.concat(F.lit("s"), k % 4).alias("sensor"),
+    )
 
 
 def _known(spark):
@@ -108,7 +122,8 @@ def jn12_inclusion(spark, sf_dir):
 
 
 @query(
-    f"SELECT event_id AS id, 'PASS' AS schema, CASE WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS decision, {INCLUSION} AS inclusion, 'PASS' AS chain, 'PASS' AS sequence, "
+    f"SELECT event_id AS id, 'PASS' AS schema, CASE WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 "
+    f"THEN 'FAIL' ELSE 'PASS' END AS decision, {INCLUSION} AS inclusion, 'PASS' AS chain, 'PASS' AS sequence, "
     f"NOT (k % 13 = 0 OR {INCLUSION} = 'FAIL' OR (k % 5 <> 0 AND (k % 7 = 0 OR k % 11 = 0))) AS holds FROM flows"
 )
 def au1_verify_alerts(spark, sf_dir):

@@ -20,9 +20,11 @@ def _rounded(df, *cols, digits=6):
 
 
 @query(
-    "WITH names AS (SELECT event_id AS uid, 's' || k AS server_name FROM flows WHERE event_type = 'purchase' AND k % 3 <> 0), a AS (SELECT dst AS peer, ts, 'n' || event_id AS name FROM flows WHERE event_type = 'view'), "
+    "WITH names AS (SELECT event_id AS uid, 's' || k AS server_name FROM flows WHERE event_type = 'purchase' AND k % 3 <> 0), a AS (SELECT dst AS peer, ts, 'n' || "
+    "event_id AS name FROM flows WHERE event_type = 'view'), "
     "c AS (SELECT f.event_id, f.dst AS peer, f.ts, a.name FROM flows f ASOF LEFT JOIN a ON f.dst = a.peer AND f.ts >= a.ts) "
-    "SELECT event_id, coalesce(server_name, name, peer) AS name, CASE WHEN server_name IS NOT NULL THEN 'server' WHEN name IS NOT NULL THEN 'dns' ELSE 'address' END AS named_by FROM c LEFT JOIN names n ON c.event_id = n.uid"
+    "SELECT event_id, coalesce(server_name, name, peer) AS name, CASE WHEN server_name IS NOT NULL THEN 'server' WHEN name IS NOT NULL THEN 'dns' ELSE 'address' "
+    "END AS named_by FROM c LEFT JOIN names n ON c.event_id = n.uid"
 )
 def jn1_server_name(spark, sf_dir):
     """Server names of purchases, some of them sent twice; answers from views."""
@@ -35,7 +37,8 @@ def jn1_server_name(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT dst AS peer, ts, 'n' || event_id AS name FROM flows WHERE event_type = 'view'), c AS (SELECT event_id, dst AS peer, ts FROM flows WHERE event_type <> 'view') SELECT c.event_id, c.peer, a.name FROM c ASOF LEFT JOIN a ON c.peer = a.peer AND c.ts >= a.ts"
+    "WITH a AS (SELECT dst AS peer, ts, 'n' || event_id AS name FROM flows WHERE event_type = 'view'), c AS (SELECT event_id, dst AS peer, ts FROM flows WHERE "
+    "event_type <> 'view') SELECT c.event_id, c.peer, a.name FROM c ASOF LEFT JOIN a ON c.peer = a.peer AND c.ts >= a.ts"
 )
 def jn2_asof_dns_name(spark, sf_dir):
     f = flows(spark, sf_dir).withColumn("peer", F.col("dst"))
@@ -43,7 +46,10 @@ def jn2_asof_dns_name(spark, sf_dir):
     return enrich.asof_names(f.where("event_type <> 'view'").select("event_id", "peer", "ts"), answers).select("event_id", "peer", "name")
 
 
-@query("SELECT threat_class, any_value(CASE threat_class WHEN 'DDoS' THEN 'T1498' WHEN 'C2 Beacon' THEN 'T1071' WHEN 'DGA' THEN 'T1568' WHEN 'Port Scan' THEN 'T1046' ELSE 'T1048' END) AS technique, count(*) AS n FROM alerts GROUP BY 1")
+@query(
+    "SELECT threat_class, any_value(CASE threat_class WHEN 'DDoS' THEN 'T1498' WHEN 'C2 Beacon' THEN 'T1071' WHEN 'DGA' THEN 'T1568' WHEN 'Port Scan' THEN 'T1046' "
+    "ELSE 'T1048' END) AS technique, count(*) AS n FROM alerts GROUP BY 1"
+)
 def jn3_lookup(spark, sf_dir):
     from ..operators.alerts import map_mitre
     from .views import alerts
@@ -52,7 +58,9 @@ def jn3_lookup(spark, sf_dir):
 
 
 @query(
-    "WITH f AS (SELECT event_id, 'j4-' || (k % 10) AS ja4, 'j3-' || (k % 7) AS ja3, 's-' || (k % 5) AS ja3s FROM flows) SELECT event_id, CASE WHEN ja4 = 'j4-3' THEN 'A' WHEN ja3 = 'j3-2' THEN 'B' ELSE 'C' END AS blocked_as, CASE WHEN ja4 = 'j4-3' THEN 'ja4' WHEN ja3 = 'j3-2' THEN 'ja3' ELSE 'ja3s' END AS blocked_by FROM f WHERE ja4 = 'j4-3' OR ja3 = 'j3-2' OR ja3s = 's-1'"
+    "WITH f AS (SELECT event_id, 'j4-' || (k % 10) AS ja4, 'j3-' || (k % 7) AS ja3, 's-' || (k % 5) AS ja3s FROM flows) SELECT event_id, CASE WHEN ja4 = 'j4-3' "
+    "THEN 'A' WHEN ja3 = 'j3-2' THEN 'B' ELSE 'C' END AS blocked_as, CASE WHEN ja4 = 'j4-3' THEN 'ja4' WHEN ja3 = 'j3-2' THEN 'ja3' ELSE 'ja3s' END AS blocked_by "
+    "FROM f WHERE ja4 = 'j4-3' OR ja3 = 'j3-2' OR ja3s = 's-1'"
 )
 def jn4_blocklist_hits(spark, sf_dir):
     k = F.col("k")
@@ -82,7 +90,8 @@ def ag3_network_events(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT DISTINCT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport FROM flows WHERE bwd_pkts = 0), r AS (SELECT DISTINCT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport FROM flows WHERE rst > 0) SELECT * FROM t ANTI JOIN r USING (src, window_start, dst, dport)"
+    "WITH t AS (SELECT DISTINCT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport FROM flows WHERE bwd_pkts = 0), r AS (SELECT DISTINCT src, "
+    "floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport FROM flows WHERE rst > 0) SELECT * FROM t ANTI JOIN r USING (src, window_start, dst, dport)"
 )
 def jn5_unanswered_not_reset(spark, sf_dir):
     keyed = flows(spark, sf_dir).withColumn("window_start", scan.window_start("ts", DAY))
@@ -105,7 +114,8 @@ def jn7_by_role(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT event_id, src, dst, ts FROM flows WHERE event_type = 'signup'), d AS (SELECT src, dst, ts FROM flows WHERE event_type = 'error') SELECT event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.dst = s.dst AND d.src = s.src AND abs(d.ts - s.ts) <= 86400)"
+    "WITH s AS (SELECT event_id, src, dst, ts FROM flows WHERE event_type = 'signup'), d AS (SELECT src, dst, ts FROM flows WHERE event_type = 'error') SELECT "
+    "event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.dst = s.dst AND d.src = s.src AND abs(d.ts - s.ts) <= 86400)"
 )
 def jn8_suppress_ddos_scanners(spark, sf_dir):
     f = flows(spark, sf_dir)
@@ -114,7 +124,9 @@ def jn8_suppress_ddos_scanners(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT src, dst, count(*) AS n, max(ts) AS last FROM flows WHERE event_type = 'click' GROUP BY ALL), v AS (SELECT src, dst, avg(value) AS verdict FROM flows WHERE event_type = 'purchase' GROUP BY ALL), h AS (SELECT src, count(*) AS lookups FROM flows WHERE event_type = 'view' GROUP BY 1) SELECT b.src, b.dst, n, round(verdict, 4) AS verdict, lookups FROM b LEFT JOIN v USING (src, dst) LEFT JOIN h USING (src)"
+    "WITH b AS (SELECT src, dst, count(*) AS n, max(ts) AS last FROM flows WHERE event_type = 'click' GROUP BY ALL), v AS (SELECT src, dst, avg(value) AS verdict "
+    "FROM flows WHERE event_type = 'purchase' GROUP BY ALL), h AS (SELECT src, count(*) AS lookups FROM flows WHERE event_type = 'view' GROUP BY 1) SELECT b.src, "
+    "b.dst, n, round(verdict, 4) AS verdict, lookups FROM b LEFT JOIN v USING (src, dst) LEFT JOIN h USING (src)"
 )
 def jn9_attach_evidence(spark, sf_dir):
     from ..operators.alerts import attach_evidence
@@ -135,7 +147,9 @@ def ses1_assemble_flows(spark, sf_dir):
 
 
 @query(
-    "WITH g AS (SELECT src, dst, ts, event_id, fwd_bytes, coalesce((ts - lag(ts) OVER w > 86400)::INT, 0) AS new FROM flows WINDOW w AS (PARTITION BY src, dst ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY src, dst ORDER BY ts, event_id)::BIGINT AS session FROM g) SELECT src, dst, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, sum(fwd_bytes)::BIGINT AS amount FROM s GROUP BY ALL"
+    "WITH g AS (SELECT src, dst, ts, event_id, fwd_bytes, coalesce((ts - lag(ts) OVER w > 86400)::INT, 0) AS new FROM flows WINDOW w AS (PARTITION BY src, dst "
+    "ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY src, dst ORDER BY ts, event_id)::BIGINT AS session FROM g) SELECT src, dst, session, "
+    "min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, sum(fwd_bytes)::BIGINT AS amount FROM s GROUP BY ALL"
 )
 def ses2_extract_connections(spark, sf_dir):
     return sessions.idle_sessions(flows(spark, sf_dir), ["src", "dst"], idle=DAY)
@@ -157,7 +171,8 @@ def ses4_session_starts(spark, sf_dir):
 
 
 @query(
-    "WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM flows) SELECT user_id, (i // 20)::INT AS session, min(ts) AS first_ts, round(max(ts) - min(ts), 3) AS span FROM n GROUP BY ALL HAVING count(*) = 20"
+    "WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM flows) SELECT user_id, (i // 20)::INT "
+    "AS session, min(ts) AS first_ts, round(max(ts) - min(ts), 3) AS span FROM n GROUP BY ALL HAVING count(*) = 20"
 )
 def ses5_count_sessions(spark, sf_dir):
     s = sessions.count_sessions(flows(spark, sf_dir), ["user_id"], n=20, horizon=1e9)
@@ -165,7 +180,8 @@ def ses5_count_sessions(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE {MERGED}, c AS (SELECT src, dst, anchor AS t, row_number() OVER (PARTITION BY src, dst ORDER BY anchor DESC) AS back FROM (SELECT DISTINCT src, dst, anchor FROM r)) SELECT src, dst, greatest(0, count(*) - 1) AS gaps, round(max(t) - min(t), 3) AS span FROM c WHERE back <= 5 GROUP BY ALL"
+    f"WITH RECURSIVE {MERGED}, c AS (SELECT src, dst, anchor AS t, row_number() OVER (PARTITION BY src, dst ORDER BY anchor DESC) AS back FROM (SELECT DISTINCT "
+    f"src, dst, anchor FROM r)) SELECT src, dst, greatest(0, count(*) - 1) AS gaps, round(max(t) - min(t), 3) AS span FROM c WHERE back <= 5 GROUP BY ALL"
 )
 def ses6_model_series(spark, sf_dir):
     s = sessions.model_series(sessions.checkin_series(flows(spark, sf_dir), ["src", "dst"], gap=float(DAY)), n=5)
@@ -173,7 +189,8 @@ def ses6_model_series(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT user_id, event_id, ts, CASE WHEN k % 2 = 0 THEN fwd_bytes ELSE -fwd_bytes END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM flows WHERE fwd_bytes > 0) SELECT user_id, string_agg(s::VARCHAR, ',' ORDER BY i) AS sizes FROM p WHERE i <= 20 GROUP BY 1"
+    "WITH p AS (SELECT user_id, event_id, ts, CASE WHEN k % 2 = 0 THEN fwd_bytes ELSE -fwd_bytes END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, "
+    "event_id) AS i FROM flows WHERE fwd_bytes > 0) SELECT user_id, string_agg(s::VARCHAR, ',' ORDER BY i) AS sizes FROM p WHERE i <= 20 GROUP BY 1"
 )
 def ses7_splt(spark, sf_dir):
     p = flows(spark, sf_dir).select("user_id", "event_id", "ts", F.col("fwd_bytes").alias("size"), (F.col("k") % 2 == 0).alias("forward"))
@@ -181,18 +198,25 @@ def ses7_splt(spark, sf_dir):
 
 
 @query(
-    "WITH g AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM flows), i AS (SELECT *, sum((coalesce(gap, 0) > 7200)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g), s AS (SELECT user_id, island, max(ts) - min(ts) AS active, max(CASE WHEN gap > 7200 THEN gap END) AS idle FROM i GROUP BY ALL) "
-    "SELECT user_id, count(*) AS stretches, round(avg(active), 4) AS active_mean, round(max(active), 4) AS active_max, round(avg(idle), 4) AS idle_mean, round(max(idle), 4) AS idle_max FROM s GROUP BY 1"
+    "WITH g AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM flows), i AS (SELECT *, "
+    "sum((coalesce(gap, 0) > 7200)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g), s AS (SELECT user_id, island, max(ts) - min(ts) AS "
+    "active, max(CASE WHEN gap > 7200 THEN gap END) AS idle FROM i GROUP BY ALL) "
+    "SELECT user_id, count(*) AS stretches, round(avg(active), 4) AS active_mean, round(max(active), 4) AS active_max, round(avg(idle), 4) AS idle_mean, "
+    "round(max(idle), 4) AS idle_max FROM s GROUP BY 1"
 )
 def ses8_active_idle(spark, sf_dir):
     return _rounded(sessions.active_idle(flows(spark, sf_dir), ["user_id"], gap=7200.0), "active_mean", "active_max", "idle_mean", "idle_max", digits=4)
 
 
 @query(
-    "WITH n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM flows), s AS (SELECT a.user_id, a.i AS start, a.ts AS first_ts, b.ts AS last_ts FROM n a JOIN n b ON a.user_id = b.user_id AND b.i = a.i + 19 WHERE a.i % 5 = 0) SELECT user_id, start, first_ts, last_ts, round((last_ts - first_ts) / 19, 4) AS mean_gap FROM s"
+    "WITH n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM flows), s AS (SELECT a.user_id, a.i AS start, "
+    "a.ts AS first_ts, b.ts AS last_ts FROM n a JOIN n b ON a.user_id = b.user_id AND b.i = a.i + 19 WHERE a.i % 5 = 0) SELECT user_id, start, first_ts, last_ts, "
+    "round((last_ts - first_ts) / 19, 4) AS mean_gap FROM s"
 )
 def ses9_strided_windows(spark, sf_dir):
-    return _rounded(sessions.strided_windows(flows(spark, sf_dir), ["user_id"], n=20, stride=5), "mean_gap", digits=4).select("user_id", F.col("start").cast("long").alias("start"), "first_ts", "last_ts", "mean_gap")
+    return _rounded(
+        sessions.strided_windows(flows(spark, sf_dir), ["user_id"], n=20, stride=5), "mean_gap", digits=4,
+    ).select("user_id", F.col("start").cast("long").alias("start"), "first_ts", "last_ts", "mean_gap")
 
 
 # ---- scans
@@ -206,13 +230,18 @@ def ag4_fanout(spark, sf_dir):
 CANDIDATES = "SELECT * FROM flows WHERE NOT (dport IN (53, 80, 123, 443, 853, 5353) AND dst LIKE '203.0.113.%')"
 
 
-@query(f"WITH c AS ({CANDIDATES}), n AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dport, count(DISTINCT dst) AS hosts FROM c GROUP BY ALL) SELECT src, window_start, dport AS port, hosts FROM n QUALIFY row_number() OVER (PARTITION BY src, window_start ORDER BY hosts DESC, dport) = 1")
+@query(
+    f"WITH c AS ({CANDIDATES}), n AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dport, count(DISTINCT dst) AS hosts FROM c GROUP BY ALL) SELECT "
+    f"src, window_start, dport AS port, hosts FROM n QUALIFY row_number() OVER (PARTITION BY src, window_start ORDER BY hosts DESC, dport) = 1"
+)
 def ag5_sweep(spark, sf_dir):
     return scan.sweep(flows(spark, sf_dir), seconds=DAY)
 
 
 @query(
-    "WITH n AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(DISTINCT dport) AS ports, count(DISTINCT dst) AS hosts FROM flows GROUP BY ALL) SELECT *, CASE WHEN hosts = 1 AND ports > 1 THEN 'vertical' WHEN hosts > 1 AND ports = 1 THEN 'horizontal' WHEN hosts > 1 AND ports > 1 THEN 'block' ELSE 'single' END AS scan_type FROM n"
+    "WITH n AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(DISTINCT dport) AS ports, count(DISTINCT dst) AS hosts FROM flows GROUP BY "
+    "ALL) SELECT *, CASE WHEN hosts = 1 AND ports > 1 THEN 'vertical' WHEN hosts > 1 AND ports = 1 THEN 'horizontal' WHEN hosts > 1 AND ports > 1 THEN 'block' "
+    "ELSE 'single' END AS scan_type FROM n"
 )
 def ag6_scan_type(spark, sf_dir):
     return scan.scan_type(flows(spark, sf_dir), seconds=DAY)
@@ -223,13 +252,17 @@ def prj29_scan_candidates(spark, sf_dir):
     return scan.scan_candidates(flows(spark, sf_dir)).select("event_id")
 
 
-@query(f"WITH {EVENTS} SELECT src, window_start, (neip >= 2 OR netcp >= 1 OR rwa >= 4 OR ports >= 6 OR hosts >= 4) AS is_scan, CASE WHEN neip >= 2 OR netcp >= 1 OR rwa >= 4 THEN 'indicators' WHEN ports >= 6 OR hosts >= 4 THEN 'backstop' END AS by FROM ev")
+@query(
+    f"WITH {EVENTS} SELECT src, window_start, (neip >= 2 OR netcp >= 1 OR rwa >= 4 OR ports >= 6 OR hosts >= 4) AS is_scan, CASE WHEN neip >= 2 OR netcp >= 1 OR rwa >= "
+    f"4 THEN 'indicators' WHEN ports >= 6 OR hosts >= 4 THEN 'backstop' END AS by FROM ev"
+)
 def ml2_scan_decide(spark, sf_dir):
     return scan.scan_decide(_events(spark, sf_dir), rwa=4, fan=6, reach=4).select("src", "window_start", "is_scan", "by")
 
 
 @query(
-    f"WITH {EVENTS}, a AS (SELECT src, window_start, neip + netcp AS alpha, sum((neip + netcp = 0)::INT) OVER (PARTITION BY src ORDER BY window_start) AS island FROM ev) SELECT src, window_start, least(sum((alpha > 0)::INT) OVER (PARTITION BY src, island ORDER BY window_start), 2333)::BIGINT AS succession FROM a"
+    f"WITH {EVENTS}, a AS (SELECT src, window_start, neip + netcp AS alpha, sum((neip + netcp = 0)::INT) OVER (PARTITION BY src ORDER BY window_start) AS island "
+    f"FROM ev) SELECT src, window_start, least(sum((alpha > 0)::INT) OVER (PARTITION BY src, island ORDER BY window_start), 2333)::BIGINT AS succession FROM a"
 )
 def win16_succession(spark, sf_dir):
     return scan.succession(_events(spark, sf_dir).withColumn("alpha", F.col("neip") + F.col("netcp"))).select("src", "window_start", "succession")
@@ -238,7 +271,8 @@ def win16_succession(spark, sf_dir):
 @query(
     f"WITH RECURSIVE {EVENTS}, a AS (SELECT src, window_start, neip + netcp AS alpha, row_number() OVER (PARTITION BY src ORDER BY window_start) AS i FROM ev), "
     "s AS (SELECT src, window_start, i, CASE WHEN alpha > 0 THEN 0.8 / (1 - 0.8) ELSE 0.2 / 0.8 END::DOUBLE AS ratio FROM a WHERE i = 1 UNION ALL "
-    "SELECT a.src, a.window_start, a.i, (CASE WHEN s.ratio >= 999 OR s.ratio <= 0.001 THEN 1.0 ELSE s.ratio END * CASE WHEN a.alpha > 0 THEN 0.8 / (1 - 0.8) ELSE 0.2 / 0.8 END)::DOUBLE FROM s JOIN a ON a.src = s.src AND a.i = s.i + 1) "
+    "SELECT a.src, a.window_start, a.i, (CASE WHEN s.ratio >= 999 OR s.ratio <= 0.001 THEN 1.0 ELSE s.ratio END * CASE WHEN a.alpha > 0 THEN 0.8 / (1 - 0.8) ELSE "
+    "0.2 / 0.8 END)::DOUBLE FROM s JOIN a ON a.src = s.src AND a.i = s.i + 1) "
     "SELECT src, window_start, round(ratio, 6) AS ratio, CASE WHEN ratio >= 999 THEN 'scanner' WHEN ratio <= 0.001 THEN 'normal' ELSE 'pending' END AS decision FROM s"
 )
 def win17_sprt(spark, sf_dir):
@@ -246,7 +280,10 @@ def win17_sprt(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT src, count(DISTINCT dport) AS ports, count(DISTINCT dst) AS hosts, sum((bwd_pkts = 0)::INT)::BIGINT AS failed, count(*) AS flows FROM flows GROUP BY 1), t AS (SELECT *, CASE WHEN ports >= 100 THEN 3 WHEN ports >= 20 THEN 2 WHEN ports >= 5 THEN 1 ELSE 0 END + CASE WHEN hosts >= 100 THEN 3 WHEN hosts >= 20 THEN 2 WHEN hosts >= 5 THEN 1 ELSE 0 END + CASE WHEN failed * 2 > flows THEN 2 ELSE 0 END AS score FROM s) SELECT * FROM t ORDER BY score DESC, flows DESC, src LIMIT 3"
+    "WITH s AS (SELECT src, count(DISTINCT dport) AS ports, count(DISTINCT dst) AS hosts, sum((bwd_pkts = 0)::INT)::BIGINT AS failed, count(*) AS flows FROM flows "
+    "GROUP BY 1), t AS (SELECT *, CASE WHEN ports >= 100 THEN 3 WHEN ports >= 20 THEN 2 WHEN ports >= 5 THEN 1 ELSE 0 END + CASE WHEN hosts >= 100 THEN 3 WHEN "
+    "hosts >= 20 THEN 2 WHEN hosts >= 5 THEN 1 ELSE 0 END + CASE WHEN failed * 2 > flows THEN 2 ELSE 0 END AS score FROM s) SELECT * FROM t ORDER BY score DESC, "
+    "flows DESC, src LIMIT 3"
 )
 def ag21_quick_scan(spark, sf_dir):
     return scan.quick_scan(flows(spark, sf_dir))
@@ -254,13 +291,22 @@ def ag21_quick_scan(spark, sf_dir):
 
 # ---- floods
 
-RECORDS = "rec AS (SELECT *, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND syn = 1 AND ack = 1) AS handshake FROM flows)"
+RECORDS = (
+    "rec AS (SELECT *, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND syn = "
+    "1 AND ack = 1) AS handshake FROM flows)"
+)
 FLOODS = (
-    f"{RECORDS}, w AS (SELECT event_id, dst, ts, count(*) OVER f AS n, min(ts) OVER f AS first, sum(bytes) OVER f AS n_bytes, sum(pkts) OVER f AS n_pkts, avg(syn_only::INT) OVER f AS syn_share, avg((proto = 17)::INT) OVER f AS udp_share, avg(handshake::INT) OVER f AS handshake_share, "
-    "count(DISTINCT src) OVER f AS sources, entropy(src) OVER f AS entropy_bits, list(dport) OVER f AS ports FROM rec WINDOW f AS (PARTITION BY dst ORDER BY ts RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)), "
-    "fw AS (SELECT *, n / CASE WHEN n = 1 THEN 1.0 ELSE greatest(1.0, least(7200.0, ts - first)) END AS rate, list_max(list_transform(list_distinct(ports), lambda p: len(list_filter(ports, lambda q: q = p)))) / n AS port_share FROM w)"
+    f"{RECORDS}, w AS (SELECT event_id, dst, ts, count(*) OVER f AS n, min(ts) OVER f AS first, sum(bytes) OVER f AS n_bytes, sum(pkts) OVER f AS n_pkts, "
+    f"avg(syn_only::INT) OVER f AS syn_share, avg((proto = 17)::INT) OVER f AS udp_share, avg(handshake::INT) OVER f AS handshake_share, "
+    "count(DISTINCT src) OVER f AS sources, entropy(src) OVER f AS entropy_bits, list(dport) OVER f AS ports FROM rec WINDOW f AS (PARTITION BY dst ORDER BY ts "
+    "RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)), "
+    "fw AS (SELECT *, n / CASE WHEN n = 1 THEN 1.0 ELSE greatest(1.0, least(7200.0, ts - first)) END AS rate, list_max(list_transform(list_distinct(ports), lambda "
+    "p: len(list_filter(ports, lambda q: q = p)))) / n AS port_share FROM w)"
+)
+FAMILY = (
+    "CASE WHEN n >= 5 AND syn_share >= 0.4 AND port_share >= 0.3 THEN 'SYN flood' WHEN n >= 5 AND udp_share >= 0.4 THEN 'UDP flood' WHEN n >= 5 AND udp_share <= 0.6 "
+    "AND port_share >= 0.8 THEN 'TCP flood' END"
 )
-FAMILY = "CASE WHEN n >= 5 AND syn_share >= 0.4 AND port_share >= 0.3 THEN 'SYN flood' WHEN n >= 5 AND udp_share >= 0.4 THEN 'UDP flood' WHEN n >= 5 AND udp_share <= 0.6 AND port_share >= 0.8 THEN 'TCP flood' END"
 
 
 def _windows(spark, sf_dir):
@@ -271,14 +317,20 @@ def _families(spark, sf_dir):
     return flood.flood_family(_windows(spark, sf_dir), shape=0.4, port_share=0.3, least_flows=5, spoof_sources=5)
 
 
-@query(f"WITH {FLOODS} SELECT event_id, dst, n, sources, round(rate, 6) AS rate, round(entropy_bits, 6) AS entropy_bits, round(syn_share, 6) AS syn_share, round(udp_share, 6) AS udp_share, round(handshake_share, 6) AS handshake_share, round(port_share, 6) AS port_share, round(n_bytes / n_pkts, 6) AS bytes_per_packet FROM fw")
+@query(
+    f"WITH {FLOODS} SELECT event_id, dst, n, sources, round(rate, 6) AS rate, round(entropy_bits, 6) AS entropy_bits, round(syn_share, 6) AS syn_share, "
+    f"round(udp_share, 6) AS udp_share, round(handshake_share, 6) AS handshake_share, round(port_share, 6) AS port_share, round(n_bytes / n_pkts, 6) AS "
+    f"bytes_per_packet FROM fw"
+)
 def win1_flood_window(spark, sf_dir):
     w = _rounded(_windows(spark, sf_dir), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet")
     return w.select("event_id", "dst", "n", F.col("sources").cast("long").alias("sources"), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet")
 
 
 @query(
-    "WITH s AS (SELECT dst, ts, src, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0)::INT AS syn, unnest([floor(ts / 1800)::BIGINT * 1800, floor(ts / 1800)::BIGINT * 1800 - 1800]) AS start FROM flows) SELECT dst, start, count(*) AS n, count(DISTINCT src) AS sources, sum(bytes)::BIGINT AS bytes, sum(syn)::BIGINT AS syn, round(entropy(src), 6) AS entropy_bits FROM s GROUP BY ALL"
+    "WITH s AS (SELECT dst, ts, src, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0)::INT AS syn, unnest([floor(ts / 1800)::BIGINT * 1800, "
+    "floor(ts / 1800)::BIGINT * 1800 - 1800]) AS start FROM flows) SELECT dst, start, count(*) AS n, count(DISTINCT src) AS sources, sum(bytes)::BIGINT AS bytes, "
+    "sum(syn)::BIGINT AS syn, round(entropy(src), 6) AS entropy_bits FROM s GROUP BY ALL"
 )
 def win1_flood_slices(spark, sf_dir):
     w = flood.flood_slices(flood.flow_record(flows(spark, sf_dir)), seconds=3600, step=1800)
@@ -295,7 +347,12 @@ def win3_throttle(spark, sf_dir):
     return flood.evaluations(_windows(spark, sf_dir), seconds=3600.0, growth=5).select("event_id", "dst", "n")
 
 
-EWMA = f"{FLOODS}, e AS (SELECT event_id, dst, rate, {FAMILY} AS family, row_number() OVER (PARTITION BY dst ORDER BY ts, event_id) AS i FROM fw), x AS (SELECT dst, i, event_id, rate, family, NULL::DOUBLE AS baseline, CASE WHEN family IS NULL THEN rate END AS after FROM e WHERE i = 1 UNION ALL SELECT e.dst, e.i, e.event_id, e.rate, e.family, x.after, CASE WHEN e.family IS NOT NULL THEN x.after WHEN x.after IS NULL THEN e.rate ELSE 0.95 * x.after + 0.05 * e.rate END FROM x JOIN e ON e.dst = x.dst AND e.i = x.i + 1)"
+EWMA = (
+    f"{FLOODS}, e AS (SELECT event_id, dst, rate, {FAMILY} AS family, row_number() OVER (PARTITION BY dst ORDER BY ts, event_id) AS i FROM fw), x AS (SELECT dst, i, "
+    f"event_id, rate, family, NULL::DOUBLE AS baseline, CASE WHEN family IS NULL THEN rate END AS after FROM e WHERE i = 1 UNION ALL SELECT e.dst, e.i, e.event_id, "
+    f"e.rate, e.family, x.after, CASE WHEN e.family IS NOT NULL THEN x.after WHEN x.after IS NULL THEN e.rate ELSE 0.95 * x.after + 0.05 * e.rate END FROM x JOIN e ON "
+    f"e.dst = x.dst AND e.i = x.i + 1)"
+)
 
 
 @query(f"WITH RECURSIVE {EWMA} SELECT event_id, round(baseline, 9) AS baseline, (baseline IS NULL OR rate >= 1.5 * baseline) AS over FROM x")
@@ -304,7 +361,9 @@ def win4_ewma_baseline(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE {EWMA}, d AS (SELECT x.event_id, x.family, x.rate, x.baseline, CASE x.family WHEN 'SYN flood' THEN syn_share WHEN 'TCP flood' THEN port_share ELSE udp_share END AS share, sources FROM x JOIN fw USING (event_id) WHERE x.family IS NOT NULL AND x.rate >= 0.0001 AND sources >= 2 AND (baseline IS NULL OR x.rate >= 1.5 * baseline)) "
+    f"WITH RECURSIVE {EWMA}, d AS (SELECT x.event_id, x.family, x.rate, x.baseline, CASE x.family WHEN 'SYN flood' THEN syn_share WHEN 'TCP flood' THEN port_share "
+    f"ELSE udp_share END AS share, sources FROM x JOIN fw USING (event_id) WHERE x.family IS NOT NULL AND x.rate >= 0.0001 AND sources >= 2 AND (baseline IS NULL "
+    f"OR x.rate >= 1.5 * baseline)) "
     "SELECT event_id, family, round(0.6 + 0.2 * least(1.0, greatest(0.0, log10(greatest(1.0, rate / 0.0001)))) + 0.2 * least(1.0, greatest(0.0, (share - 0.4) / 0.6)), 6) AS confidence FROM d"
 )
 def win5_flood_alerts(spark, sf_dir):
@@ -313,25 +372,37 @@ def win5_flood_alerts(spark, sf_dir):
 
 # ---- DNS
 
-DNSV = "m AS (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS base, CASE qtype WHEN 1 THEN 'A' WHEN 28 THEN 'AAAA' WHEN 16 THEN 'TXT' WHEN 5 THEN 'CNAME' WHEN 15 THEN 'MX' WHEN 33 THEN 'SRV' ELSE 'ANY' END AS type FROM dns)"
+DNSV = (
+    "m AS (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS base, CASE qtype WHEN 1 THEN 'A' WHEN 28 THEN 'AAAA' WHEN 16 THEN 'TXT' WHEN 5 THEN 'CNAME' "
+    "WHEN 15 THEN 'MX' WHEN 33 THEN 'SRV' ELSE 'ANY' END AS type FROM dns)"
+)
 
 
 def _dns(spark, sf_dir):
     return dns_ops.with_base(dns(spark, sf_dir))
 
 
-@query(f"WITH {DNSV} SELECT page_id, (sum((rcode = 3)::INT) OVER w)::BIGINT AS nxdomain_count, sum((rcode = 3)::INT) OVER w >= 2 AS suspect FROM m WINDOW w AS (PARTITION BY client ORDER BY ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)")
+@query(
+    f"WITH {DNSV} SELECT page_id, (sum((rcode = 3)::INT) OVER w)::BIGINT AS nxdomain_count, sum((rcode = 3)::INT) OVER w >= 2 AS suspect FROM m WINDOW w AS (PARTITION "
+    f"BY client ORDER BY ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)"
+)
 def ag9_nxdomain_rate(spark, sf_dir):
     return dns_ops.nxdomain_rate(_dns(spark, sf_dir), seconds=600.0, least=2).select("page_id", "nxdomain_count", "suspect")
 
 
-@query(f"WITH {DNSV}, g AS (SELECT client, base, floor(ts / 3000)::BIGINT * 3000 AS window_start, count(*) AS n, sum(length(name))::BIGINT AS bytes_out, sum(bytes)::BIGINT AS bytes_in FROM m GROUP BY ALL) SELECT * FROM g WHERE n >= 3 AND bytes_out > 0 AND bytes_in > 0")
+@query(
+    f"WITH {DNSV}, g AS (SELECT client, base, floor(ts / 3000)::BIGINT * 3000 AS window_start, count(*) AS n, sum(length(name))::BIGINT AS bytes_out, "
+    f"sum(bytes)::BIGINT AS bytes_in FROM m GROUP BY ALL) SELECT * FROM g WHERE n >= 3 AND bytes_out > 0 AND bytes_in > 0"
+)
 def ag10_dns_bytes(spark, sf_dir):
     m = _dns(spark, sf_dir)
     return dns_ops.dns_bytes(m.withColumn("bytes", F.length("name").cast("long")), m, seconds=3000)
 
 
-@query(f"WITH {DNSV}, n AS (SELECT client, type, count(*) AS n, sum((rcode = 3)::INT) AS nx FROM m GROUP BY ALL) SELECT client, sum(n)::BIGINT AS messages, round(sum(nx) / sum(n), 6) AS nx_rate, string_agg(type || '=' || n, ',' ORDER BY n DESC, type) AS types FROM n GROUP BY 1")
+@query(
+    f"WITH {DNSV}, n AS (SELECT client, type, count(*) AS n, sum((rcode = 3)::INT) AS nx FROM m GROUP BY ALL) SELECT client, sum(n)::BIGINT AS messages, round(sum(nx) "
+    f"/ sum(n), 6) AS nx_rate, string_agg(type || '=' || n, ',' ORDER BY n DESC, type) AS types FROM n GROUP BY 1"
+)
 def ag11_dns_host_summary(spark, sf_dir):
     s = dns_ops.dns_host_summary(_dns(spark, sf_dir))
     listed = F.transform(F.array_sort(F.transform(F.map_entries("types"), lambda e: F.struct(-e["value"], e["key"]))), lambda x: F.concat(x["key"], F.lit("="), (-x["col1"]).cast("string")))
@@ -339,8 +410,10 @@ def ag11_dns_host_summary(spark, sf_dir):
 
 
 @query(
-    f"WITH {DNSV}, w AS (SELECT page_id, count(*) OVER w AS replies, (sum((rcode = 3)::INT) OVER w)::BIGINT AS nx, count(DISTINCT CASE WHEN rcode = 3 THEN base END) OVER w AS nx_bases FROM m WINDOW w AS (PARTITION BY client ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
-    "SELECT page_id, replies, nx, nx_bases, round(0.6 + 0.25 * least(1.0, (nx / replies - 0.5) / 0.5) + 0.15 * least(1.0, nx / 80), 6) AS confidence FROM w WHERE nx >= 3 AND nx / replies >= 0.5 AND replies >= 4 AND nx_bases >= 2"
+    f"WITH {DNSV}, w AS (SELECT page_id, count(*) OVER w AS replies, (sum((rcode = 3)::INT) OVER w)::BIGINT AS nx, count(DISTINCT CASE WHEN rcode = 3 THEN base "
+    f"END) OVER w AS nx_bases FROM m WINDOW w AS (PARTITION BY client ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
+    "SELECT page_id, replies, nx, nx_bases, round(0.6 + 0.25 * least(1.0, (nx / replies - 0.5) / 0.5) + 0.15 * least(1.0, nx / 80), 6) AS confidence FROM w WHERE "
+    "nx >= 3 AND nx / replies >= 0.5 AND replies >= 4 AND nx_bases >= 2"
 )
 def win6_nx_burst(spark, sf_dir):
     m = dns_ops.nx_burst(_dns(spark, sf_dir), seconds=3000.0, nx=3, replies=4, bases=2)
@@ -348,8 +421,10 @@ def win6_nx_burst(spark, sf_dir):
 
 
 @query(
-    f"WITH {DNSV}, w AS (SELECT page_id, count(*) OVER w AS queries, count(DISTINCT name) OVER w AS names, (sum((type IN ('TXT', 'CNAME', 'MX', 'SRV', 'ANY'))::INT) OVER w)::BIGINT AS rare FROM m WINDOW w AS (PARTITION BY client, base ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
-    "SELECT page_id, queries, names, rare, round(0.6 + 0.25 * least(1.0, (rare / queries - 0.5) / 0.5) + 0.15 * least(1.0, names / 100), 6) AS confidence FROM w WHERE queries >= 3 AND names >= 2 AND rare / queries >= 0.5"
+    f"WITH {DNSV}, w AS (SELECT page_id, count(*) OVER w AS queries, count(DISTINCT name) OVER w AS names, (sum((type IN ('TXT', 'CNAME', 'MX', 'SRV', "
+    f"'ANY'))::INT) OVER w)::BIGINT AS rare FROM m WINDOW w AS (PARTITION BY client, base ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
+    "SELECT page_id, queries, names, rare, round(0.6 + 0.25 * least(1.0, (rare / queries - 0.5) / 0.5) + 0.15 * least(1.0, names / 100), 6) AS confidence FROM w "
+    "WHERE queries >= 3 AND names >= 2 AND rare / queries >= 0.5"
 )
 def win7_rtype_anomaly(spark, sf_dir):
     m = dns_ops.rtype_anomaly(_dns(spark, sf_dir), seconds=3000.0, least=3, names=2)
@@ -357,8 +432,10 @@ def win7_rtype_anomaly(spark, sf_dir):
 
 
 @query(
-    f"WITH {DNSV}, w AS (SELECT page_id, count(DISTINCT name) OVER w AS names, avg(length(string_split(name, '.')[1])) OVER w AS mean_label FROM m WINDOW w AS (PARTITION BY client, base ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
-    "SELECT page_id, names, round(mean_label, 6) AS mean_label, round(0.6 + 0.2 * least(1.0, (mean_label - 4) / 40) + 0.2 * least(1.0, names / 200), 6) AS confidence FROM w WHERE names >= 2 AND mean_label >= 4"
+    f"WITH {DNSV}, w AS (SELECT page_id, count(DISTINCT name) OVER w AS names, avg(length(string_split(name, '.')[1])) OVER w AS mean_label FROM m WINDOW w AS "
+    f"(PARTITION BY client, base ORDER BY ts RANGE BETWEEN 3000 PRECEDING AND CURRENT ROW)) "
+    "SELECT page_id, names, round(mean_label, 6) AS mean_label, round(0.6 + 0.2 * least(1.0, (mean_label - 4) / 40) + 0.2 * least(1.0, names / 200), 6) AS "
+    "confidence FROM w WHERE names >= 2 AND mean_label >= 4"
 )
 def win8_subdomain_fanout(spark, sf_dir):
     m = dns_ops.subdomain_fanout(_dns(spark, sf_dir), seconds=3000.0, names=2, label=4.0)
@@ -366,7 +443,8 @@ def win8_subdomain_fanout(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT event_id, k, least(1.0, value / 100) AS share FROM flows) SELECT event_id, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * least(1.0, k / 80), 6) AS nx_confidence, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * least(1.0, k / 100), 6) AS rtype_confidence, "
+    "WITH v AS (SELECT event_id, k, least(1.0, value / 100) AS share FROM flows) SELECT event_id, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * "
+    "least(1.0, k / 80), 6) AS nx_confidence, round(0.6 + 0.25 * least(1.0, (share - 0.5) / 0.5) + 0.15 * least(1.0, k / 100), 6) AS rtype_confidence, "
     "round(0.6 + 0.2 * least(1.0, (share * 60 - 20) / 40) + 0.2 * least(1.0, k / 200), 6) AS fanout_confidence FROM v"
 )
 def win9_dns_confidence(spark, sf_dir):
@@ -410,16 +488,22 @@ def ag7_beacon_score(spark, sf_dir):
 @query(
     f"WITH RECURSIVE {SCORED}, {SPECTRA}, best AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, window_start) AS i FROM bt WHERE score >= 0.3), "
     "x AS (SELECT src, dst, window_start, stddev_pop(gap) / avg(gap) AS cv, max(t) - min(t) AS span, list(round(gap, 3) ORDER BY t) FILTER (WHERE gap IS NOT NULL) AS gaps FROM g GROUP BY ALL) "
-    "SELECT src, dst, window_start, round(score, 6) AS score, checkins, round(cv, 6) AS cv, round(span, 3) AS span, array_to_string(list_transform(gaps[1:24], lambda v: round(v * 1000)::BIGINT), ',') AS first_gaps FROM best JOIN x USING (src, dst, window_start) WHERE i = 1"
+    "SELECT src, dst, window_start, round(score, 6) AS score, checkins, round(cv, 6) AS cv, round(span, 3) AS span, array_to_string(list_transform(gaps[1:24], "
+    "lambda v: round(v * 1000)::BIGINT), ',') AS first_gaps FROM best JOIN x USING (src, dst, window_start) WHERE i = 1"
 )
 def ag8_beacon_alerts(spark, sf_dir):
     a = beacon.beacon_alerts(_scores(spark, sf_dir).withColumn("score", F.col("score")), least=0.3)
     millis = F.array_join(F.transform("first_gaps", lambda x: F.round(F.round(x, 3) * 1000).cast("long").cast("string")), ",")
-    return a.select("src", "dst", "window_start", F.round("score", 6).alias("score"), F.col("checkins").cast("long").alias("checkins"), F.round("cv", 6).alias("cv"), F.round("span", 3).alias("span"), millis.alias("first_gaps"))
+    return a.select(
+        "src", "dst", "window_start", F.round("score", 6).alias("score"), F.col("checkins").cast("long").alias("checkins"), F.round("cv", 6).alias("cv"),
+        F.round("span", 3).alias("span"), millis.alias("first_gaps"),
+    )
 
 
 @query(
-    "WITH h AS (SELECT src, dst, dport, avg(fwd_bytes) AS mean_bytes, (max(ts) - min(ts)) / greatest(1, count(*) - 1) AS mean_gap FROM flows GROUP BY ALL) SELECT src, dst, dport, (dport = 123 OR (dport = 53 AND mean_gap >= 30) OR (mean_bytes < 100 AND mean_gap BETWEEN 10 AND 120) OR (dport IN (80, 443) AND mean_gap BETWEEN 4 AND 31 AND mean_bytes < 500)) AS benign_periodic FROM h"
+    "WITH h AS (SELECT src, dst, dport, avg(fwd_bytes) AS mean_bytes, (max(ts) - min(ts)) / greatest(1, count(*) - 1) AS mean_gap FROM flows GROUP BY ALL) SELECT "
+    "src, dst, dport, (dport = 123 OR (dport = 53 AND mean_gap >= 30) OR (mean_bytes < 100 AND mean_gap BETWEEN 10 AND 120) OR (dport IN (80, 443) AND mean_gap "
+    "BETWEEN 4 AND 31 AND mean_bytes < 500)) AS benign_periodic FROM h"
 )
 def prj30_benign_periodic(spark, sf_dir):
     h = flows(spark, sf_dir).groupBy("src", "dst", "dport").agg(F.avg("fwd_bytes").alias("mean_bytes"), ((F.max("ts") - F.min("ts")) / F.greatest(F.lit(1), F.count("*") - 1)).alias("mean_gap"))
@@ -432,8 +516,11 @@ def top1_beacons(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT event_id, sum(fwd_bytes) OVER w AS out_bytes, sum(bwd_bytes) OVER w AS in_bytes FROM flows WHERE bwd_pkts > 0 AND dst LIKE '203.%' WINDOW w AS (PARTITION BY src, dst ORDER BY last_seen RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)), r AS (SELECT *, out_bytes / greatest(1, in_bytes) AS ratio FROM w) "
-    "SELECT event_id, out_bytes::BIGINT AS out_bytes, in_bytes::BIGINT AS in_bytes, round(0.6 + 0.2 * least(1.0, greatest(0.0, log10(ratio / 4))) + 0.2 * least(1.0, greatest(0.0, log10(out_bytes / 20000))), 6) AS confidence FROM r WHERE out_bytes >= 20000 AND ratio >= 4"
+    "WITH w AS (SELECT event_id, sum(fwd_bytes) OVER w AS out_bytes, sum(bwd_bytes) OVER w AS in_bytes FROM flows WHERE bwd_pkts > 0 AND dst LIKE '203.%' WINDOW w "
+    "AS (PARTITION BY src, dst ORDER BY last_seen RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)), r AS (SELECT *, out_bytes / greatest(1, in_bytes) AS ratio FROM "
+    "w) "
+    "SELECT event_id, out_bytes::BIGINT AS out_bytes, in_bytes::BIGINT AS in_bytes, round(0.6 + 0.2 * least(1.0, greatest(0.0, log10(ratio / 4))) + 0.2 * "
+    "least(1.0, greatest(0.0, log10(out_bytes / 20000))), 6) AS confidence FROM r WHERE out_bytes >= 20000 AND ratio >= 4"
 )
 def win10_exfil_ratio(spark, sf_dir):
     return beacon.exfil_ratio(flows(spark, sf_dir), seconds=float(DAY), least_bytes=20_000, ratio=4.0).select("event_id", "out_bytes", "in_bytes", "confidence")
@@ -441,23 +528,34 @@ def win10_exfil_ratio(spark, sf_dir):
 
 def _tls(spark, sf_dir):
     k = F.col("k")
-    return flows(spark, sf_dir).select("event_id", "ts", "src", F.concat(F.lit("s"), k % 3).alias("dst"), "fwd_bytes", F.concat(F.lit("j"), k % 2).alias("ja4"), (k % 4).alias("shape"), (k % 4).alias("flags"), F.lit("one").alias("sensor"))
+    return flows(spark, sf_dir).select(
+        "event_id", "ts", "src", F.concat(F.lit("s"), k % 3).alias("dst"), "fwd_bytes", F.concat(F.lit("j"), k % 2).alias("ja4"), (k % 4).alias("shape"),
+        (k % 4).alias("flags"), F.lit("one").alias("sensor"),
+    )
 
 
 TLS = "tls AS (SELECT event_id, ts, src, 's' || (k % 3) AS dst, fwd_bytes, 'j' || (k % 2) AS ja4, k % 4 AS shape, k % 4 AS flags FROM flows)"
 
 
 @query(
-    f"WITH {TLS}, d AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY ts, event_id) = 1)::INT AS f, (row_number() OVER (PARTITION BY ja4, src ORDER BY ts, event_id) = 1)::INT AS fc FROM tls), p AS (SELECT *, sum(f) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS population, sum(fc) OVER (PARTITION BY ja4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clients FROM d), "
-    "w AS (SELECT event_id, population, clients, flags, count(*) OVER w AS n, list(shape) OVER w AS shapes FROM p WINDOW w AS (PARTITION BY src, dst, ja4 ORDER BY ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW)) "
-    "SELECT event_id, n AS sessions, round(CASE WHEN population < 5 THEN 0 ELSE 1 - least(1.0, (clients - 1) / 4) END, 6) AS r, round(list_max(list_transform(list_distinct(shapes), lambda s: len(list_filter(shapes, lambda x: x = s)))) / n, 6) AS p, round(least(1.0, flags / 3), 6) AS h FROM w WHERE n >= 4"
+    f"WITH {TLS}, d AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY ts, event_id) = 1)::INT AS f, (row_number() OVER (PARTITION BY ja4, src ORDER BY "
+    f"ts, event_id) = 1)::INT AS fc FROM tls), p AS (SELECT *, sum(f) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS population, sum(fc) OVER (PARTITION "
+    f"BY ja4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clients FROM d), "
+    "w AS (SELECT event_id, population, clients, flags, count(*) OVER w AS n, list(shape) OVER w AS shapes FROM p WINDOW w AS (PARTITION BY src, dst, ja4 ORDER BY "
+    "ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW)) "
+    "SELECT event_id, n AS sessions, round(CASE WHEN population < 5 THEN 0 ELSE 1 - least(1.0, (clients - 1) / 4) END, 6) AS r, "
+    "round(list_max(list_transform(list_distinct(shapes), lambda s: len(list_filter(shapes, lambda x: x = s)))) / n, 6) AS p, round(least(1.0, flags / 3), 6) AS h "
+    "FROM w WHERE n >= 4"
 )
 def win11_tls_profile(spark, sf_dir):
     t = _rounded(beacon.tls_profile(_tls(spark, sf_dir), seconds=864_000.0, least_sessions=4), "r", "p", "h")
     return t.select("event_id", F.col("sessions").cast("long").alias("sessions"), "r", "p", "h")
 
 
-@query(f"WITH {TLS}, d AS (SELECT *, (row_number() OVER (PARTITION BY ja4, src ORDER BY ts, event_id) = 1)::INT AS fc FROM tls) SELECT event_id, (sum(fc) OVER (PARTITION BY ja4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS clients FROM d")
+@query(
+    f"WITH {TLS}, d AS (SELECT *, (row_number() OVER (PARTITION BY ja4, src ORDER BY ts, event_id) = 1)::INT AS fc FROM tls) SELECT event_id, (sum(fc) OVER (PARTITION "
+    f"BY ja4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS clients FROM d"
+)
 def win12_running_distinct(spark, sf_dir):
     return beacon.running_distinct(_tls(spark, sf_dir), of="src", order=["ts", "event_id"], by=["ja4"], name="clients").select("event_id", "clients")
 

@@ -18,7 +18,10 @@ SELECT event_id, CASE k % 16 WHEN 0 THEN '10.1.2.' || k WHEN 1 THEN '172.16.5.'
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
-    kinds = ["10.1.2.{}", "172.16.5.{}", "192.168.3.{}", "100.64.0.{}", "127.0.0.1", "169.254.1.{}", "224.0.0.{}", "0.0.0.0", "255.255.255.255", "240.1.1.{}", "fe80::{}", "fd00:1:2::{}", "2001:db8:7::{}", "ff02::{}", "8.8.8.{}", "host{}"]
+    kinds = [
+        "10.1.2.{}", "172.16.5.{}", "192.168.3.{}", "100.64.0.{}", "127.0.0.1", "169.254.1.{}", "224.0.0.{}", "0.0.0.0", "255.255.255.255", "240.1.1.{}", "fe80::{}",
+        "fd00:1:2::{}", "2001:db8:7::{}", "ff02::{}", "8.8.8.{}", "host{}",
+    ]
     pattern = F.element_at(F.array(*map(F.lit, kinds)), (k % 16 + 1).cast("int"))
     return flows(spark, sf_dir).select("event_id", F.replace(pattern, F.lit("{}"), k.cast("string")).alias("ip"))
 
@@ -70,23 +73,32 @@ def prj5_in_subnets(spark, sf_dir):
     return in_subnets(ips, nets).select("event_id", "ip", "net", "is_broadcast")
 
 
-@query(f"WITH a AS ({ADDRESS_SQL}) SELECT event_id, ip, CASE WHEN ip LIKE '%:%' THEN array_to_string(string_split(ip, ':')[1:3], ':') ELSE array_to_string(string_split(ip, '.')[1:3], '.') END AS prefix FROM a")
+@query(
+    f"WITH a AS ({ADDRESS_SQL}) SELECT event_id, ip, CASE WHEN ip LIKE '%:%' THEN array_to_string(string_split(ip, ':')[1:3], ':') ELSE "
+    f"array_to_string(string_split(ip, '.')[1:3], '.') END AS prefix FROM a"
+)
 def prj6_net_prefix(spark, sf_dir):
     return addresses(spark, sf_dir).withColumn("prefix", net.net_prefix(F.col("ip")))
 
 
 @query(
-    "SELECT event_id, CASE proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END AS proto_name, CASE dport WHEN 80 THEN 'http' WHEN 53 THEN 'dns' WHEN 443 THEN 'ssl' WHEN 22 THEN 'ssh' WHEN 445 THEN 'smb' ELSE 'other' END AS service, "
-    "CASE k WHEN 1 THEN 'A' WHEN 2 THEN 'NS' WHEN 5 THEN 'CNAME' WHEN 6 THEN 'SOA' WHEN 10 THEN 'NULL' WHEN 12 THEN 'PTR' WHEN 13 THEN 'HINFO' WHEN 15 THEN 'MX' WHEN 16 THEN 'TXT' WHEN 28 THEN 'AAAA' WHEN 33 THEN 'SRV' "
+    "SELECT event_id, CASE proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END AS proto_name, CASE dport WHEN 80 THEN 'http' WHEN 53 THEN 'dns' WHEN 443 THEN 'ssl' "
+    "WHEN 22 THEN 'ssh' WHEN 445 THEN 'smb' ELSE 'other' END AS service, "
+    "CASE k WHEN 1 THEN 'A' WHEN 2 THEN 'NS' WHEN 5 THEN 'CNAME' WHEN 6 THEN 'SOA' WHEN 10 THEN 'NULL' WHEN 12 THEN 'PTR' WHEN 13 THEN 'HINFO' WHEN 15 THEN 'MX' "
+    "WHEN 16 THEN 'TXT' WHEN 28 THEN 'AAAA' WHEN 33 THEN 'SRV' "
     "WHEN 35 THEN 'NAPTR' WHEN 43 THEN 'DS' WHEN 48 THEN 'DNSKEY' WHEN 52 THEN 'TLSA' WHEN 64 THEN 'SVCB' WHEN 65 THEN 'HTTPS' WHEN 99 THEN 'SPF' ELSE 'TYPE' || k END AS qtype FROM flows"
 )
 def prj7_names(spark, sf_dir):
-    return flows(spark, sf_dir).select("event_id", net.proto_name(F.col("proto")).alias("proto_name"), net.port_service(F.col("dport"), F.col("proto")).alias("service"), net.qtype_name(F.col("k")).alias("qtype"))
+    return flows(spark, sf_dir).select(
+        "event_id", net.proto_name(F.col("proto")).alias("proto_name"), net.port_service(F.col("dport"), F.col("proto")).alias("service"),
+        net.qtype_name(F.col("k")).alias("qtype"),
+    )
 
 
 @query(
     "WITH fan AS (SELECT dst, count(DISTINCT src) AS fanin FROM flows GROUP BY dst), c AS (SELECT event_id, f.dst, fanin, least(sport, dport) AS port FROM flows f JOIN fan USING (dst)) "
-    "SELECT event_id, CASE WHEN port = 53 THEN 'Infra' WHEN port IN (80, 443) THEN 'WebProxy' WHEN port = 22 THEN 'RemoteAccess' WHEN port IN (445) THEN 'FileShare' WHEN port IN (464) THEN 'Directory' WHEN port IN (465) THEN 'Mail' "
+    "SELECT event_id, CASE WHEN port = 53 THEN 'Infra' WHEN port IN (80, 443) THEN 'WebProxy' WHEN port = 22 THEN 'RemoteAccess' WHEN port IN (445) THEN "
+    "'FileShare' WHEN port IN (464) THEN 'Directory' WHEN port IN (465) THEN 'Mail' "
     "WHEN fanin >= 120 THEN 'Infra' WHEN fanin >= 90 THEN 'Unknown' ELSE 'Workstation' END AS asset_class FROM c"
 )
 def prj8_asset_class(spark, sf_dir):
@@ -98,8 +110,10 @@ def prj8_asset_class(spark, sf_dir):
 
 
 @query(
-    "WITH h AS (SELECT event_id, CASE k % 8 WHEN 0 THEN 'api.github.com' WHEN 1 THEN 'slack.com' WHEN 2 THEN 'sync.example.com' WHEN 3 THEN 'ipinfo.io' WHEN 4 THEN 'www.dropbox.com' WHEN 5 THEN 'pypi.org' WHEN 6 THEN 'example.com' END AS name, dst FROM flows) "
-    "SELECT event_id, CASE WHEN name = 'api.github.com' THEN 'Code_Repo_Paste' WHEN name = 'slack.com' THEN 'Messaging_API' WHEN name = 'sync.example.com' THEN 'Sync' WHEN name = 'ipinfo.io' THEN 'Recon_API' WHEN name = 'www.dropbox.com' THEN 'Cloud_Storage' "
+    "WITH h AS (SELECT event_id, CASE k % 8 WHEN 0 THEN 'api.github.com' WHEN 1 THEN 'slack.com' WHEN 2 THEN 'sync.example.com' WHEN 3 THEN 'ipinfo.io' WHEN 4 "
+    "THEN 'www.dropbox.com' WHEN 5 THEN 'pypi.org' WHEN 6 THEN 'example.com' END AS name, dst FROM flows) "
+    "SELECT event_id, CASE WHEN name = 'api.github.com' THEN 'Code_Repo_Paste' WHEN name = 'slack.com' THEN 'Messaging_API' WHEN name = 'sync.example.com' THEN "
+    "'Sync' WHEN name = 'ipinfo.io' THEN 'Recon_API' WHEN name = 'www.dropbox.com' THEN 'Cloud_Storage' "
     "WHEN name = 'pypi.org' THEN 'CI_CD' WHEN name IS NOT NULL THEN 'Browse' WHEN dst LIKE '192.168.%' THEN 'Internal' ELSE 'Unknown_External' END AS category FROM h"
 )
 def prj9_resolve_category(spark, sf_dir):
@@ -122,8 +136,10 @@ def prj10_orient_client(spark, sf_dir):
 
 @query(
     "WITH o AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN '198.51.100.' || (k % 7) ELSE src END AS src, dst, k, fwd_bytes, bwd_bytes FROM flows), "
-    "s AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN dst ELSE src END AS a, CASE WHEN k % 4 = 0 THEN src ELSE dst END AS b, fwd_bytes, bwd_bytes FROM o), l AS (SELECT *, a LIKE '10.%' OR a LIKE '192.168.%' AS here, b LIKE '10.%' OR b LIKE '192.168.%' AS there FROM s) "
-    "SELECT event_id, CASE WHEN here THEN a ELSE b END AS host, CASE WHEN here THEN b ELSE a END AS peer, CASE WHEN here THEN fwd_bytes ELSE bwd_bytes END AS up, CASE WHEN here THEN bwd_bytes ELSE fwd_bytes END AS down FROM l WHERE here OR there"
+    "s AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN dst ELSE src END AS a, CASE WHEN k % 4 = 0 THEN src ELSE dst END AS b, fwd_bytes, bwd_bytes FROM o), l AS "
+    "(SELECT *, a LIKE '10.%' OR a LIKE '192.168.%' AS here, b LIKE '10.%' OR b LIKE '192.168.%' AS there FROM s) "
+    "SELECT event_id, CASE WHEN here THEN a ELSE b END AS host, CASE WHEN here THEN b ELSE a END AS peer, CASE WHEN here THEN fwd_bytes ELSE bwd_bytes END AS up, "
+    "CASE WHEN here THEN bwd_bytes ELSE fwd_bytes END AS down FROM l WHERE here OR there"
 )
 def prj11_to_connections(spark, sf_dir):
     from ..operators.enrich import to_connections
@@ -136,7 +152,8 @@ def prj11_to_connections(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND syn = 1 AND ack = 1) AS handshake FROM flows"
+    "SELECT event_id, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND "
+    "syn = 1 AND ack = 1) AS handshake FROM flows"
 )
 def prj12_flow_record(spark, sf_dir):
     from ..operators.flood import flow_record
@@ -146,8 +163,10 @@ def prj12_flow_record(spark, sf_dir):
 
 @query(
     "WITH f AS (SELECT event_id, proto, CASE WHEN k % 5 = 0 THEN 123 WHEN k % 5 = 1 THEN 389 ELSE sport END AS sport, (syn = 1 AND ack = 0) AS syn_only FROM flows) "
-    "SELECT event_id, CASE WHEN proto = 6 AND syn_only THEN 'SYN flood' WHEN proto = 17 AND sport = 123 THEN 'UDP reflection/amplification (NTP)' WHEN proto = 17 AND sport = 389 THEN 'UDP reflection/amplification (CLDAP)' "
-    "WHEN proto = 17 AND sport IN (1434, 1900, 3283, 3702, 5351, 5683, 10001, 11211, 37810) THEN 'UDP reflection/amplification (' || CASE sport WHEN 1434 THEN 'MSSQL' WHEN 1900 THEN 'SSDP' WHEN 3283 THEN 'ARMS' WHEN 3702 THEN 'WS-Discovery' "
+    "SELECT event_id, CASE WHEN proto = 6 AND syn_only THEN 'SYN flood' WHEN proto = 17 AND sport = 123 THEN 'UDP reflection/amplification (NTP)' WHEN proto = 17 "
+    "AND sport = 389 THEN 'UDP reflection/amplification (CLDAP)' "
+    "WHEN proto = 17 AND sport IN (1434, 1900, 3283, 3702, 5351, 5683, 10001, 11211, 37810) THEN 'UDP reflection/amplification (' || CASE sport WHEN 1434 THEN "
+    "'MSSQL' WHEN 1900 THEN 'SSDP' WHEN 3283 THEN 'ARMS' WHEN 3702 THEN 'WS-Discovery' "
     "WHEN 5351 THEN 'NAT-PMP' WHEN 5683 THEN 'CoAP' WHEN 10001 THEN 'Ubiquiti' WHEN 11211 THEN 'Memcached' ELSE 'DVR' END || ')' WHEN proto = 17 THEN 'UDP flood' ELSE 'TCP flood' END AS family FROM f"
 )
 def prj13_flow_family(spark, sf_dir):
@@ -178,7 +197,10 @@ def prj16_community_id(spark, sf_dir):
     """Flows as they are, and once more between IPv6 addresses that end in the IPv4 ones."""
     c = F.col
     f = flows(spark, sf_dir)
-    six = lambda ip: F.concat(F.lit("2001:db8::"), *[x for i in (1, 5) for x in ((F.lit(":") if i > 1 else F.lit("")), F.substring(F.lpad(F.lower(F.hex(net.ipv4_number(c(ip)))), 8, "0"), i, 4))])
+    six = lambda ip: F.concat(
+        F.lit("2001:db8::"),
+        *[x for i in (1, 5) for x in ((F.lit(":") if i > 1 else F.lit("")), F.substring(F.lpad(F.lower(F.hex(net.ipv4_number(c(ip)))), 8, "0"), i, 4))],
+    )
     both = f.unionByName(f.withColumns({"src": six("src"), "dst": six("dst")}))
     return both.select("event_id", net.community_id(c("src"), c("dst"), c("sport"), c("dport"), c("proto")).alias("community_id"))
 
@@ -187,19 +209,26 @@ HOSTS = "SELECT page_id, name FROM dns"
 
 
 @query(
-    f"WITH h AS ({HOSTS}), p AS (SELECT page_id, name, string_split(lower(name), '.') AS p FROM h) SELECT page_id, name, array_to_string(CASE WHEN len(p) > 2 AND length(p[-1]) = 2 AND p[-2] IN ('co', 'com', 'net', 'org', 'gov', 'ac') THEN p[-3:] ELSE p[-2:] END, '.') AS base FROM p"
+    f"WITH h AS ({HOSTS}), p AS (SELECT page_id, name, string_split(lower(name), '.') AS p FROM h) SELECT page_id, name, array_to_string(CASE WHEN len(p) > 2 AND "
+    f"length(p[-1]) = 2 AND p[-2] IN ('co', 'com', 'net', 'org', 'gov', 'ac') THEN p[-3:] ELSE p[-2:] END, '.') AS base FROM p"
 )
 def str1_base_domain(spark, sf_dir):
     return dns(spark, sf_dir).select("page_id", "name", text.base_domain(F.col("name")).alias("base"))
 
 
-@query(f"WITH h AS ({HOSTS}), p AS (SELECT page_id, name, string_split(lower(name), '.') AS p FROM h) SELECT page_id, array_to_string(p[-2:], '.') AS sld, array_to_string(p[-2:], '.') IN ('example.com') AS allowed FROM p")
+@query(
+    f"WITH h AS ({HOSTS}), p AS (SELECT page_id, name, string_split(lower(name), '.') AS p FROM h) SELECT page_id, array_to_string(p[-2:], '.') AS sld, "
+    f"array_to_string(p[-2:], '.') IN ('example.com') AS allowed FROM p"
+)
 def str2_second_level(spark, sf_dir):
     sld = text.second_level(F.col("name"))
     return dns(spark, sf_dir).select("page_id", sld.alias("sld"), sld.isin(["example.com"]).alias("allowed"))
 
 
-@query(r"WITH h AS (SELECT page_id, name || CASE page_id % 3 WHEN 0 THEN '.local' WHEN 1 THEN '.arpa' ELSE '' END AS name FROM dns) SELECT page_id, name, NOT regexp_matches(lower(name), '(\.arpa|\.local)$') AND length(name) >= 4 AS lexical FROM h")
+@query(
+    r"WITH h AS (SELECT page_id, name || CASE page_id % 3 WHEN 0 THEN '.local' WHEN 1 THEN '.arpa' ELSE '' END AS name FROM dns) SELECT page_id, name, NOT "
+    r"regexp_matches(lower(name), '(\.arpa|\.local)$') AND length(name) >= 4 AS lexical FROM h"
+)
 def str3_is_lexical(spark, sf_dir):
     name = F.concat("name", F.when(F.col("page_id") % 3 == 0, ".local").when(F.col("page_id") % 3 == 1, ".arpa").otherwise(""))
     return dns(spark, sf_dir).select("page_id", name.alias("name")).withColumn("lexical", text.is_lexical(F.col("name")))
@@ -256,7 +285,8 @@ def str7_domain_stats(spark, sf_dir):
 
 
 @query(
-    f"SELECT page_id, array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN i > length(name) THEN 0 WHEN strpos('{text.NAME_CHARACTERS}', name[i]) > 0 THEN strpos('{text.NAME_CHARACTERS}', name[i]) + 1 ELSE 1 END), ',') AS codes FROM dns"
+    f"SELECT page_id, array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN i > length(name) THEN 0 WHEN strpos('{text.NAME_CHARACTERS}', name[i]) > 0 "
+    f"THEN strpos('{text.NAME_CHARACTERS}', name[i]) + 1 ELSE 1 END), ',') AS codes FROM dns"
 )
 def str8_encode_chars(spark, sf_dir):
     return dns(spark, sf_dir).select("page_id", F.array_join(F.transform(text.encode_chars(F.col("name")), lambda x: x.cast("string")), ",").alias("codes"))
@@ -276,7 +306,8 @@ def str9_ja3(spark, sf_dir):
 
 @query(
     "WITH c AS (SELECT event_id, lpad(lower(hex(4865 + k % 3)), 4, '0') AS a, lpad(lower(hex(49195 + k)), 4, '0') AS b, lpad(lower(hex(20 + k % 50)), 4, '0') AS x FROM flows) "
-    "SELECT event_id, 't13d0204h2_' || substr(sha256(CASE WHEN a < b THEN a || ',' || b ELSE b || ',' || a END), 1, 12) || '_' || substr(sha256(array_to_string(list_sort([x, '000d']), ',') || '_0403,0804'), 1, 12) AS ja4 FROM c"
+    "SELECT event_id, 't13d0204h2_' || substr(sha256(CASE WHEN a < b THEN a || ',' || b ELSE b || ',' || a END), 1, 12) || '_' || "
+    "substr(sha256(array_to_string(list_sort([x, '000d']), ',') || '_0403,0804'), 1, 12) AS ja4 FROM c"
 )
 def str10_ja4(spark, sf_dir):
     k = F.col("k")
@@ -290,7 +321,9 @@ def str10_ja4(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, 'h' || k || '.example.com' AS sni, 49195 + k AS first_cipher, 'h2' AS alpn, 4865 + k % 3 AS cipher, 772 AS negotiated, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0') AS ja3, md5('771,' || (4865 + k % 3) || ',43-' || (60 + k)) AS ja3s FROM flows WHERE event_type = 'purchase' AND k % 5 <> 0 UNION ALL "
+    "SELECT event_id, 'h' || k || '.example.com' AS sni, 49195 + k AS first_cipher, 'h2' AS alpn, 4865 + k % 3 AS cipher, 772 AS negotiated, md5('771,' || (49195 "
+    "+ k) || '-4865,0-16-10-11,29-23,0') AS ja3, md5('771,' || (4865 + k % 3) || ',43-' || (60 + k)) AS ja3s FROM flows WHERE event_type = 'purchase' AND k % 5 <> "
+    "0 UNION ALL "
     "SELECT event_id, 'h' || k || '.example.com', 49195 + k, 'h2', NULL, NULL, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0'), NULL FROM flows WHERE event_type = 'purchase' AND k % 5 = 0"
 )
 def str11_tls_hellos(spark, sf_dir):
@@ -322,7 +355,10 @@ def str11_tls_hellos(spark, sf_dir):
     return t.select(F.col("key").cast("long").alias("event_id"), "sni", F.col("ciphers")[0].alias("first_cipher"), F.col("alpn")[0].alias("alpn"), "cipher", "negotiated", "ja3", "ja3s")
 
 
-@query("SELECT event_id, CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN -14400 WHEN 2 THEN 3600 ELSE 0 END AS offset_s, floor((ts + CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN -14400 WHEN 2 THEN 3600 ELSE 0 END) / 3600)::BIGINT AS lhour FROM flows")
+@query(
+    "SELECT event_id, CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN -14400 WHEN 2 THEN 3600 ELSE 0 END AS offset_s, floor((ts + CASE k % 4 WHEN 0 THEN 19800 WHEN 1 THEN "
+    "-14400 WHEN 2 THEN 3600 ELSE 0 END) / 3600)::BIGINT AS lhour FROM flows"
+)
 def str12_local_hour(spark, sf_dir):
     tz = F.element_at(F.array(F.lit("+05:30"), F.lit("-4"), F.lit("3600"), F.lit("0")), (F.col("k") % 4 + 1).cast("int"))
     off = text.utc_offset_seconds(tz)
@@ -332,26 +368,37 @@ def str12_local_hour(spark, sf_dir):
 def _series(spark, sf_dir):
     """Per user, the ordered times, gaps and values of their events."""
     h = stats.histories(flows(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["value"])
-    return h.select("user_id", stats.differences(F.transform("history", lambda x: x["ts"])).alias("gaps"), F.transform("history", lambda x: x["value"]).alias("vals"), F.transform("history", lambda x: x["ts"]).alias("times"))
+    return h.select(
+        "user_id", stats.differences(F.transform("history", lambda x: x["ts"])).alias("gaps"), F.transform("history", lambda x: x["value"]).alias("vals"),
+        F.transform("history", lambda x: x["ts"]).alias("times"),
+    )
 
 
 GAPS = "SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM flows QUALIFY gap IS NOT NULL"
 
 
-@query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM flows GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id)::DOUBLE AS t FROM n) SELECT user_id, round(-sum(n / t * log2(n / t)), 6) AS bits FROM t GROUP BY 1")
+@query(
+    "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM flows GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id)::DOUBLE AS t FROM n) SELECT "
+    "user_id, round(-sum(n / t * log2(n / t)), 6) AS bits FROM t GROUP BY 1"
+)
 def mth1_shannon_bits(spark, sf_dir):
     n = flows(spark, sf_dir).groupBy("user_id", "event_type").count()
     return n.groupBy("user_id").agg(F.round(stats.shannon_bits(F.collect_list("count")), 6).alias("bits"))
 
 
-@query(f"WITH g AS ({GAPS}), m AS (SELECT *, median(gap) OVER (PARTITION BY user_id) AS m FROM g) SELECT user_id, round(CASE WHEN any_value(m) <= 0 THEN 1.0 ELSE median(abs(gap - m)) / any_value(m) END, 6) AS mad_ratio FROM m GROUP BY 1")
+@query(
+    f"WITH g AS ({GAPS}), m AS (SELECT *, median(gap) OVER (PARTITION BY user_id) AS m FROM g) SELECT user_id, round(CASE WHEN any_value(m) <= 0 THEN 1.0 ELSE "
+    f"median(abs(gap - m)) / any_value(m) END, 6) AS mad_ratio FROM m GROUP BY 1"
+)
 def mth2_mad_ratio(spark, sf_dir):
     return _series(spark, sf_dir).where(F.size("gaps") > 0).select("user_id", F.round(stats.mad_ratio(F.col("gaps")), 6).alias("mad_ratio"))
 
 
 @query(
-    f"WITH g AS ({GAPS}), s AS (SELECT user_id, gap, row_number() OVER (PARTITION BY user_id ORDER BY gap) AS i, count(*) OVER (PARTITION BY user_id)::DOUBLE AS n, min(gap) OVER (PARTITION BY user_id) AS lo, max(gap) OVER (PARTITION BY user_id) AS hi, avg(gap) OVER (PARTITION BY user_id) AS m FROM g), "
-    "f AS (SELECT *, (gap - lo) / nullif(hi - lo, 0) AS u, 1 - exp(-gap / m) AS e FROM s) SELECT user_id, round(coalesce(max(greatest(i / n - u, u - (i - 1) / n)), 1.0), 6) AS ks_uniform, round(max(greatest(i / n - e, e - (i - 1) / n)), 6) AS ks_exponential FROM f GROUP BY 1"
+    f"WITH g AS ({GAPS}), s AS (SELECT user_id, gap, row_number() OVER (PARTITION BY user_id ORDER BY gap) AS i, count(*) OVER (PARTITION BY user_id)::DOUBLE AS n, "
+    f"min(gap) OVER (PARTITION BY user_id) AS lo, max(gap) OVER (PARTITION BY user_id) AS hi, avg(gap) OVER (PARTITION BY user_id) AS m FROM g), "
+    "f AS (SELECT *, (gap - lo) / nullif(hi - lo, 0) AS u, 1 - exp(-gap / m) AS e FROM s) SELECT user_id, round(coalesce(max(greatest(i / n - u, u - (i - 1) / "
+    "n)), 1.0), 6) AS ks_uniform, round(max(greatest(i / n - e, e - (i - 1) / n)), 6) AS ks_exponential FROM f GROUP BY 1"
 )
 def mth3_ks(spark, sf_dir):
     g = F.col("gaps")
@@ -383,7 +430,8 @@ def mth7_fft_features(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT DISTINCT user_id, floor((ts - min(ts) OVER (PARTITION BY user_id)) / 7200)::INT AS b FROM flows), p AS (SELECT x.user_id, y.b - x.b AS k, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND y.b - x.b BETWEEN 1 AND 48 GROUP BY ALL), "
+    "WITH b AS (SELECT DISTINCT user_id, floor((ts - min(ts) OVER (PARTITION BY user_id)) / 7200)::INT AS b FROM flows), p AS (SELECT x.user_id, y.b - x.b AS k, "
+    "count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND y.b - x.b BETWEEN 1 AND 48 GROUP BY ALL), "
     "t AS (SELECT user_id, count(*) AS t FROM b GROUP BY 1) SELECT t.user_id, round(coalesce(max(n), 0) / any_value(t), 6) AS acf FROM t LEFT JOIN p USING (user_id) GROUP BY 1"
 )
 def mth8_acf_peak(spark, sf_dir):
@@ -391,16 +439,20 @@ def mth8_acf_peak(spark, sf_dir):
 
 
 @query(
-    f"WITH g AS ({GAPS}), m AS (SELECT *, avg(gap) OVER (PARTITION BY user_id) AS m FROM g) SELECT user_id, round(avg(abs(gap - m)), 4) AS jitter, round(count(*) / 100.0, 6) AS share, least(1.0, count(*) / 50.0) AS clamped FROM m GROUP BY 1"
+    f"WITH g AS ({GAPS}), m AS (SELECT *, avg(gap) OVER (PARTITION BY user_id) AS m FROM g) SELECT user_id, round(avg(abs(gap - m)), 4) AS jitter, round(count(*) / "
+    f"100.0, 6) AS share, least(1.0, count(*) / 50.0) AS clamped FROM m GROUP BY 1"
 )
 def mth9_jitter(spark, sf_dir):
     g = F.col("gaps")
     n = F.size(g).cast("double")
-    return _series(spark, sf_dir).where(F.size("gaps") > 0).select("user_id", F.round(stats.jitter(g), 4).alias("jitter"), F.round(stats.safe_div(n, F.lit(100.0)), 6).alias("share"), stats.clamp01(n / 50).alias("clamped"))
+    return _series(spark, sf_dir).where(F.size("gaps") > 0).select(
+        "user_id", F.round(stats.jitter(g), 4).alias("jitter"), F.round(stats.safe_div(n, F.lit(100.0)), 6).alias("share"), stats.clamp01(n / 50).alias("clamped"),
+    )
 
 
 @query(
-    "WITH x AS (SELECT event_id, value / 100 AS a, k / 50.0 AS b FROM flows) SELECT event_id, round(exp(a) / (exp(a) + exp(b)), 6) AS p, round(CASE WHEN a > 0.7 THEN 1 - exp(-(a - 0.7) / 0.7) ELSE 0 END, 6) AS confidence FROM x"
+    "WITH x AS (SELECT event_id, value / 100 AS a, k / 50.0 AS b FROM flows) SELECT event_id, round(exp(a) / (exp(a) + exp(b)), 6) AS p, round(CASE WHEN a > 0.7 "
+    "THEN 1 - exp(-(a - 0.7) / 0.7) ELSE 0 END, 6) AS confidence FROM x"
 )
 def mth10_softmax(spark, sf_dir):
     a, b = F.col("value") / 100, F.col("k") / 50.0

@@ -17,7 +17,8 @@ def udf1_detector(spark, sf_dir):
 
 
 @query(
-    "WITH x AS (SELECT event_id, k % 8 AS a, event_id % 4 AS b FROM flows), z AS (SELECT *, 0.5 * a - 0.75 * b + 0.25 AS z FROM x) SELECT event_id, CASE WHEN a = 0 AND b = 0 THEN 0 ELSE round(1 / (1 + exp(-z)), 4) END AS p FROM z"
+    "WITH x AS (SELECT event_id, k % 8 AS a, event_id % 4 AS b FROM flows), z AS (SELECT *, 0.5 * a - 0.75 * b + 0.25 AS z FROM x) SELECT event_id, CASE WHEN a = "
+    "0 AND b = 0 THEN 0 ELSE round(1 / (1 + exp(-z)), 4) END AS p FROM z"
 )
 def udf2_score_onnx(spark, sf_dir):
     """A given model, here a linear one of three features of which the rows have two."""
@@ -42,7 +43,9 @@ def ml1_gate_flood(spark, sf_dir):
 
 @query()
 def ml2_train_scan_tree(spark, sf_dir):
-    f = flows(spark, sf_dir).groupBy("src", F.floor(F.col("ts") / 86_400).alias("day")).agg(F.count_distinct("dport").alias("ports"), F.count_distinct("dst").alias("hosts"), F.count_if(F.col("bwd_pkts") == 0).alias("rwa"))
+    f = flows(spark, sf_dir).groupBy("src", F.floor(F.col("ts") / 86_400).alias("day")).agg(
+        F.count_distinct("dport").alias("ports"), F.count_distinct("dst").alias("hosts"), F.count_if(F.col("bwd_pkts") == 0).alias("rwa"),
+    )
     f = f.withColumn("label", (F.col("rwa") >= 2).cast("double"))
     return ops.train_scan_tree(f, ["ports", "hosts", "rwa"]).transform(f).select("src", "day", "prediction")
 

@@ -8,7 +8,11 @@ from ..operators import alerts as ops
 from .registry import query
 from .views import alerts, flows
 
-SEV = "CASE WHEN confidence < 0.90 AND threat_class IN ('DGA', 'Data Exfiltration') AND model IN ('dga_cnn_bilstm', 'exfil_vae') AND NOT k >= 80 THEN 'INFO' WHEN confidence > 0.95 THEN 'CRITICAL' WHEN confidence > 0.85 THEN base WHEN confidence > 0.70 THEN CASE WHEN base IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE 'LOW' END ELSE 'LOW' END"
+SEV = (
+    "CASE WHEN confidence < 0.90 AND threat_class IN ('DGA', 'Data Exfiltration') AND model IN ('dga_cnn_bilstm', 'exfil_vae') AND NOT k >= 80 THEN 'INFO' WHEN "
+    "confidence > 0.95 THEN 'CRITICAL' WHEN confidence > 0.85 THEN base WHEN confidence > 0.70 THEN CASE WHEN base IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE 'LOW' "
+    "END ELSE 'LOW' END"
+)
 A = f"""
 b AS (SELECT *, CASE threat_class WHEN 'DDoS' THEN 'CRITICAL' WHEN 'Port Scan' THEN 'MEDIUM' ELSE 'HIGH' END AS base, CASE threat_class WHEN 'DDoS' THEN 'Impact' WHEN 'Port Scan' THEN 'Discovery' WHEN 'Data Exfiltration' THEN 'Exfiltration' ELSE 'Command and Control' END AS tactic,
   CASE threat_class WHEN 'DDoS' THEN 'T1498' WHEN 'C2 Beacon' THEN 'T1071' WHEN 'DGA' THEN 'T1568' WHEN 'Port Scan' THEN 'T1046' ELSE 'T1048' END AS technique, CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS family FROM alerts),
@@ -31,7 +35,8 @@ def prj18_map_mitre(spark, sf_dir):
 
 
 @query(
-    "SELECT id, confidence, 'flow' AS scope, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, ts AS start, ts AS \"end\", '{\"v\":' || k || '}' AS k, CASE WHEN domain IS NOT NULL THEN '{\"v\":\"' || domain || '\"}' END AS domain FROM alerts"
+    "SELECT id, confidence, 'flow' AS scope, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, ts AS start, ts AS \"end\", '{\"v\":' || k || '}' AS k, CASE "
+    "WHEN domain IS NOT NULL THEN '{\"v\":\"' || domain || '\"}' END AS domain FROM alerts"
 )
 def prj19_build_alerts(spark, sf_dir):
     a = ops.build_alerts(alerts(spark, sf_dir))
@@ -39,12 +44,17 @@ def prj19_build_alerts(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT id, CASE WHEN k % 7 = 0 THEN confidence + 1 ELSE confidence END AS c, k FROM alerts) SELECT id, array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'missing threat_class' END, CASE WHEN c > 1 THEN 'confidence not in [0, 1]' END, CASE WHEN k % 13 = 0 THEN 'unknown confidence_kind' END], lambda x: x IS NOT NULL), ';') AS problems FROM v"
+    "WITH v AS (SELECT id, CASE WHEN k % 7 = 0 THEN confidence + 1 ELSE confidence END AS c, k FROM alerts) SELECT id, array_to_string(list_filter([CASE WHEN k % "
+    "11 = 0 THEN 'missing threat_class' END, CASE WHEN c > 1 THEN 'confidence not in [0, 1]' END, CASE WHEN k % 13 = 0 THEN 'unknown confidence_kind' END], lambda "
+    "x: x IS NOT NULL), ';') AS problems FROM v"
 )
 def prj20_validate_alerts(spark, sf_dir):
     a = ops.build_alerts(alerts(spark, sf_dir)).join(alerts(spark, sf_dir).select("id", "k"), "id")
     k = F.col("k")
-    bad = a.withColumns({"confidence": F.when(k % 7 == 0, F.col("confidence") + 1).otherwise(F.col("confidence")), "threat_class": F.when(k % 11 != 0, F.col("threat_class")), "confidence_kind": F.when(k % 13 == 0, "guess").otherwise(F.col("confidence_kind"))})
+    bad = a.withColumns({
+        "confidence": F.when(k % 7 == 0, F.col("confidence") + 1).otherwise(F.col("confidence")), "threat_class": F.when(k % 11 != 0, F.col("threat_class")),
+        "confidence_kind": F.when(k % 13 == 0, "guess").otherwise(F.col("confidence_kind")),
+    })
     return ops.validate_alerts(bad).select("id", F.array_join("problems", ";").alias("problems"))
 
 
@@ -76,7 +86,11 @@ def prj28_normalize_alerts(spark, sf_dir):
     return ops.normalize_alerts(_alerts(spark, sf_dir)).select("id", "haystack")
 
 
-COOL = "o AS (SELECT id, src, threat_class, ts, row_number() OVER (PARTITION BY src, threat_class ORDER BY ts, id) AS i FROM alerts), x AS (SELECT src, threat_class, i, id, ts, ts AS last, true AS ok, 0 AS held, 0 AS out FROM o WHERE i = 1 UNION ALL SELECT o.src, o.threat_class, o.i, o.id, o.ts, CASE WHEN {held} THEN x.last ELSE o.ts END, NOT {held}, CASE WHEN {held} THEN x.held + 1 ELSE 0 END, x.held FROM x JOIN o ON o.src = x.src AND o.threat_class = x.threat_class AND o.i = x.i + 1)"
+COOL = (
+    "o AS (SELECT id, src, threat_class, ts, row_number() OVER (PARTITION BY src, threat_class ORDER BY ts, id) AS i FROM alerts), x AS (SELECT src, threat_class, i, "
+    "id, ts, ts AS last, true AS ok, 0 AS held, 0 AS out FROM o WHERE i = 1 UNION ALL SELECT o.src, o.threat_class, o.i, o.id, o.ts, CASE WHEN {held} THEN x.last ELSE "
+    "o.ts END, NOT {held}, CASE WHEN {held} THEN x.held + 1 ELSE 0 END, x.held FROM x JOIN o ON o.src = x.src AND o.threat_class = x.threat_class AND o.i = x.i + 1)"
+)
 
 
 @query(f"WITH RECURSIVE {COOL.format(held='(o.ts - x.last < 86400)')} SELECT id, out::BIGINT AS held FROM x WHERE ok")
@@ -106,27 +120,39 @@ def set4_dedupe_alerts(spark, sf_dir):
     return alerts(spark, sf_dir).select((F.col("id") % 5000).alias("id")).dropDuplicates(["id"])
 
 
-@query(f"WITH {A} SELECT threat_class, severity, model, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS destinations, grouping(threat_class, severity, model)::BIGINT AS level, count(*) * 24.0 / 720 AS per_day FROM al GROUP BY ROLLUP (threat_class, severity, model)")
+@query(
+    f"WITH {A} SELECT threat_class, severity, model, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS destinations, grouping(threat_class, "
+    f"severity, model)::BIGINT AS level, count(*) * 24.0 / 720 AS per_day FROM al GROUP BY ROLLUP (threat_class, severity, model)"
+)
 def ag23_alert_stats(spark, sf_dir):
     return ops.alert_stats(_alerts(spark, sf_dir), hours=720.0)
 
 
-@query(f"WITH {A} SELECT threat_class, src, coalesce(domain, dst) AS target, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(id, ts) AS latest, count(*) AS n, max(rank)::INT AS worst FROM al GROUP BY ALL")
+@query(
+    f"WITH {A} SELECT threat_class, src, coalesce(domain, dst) AS target, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(id, ts) AS latest, count(*) AS n, "
+    f"max(rank)::INT AS worst FROM al GROUP BY ALL"
+)
 def ag24_group_alerts(spark, sf_dir):
     return ops.group_alerts(_alerts(spark, sf_dir))
 
 
 @query(
-    f"WITH {A}, s AS (SELECT min(ts) AS lo, max(ts) AS hi FROM al), z AS (SELECT lo, hi, coalesce((SELECT min(b) FROM (VALUES (60), (300), (900), (3600), (10800), (21600), (43200), (86400), (604800)) t(b) WHERE ceil((hi - lo) / b) <= 90), 604800) AS size FROM s), y AS (SELECT size, floor(hi / size)::BIGINT AS last, greatest(30, floor(hi / size)::BIGINT - floor(lo / size)::BIGINT + 1) AS bins FROM z), "
-    "sp AS (SELECT size, unnest(range(last - bins + 1, last + 1)) AS bin FROM y) SELECT bin * size AS start, size::INT AS size, count(*) FILTER (WHERE severity = 'INFO') AS INFO, count(*) FILTER (WHERE severity = 'LOW') AS LOW, count(*) FILTER (WHERE severity = 'MEDIUM') AS MEDIUM, count(*) FILTER (WHERE severity = 'HIGH') AS HIGH, count(*) FILTER (WHERE severity = 'CRITICAL') AS CRITICAL FROM sp LEFT JOIN al ON floor(ts / size)::BIGINT = bin GROUP BY bin, size"
+    f"WITH {A}, s AS (SELECT min(ts) AS lo, max(ts) AS hi FROM al), z AS (SELECT lo, hi, coalesce((SELECT min(b) FROM (VALUES (60), (300), (900), (3600), (10800), "
+    f"(21600), (43200), (86400), (604800)) t(b) WHERE ceil((hi - lo) / b) <= 90), 604800) AS size FROM s), y AS (SELECT size, floor(hi / size)::BIGINT AS last, "
+    f"greatest(30, floor(hi / size)::BIGINT - floor(lo / size)::BIGINT + 1) AS bins FROM z), "
+    "sp AS (SELECT size, unnest(range(last - bins + 1, last + 1)) AS bin FROM y) SELECT bin * size AS start, size::INT AS size, count(*) FILTER (WHERE severity = "
+    "'INFO') AS INFO, count(*) FILTER (WHERE severity = 'LOW') AS LOW, count(*) FILTER (WHERE severity = 'MEDIUM') AS MEDIUM, count(*) FILTER (WHERE severity = "
+    "'HIGH') AS HIGH, count(*) FILTER (WHERE severity = 'CRITICAL') AS CRITICAL FROM sp LEFT JOIN al ON floor(ts / size)::BIGINT = bin GROUP BY bin, size"
 )
 def ag25_alert_histogram(spark, sf_dir):
     return ops.alert_histogram(_alerts(spark, sf_dir))
 
 
 @query(
-    f"WITH {A}, e AS (SELECT src AS entity, 'src' AS role, * FROM al UNION ALL SELECT dst, 'dst', * FROM al), c AS (SELECT entity, threat_class, count(*) FILTER (WHERE role = 'src') AS s, count(*) FILTER (WHERE role = 'dst') AS d, max(rank) AS worst, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY ALL) "
-    "SELECT entity, sum(s)::BIGINT AS as_src, sum(d)::BIGINT AS as_dst, max(worst)::INT AS worst, min(first_ts) AS first_ts, max(last_ts) AS last_ts, '{' || string_agg('\"' || threat_class || '\":' || (s + d), ',' ORDER BY threat_class) || '}' AS classes FROM c GROUP BY 1"
+    f"WITH {A}, e AS (SELECT src AS entity, 'src' AS role, * FROM al UNION ALL SELECT dst, 'dst', * FROM al), c AS (SELECT entity, threat_class, count(*) FILTER "
+    f"(WHERE role = 'src') AS s, count(*) FILTER (WHERE role = 'dst') AS d, max(rank) AS worst, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY ALL) "
+    "SELECT entity, sum(s)::BIGINT AS as_src, sum(d)::BIGINT AS as_dst, max(worst)::INT AS worst, min(first_ts) AS first_ts, max(last_ts) AS last_ts, '{' || "
+    "string_agg('\"' || threat_class || '\":' || (s + d), ',' ORDER BY threat_class) || '}' AS classes FROM c GROUP BY 1"
 )
 def ag26_host_rollup(spark, sf_dir):
     return ops.host_rollup(_alerts(spark, sf_dir)).withColumn("classes", F.to_json("classes"))
@@ -138,17 +164,23 @@ def ag27_mitre_matrix(spark, sf_dir):
 
 
 @query(
-    f"WITH {A}, e AS (SELECT src, coalesce(domain, dst) AS target, count(*) AS n, max(rank)::INT AS worst FROM al GROUP BY ALL), n AS (SELECT entity, sum(n)::BIGINT AS n, max(worst) AS worst FROM (SELECT src AS entity, n, worst FROM e UNION ALL SELECT target, n, worst FROM e) GROUP BY 1) "
-    "SELECT 'edge' AS what, src AS a, target AS b, n, worst FROM e UNION ALL SELECT CASE WHEN regexp_matches(entity, '[a-z]') THEN 'domain' WHEN entity LIKE '203.%' THEN 'external' ELSE 'internal' END, entity, NULL, n, worst FROM n"
+    f"WITH {A}, e AS (SELECT src, coalesce(domain, dst) AS target, count(*) AS n, max(rank)::INT AS worst FROM al GROUP BY ALL), n AS (SELECT entity, "
+    f"sum(n)::BIGINT AS n, max(worst) AS worst FROM (SELECT src AS entity, n, worst FROM e UNION ALL SELECT target, n, worst FROM e) GROUP BY 1) "
+    "SELECT 'edge' AS what, src AS a, target AS b, n, worst FROM e UNION ALL SELECT CASE WHEN regexp_matches(entity, '[a-z]') THEN 'domain' WHEN entity LIKE "
+    "'203.%' THEN 'external' ELSE 'internal' END, entity, NULL, n, worst FROM n"
 )
 def ag28_alert_graph(spark, sf_dir):
     nodes, edges = ops.alert_graph(_alerts(spark, sf_dir))
     none = F.lit(None).cast("string").alias("b")
-    return edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("target").alias("b"), "n", "worst").unionByName(nodes.select(F.col("kind").alias("what"), F.col("entity").alias("a"), none, F.col("weight").alias("n"), "worst"))
+    return edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("target").alias("b"), "n", "worst").unionByName(nodes.select(
+        F.col("kind").alias("what"), F.col("entity").alias("a"), none, F.col("weight").alias("n"), "worst",
+    ))
 
 
 @query(
-    "WITH p AS (SELECT floor(ts)::BIGINT AS second, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS latency_max FROM flows GROUP BY 1) SELECT second, n, (sum(n) OVER (PARTITION BY second // 86400 ORDER BY second RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) / 10)::DOUBLE AS rate, p50, p95, p99, latency_max FROM p"
+    "WITH p AS (SELECT floor(ts)::BIGINT AS second, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) "
+    "AS p99, max(value) AS latency_max FROM flows GROUP BY 1) SELECT second, n, (sum(n) OVER (PARTITION BY second // 86400 ORDER BY second RANGE BETWEEN 9 "
+    "PRECEDING AND CURRENT ROW) / 10)::DOUBLE AS rate, p50, p95, p99, latency_max FROM p"
 )
 def ag29_pipeline_metrics(spark, sf_dir):
     return ops.pipeline_metrics(flows(spark, sf_dir).select("ts", F.col("value").alias("latency")))
@@ -164,7 +196,10 @@ def top4_sort_alerts(spark, sf_dir):
     return ops.sort_alerts(_alerts(spark, sf_dir), "severity").select("id", "severity")
 
 
-@query(f"WITH {A} SELECT CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS lane, id, ts FROM al WHERE ts >= (SELECT max(ts) FROM al) - 86400")
+@query(
+    f"WITH {A} SELECT CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS lane, id, ts FROM "
+    f"al WHERE ts >= (SELECT max(ts) FROM al) - 86400"
+)
 def win25_timeline(spark, sf_dir):
     a = _alerts(spark, sf_dir)
     latest = a.agg(F.max("ts").alias("latest"))  # one row
@@ -179,7 +214,9 @@ def win24_new_services(spark, sf_dir):
 
 
 @query(
-    "WITH f AS (SELECT * FROM (VALUES ('a', 'flood'), ('b', 'beacon'), ('c', 'dns'), ('d', 'tls'), ('e', 'scan'), ('f', 'exfil')) t(family, detector)), n AS (SELECT CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS family, count(*) AS n FROM alerts GROUP BY 1) SELECT family, detector, coalesce(n, 0) AS n FROM f LEFT JOIN n USING (family)"
+    "WITH f AS (SELECT * FROM (VALUES ('a', 'flood'), ('b', 'beacon'), ('c', 'dns'), ('d', 'tls'), ('e', 'scan'), ('f', 'exfil')) t(family, detector)), n AS "
+    "(SELECT CASE threat_class WHEN 'DDoS' THEN 'a' WHEN 'C2 Beacon' THEN 'b' WHEN 'DGA' THEN 'c' WHEN 'Port Scan' THEN 'e' ELSE 'f' END AS family, count(*) AS n "
+    "FROM alerts GROUP BY 1) SELECT family, detector, coalesce(n, 0) AS n FROM f LEFT JOIN n USING (family)"
 )
 def au7_coverage_matrix(spark, sf_dir):
     loaded = spark.createDataFrame([("a", "flood"), ("b", "beacon"), ("c", "dns"), ("d", "tls"), ("e", "scan"), ("f", "exfil")], "family string, detector string")

@@ -83,7 +83,10 @@ def src3_read_zeek(spark, sf_dir):
 def src4_read_flow_csv(spark, sf_dir):
     f = flows(spark, sf_dir)
     bad = F.col("k") % 10 == 0
-    t = f.select(F.when(bad, "x").otherwise(F.floor("ts").cast("string")).alias("a"), F.lit(0).alias("b"), "src", F.concat(F.lit("N"), "sport").alias("c"), "dst", "dport", F.lit("6").alias("d"), "fwd_pkts", "fwd_bytes")
+    t = f.select(
+        F.when(bad, "x").otherwise(F.floor("ts").cast("string")).alias("a"), F.lit(0).alias("b"), "src", F.concat(F.lit("N"), "sport").alias("c"), "dst", "dport",
+        F.lit("6").alias("d"), "fwd_pkts", "fwd_bytes",
+    )
     return logs.read_flow_csv(spark, _put(t, "csv", compression="gzip")).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -94,7 +97,8 @@ def src5_read_labels(spark, sf_dir):
 
 
 @query(
-    "SELECT src, dst, (syn)::INT AS syn, (ack)::INT AS ack, round((CASE WHEN k % 3 = 0 THEN (k + 1) * 1000000 WHEN k % 3 = 1 THEN (k + 1) * 1000 ELSE k + 1 END)::DOUBLE, 3) AS bytes, CASE WHEN k % 4 = 0 THEN 'normal' ELSE 'attacker' END AS class, count(*) AS n FROM flows GROUP BY ALL"
+    "SELECT src, dst, (syn)::INT AS syn, (ack)::INT AS ack, round((CASE WHEN k % 3 = 0 THEN (k + 1) * 1000000 WHEN k % 3 = 1 THEN (k + 1) * 1000 ELSE k + 1 "
+    "END)::DOUBLE, 3) AS bytes, CASE WHEN k % 4 = 0 THEN 'normal' ELSE 'attacker' END AS class, count(*) AS n FROM flows GROUP BY ALL"
 )
 def src6_read_labelled_flows(spark, sf_dir):
     f = flows(spark, sf_dir)
@@ -127,7 +131,10 @@ def src8_read_flow_parquet(spark, sf_dir):
 @query("SELECT cls, family, name AS domain FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'dga' ELSE 'legit' END AS cls, 'f' || (page_id % 7) AS family, name FROM dns WHERE page_id % 9 <> 0)")
 def src9_read_domains(spark, sf_dir):
     d = dns(spark, sf_dir)
-    t = d.select(F.when(F.col("page_id") % 2 == 0, "dga").otherwise("legit").alias("c"), F.concat(F.lit("f"), F.col("page_id") % 7).alias("f"), F.when(F.col("page_id") % 9 != 0, F.col("name")).alias("d"))
+    t = d.select(
+        F.when(F.col("page_id") % 2 == 0, "dga").otherwise("legit").alias("c"), F.concat(F.lit("f"), F.col("page_id") % 7).alias("f"),
+        F.when(F.col("page_id") % 9 != 0, F.col("name")).alias("d"),
+    )
     return logs.read_domains(spark, _put(t, "csv"))
 
 
@@ -144,7 +151,10 @@ def src11_read_conns(spark, sf_dir):
     return logs.read_conns(spark, _put(t, "text", compression="gzip"), "ts double, src string, bytes long")
 
 
-@query("SELECT 'host' AS what, dst AS a, NULL::INT AS b FROM (SELECT DISTINCT dst FROM flows WHERE dst LIKE '192.168.%') UNION ALL SELECT 'net', '192.168.10.0', 24 UNION ALL SELECT DISTINCT 'port', dst, dport FROM flows WHERE dst LIKE '192.168.%' AND dport < 100")
+@query(
+    "SELECT 'host' AS what, dst AS a, NULL::INT AS b FROM (SELECT DISTINCT dst FROM flows WHERE dst LIKE '192.168.%') UNION ALL SELECT 'net', '192.168.10.0', 24 UNION "
+    "ALL SELECT DISTINCT 'port', dst, dport FROM flows WHERE dst LIKE '192.168.%' AND dport < 100"
+)
 def src12_load_network_info(spark, sf_dir):
     f = flows(spark, sf_dir).where("dst like '192.168.%'")
     ports = f.where("dport < 100").groupBy("dst").agg(F.array_sort(F.collect_set("dport")).alias("p"))
@@ -191,7 +201,10 @@ def snk3_mark_flagged(spark, sf_dir):
     return corpus.mark_flagged(w, w.where("cat = 'error'")).select("host", "lhour", "cat", "flagged")
 
 
-@query(f"WITH {WIN}, m AS (SELECT 'a/' || host AS host, lhour, cat, n FROM w WHERE host % 2 = 0 UNION ALL SELECT 'b/' || host, lhour, cat, n FROM w WHERE host % 2 = 1), d AS (SELECT *, dense_rank() OVER (ORDER BY host) AS r FROM m) SELECT 'site-' || CASE WHEN r < 10 THEN '0' || r ELSE r::VARCHAR END AS host, lhour, cat, n FROM d")
+@query(
+    f"WITH {WIN}, m AS (SELECT 'a/' || host AS host, lhour, cat, n FROM w WHERE host % 2 = 0 UNION ALL SELECT 'b/' || host, lhour, cat, n FROM w WHERE host % 2 = 1), d "
+    f"AS (SELECT *, dense_rank() OVER (ORDER BY host) AS r FROM m) SELECT 'site-' || CASE WHEN r < 10 THEN '0' || r ELSE r::VARCHAR END AS host, lhour, cat, n FROM d"
+)
 def snk4_export_pseudonymised(spark, sf_dir):
     w = _windows(spark, sf_dir)
     merged = corpus.merge_corpora({"a": w.where("host % 2 = 0"), "b": w.where("host % 2 = 1")})
@@ -225,8 +238,11 @@ def set3_align_columns(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 1000000), p AS (SELECT a.vec_id, b.vec_id AS o, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d1, list_sum(list_transform(range(1, 33), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
-    "r AS (SELECT vec_id, o, row_number() OVER (PARTITION BY vec_id ORDER BY d1, o) AS r1, row_number() OVER (PARTITION BY vec_id ORDER BY d2, o) AS r2 FROM p) SELECT vec_id, sum((r1 <= 5 AND r2 <= 5)::INT)::INT AS shared FROM r GROUP BY 1"
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 1000000), p AS (SELECT a.vec_id, b.vec_id AS o, "
+    "list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d1, list_sum(list_transform(range(1, 33), lambda i: (a.e[i] - "
+    "b.e[i]) * (a.e[i] - b.e[i]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
+    "r AS (SELECT vec_id, o, row_number() OVER (PARTITION BY vec_id ORDER BY d1, o) AS r1, row_number() OVER (PARTITION BY vec_id ORDER BY d2, o) AS r2 FROM p) "
+    "SELECT vec_id, sum((r1 <= 5 AND r2 <= 5)::INT)::INT AS shared FROM r GROUP BY 1"
 )
 def ev12_knn_overlap(spark, sf_dir):
     from ..operators.embeddings import knn_overlap
@@ -245,7 +261,10 @@ def ag1_cic_features(spark, sf_dir):
 
     p = flows(spark, sf_dir).select("user_id", (F.col("k") % 2 == 0).alias("forward"), F.col("fwd_bytes").alias("size"), "ts", "event_id", "syn", "ack", "fin", "rst")
     c = cic_features(p, ["user_id"])
-    return c.select("user_id", "tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", *[F.round(x, 0).alias(x) for x in ("duration_us", "iat_mean_us", "iat_std_us")], F.round("pkt_len_std", 4).alias("pkt_len_std"), "pkt_len_max", "syn_flag", "fin_flag")
+    return c.select(
+        "user_id", "tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", *[F.round(x, 0).alias(x) for x in ("duration_us", "iat_mean_us", "iat_std_us")],
+        F.round("pkt_len_std", 4).alias("pkt_len_std"), "pkt_len_max", "syn_flag", "fin_flag",
+    )
 
 
 @query(

@@ -44,25 +44,42 @@ def stm1_stream_flows(spark, sf_dir):
     return _run(packets(spark, sf_dir), lambda s: jobs.stream_flows(s, idle=7200.0, active=86_400.0))[0]
 
 
-@query("WITH m AS (SELECT max(ts) - 120 AS w FROM flows) SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(*) AS n, count(*) FILTER (WHERE bwd_pkts = 0) AS unanswered, count(DISTINCT dport)::INT AS ports, count(DISTINCT dst)::INT AS hosts FROM flows, m GROUP BY 1, 2 HAVING floor(any_value(ts) / 86400)::BIGINT * 86400 + 86400 <= any_value(w)")
+@query(
+    "WITH m AS (SELECT max(ts) - 120 AS w FROM flows) SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(*) AS n, count(*) FILTER (WHERE bwd_pkts = "
+    "0) AS unanswered, count(DISTINCT dport)::INT AS ports, count(DISTINCT dst)::INT AS hosts FROM flows, m GROUP BY 1, 2 HAVING floor(any_value(ts) / 86400)::BIGINT "
+    "* 86400 + 86400 <= any_value(w)"
+)
 def stm2_stream_scan_events(spark, sf_dir):
     s, _ = _run(flows(spark, sf_dir), lambda s: jobs.stream_scan_events(s, window="1 day"))
     return s.select("src", F.unix_timestamp("window.start").alias("window_start"), "n", "unanswered", "ports", "hosts")
 
 
-@query("WITH s AS (SELECT dst, ts, src, fwd_bytes, unnest([floor(ts / 1800)::BIGINT * 1800, floor(ts / 1800)::BIGINT * 1800 - 1800]) AS start FROM flows) SELECT dst, start, count(*) AS n, count(DISTINCT src)::INT AS sources, sum(fwd_bytes)::BIGINT AS bytes FROM s GROUP BY ALL HAVING start + 3600 <= (SELECT max(ts) - 5 FROM flows)")
+@query(
+    "WITH s AS (SELECT dst, ts, src, fwd_bytes, unnest([floor(ts / 1800)::BIGINT * 1800, floor(ts / 1800)::BIGINT * 1800 - 1800]) AS start FROM flows) SELECT dst, "
+    "start, count(*) AS n, count(DISTINCT src)::INT AS sources, sum(fwd_bytes)::BIGINT AS bytes FROM s GROUP BY ALL HAVING start + 3600 <= (SELECT max(ts) - 5 FROM "
+    "flows)"
+)
 def stm3_stream_flood_windows(spark, sf_dir):
     s, _ = _run(flows(spark, sf_dir), lambda s: jobs.stream_flood_windows(s, window="1 hour", slide="30 minutes"))
     return s.select("dst", F.unix_timestamp("window.start").alias("start"), "n", "sources", "bytes")
 
 
-@query("SELECT user_id AS host, event_type AS cat, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n, sum(fwd_bytes)::BIGINT AS up, sum(bwd_bytes)::BIGINT AS down, count(DISTINCT dst)::INT AS peers FROM flows GROUP BY 1, 2, 3 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 <= (SELECT max(ts) - 420 FROM flows)")
+@query(
+    "SELECT user_id AS host, event_type AS cat, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n, sum(fwd_bytes)::BIGINT AS up, sum(bwd_bytes)::BIGINT AS down, "
+    "count(DISTINCT dst)::INT AS peers FROM flows GROUP BY 1, 2, 3 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 <= (SELECT max(ts) - 420 FROM flows)"
+)
 def stm4_stream_behaviour_windows(spark, sf_dir):
-    f = flows(spark, sf_dir).select("ts", F.col("user_id").alias("host"), F.col("event_type").alias("cat"), F.col("fwd_bytes").alias("up"), F.col("bwd_bytes").alias("down"), F.col("dst").alias("peer"))
+    f = flows(spark, sf_dir).select(
+        "ts", F.col("user_id").alias("host"), F.col("event_type").alias("cat"), F.col("fwd_bytes").alias("up"), F.col("bwd_bytes").alias("down"),
+        F.col("dst").alias("peer"),
+    )
     return _run(f, jobs.stream_behaviour_windows)[0].select("host", "cat", F.unix_timestamp("window.start").alias("start"), "n", "up", "down", "peers")
 
 
-@query("SELECT user_id AS host, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n FROM flows GROUP BY 1, 2 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 <= (SELECT max(ts) - 21600 FROM flows)")
+@query(
+    "SELECT user_id AS host, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n FROM flows GROUP BY 1, 2 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 "
+    "<= (SELECT max(ts) - 21600 FROM flows)"
+)
 def stm5_late_rows(spark, sf_dir):
     """The rows of the first part but for its last day come a second time with the last part: too late, so they count for
     nothing."""
@@ -98,7 +115,8 @@ def stm8_stream_lifecycle(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT user_id, floor(ts / 3600)::BIGINT * 3600 AS start FROM flows GROUP BY ALL), e AS (SELECT start + 3600 <= (SELECT max(ts) - 86400 FROM flows) AS closed FROM w) SELECT CASE WHEN closed THEN 'put out' ELSE 'held' END AS what, count(*) AS n FROM e GROUP BY 1"
+    "WITH w AS (SELECT user_id, floor(ts / 3600)::BIGINT * 3600 AS start FROM flows GROUP BY ALL), e AS (SELECT start + 3600 <= (SELECT max(ts) - 86400 FROM "
+    "flows) AS closed FROM w) SELECT CASE WHEN closed THEN 'put out' ELSE 'held' END AS what, count(*) AS n FROM e GROUP BY 1"
 )
 def stm9_state_limits(spark, sf_dir):
     """Hourly windows of each host that were put out, and those that state still holds: all that the delay has not passed."""

@@ -57,7 +57,10 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir)
     flags = F.col("syn") * 2 + F.col("ack") * 16 + F.col("rst") * 4 + F.col("fin")
     there = f.select("ts", "src", "dst", F.lit(40000).alias("sport"), "dport", "proto", flags.alias("flags"), F.col("fwd_bytes").alias("payload_size"))
-    back = f.where("bwd_pkts > 0").select((F.col("ts") + 1).alias("ts"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dport").alias("sport"), F.lit(40000).alias("dport"), "proto", F.lit(16).alias("flags"), F.col("bwd_bytes").alias("payload_size"))
+    back = f.where("bwd_pkts > 0").select(
+        (F.col("ts") + 1).alias("ts"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dport").alias("sport"), F.lit(40000).alias("dport"), "proto",
+        F.lit(16).alias("flags"), F.col("bwd_bytes").alias("payload_size"),
+    )
     return there.unionByName(back)
 
 

@@ -141,7 +141,9 @@ def stream_calibrate(sdf: DataFrame, *, trained: float, device_hours: int = 24,
                 errors, cells = [], set()
         state.update((np.asarray(errors, float).tolist(), sorted(cells), done))
 
-    return sdf.groupBy("network").applyInPandasWithState(run, "network string, threshold double, device_hours int", "errors array<double>, cells array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return sdf.groupBy("network").applyInPandasWithState(
+        run, "network string, threshold double, device_hours int", "errors array<double>, cells array<string>, done boolean", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def stream_lifecycle(sdf: DataFrame) -> DataFrame:

@@ -91,7 +91,10 @@ def test_community_id_of_ipv6(spark):
             a, b, sport, dport = b, a, dport, sport
         return "1:" + b64encode(hashlib.sha1(b"\0\0" + a + b + bytes([proto, 0]) + struct.pack(">HH", sport, dport)).digest()).decode()
 
-    rows = [("2001:db8::1", "fe80::2:1", 5, 6, 6), ("fe80::2:1", "2001:db8::1", 6, 5, 6), ("::", "::1", 9, 9, 17), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", 2, 1, 6), ("2001:DB8:0:0::1", "1::", 1, 2, 132)]
+    rows = [
+        ("2001:db8::1", "fe80::2:1", 5, 6, 6), ("fe80::2:1", "2001:db8::1", 6, 5, 6), ("::", "::1", 9, 9, 17), ("1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", 2, 1, 6),
+        ("2001:DB8:0:0::1", "1::", 1, 2, 132),
+    ]
     odd = [("10.0.0.1", "::1", 1, 2, 6), ("1::2::3", "::1", 1, 2, 6), ("12345::", "::1", 1, 2, 6), (None, "::1", 1, 2, 6), ("::1", "::2", 1, 2, 1)]
     df = spark.createDataFrame(rows + odd, "s string, d string, sp int, dp int, p int")
     got = [r[0] for r in df.select(net.community_id(*[F.col(c) for c in ("s", "d", "sp", "dp", "p")])).collect()]

@@ -46,7 +46,10 @@ def test_statistics(spark):
 
 
 def flow_rows(spark, rows):
-    cols = "event_id long, ts double, src string, dst string, sport int, dport int, proto int, fwd_pkts int, bwd_pkts int, fwd_bytes long, bwd_bytes long, syn int, ack int, rst int, fin int, last_seen double"
+    cols = (
+        "event_id long, ts double, src string, dst string, sport int, dport int, proto int, fwd_pkts int, bwd_pkts int, fwd_bytes long, bwd_bytes long, syn int, ack "
+        "int, rst int, fin int, last_seen double"
+    )
     return spark.createDataFrame(rows, cols)
 
 

@@ -13,7 +13,10 @@ from flowquarry.operators import alerts, scan, sessions
 
 def hot_rows(n, seed=2):
     rng = random.Random(seed)
-    return [(i, "hot" if rng.random() < 0.9 else f"k{rng.randrange(5)}", round(rng.uniform(0, n / 50), 1), rng.choice("abcdefgh") if rng.random() < 0.9 else None, rng.randrange(100)) for i in range(n)]
+    return [(
+        i, "hot" if rng.random() < 0.9 else f"k{rng.randrange(5)}", round(rng.uniform(0, n / 50), 1), rng.choice("abcdefgh") if rng.random() < 0.9 else None,
+        rng.randrange(100),
+    ) for i in range(n)]
 
 
 def trailing(rows, seconds):
@@ -55,7 +58,10 @@ def test_trailing_state_of_odd_rows(spark):
 
 def test_a_hot_key_of_200000_rows(spark):
     n = 200_000
-    rows = spark.range(n).select(F.col("id").alias("event_id"), F.col("id"), F.lit("hot").alias("src"), F.lit("d").alias("dst"), (F.col("id") * 0.1).alias("ts"), F.lit(1).alias("fwd_bytes"), (F.col("id") % 2).alias("alpha"), F.col("id").alias("window_start"))
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.col("id"), F.lit("hot").alias("src"), F.lit("d").alias("dst"), (F.col("id") * 0.1).alias("ts"), F.lit(1).alias("fwd_bytes"),
+        (F.col("id") % 2).alias("alpha"), F.col("id").alias("window_start"),
+    )
     state = ordered.trailing_state(rows, ["src"], seconds=10.0, kinds={"k": F.col("id") % 7})
     assert state.agg(F.max("n"), F.max("k.kinds"), F.count("*")).first() == (101, 7, n)
     assert sessions.merge_checkins(rows, ["src", "dst"], gap=5.0).agg(F.count("*"), F.sum("b")).first() == (n // 50, float(n))
