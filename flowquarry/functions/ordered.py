@@ -239,6 +239,22 @@ def running_total(df: DataFrame, value: Column, order: list[str], *, by: list[st
     return rows.withColumn("__within", within).join(ahead, same).withColumn(name, F.col("__ahead") + F.col("__within")).select(*df.columns, name)
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles of a column of numbers, each interpolated between its two neighbours, by name.
+
+    They are found from running counts by distinct value, so no task holds or sorts all of them; nulls do not count.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = running_total(per, F.col("__n"), ["__v"], name="__upto").join(F.broadcast(per.agg(F.sum("__n").alias("__all"))))  # one row beside
+    at = lambda place: F.max(F.when((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place), F.col("__v")))
+    ends = {}
+    for name, share in shares.items():
+        exact = (F.col("__all") - 1) * share
+        ends |= {f"{name}_low": at(F.floor(exact)), f"{name}_high": at(F.ceil(exact)), f"{name}_part": F.max(exact - F.floor(exact))}
+    found = placed.agg(*[c.alias(n) for n, c in ends.items()])
+    return found.select(*[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in shares])
+
+
 def _bucket(cuts: list[float], lead: Column) -> Column:
     """How many of the cuts are at or below ``lead``, by halving; -1 for null."""
 

@@ -47,8 +47,8 @@ def corpus_summary(windows: DataFrame) -> DataFrame:
 def fanin_profile(flows: DataFrame) -> DataFrame:
     """Per peer: distinct clients and flows, beside the 90th and 99th percentile of client counts over peers."""
     per = flows.groupBy("dst").agg(F.count_distinct("src").alias("clients"), F.count("*").alias("flows"))
-    cut = per.agg(F.percentile("clients", F.array(F.lit(0.9), F.lit(0.99))).alias("p"))  # one row
-    return per.crossJoin(F.broadcast(cut)).select("dst", "clients", "flows", F.col("p")[0].alias("p90"), F.col("p")[1].alias("p99"))
+    cut = ordered.quantiles(per, "clients", {"p90": 0.9, "p99": 0.99})  # one row
+    return per.crossJoin(F.broadcast(cut)).select("dst", "clients", "flows", "p90", "p99")
 
 
 def novelty(rows: DataFrame, *, freeze: int) -> DataFrame:
@@ -124,13 +124,12 @@ def host_rank(scores: DataFrame) -> DataFrame:
 
 def fit_host_norm(scores: DataFrame, *, least: int = 20, floor: float = 1e-6) -> DataFrame:
     """Per host: median and scaled deviation of its scores, or the pooled ones where it has too few rows."""
-    def robust(df: DataFrame, keys: list[str]) -> DataFrame:
-        mid = df.groupBy(*keys).agg(F.median("score").alias("med"), F.count("*").alias("n"))
-        joined = df.join(mid, keys) if keys else df.crossJoin(F.broadcast(mid))  # one row without keys
-        return joined.groupBy(*keys, "med", "n").agg(F.greatest(F.lit(floor), 1.4826 * F.median(F.abs(F.col("score") - F.col("med")))).alias("mad"))
-
-    pooled = robust(scores, []).select(F.col("med").alias("pooled_med"), F.col("mad").alias("pooled_mad"))
-    own = robust(scores, ["host"]).crossJoin(F.broadcast(pooled))
+    middle = ordered.quantiles(scores, "score", {"pooled_med": 0.5})  # one row, as is the next
+    spread = ordered.quantiles(scores.crossJoin(F.broadcast(middle)).withColumn("__off", F.abs(F.col("score") - F.col("pooled_med"))), "__off", {"off": 0.5})
+    pooled = middle.crossJoin(spread).select("pooled_med", F.greatest(F.lit(floor), 1.4826 * F.col("off")).alias("pooled_mad"))
+    mid = scores.groupBy("host").agg(F.median("score").alias("med"), F.count("*").alias("n"))
+    own = scores.join(mid, "host").groupBy("host", "med", "n").agg(F.greatest(F.lit(floor), 1.4826 * F.median(F.abs(F.col("score") - F.col("med")))).alias("mad"))
+    own = own.crossJoin(F.broadcast(pooled))
     few = F.col("n") < least
     return own.select("host", "n", F.when(few, F.col("pooled_med")).otherwise(F.col("med")).alias("med"), F.when(few, F.col("pooled_mad")).otherwise(F.col("mad")).alias("mad"))
 

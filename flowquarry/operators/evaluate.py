@@ -147,7 +147,7 @@ def drift_report(a: DataFrame, b: DataFrame, features: list[str], *, least: floa
 
 def threshold_transfer(a: DataFrame, b: DataFrame, *, q: float = 0.99) -> DataFrame:
     """One row: a's quantile as a threshold, and the share of rows over it in a and in b."""
-    cut = a.agg(F.percentile("score", q).alias("threshold"))
+    cut = ordered.quantiles(a, "score", {"threshold": q})
     rate = lambda df, name: df.crossJoin(F.broadcast(cut)).agg(F.avg((F.col("score") > F.col("threshold")).cast("int")).alias(name))
     return cut.crossJoin(rate(a, "rate_a")).crossJoin(rate(b, "rate_b"))  # one row each
 

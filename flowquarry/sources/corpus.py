@@ -12,10 +12,12 @@ KEY = ["host", "lhour", "cat"]
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder in local sessions only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -93,3 +93,15 @@ def test_folds_of_odd_rows(spark):
     assert alerts.cooldown(df.where("false"), ["src"], seconds=3.0).count() == 0
     merged = sessions.merge_checkins(df.withColumns({"event_id": F.col("id"), "fwd_bytes": F.lit(2)}), ["src"], gap=1.5)
     assert {(r.src, r.t, r.b) for r in merged.collect()} == {("a", 1.0, 2.0), ("a", 5.0, 2.0), (None, 1.0, 4.0), ("b", 0.0, 2.0)}
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    for n in (1, 2, 5, 400):
+        x = [rng.choice([1.5, 2.0, rng.random()]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
+        (r,) = ordered.quantiles(df, "x", {"a": 0.0, "b": 0.5, "c": 0.99}).collect()
+        assert [r.a, r.b, r.c] == pytest.approx(np.quantile(x, [0, 0.5, 0.99]).tolist(), abs=1e-12)
+    assert ordered.quantiles(df.where("false"), "x", {"b": 0.5}).first().b is None
