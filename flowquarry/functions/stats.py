@@ -45,7 +45,7 @@ def median(values: Column) -> Column:
         n = F.size(s)
         return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
 
-    return let(F.array_sort(values), of)
+    return let(F.sort_array(values), of)
 
 
 def mad_ratio(values: Column) -> Column:
@@ -74,7 +74,7 @@ def frequencies(values: Column) -> Column:
 
     One pass over the sorted array, so it stays cheap for long windows.
     """
-    text = F.array_sort(F.transform(values, lambda x: x.cast("string")))
+    text = F.sort_array(F.transform(values, lambda x: x.cast("string")))
     zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("kinds"), F.lit(0).alias("most"), F.lit(0.0).alias("s"))
     weight = lambda run: F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(0.0)
 
@@ -95,7 +95,7 @@ def frequencies(values: Column) -> Column:
 
 def _ks(values: Column, cdf: Callable[[Column], Column]) -> Column:
     n = F.size(values)
-    return F.array_max(F.transform(F.array_sort(values), lambda x, i: F.greatest((i + 1) / n - cdf(x), cdf(x) - i / n)))
+    return F.array_max(F.transform(F.sort_array(values), lambda x, i: F.greatest((i + 1) / n - cdf(x), cdf(x) - i / n)))
 
 
 def ks_uniform(values: Column) -> Column:
@@ -180,7 +180,7 @@ def acf_peak(times: Column, bin_seconds: float = 5.0, low: float = 10.0, high: f
 
 def histories(df: DataFrame, keys: list[str], order: list[str], values: list[str], name: str = "history") -> DataFrame:
     """One row a key with its rows as an array of structs in order: bounded by an entity's history in the window."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias(name))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias(name))
 
 
 def trailing(*keys: str, seconds: float, ts: str = "ts") -> WindowSpec:

@@ -210,8 +210,8 @@ def ja4(transport: Column, versions: Column, sni: Column, ciphers: Column, exten
     code = F.when(first.isNull() | (first == ""), "00").otherwise(F.concat(F.substring(first, 1, 1), F.substring(first, -1, 1)))
     count = lambda a: F.lpad(F.least(F.size(a), F.lit(99)).cast("string"), 2, "0")
     a = F.concat(transport, version, F.when(sni.isNull(), "i").otherwise("d"), count(c), count(e), code)
-    b = _short_hash(F.array_join(F.array_sort(_hex4(c)), ","))
-    kept = F.array_join(F.array_sort(_hex4(F.filter(e, lambda x: ~x.isin(0x0000, 0x0010)))), ",")
+    b = _short_hash(F.array_join(F.sort_array(_hex4(c)), ","))
+    kept = F.array_join(F.sort_array(_hex4(F.filter(e, lambda x: ~x.isin(0x0000, 0x0010)))), ",")
     signed = F.array_join(_hex4(_plain(sig_algs)), ",")
     d = F.when(kept == "", "000000000000").otherwise(_short_hash(F.when(signed == "", kept).otherwise(F.concat(kept, F.lit("_"), signed))))
     return F.concat_ws("_", a, b, d)

@@ -193,7 +193,7 @@ def host_rollup(alerts: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == "src").alias("as_src"), F.count_if(F.col("role") == "dst").alias("as_dst"), F.max(rank(F.col("severity"))).alias("worst"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
-    classes = F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_class", F.col("as_src") + F.col("as_dst")))))
+    classes = F.map_from_entries(F.sort_array(F.collect_list(F.struct("threat_class", F.col("as_src") + F.col("as_dst")))))
     return per.groupBy("entity").agg(
         F.sum("as_src").alias("as_src"), F.sum("as_dst").alias("as_dst"), F.max("worst").alias("worst"), F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"), classes.alias("classes"),

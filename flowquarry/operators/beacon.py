@@ -102,7 +102,7 @@ def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions:
     base = ordered.trailing_state(base, ["src", "dst", "ja4"], seconds=seconds, n="__n", kinds={"__shapes": F.col("shape")})
     w = stats.trailing("src", "dst", "ja4", seconds=seconds)
     # Medians need the window's values themselves: of a client and server with one fingerprint, and only where it has enough.
-    f = base.withColumns({"times": F.array_sort(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w)}).where(F.col("__n") >= least_sessions)
+    f = base.withColumns({"times": F.sort_array(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w)}).where(F.col("__n") >= least_sessions)
     n = F.col("__n")
     gaps = stats.differences(F.col("times"))
     commonest = F.col("__shapes.most")

@@ -21,7 +21,7 @@ def behaviour_windows(conns: DataFrame, *, tz_seconds: int = 0) -> DataFrame:
     """
     keyed = conns.withColumn("lhour", F.floor((F.col("ts") + tz_seconds) / 3600).cast("long"))
     g = keyed.groupBy("host", "lhour", "cat").agg(
-        F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"), F.count_distinct("peer").alias("peers"), F.avg("dur").alias("dur"), F.array_sort(F.collect_list("ts")).alias("times")
+        F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"), F.count_distinct("peer").alias("peers"), F.avg("dur").alias("dur"), F.sort_array(F.collect_list("ts")).alias("times")
     )
     g = g.withColumn("gaps", stats.differences(F.col("times")))
     few = F.size("gaps") < 4
@@ -218,7 +218,7 @@ def markov_surprise(train: DataFrame, test: DataFrame, *, smoothing: float = 1.0
 
 def chain_steps(windows: DataFrame, chain: list[str]) -> DataFrame:
     """Per host and day, how many steps of the chain of categories were walked in order of the hour."""
-    h = windows.groupBy("host", "day").agg(F.array_sort(F.collect_list(F.struct("hour", "cat"))).alias("h"))
+    h = windows.groupBy("host", "day").agg(F.sort_array(F.collect_list(F.struct("hour", "cat"))).alias("h"))
     wanted = F.array(*map(F.lit, chain))
     walked = F.aggregate("h", F.lit(0), lambda i, x: F.when(F.get(wanted, i) == x["cat"], i + 1).otherwise(i))
     return h.select("host", "day", walked.alias("steps"))

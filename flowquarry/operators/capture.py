@@ -24,7 +24,7 @@ def infer_local(packets: DataFrame, *, least_share: float = 0.01) -> DataFrame:
     per = packets.groupBy("mac").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
     total = per.agg(F.sum("n").alias("all"))  # one row
     chosen = per.crossJoin(F.broadcast(total)).where(F.col("n") >= least_share * F.col("all")).orderBy("sources", "mac").limit(1).drop("all")
-    addresses = packets.join(F.broadcast(chosen), "mac", "left_semi").groupBy("mac").agg(F.array_sort(F.collect_set("src")).alias("addresses"))
+    addresses = packets.join(F.broadcast(chosen), "mac", "left_semi").groupBy("mac").agg(F.sort_array(F.collect_set("src")).alias("addresses"))
     return chosen.join(addresses, "mac")
 
 

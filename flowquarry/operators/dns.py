@@ -75,5 +75,5 @@ def dns_bytes(queries: DataFrame, responses: DataFrame, *, seconds: int = 300, l
 def dns_host_summary(messages: DataFrame, *, types: int = 8) -> DataFrame:
     """Per client: messages, failure rate, and its commonest record types as a map."""
     per = messages.groupBy("client", "type").agg(F.count("*").alias("n"), F.sum((F.col("rcode") == 3).cast("int")).alias("nx"))
-    mix = F.transform(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("n"), F.col("type")))), 1, types), lambda x: F.struct(x["type"].alias("key"), (-x["col1"]).alias("value")))
+    mix = F.transform(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("type")))), 1, types), lambda x: F.struct(x["type"].alias("key"), (-x["col1"]).alias("value")))
     return per.groupBy("client").agg(F.sum("n").alias("messages"), (F.sum("nx") / F.sum("n")).alias("nx_rate"), F.map_from_entries(mix).alias("types"))

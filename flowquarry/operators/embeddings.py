@@ -64,7 +64,7 @@ def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = No
 
     left = _packed(queries, block, dims).toDF("qids", "qdata")
     near = left.crossJoin(_packed(vectors, block, dims)).mapInPandas(run, "vec_id long, other long, distance double")
-    return near.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n")).select("vec_id", F.transform("n", lambda x: x["other"]).alias("neighbours"))
+    return near.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n")).select("vec_id", F.transform("n", lambda x: x["other"]).alias("neighbours"))
 
 
 def knn_overlap(vectors: DataFrame, *, first: int, k: int, every: int = 50) -> DataFrame:

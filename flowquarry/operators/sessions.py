@@ -182,4 +182,4 @@ def splt(packets: DataFrame, keys: list[str], *, n: int = 20) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     ranked = packets.where("size > 0").withColumn("__i", F.row_number().over(w)).withColumn("__t0", F.min("ts").over(Window.partitionBy(*keys))).where(F.col("__i") <= n)
     item = F.struct("__i", F.when(F.col("forward"), F.col("size")).otherwise(-F.col("size")).alias("size"), F.round((F.col("ts") - F.col("__t0")) * 1000, 3).alias("ms"))
-    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__s")).select(*keys, F.transform("__s", lambda x: F.struct(x["size"].alias("size"), x["ms"].alias("ms"))).alias("splt"))
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("__s")).select(*keys, F.transform("__s", lambda x: F.struct(x["size"].alias("size"), x["ms"].alias("ms"))).alias("splt"))

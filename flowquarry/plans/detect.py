@@ -405,7 +405,7 @@ def ag10_dns_bytes(spark, sf_dir):
 )
 def ag11_dns_host_summary(spark, sf_dir):
     s = dns_ops.dns_host_summary(_dns(spark, sf_dir))
-    listed = F.transform(F.array_sort(F.transform(F.map_entries("types"), lambda e: F.struct(-e["value"], e["key"]))), lambda x: F.concat(x["key"], F.lit("="), (-x["col1"]).cast("string")))
+    listed = F.transform(F.sort_array(F.transform(F.map_entries("types"), lambda e: F.struct(-e["value"], e["key"]))), lambda x: F.concat(x["key"], F.lit("="), (-x["col1"]).cast("string")))
     return s.select("client", "messages", F.round("nx_rate", 6).alias("nx_rate"), F.array_join(listed, ",").alias("types"))
 
 

@@ -40,7 +40,7 @@ def _captures(f):
     frame = F.concat(lit("000000000001000000000002" + "0800"), ip)
     micros = F.round((F.col("ts") - F.floor("ts")) * 1e6)
     record = F.concat(little(4, F.floor("ts")), little(4, micros), little(4, F.lit(50)), little(4, F.lit(50)), frame)
-    per = f.groupBy((F.col("user_id") % 64).alias("capture")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.hex(record).alias("r")))).alias("rs"))
+    per = f.groupBy((F.col("user_id") % 64).alias("capture")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.hex(record).alias("r")))).alias("rs"))
     head = "d4c3b2a1020004000000000000000000ffff000001000000"
     return per.select("capture", F.unhex(F.concat(F.lit(head), F.array_join(F.transform("rs", lambda x: x["r"]), ""))).alias("content"))
 
@@ -157,8 +157,8 @@ def src11_read_conns(spark, sf_dir):
 )
 def src12_load_network_info(spark, sf_dir):
     f = flows(spark, sf_dir).where("dst like '192.168.%'")
-    ports = f.where("dport < 100").groupBy("dst").agg(F.array_sort(F.collect_set("dport")).alias("p"))
-    one = f.agg(F.array_sort(F.collect_set("dst")).alias("known_hosts")).crossJoin(ports.agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("known_open_ports")))  # one row each
+    ports = f.where("dport < 100").groupBy("dst").agg(F.sort_array(F.collect_set("dport")).alias("p"))
+    one = f.agg(F.sort_array(F.collect_set("dst")).alias("known_hosts")).crossJoin(ports.agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("known_open_ports")))  # one row each
     nets, hosts, opened, _ = logs.load_network_info(spark, _put(one.withColumn("internal_subnets", F.array(F.lit("192.168.10.0/24"))).coalesce(1), "json"))
     none = F.lit(None).cast("int").alias("b")
     return hosts.select(F.lit("host").alias("what"), F.col("host").alias("a"), none).union(nets.select(F.lit("net"), "net", "bits")).union(opened.select(F.lit("port"), "host", "port"))

@@ -309,7 +309,7 @@ def _hellos(packets: DataFrame, first: int, parse: Callable[[bytes], tuple | Non
     names = T.StructType.fromDDL(schema).fieldNames()
     w = Window.partitionBy("key", "src", "sport").orderBy("ts")
     early = packets.where("length(payload) > 0").withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= first)
-    streams = early.groupBy("key", "src", "sport").agg(F.array_sort(F.collect_list(F.struct("__i", F.hex("payload").alias("x")))).alias("p"))
+    streams = early.groupBy("key", "src", "sport").agg(F.sort_array(F.collect_list(F.struct("__i", F.hex("payload").alias("x")))).alias("p"))
     joined = streams.select("key", "src", "sport", F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), "")).alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
