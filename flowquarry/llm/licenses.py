@@ -96,7 +96,8 @@ TEXTS: list[tuple[str, str, str]] = [
 
 #: Words that are too common to look anything up by.
 COMMON = {"the", "of", "and", "or", "to", "is", "in", "by", "for", "with", "any", "a", "this", "at", "are", "be", "as", "it", "on", "under", "v", "0", "2", "use", "into"}
-WORD_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+WORD_SPLIT = f"[{BETWEEN}]+"
 #: Index words of a template: all that are not common, or of a long one the longest so many.
 MOST_WORDS = 12
 #: Index words of a template that are looked up in each document, rarest first.
@@ -132,10 +133,23 @@ def index_words() -> list[str]:
     return sorted({p[4] for p in postings()})
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; no word for null."""
-    lowered = F.translate(text, UPPER, LOWER)
-    return F.filter(F.split(lowered, WORD_SPLIT), lambda w: w != "")
+def any_of(words: list[str]) -> str:
+    """A pattern for whole words, A-Z in either case; words that begin alike share that part, so that it is read once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [c + pattern(below) for c, below in sorted(at.items()) if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{body})?" if "" in at else body
+
+    return f"(?i)(?<![^{BETWEEN}]){pattern(tree)}(?![^{BETWEEN}])"
 
 
 def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +157,7 @@ def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     where the posting would have it."""
     listed = F.array(*map(F.lit, index_words()))
     seen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    split = seen.select("doc_id", F.filter(F.split("text", WORD_SPLIT), lambda w: w != "").alias("raw"), F.rlike(F.col("text"), F.lit("(?i)(" + "|".join(index_words()) + ")")).alias("any"))
+    split = seen.select("doc_id", F.filter(F.split("text", WORD_SPLIT), lambda w: w != "").alias("raw"), F.rlike(F.col("text"), F.lit(any_of(index_words()))).alias("any"))
     lowered = F.when(F.col("any"), F.transform("raw", lambda w: F.translate(w, UPPER, LOWER)))
     found = split.select("doc_id", F.size("raw").cast("long").alias("n_words"), lowered.alias("words"))
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(listed, w), i)), lambda i: i.isNotNull())
