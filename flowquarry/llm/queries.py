@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, licenses, media, mixing, packing, simhash, substring_index, toxicity, warc
+from . import decontamination, fingerprints, language_id, licenses, media, mixing, packing, simhash, substring_index, toxicity, warc
 from .common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op2_document_fingerprints, op3_toxicity, op4_substring_dedup, op5_license_scan, op6_mixing, op7_media, op8_packing, op9_simhash, op10_warc, pipeline)
+    own = (op1_language_id, op2_document_fingerprints, op3_toxicity, op4_substring_dedup, op5_license_scan, op6_mixing, op7_media, op8_packing, op9_simhash, op10_warc, op13_decontamination, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -135,6 +140,28 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS s, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM windows
+), starts AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes)
+), met AS (
+  SELECT r, i, starts.n, item_id FROM starts JOIN windows USING (s) WHERE starts.n = windows.n
+), hit AS (
+  SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r
+), held AS (
+  SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op10_warc": OP10_SQL, "op13_decontamination": OP13_SQL}
