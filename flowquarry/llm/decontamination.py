@@ -28,22 +28,46 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW, SHINGLE = 10, 3
+#: Words of a piece of a text.
+PIECE_WORDS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of ASCII characters other than letters and digits, one by one: Java looks such a class up in one table.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 #: Bytes of one broadcast block; larger benchmarks take more blocks, each met by all documents.
 BLOCK_BYTES = 32 << 20
 ROW_BYTES = 120
 
 
 def words(text: str) -> Column:
-    """Runs of ASCII letters, in lower case, digits and characters beyond ASCII."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
+    """Runs of ASCII letters, in lower case, digits and characters beyond ASCII, whose case stays."""
+    given = F.coalesce(text, F.lit(""))
+    # On ASCII alone lower() is the same as translate() and faster.
+    folded = F.when(F.octet_length(given) == F.length(given), F.lower(given)).otherwise(F.translate(given, UPPER, LOWER))
+    return F.array_remove(F.split(folded, BETWEEN), "")
 
 
-def shingles(of: str, n: Column, width: int) -> Column:
-    """A 64-bit hash of the words at each start."""
-    hashed = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(of, i, width)))
-    return F.when(n >= width, hashed).otherwise(F.array().cast("array<long>"))
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """(row, doc_id, n, base, lead, words): each row's words in pieces of a bounded length.
+
+    A piece owns PIECE_WORDS places from base on, and holds the words around that a window over them can have:
+    ``lead`` of them before. n is the number of words of the whole text.
+    """
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_col).alias("all"))
+    cut = split.withColumn("n", F.size("all")).select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(PIECE_WORDS))).alias("base"))
+    lead = F.least(F.col("base"), F.lit(width - 1))
+    return cut.select("row", "doc_id", "n", "base", lead.alias("lead"), F.slice("all", F.col("base") - lead + 1, F.lit(PIECE_WORDS + width - 1) + lead).alias("words"))
+
+
+def shingle_hash(first: Column, of: str, at: Column, width: int) -> Column:
+    """A 64-bit hash of the words from a place on."""
+    return F.xxhash64(first, *[F.get(of, at + i) for i in range(1, width)])
+
+
+def _shingled(texts: DataFrame, width: int, *keep: str) -> DataFrame:
+    """(at, hash) of every shingle, once, with the columns to keep: a row a word, hashed where it is exploded."""
+    placed = texts.select("n", "base", "lead", "words", *keep, F.posexplode("words").alias("at", "word"))
+    own = placed.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + PIECE_WORDS) & (F.col("base") - F.col("lead") + F.col("at") + width <= F.col("n")))
+    return own.withColumn("hash", shingle_hash(F.col("word"), "words", F.col("at"), width))
 
 
 def windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -51,7 +75,8 @@ def windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text"
     n = F.size("w")
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.slice("w", i, width))
     own = items.select(F.col(id_col).cast("string").alias("item"), words(text_col).alias("w")).where(n > 0)
-    return own.select("item", F.explode(cut).alias("window")).distinct().withColumn("window_key", F.sha2(F.array_join("window", " "), 256))
+    each = own.select("item", F.explode(cut).alias("window")).distinct()
+    return each.withColumn("window_key", F.sha2(F.array_join("window", " "), 256))
 
 
 def _blocks(rows: DataFrame, key: str, size: Column, most: int) -> list[DataFrame]:
@@ -68,18 +93,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def rarest_shingles(texts: DataFrame, kept: DataFrame, *, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(window_key, window, width, hash, place): the necessary prefix of each window that documents can have.
 
-    ``texts`` has the documents' words (words, n), ``kept`` the distinct windows.
+    ``texts`` are the documents' pieces, ``kept`` the distinct windows.
     """
     n = F.size("window")
-    width = F.least(n, F.lit(shingle))
-    # A window narrower than a shingle is one shingle of its own width.
-    placed = kept.select("window_key", "window", width.alias("width"), F.posexplode(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice("window", i, width)))).alias("place", "hash"))
-    placed = saved(placed, "shingles")
+    cut = []
+    for own in range(1, shingle + 1):  # a window narrower than a shingle is one shingle of its own width
+        fit = kept.where(n >= own) if own == shingle else kept.where(n == own)
+        at = fit.select("window_key", "window", F.lit(own).alias("width"), F.explode(F.sequence(F.lit(0), n - own)).alias("place"))
+        cut.append(at.withColumn("hash", shingle_hash(F.get("window", "place"), "window", F.col("place"), own)))
+    placed = saved(_union(cut), "shingles")
     counted = []
     for (own,) in placed.select("width").distinct().collect():  # at most as many as a shingle has words
         wanted = placed.where(F.col("width") == own).select("hash").distinct()
         for block in _blocks(wanted, "hash", F.lit(ROW_BYTES), block_bytes):
-            met = texts.where(F.col("n") >= own).select(F.explode(shingles("words", F.col("n"), own)).alias("hash")).join(F.broadcast(block), "hash")
+            met = _shingled(texts, own).select("hash").join(F.broadcast(block), "hash")
             counted.append(met.groupBy("hash").count().withColumn("width", F.lit(own)))
     if not counted:
         return placed
@@ -96,10 +123,11 @@ def places(texts: DataFrame, prefixes: DataFrame, *, block_bytes: int = BLOCK_BY
     size = F.length(F.array_join("window", " ")) * 2 + ROW_BYTES
     for (own,) in prefixes.select("width").distinct().collect():
         for block in _blocks(prefixes.where(F.col("width") == own), "window_key", size, block_bytes):
-            shingled = texts.where(F.col("n") >= own).select("row", "n", "words", F.posexplode(shingles("words", F.col("n"), own)).alias("at", "hash"))
-            length, start = F.size("window"), F.col("at") - F.col("place")
+            length, before = F.size("window"), F.col("base") - F.col("lead")
+            start = before + F.col("at") - F.col("place")
             fits = (start >= 0) & (start + length <= F.col("n"))
-            met = shingled.join(F.broadcast(block.drop("width")), "hash").where(fits & F.when(fits, F.slice("words", start + 1, length) == F.col("window")))
+            stands = F.when(fits, F.slice("words", start - before + 1, length) == F.col("window"))
+            met = _shingled(texts, own, "row").join(F.broadcast(block.drop("width")), "hash").where(fits & stands)
             found.append(met.select("row", start.alias("start"), length.alias("length"), "window_key"))
     return _union(found) if found else texts.select("row", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("window_key")).where(F.lit(False))
 
@@ -109,8 +137,7 @@ def decontaminate(
     width: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items (ids in order, as strings), contaminated."""
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
-    texts = saved(split.withColumn("n", F.size("words")), "words")
+    texts = saved(pieces(docs, id_col=id_col, text_col=text_col, width=width), "words")
     cut = saved(windows(items, id_col=item_id_col, text_col=item_text_col, width=width), "windows")
     kept = cut.select("window_key", "window").distinct()
     prefixes = saved(rarest_shingles(texts, kept, shingle=shingle, block_bytes=block_bytes), "prefixes")
@@ -123,7 +150,7 @@ def decontaminate(
     hit_windows = met.select("row", "window_key").distinct()
     listed = [hit_windows.join(F.broadcast(block), "window_key") for block in _blocks(cut.select("window_key", "item").where(F.col("item").isNotNull()), "item", F.lit(2 * ROW_BYTES), block_bytes)]
     held = _union(listed).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = texts.select("row", "doc_id", F.col("n").cast("long").alias("n_words")).join(hit, "row", "left").join(held, "row", "left")
+    out = texts.where(F.col("base") == 0).select("row", "doc_id", F.col("n").cast("long").alias("n_words")).join(hit, "row", "left").join(held, "row", "left")
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"),
