@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, licenses, media, mixing, packing, simhash, substring_index, toxicity, warc
+from . import alignment, decontamination, fingerprints, language_id, licenses, media, mixing, packing, simhash, substring_index, toxicity, warc, whitening
 from .common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -73,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op2_document_fingerprints, op3_toxicity, op4_substring_dedup, op5_license_scan, op6_mixing, op7_media, op8_packing, op9_simhash, op10_warc, op13_decontamination, pipeline)
+    own = (op1_language_id, op2_document_fingerprints, op3_toxicity, op4_substring_dedup, op5_license_scan, op6_mixing, op7_media, op8_packing, op9_simhash, op10_warc, op11_whitening, op12_alignment, op13_decontamination, pipeline)
     return {f.__name__: f for f in own}
 
 
