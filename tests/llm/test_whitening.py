@@ -53,7 +53,7 @@ def test_query_equals_numpy(spark, sf_dir):
 def test_odd_rows_and_columns(spark):
     rng = np.random.default_rng(3)
     good = [(i, [float(np.float32(c)) for c in rng.normal(size=6)]) for i in range(80)]
-    bad = [(100, None), (101, []), (102, [1.0, None, 1, 1, 1, 1]), (103, [float("nan")] * 6), (104, [float("inf")] + [0.0] * 5), (105, [1.0, 2.0])]
+    bad = [(100, None), (101, []), (102, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (103, [float("nan")] * 6), (104, [float("inf")] + [0.0] * 5), (105, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 7, "clash") for i, v in good + bad], VECTORS).repartition(5)
     compare(whitening.whiten(df).collect(), good)
     compare(whitening.whiten(df, components=4).collect(), good, 4)
