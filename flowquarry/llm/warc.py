@@ -20,9 +20,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ LEAST_REVISIT = 100
 RECORDS = 512
 #: Revisits that are broadcast at most, at some 120 bytes each.
 MOST_BROADCAST = 100_000
+#: Bytes of records that a reader passes on at a time.
+BATCH_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,12 +114,15 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     decided = rows.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, ["digest", "page_id"], "left")
     decided = decided.select("page_id", "url", "payload", "digest", F.col("first_id").alias("refers_to"))
 
+    written = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        # A record's id is its own among all archives: this writing, the task's part of it, and a count.
+        n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
-                found = page_records(page_id, f"{digest}/{n}", url, payload, digest, refers_to, segment_bytes)
+                found = page_records(page_id, f"{written}/{part}/{n}", url, payload, digest, refers_to, segment_bytes)
                 # The text writer ends each row with a line feed, which is the record's last byte.
                 yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in found], pa.binary())], ["record"])
 
@@ -125,21 +132,58 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     unsaved(again)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, by lower-case name, and block of every record of an archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
+def unzipped(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The contents of an archive, a piece of bounded length at a time, member after member where it is gzipped."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + size] for i in range(0, len(data), size))
+        return
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            piece = member.decompress(data, size)
+            if not piece and not member.unconsumed_tail and not member.eof:
+                raise ValueError("a gzip member is cut short")
+            data = member.unconsumed_tail
+            if piece:
+                yield piece
+        data = member.unused_data.lstrip(b"\0")
+
+
+def parse(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, by lower-case name, and block of every record of an archive; what is held is a record and a piece."""
+    pieces, held, at, done = iter([data] if isinstance(data, bytes) else data), bytearray(), 0, 0
+
+    def more() -> bool:
+        """Takes another piece in, and drops what was read."""
+        nonlocal at, done
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        done, at = done + at, 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while len(held) - at < 5 and more():
+            pass
+        if at == len(held):
+            return
+        if held[at : at + 5] != b"WARC/":
+            raise ValueError(f"no record at byte {done + at}")
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError(f"record at byte {done + at} has no end of headers")
+        lines = held[at:end].decode("utf-8").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
+        size, begin = int(headers["content-length"]), end + 4 - at
+        while len(held) - at < begin + size + 4 and more():
+            pass
+        block, closing = bytes(held[at + begin : at + begin + size]), held[at + begin + size : at + begin + size + 4]
+        if len(block) != size or closing != b"\r\n\r\n":
+            raise ValueError(f"record at byte {done + at} does not end where its length says")
         yield headers, block
-        at = end + 8 + size
+        at += begin + size + 4
 
 
 def payload_of(block: bytes) -> bytes:
@@ -159,18 +203,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for value in batch.column(0):
-                data = value.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                out = []
-                for h, block in parse(data):
+                out, size = [], 0
+                for h, block in parse(unzipped(value.as_py())):
                     own, segment = h["warc-record-id"], h.get("warc-segment-number")
                     number = lambda k, h=h: int(h[k]) if h.get(k) else None
                     origin = h.get("warc-segment-origin-id") or (own if segment else None)
                     out.append((own, h["warc-type"], number("x-page-id"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, number("x-refers-to-page-id"), origin, number("warc-segment-number"), number("warc-segment-total-length"), block))
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

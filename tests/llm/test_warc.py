@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowquarry.llm import warc
 
@@ -75,3 +76,31 @@ def test_chunked_framing():
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page_id", [4, None])
+def test_equal_long_pages_of_two_tasks_are_two_records(spark, page_id):
+    html = "".join(f"<td>{i}</td>" for i in range(8_000))
+    two = spark.createDataFrame([(page_id, "u", html)], "page_id long, url string, html string")
+    pages = two.unionAll(two).unionAll(spark.createDataFrame([(9, "u", html)], two.schema))
+    assert pages.rdd.getNumPartitions() >= 2
+    found = sorted(tuple(r) for r in warc.archive_round_trip(pages).select(F.coalesce("page_id", F.lit(-1)), "payload_bytes", "payload_digest", "record_type", F.coalesce("refers_to", F.lit(-1))).collect())
+    digest = hashlib.sha256(html.encode()).hexdigest()
+    # A null id is never the smallest, so page 9 keeps its own response beside those.
+    own = (-1 if page_id is None else page_id, len(html), digest, "response", -1)
+    other = (9, len(html), digest, "response", -1) if page_id is None else (9, len(html), digest, "revisit", 4)
+    assert found == sorted([own, own, other])
+
+
+def test_archives_are_read_member_by_member():
+    records = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], bytes([i % 256]) * (i * 977)) for i in range(40)]
+    whole = [(h["warc-record-id"], b) for h, b in warc.parse(b"".join(records))]
+    assert whole == [(f"<{i}>", bytes([i % 256]) * (i * 977)) for i in range(40)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        for size in (1, 7, 1000, 1 << 20):
+            if size > 1 or len(data) < 20_000:
+                assert [(h["warc-record-id"], b) for h, b in warc.parse(warc.unzipped(data, size))] == whole
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse(warc.unzipped(gzip.compress(b"".join(records))[:-400])))
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.parse(records[3][:-6]))
