@@ -5,6 +5,7 @@ Rows are dealt by key, sorted, and streamed through each task as Arrow batches,
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -20,6 +21,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 #: Windows' worth of time that one task takes of a key; a window's rows before it are copied to it.
 SLICE_WINDOWS = 8
 KINDS = T.StructType().add("kinds", "long").add("most", "long").add("bits", "double")
+TOP_KINDS = T.StructType(list(KINDS.fields)).add("top", T.ArrayType(T.StructType().add("value", "string").add("n", "long")))
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], *, needs: list[str], start: Callable[[], Any], step: Callable[..., tuple | None], adds: dict[str, str]) -> DataFrame:
@@ -91,35 +93,108 @@ def gathered(
     return df.select(*names, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]).repartition(*keys).sortWithinPartitions(*keys, *[f"__o{i}" for i in range(len(order))]).select(*names).mapInArrow(run, schema)
 
 
+class _Bucket:
+    """The values of one count, linked to the next lower and higher count that has any."""
+
+    __slots__ = ("count", "heap", "higher", "lower", "values")
+
+    def __init__(self, count: int):
+        self.count, self.values, self.heap = count, set(), []
+        self.lower: _Bucket | None = None
+        self.higher: _Bucket | None = None
+
+    def add(self, value: str, ordered: bool) -> None:
+        self.values.add(value)
+        if ordered:
+            heapq.heappush(self.heap, value)
+            if len(self.heap) > 2 * len(self.values) + 16:  # most of it has left
+                self.heap = sorted(self.values)
+
+    def first(self, k: int) -> list[str]:
+        """The k smallest values. Values that left are dropped from the heap when they come up."""
+        found: list[str] = []
+        while self.heap and len(found) < k:
+            value = heapq.heappop(self.heap)
+            if value in self.values and (not found or value != found[-1]):
+                found.append(value)
+        for value in found:
+            heapq.heappush(self.heap, value)
+        return found
+
+
 class _Kinds:
-    """Counts of a window's values, with the largest count and the entropy kept up to date."""
+    """Counts of a window's values, kept up to date as rows come and go: how many, the commonest and the entropy.
+
+    Values lie in buckets by count, linked in order of counts. A row moves its value to the next bucket, so each change
+    takes constant time, and the commonest values are read off the highest buckets; those with one count in order.
+    """
 
-    def __init__(self):
-        self.counts: dict[str, int] = {}
-        self.having: dict[int, int] = {}  # values by count
-        self.n, self.most, self.weight = 0, 0, 0.0
+    def __init__(self, top: int = 0):
+        self.top = top
+        self.at: dict[str, _Bucket] = {}
+        self.highest: _Bucket | None = None
+        self.lowest: _Bucket | None = None
+        self.n, self.weight = 0, 0.0
 
     def change(self, value: str | None, by: int) -> None:
+        """One row with the value more or less."""
         if value is None:
             return
-        before = self.counts.get(value, 0)
+        own = self.at.get(value)
+        before = own.count if own else 0
         after = before + by
         if after:
-            self.counts[value] = after
+            beside = (own.higher if own else self.lowest) if by > 0 else own.lower
+            if beside is None or beside.count != after:
+                beside = self._insert(after, own, beside) if by > 0 else self._insert(after, beside, own)
+            beside.add(value, self.top > 0)
+            self.at[value] = beside
         else:
-            del self.counts[value]
-        self.having[before] = self.having.get(before, 0) - 1
-        self.having[after] = self.having.get(after, 0) + 1
+            del self.at[value]
+        if own:
+            own.values.discard(value)
+            if not own.values:
+                self._unlink(own)
         self.n += by
-        if after > self.most:
-            self.most = after
-        elif before == self.most and not self.having[before]:
-            self.most = after
         self.weight = self.weight + _weight(after) - _weight(before) if self.n else 0.0
 
+    def _insert(self, count: int, lower: _Bucket | None, higher: _Bucket | None) -> _Bucket:
+        new = _Bucket(count)
+        new.lower, new.higher = lower, higher
+        if lower:
+            lower.higher = new
+        else:
+            self.lowest = new
+        if higher:
+            higher.lower = new
+        else:
+            self.highest = new
+        return new
+
+    def _unlink(self, old: _Bucket) -> None:
+        if old.lower:
+            old.lower.higher = old.higher
+        else:
+            self.lowest = old.higher
+        if old.higher:
+            old.higher.lower = old.lower
+        else:
+            self.highest = old.lower
+
+    def commonest(self, k: int) -> list[tuple[str, int]]:
+        found: list[tuple[str, int]] = []
+        bucket = self.highest
+        while bucket and len(found) < k:
+            found += [(value, bucket.count) for value in bucket.first(k - len(found))]
+            bucket = bucket.lower
+        return found
+
     def state(self) -> dict[str, Any]:
         bits = max(0.0, math.log2(self.n) - self.weight / self.n) if self.n else 0.0
-        return {"kinds": len(self.counts), "most": self.most, "bits": bits}
+        out = {"kinds": len(self.at), "most": self.highest.count if self.highest else 0, "bits": bits}
+        if self.top:
+            out["top"] = [{"value": v, "n": n} for v, n in self.commonest(self.top)]
+        return out
 
 
 def _weight(count: int) -> float:
@@ -127,16 +202,19 @@ def _weight(count: int) -> float:
 
 
 def trailing_state(
-    df: DataFrame, keys: list[str], *, seconds: float, ts: str = "ts", n: str = "n", first: str | None = None, sums: dict[str, Column] | None = None, kinds: dict[str, Column] | None = None
-) -> DataFrame:
+    df: DataFrame, keys: list[str], *, seconds: float, ts: str = "ts", n: str = "n", first: str | None = None, sums: dict[str, Column] | None = None, kinds: dict[str, Column] | None = None,
+    top: dict[str, int] | None = None,
+) -> DataFrame:
     """df with what the rows of the same keys in the seconds up to each row hold, both edges and ties included.
 
     n is how many, first the earliest time, sums of whole numbers, and for each of kinds a struct of how many values
-    there are, the commonest one's count and the entropy in bits; nulls do not count. A key's time is cut into slices
+    there are, the commonest one's count and the entropy in bits; nulls do not count. Kinds named in top also get the so
+    many commonest values with their counts, those with one count in order of the value. A key's time is cut into slices
     of a few windows, each a task's, so a hot key is shared out; the rows of the window before a slice are copied to it.
     Rows stream through a task once and what is held is the window.
     """
-    sums, kinds = sums or {}, kinds or {}
+    sums, kinds, top = sums or {}, kinds or {}, top or {}
+    tops = [top.get(name, 0) for name in kinds]
     length = float(seconds) * SLICE_WINDOWS
     at = F.floor(F.col(ts) / length).cast("long")
     late = F.col(ts) >= (at + 1) * length - seconds - (1e-6 + length * 1e-9)
@@ -146,12 +224,12 @@ def trailing_state(
     dealt = df.withColumns({**own, "__to": F.explode(to)}).select(*names, *own, F.col("__to.slice").alias("__slice"), F.col("__to.own").alias("__own"))
     at_key = [dealt.columns.index(k) for k in [*keys, "__slice"]]
     at_ts, n_sums, n_kinds = names.index(ts), len(sums), len(kinds)
-    struct = pa.struct([("kinds", pa.int64()), ("most", pa.int64()), ("bits", pa.float64())])
+    structs = [to_arrow_type(TOP_KINDS if k else KINDS) for k in tops]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now, tied = None, None, 0  # tied: own rows at the time that is now
         window: deque = deque()
-        totals, counters = [0] * n_sums, [_Kinds() for _ in range(n_kinds)]
+        totals, counters = [0] * n_sums, [_Kinds(k) for k in tops]
         waiting: deque[pa.RecordBatch] = deque()
         found: list[tuple] = []
 
@@ -170,7 +248,7 @@ def trailing_state(
                 cols = list(zip(*rows, strict=True))
                 made = [pa.array(cols[0], pa.int64())]
                 made += [pa.array(cols[1], pa.float64())] if first else []
-                made += [pa.array(c, pa.int64()) for c in cols[2 : 2 + n_sums]] + [pa.array(c, struct) for c in cols[2 + n_sums :]]
+                made += [pa.array(c, pa.int64()) for c in cols[2 : 2 + n_sums]] + [pa.array(c, kind) for c, kind in zip(cols[2 + n_sums :], structs, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], out_names)
 
         for batch in batches:
@@ -185,7 +263,7 @@ def trailing_state(
                     settle()
                     key, now = k, t
                     window.clear()
-                    totals, counters = [0] * n_sums, [_Kinds() for _ in range(n_kinds)]
+                    totals, counters = [0] * n_sums, [_Kinds(k) for k in tops]
                 elif t != now:
                     settle()
                     now = t
@@ -210,8 +288,8 @@ def trailing_state(
         schema = schema.add(first, "double")
     for name in sums:
         schema = schema.add(name, "long")
-    for name in kinds:
-        schema = schema.add(name, KINDS)
+    for name, k in zip(kinds, tops, strict=True):
+        schema = schema.add(name, TOP_KINDS if k else KINDS)
     out_names = schema.fieldNames()
     dealt = dealt.repartition(*keys, "__slice").sortWithinPartitions(*keys, "__slice", ts)
     return dealt.mapInArrow(run, schema)

@@ -15,33 +15,43 @@ def flow_record(flows: DataFrame) -> DataFrame:
         "pkts": F.greatest(F.lit(1), F.col("fwd_pkts") + F.col("bwd_pkts")),
         "bytes": F.col("fwd_bytes") + F.col("bwd_bytes"),
         "syn_only": tcp & (F.col("syn") == 1) & (F.col("ack") == 0),
-        "handshake": tcp & (F.col("syn") == 1) & (F.col("ack") == 1),
+        "handshake": tcp & (F.col("syn") == 1) & (F.col("ack") == 1) & (F.col("bwd_pkts") > 0),
     })
 
 
-def flood_window(records: DataFrame, *, seconds: float = 10.0) -> DataFrame:
+def flood_window(records: DataFrame, *, seconds: float = 10.0, top: int = 5) -> DataFrame:
     """For each flow, the state of its destination over the seconds before it, itself included.
 
-    A destination's time is cut into slices, so a flooded one is shared out among tasks.
+    top_sources are the commonest sources with their flows, those with as many in order of the address. top_sport is the
+    commonest source port of the UDP flows (the lowest of several), amplifier_share its share of them, and
+    amplifier_service the service that answers from it with more than it is asked, if there is one.
+
+    A destination's time is cut into slices, so a flooded one is shared out among tasks. Counts are kept in linked
+    buckets by count as rows come and go, so a row costs the same however many sources there are.
     """
+    udp, tcp = F.col("proto") == 17, F.col("proto") == 6
     out = ordered.trailing_state(
         records, ["dst"], seconds=seconds, first="__first",
         sums={
-            "n_bytes": F.col("bytes"), "n_pkts": F.col("pkts"), "n_syn": F.col("syn_only").cast("int"), "n_handshake": F.col("handshake").cast("int"), "n_udp": (F.col("proto") == 17).cast("int"),
+            "n_bytes": F.col("bytes"), "n_pkts": F.col("pkts"), "n_syn": F.col("syn_only").cast("int"), "n_handshake": F.col("handshake").cast("int"), "n_udp": udp.cast("int"), "n_tcp": tcp.cast("int"),
             "n_bogon": net.is_bogon(F.col("src")).cast("int"),
         },
-        kinds={"__sources": F.col("src"), "__ports": F.col("dport")},
+        # Ports in five digits, so that the order of their text is theirs.
+        kinds={"__sources": F.col("src"), "__ports": F.col("dport"), "__sports": F.when(udp, F.lpad(F.col("sport").cast("string"), 5, "0"))}, top={"__sources": top, "__sports": 1},
     )
     span = F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(float(seconds)), F.col("ts") - F.col("__first"))))
     out = out.withColumn("span", span).withColumn("sources", F.col("__sources.kinds"))
-    bits = F.col("__sources.bits")
+    bits, sport = F.col("__sources.bits"), F.get("__sports.top", 0)
     return out.withColumns({
         "rate": F.col("n") / F.col("span"),
         "entropy_bits": bits,
         "entropy_norm": F.when(F.col("n") > 1, bits / F.log2(F.col("n").cast("double"))).otherwise(0.0),
-        "syn_share": F.col("n_syn") / F.col("n"), "udp_share": F.col("n_udp") / F.col("n"), "handshake_share": F.col("n_handshake") / F.col("n"), "bogon_share": F.col("n_bogon") / F.col("n"),
+        "syn_share": F.col("n_syn") / F.col("n"), "udp_share": F.col("n_udp") / F.col("n"), "tcp_share": F.col("n_tcp") / F.col("n"), "bogon_share": F.col("n_bogon") / F.col("n"),
+        "handshake_share": F.when(F.col("n_tcp") > 0, F.col("n_handshake") / F.col("n_tcp")).otherwise(0.0),
         "port_share": F.col("__ports.most") / F.col("n"), "bytes_per_packet": F.col("n_bytes") / F.col("n_pkts"), "unique_share": F.col("sources") / F.col("n"),
-    }).drop("__sources", "__ports", "__first")
+        "top_sources": F.transform("__sources.top", lambda x: F.struct(x["value"].alias("src"), x["n"].alias("n"))),
+        "top_sport": sport["value"].cast("int"), "amplifier_share": F.when(F.col("n_udp") > 0, sport["n"] / F.col("n_udp")).otherwise(0.0),
+    }).withColumn("amplifier_service", net.lookup(net.AMPLIFIERS, F.col("top_sport"))).drop("__sources", "__ports", "__sports", "__first")
 
 
 def flood_slices(records: DataFrame, *, seconds: int = 10, step: int = 1) -> DataFrame:
@@ -49,24 +59,29 @@ def flood_slices(records: DataFrame, *, seconds: int = 10, step: int = 1) -> Dat
     per = records.groupBy("dst", F.window(F.timestamp_micros((F.col("ts") * 1e6).cast("long")), f"{seconds} seconds", f"{step} seconds").alias("w"), "src").agg(
         F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.col("syn_only").cast("int")).alias("syn")
     )
-    total = per.groupBy("dst", "w").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.sum("bytes").alias("bytes"), F.sum("syn").alias("syn"), F.collect_list("n").alias("__n"))
-    return total.select("dst", F.col("w.start").alias("start"), "n", "sources", "bytes", "syn", stats.shannon_bits(F.col("__n")).alias("entropy_bits"))
+    # The entropy of n flows over sources with c each is log2(n) less the mean of c * log2(c): two sums, no list of counts.
+    n = F.col("n").cast("double")
+    total = per.groupBy("dst", "w").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.sum("bytes").alias("bytes"), F.sum("syn").alias("syn"), F.sum(n * F.log2(n)).alias("__weight"))
+    bits = F.greatest(F.lit(0.0), F.log2(n) - F.col("__weight") / n)
+    return total.select("dst", F.col("w.start").alias("start"), "n", "sources", "bytes", "syn", bits.alias("entropy_bits"))
 
 
 def flood_family(windows: DataFrame, *, shape: float = 0.8, port_share: float = 0.5, amplifier_share: float = 0.6, least_flows: int = 20, spoof_sources: int = 100) -> DataFrame:
-    """family (null below least_flows), spoofed and looks_like_scan, by rules in order."""
+    """family (null below least_flows; a reflection names its service), spoofed and looks_like_scan, by rules in order."""
     c = F.col
     enough = c("n") >= least_flows
     udp = c("udp_share") >= shape
-    amp = F.coalesce(c("amplifier_share"), F.lit(0.0)) >= amplifier_share if "amplifier_share" in windows.columns else F.lit(False)
+    amplified = c("amplifier_service").isNotNull() & (c("amplifier_share") >= amplifier_share)
     family = (
         F.when(enough & (c("syn_share") >= shape) & (c("port_share") >= port_share), "SYN flood")
-        .when(enough & udp & amp, "UDP reflection/amplification")
+        .when(enough & udp & amplified, F.concat(F.lit("UDP reflection/amplification ("), c("amplifier_service"), F.lit(")")))
         .when(enough & udp, "UDP flood")
-        .when(enough & (c("udp_share") <= 1 - shape) & (c("port_share") >= max(port_share, 0.8)), "TCP flood")
+        .when(enough & (c("tcp_share") >= shape) & (c("port_share") >= max(port_share, 0.8)), "TCP flood")
     )
-    spoofed = (c("sources") >= spoof_sources) & (c("unique_share") >= 0.9) & (c("handshake_share") <= 0.05)
-    return windows.withColumns({"family": family, "spoofed": spoofed, "looks_like_scan": (c("sources") == 1) & (c("port_share") < port_share)})
+    out = windows.withColumn("family", family)
+    # Reflectors are not forged sources.
+    spoofed = F.coalesce(c("family").isin("SYN flood", "UDP flood", "TCP flood"), F.lit(False)) & (c("sources") >= spoof_sources) & (c("unique_share") >= 0.9) & (c("handshake_share") <= 0.05)
+    return out.withColumns({"spoofed": spoofed, "looks_like_scan": enough & c("family").isNull() & (c("sources") <= 3) & (c("port_share") < port_share)})
 
 
 def evaluations(windows: DataFrame, *, seconds: float = 1.0, growth: int = 50) -> DataFrame:

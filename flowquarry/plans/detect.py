@@ -292,25 +292,41 @@ def ag21_quick_scan(spark, sf_dir):
 # ---- floods
 
 RECORDS = (
-    "rec AS (SELECT *, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND syn = "
-    "1 AND ack = 1) AS handshake FROM flows)"
+    "rec AS (SELECT * REPLACE (CASE WHEN proto <> 17 THEN sport WHEN k % 7 < 4 THEN 123 WHEN k % 7 < 6 THEN 389 ELSE 53 END AS sport), greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND syn = "
+    "1 AND ack = 1 AND bwd_pkts > 0) AS handshake FROM flows)"
 )
+
+
+def _ranked(counts: str) -> str:
+    """The entries (less, v) of a map of counts, commonest first, those with one count in order of the value."""
+    return f"list_sort(list_transform(map_entries({counts}), lambda e: {{'less': -e.value::BIGINT, 'v': e.key}}))"
+
+
 FLOODS = (
     f"{RECORDS}, w AS (SELECT event_id, dst, ts, count(*) OVER f AS n, min(ts) OVER f AS first, sum(bytes) OVER f AS n_bytes, sum(pkts) OVER f AS n_pkts, "
-    f"avg(syn_only::INT) OVER f AS syn_share, avg((proto = 17)::INT) OVER f AS udp_share, avg(handshake::INT) OVER f AS handshake_share, "
+    f"avg(syn_only::INT) OVER f AS syn_share, avg((proto = 17)::INT) OVER f AS udp_share, avg((proto = 6)::INT) OVER f AS tcp_share, coalesce(avg(handshake::INT) FILTER (proto = 6) OVER f, 0.0) AS handshake_share, "
+    "histogram(src) OVER f AS by_source, histogram(sport) FILTER (proto = 17) OVER f AS by_sport, sum((proto = 17)::INT) OVER f AS n_udp, "
     "count(DISTINCT src) OVER f AS sources, entropy(src) OVER f AS entropy_bits, list(dport) OVER f AS ports FROM rec WINDOW f AS (PARTITION BY dst ORDER BY ts "
     "RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)), "
     "fw AS (SELECT *, n / CASE WHEN n = 1 THEN 1.0 ELSE greatest(1.0, least(7200.0, ts - first)) END AS rate, list_max(list_transform(list_distinct(ports), lambda "
-    "p: len(list_filter(ports, lambda q: q = p)))) / n AS port_share FROM w)"
+    f"p: len(list_filter(ports, lambda q: q = p)))) / n AS port_share, {_ranked('by_source')} AS ranked, {_ranked('by_sport')}[1] AS sport_1 FROM w), "
+    "fa AS (SELECT *, coalesce(-sport_1.less / n_udp, 0.0) AS amplifier_share, CASE sport_1.v WHEN 123 THEN 'NTP' WHEN 389 THEN 'CLDAP' WHEN 53 THEN 'DNS' END AS service FROM fw)"
 )
 FAMILY = (
-    "CASE WHEN n >= 5 AND syn_share >= 0.4 AND port_share >= 0.3 THEN 'SYN flood' WHEN n >= 5 AND udp_share >= 0.4 THEN 'UDP flood' WHEN n >= 5 AND udp_share <= 0.6 "
-    "AND port_share >= 0.8 THEN 'TCP flood' END"
+    "CASE WHEN n >= 5 AND syn_share >= 0.4 AND port_share >= 0.3 THEN 'SYN flood' WHEN n >= 5 AND udp_share >= 0.4 AND amplifier_share >= 0.6 THEN "
+    "'UDP reflection/amplification (' || service || ')' WHEN n >= 5 AND udp_share >= 0.4 THEN 'UDP flood' WHEN n >= 5 AND tcp_share >= 0.4 AND port_share >= 0.8 THEN 'TCP flood' END"
 )
 
 
+def _records(spark, sf_dir):
+    """The flows with UDP answers of three amplifying services."""
+    k = F.col("k") % 7
+    sport = F.when(F.col("proto") != 17, F.col("sport")).when(k < 4, 123).when(k < 6, 389).otherwise(53)
+    return flood.flow_record(flows(spark, sf_dir).withColumn("sport", sport))
+
+
 def _windows(spark, sf_dir):
-    return flood.flood_window(flood.flow_record(flows(spark, sf_dir)), seconds=7200.0)
+    return flood.flood_window(_records(spark, sf_dir), seconds=7200.0)
 
 
 def _families(spark, sf_dir):
@@ -320,11 +336,16 @@ def _families(spark, sf_dir):
 @query(
     f"WITH {FLOODS} SELECT event_id, dst, n, sources, round(rate, 6) AS rate, round(entropy_bits, 6) AS entropy_bits, round(syn_share, 6) AS syn_share, "
     f"round(udp_share, 6) AS udp_share, round(handshake_share, 6) AS handshake_share, round(port_share, 6) AS port_share, round(n_bytes / n_pkts, 6) AS "
-    f"bytes_per_packet FROM fw"
+    f"bytes_per_packet, array_to_string(list_transform(ranked[:5], lambda x: x.v || ':' || (-x.less)), ',') AS top_sources, sport_1.v AS top_sport, "
+    f"round(amplifier_share, 6) AS amplifier_share FROM fa"
 )
 def win1_flood_window(spark, sf_dir):
-    w = _rounded(_windows(spark, sf_dir), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet")
-    return w.select("event_id", "dst", "n", F.col("sources").cast("long").alias("sources"), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet")
+    w = _rounded(_windows(spark, sf_dir), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet", "amplifier_share")
+    heavy = F.array_join(F.transform("top_sources", lambda x: F.concat_ws(":", x["src"], x["n"].cast("string"))), ",").alias("top_sources")
+    return w.select(
+        "event_id", "dst", "n", F.col("sources").cast("long").alias("sources"), "rate", "entropy_bits", "syn_share", "udp_share", "handshake_share", "port_share", "bytes_per_packet", heavy,
+        "top_sport", "amplifier_share",
+    )
 
 
 @query(
@@ -337,9 +358,12 @@ def win1_flood_slices(spark, sf_dir):
     return _rounded(w, "entropy_bits").withColumn("start", F.unix_timestamp("start"))
 
 
-@query(f"WITH {FLOODS} SELECT event_id, {FAMILY} AS family, (sources >= 5 AND sources / n >= 0.9 AND handshake_share <= 0.05) AS spoofed FROM fw")
+@query(
+    f"WITH {FLOODS}, x AS (SELECT *, {FAMILY} AS family FROM fa) SELECT event_id, family, (coalesce(family IN ('SYN flood', 'UDP flood', 'TCP flood'), false) AND sources >= 5 AND "
+    "sources / n >= 0.9 AND handshake_share <= 0.05) AS spoofed, (n >= 5 AND family IS NULL AND sources <= 3 AND port_share < 0.3) AS looks_like_scan FROM x"
+)
 def win2_flood_family(spark, sf_dir):
-    return _families(spark, sf_dir).select("event_id", "family", "spoofed")
+    return _families(spark, sf_dir).select("event_id", "family", "spoofed", "looks_like_scan")
 
 
 @query()
@@ -348,7 +372,7 @@ def win3_throttle(spark, sf_dir):
 
 
 EWMA = (
-    f"{FLOODS}, e AS (SELECT event_id, dst, rate, {FAMILY} AS family, row_number() OVER (PARTITION BY dst ORDER BY ts, event_id) AS i FROM fw), x AS (SELECT dst, i, "
+    f"{FLOODS}, e AS (SELECT event_id, dst, rate, {FAMILY} AS family, row_number() OVER (PARTITION BY dst ORDER BY ts, event_id) AS i FROM fa), x AS (SELECT dst, i, "
     f"event_id, rate, family, NULL::DOUBLE AS baseline, CASE WHEN family IS NULL THEN rate END AS after FROM e WHERE i = 1 UNION ALL SELECT e.dst, e.i, e.event_id, "
     f"e.rate, e.family, x.after, CASE WHEN e.family IS NOT NULL THEN x.after WHEN x.after IS NULL THEN e.rate ELSE 0.95 * x.after + 0.05 * e.rate END FROM x JOIN e ON "
     f"e.dst = x.dst AND e.i = x.i + 1)"
@@ -362,7 +386,7 @@ def win4_ewma_baseline(spark, sf_dir):
 
 @query(
     f"WITH RECURSIVE {EWMA}, d AS (SELECT x.event_id, x.family, x.rate, x.baseline, CASE x.family WHEN 'SYN flood' THEN syn_share WHEN 'TCP flood' THEN port_share "
-    f"ELSE udp_share END AS share, sources FROM x JOIN fw USING (event_id) WHERE x.family IS NOT NULL AND x.rate >= 0.0001 AND sources >= 2 AND (baseline IS NULL "
+    f"ELSE udp_share END AS share, sources FROM x JOIN fa USING (event_id) WHERE x.family IS NOT NULL AND x.rate >= 0.0001 AND sources >= 2 AND (baseline IS NULL "
     f"OR x.rate >= 1.5 * baseline)) "
     "SELECT event_id, family, round(0.6 + 0.2 * least(1.0, greatest(0.0, log10(greatest(1.0, rate / 0.0001)))) + 0.2 * least(1.0, greatest(0.0, (share - 0.4) / 0.6)), 6) AS confidence FROM d"
 )

@@ -153,7 +153,7 @@ def prj11_to_connections(spark, sf_dir):
 
 @query(
     "SELECT event_id, greatest(1, fwd_pkts + bwd_pkts) AS pkts, fwd_bytes + bwd_bytes AS bytes, (proto = 6 AND syn = 1 AND ack = 0) AS syn_only, (proto = 6 AND "
-    "syn = 1 AND ack = 1) AS handshake FROM flows"
+    "syn = 1 AND ack = 1 AND bwd_pkts > 0) AS handshake FROM flows"
 )
 def prj12_flow_record(spark, sf_dir):
     from ..operators.flood import flow_record
