@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,13 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast, the commonest.
 FREQUENT = 1 << 20
 #: A task drops the words that it has worked out where they are more, or have more characters, than this.
-KEPT_WORDS, KEPT_CHARACTERS = 200_000, 4_000_000
+KEPT_WORDS, KEPT_CHARACTERS = 300_000, 6_000_000
 #: Texts that are aligned at a time.
 TEXTS = 256
 #: Cells of a product that are worked out at once.
 CELLS = 1 << 20
+#: A blank, letters of Latin-1 and at most one mark.
+PLAIN = re.compile(r" ([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?]?)")
 #: Blanks after other white space, or at the beginning; and the places before a blank that follows a character.
 BLANKS, BEFORE_BLANK = re.compile(r"^ |\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -99,8 +102,11 @@ def row_products(left: Csr, right: Csr, *, cells: int = CELLS) -> Iterator[tuple
         many = widths[own]
         first = np.concatenate(([0], np.cumsum(many)))[:-1]
         picked = right.indices[np.arange(int(many.sum()), dtype=np.int64) - np.repeat(first - right.indptr[own], many)]
-        key, value = np.unique(np.repeat(rows, many) * right.columns + picked, return_counts=True)
-        yield key // right.columns, key % right.columns, value
+        key = np.repeat(rows, many) * right.columns + picked
+        key.sort(kind="stable")  # which costs little where it is in order, as with tokens that follow each other
+        first = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1)) if len(key) else np.zeros(0, np.int64)
+        row, column = np.divmod(key[first], right.columns)
+        yield row, column, np.diff(np.append(first, len(key)))
         at = to
 
 
@@ -128,6 +134,8 @@ class Tokenizers:
             if not 0xD800 <= code < 0xE000:
                 for byte, letter in zip(chr(code).encode(), by_bytes.pre_tokenize_str(chr(code))[0][0], strict=True):
                     letters[letter] = byte
+        #: What the bytes of these letters are to the first tokenizer's model.
+        self.spelling = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         known = self.first.get_vocab(with_added_tokens=True)
         self.first_bytes = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
@@ -140,6 +148,20 @@ class Tokenizers:
         self.first_lengths, self.second_lengths = (np.fromiter(map(len, b), np.int64, len(b)) for b in (self.first_bytes, self.second_bytes))
         self.names = [str(i) for i in range(max(len(self.first_bytes), len(self.second_bytes)))]
 
+    def first_ids(self, words: list[str]) -> list[list[int]]:
+        """The first tokenizer's ids of each word. Letters, and a mark after them, are pieces of their own to it, so those go to its model alone."""
+        tokenize, plain = self.first.model.tokenize, [PLAIN.fullmatch(w) for w in words]
+        others = iter([e.ids for e in self.first.encode_batch_fast([w for w, m in zip(words, plain, strict=True) if m is None], add_special_tokens=False)])
+        out = []
+        for match in plain:
+            if match is None:
+                out.append(next(others))
+                continue
+            letters, mark = match.groups()
+            ids = [t.id for t in tokenize("Ġ" + (letters if letters.isascii() else letters.translate(self.spelling)))]
+            out.append(ids + [t.id for t in tokenize(mark)] if mark else ids)
+        return out
+
     @property
     def base(self) -> int:
         """A pair of ids (a, b) has the key a * base + b."""
@@ -167,46 +189,59 @@ class Aligned:
     bad: np.ndarray
     groups: list[str]
     pair_ends: np.ndarray
-    pairs: np.ndarray
-    times: np.ndarray
+    pairs: np.ndarray  # one for each link
+
+
+def _given_back(tokenizers: Tokenizers, raw: list[bytes], first: list[list[int]], second: list[list[int]]) -> bool:
+    """Whether both tokenizers' tokens have the bytes of each word."""
+    sizes = [len(r) for r in raw]
+    for ids, known in ((first, tokenizers.first_bytes), (second, tokenizers.second_bytes)):
+        parts = [b"".join(map(known.__getitem__, x)) for x in ids]
+        if [len(p) for p in parts] != sizes or b"".join(parts) != b"".join(raw):
+            return False
+    return True
 
 
 def align_words(tokenizers: Tokenizers, words: list[str], *, links: bool = False):
     """The alignment of each word; with ``links`` also (word, a, b, bytes) of every link, as places in the word."""
     n = len(words)
-    first = [e.ids for e in tokenizers.first.encode_batch_fast(words, add_special_tokens=False)]
+    first = tokenizers.first_ids(words)
     second = tokenizers.second.encode([w[1:] for w in words], num_threads=1)
     bad = np.zeros(n, bool)
-    for i, word in enumerate(words):
-        raw = word.encode()
-        if b"".join([tokenizers.first_bytes[t] for t in first[i]]) != raw or b"".join([tokenizers.second_bytes[t] for t in second[i]]) != raw:
-            bad[i], first[i], second[i] = True, [], []
+    raw = [w.encode() for w in words]
+    if not _given_back(tokenizers, raw, first, second):
+        for i in range(n):
+            if not _given_back(tokenizers, raw[i : i + 1], first[i : i + 1], second[i : i + 1]):
+                bad[i], first[i], second[i] = True, [], []
     n_a, n_b = (np.fromiter(map(len, x), np.int64, n) for x in (first, second))
-    a, b = (np.fromiter((t for ids in x for t in ids), np.int64, int(m.sum())) for x, m in ((first, n_a), (second, n_b)))
+    a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(m.sum())) for x, m in ((first, n_a), (second, n_b)))
     by_bytes = Csr.of_lengths(tokenizers.first_lengths[a])
     other = Csr.of_lengths(tokenizers.second_lengths[b])
     word_of = np.repeat(np.arange(n), n_a)
     other_word = np.repeat(np.arange(n), n_b)
 
     # Tokens overlap where they share bytes.
-    n_links, keys, found = np.zeros(n, np.int64), [], []
+    n_links, owners, keys, found = np.zeros(n, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for rows, columns, value in row_products(by_bytes, other.transposed()):
-        n_links += np.bincount(word_of[rows], minlength=n)
-        own, many = np.unique(np.stack([word_of[rows], a[rows] * tokenizers.base + b[columns]]), axis=1, return_counts=True)
-        keys.append((own[0], own[1], many))
+        own = word_of[rows]
+        n_links += np.bincount(own, minlength=n)
+        owners.append(own)
+        keys.append(a[rows] * tokenizers.base + b[columns])
         if links:
-            found.append((word_of[rows], rows, columns, value))
-    word, pair, times = (np.concatenate(x) if keys else np.zeros(0, np.int64) for x in (zip(*keys, strict=True) if keys else ([], [], [])))
+            found.append((own, rows, columns, value))
+    word, pair = np.concatenate(owners), np.concatenate(keys)
 
     # Groups end where tokens of both do.
-    ends = np.intersect1d(by_bytes.indptr[1:], other.indptr[1:])
+    marked = np.zeros(by_bytes.columns + 1, bool)
+    marked[by_bytes.indptr[1:]] = True
+    ends = other.indptr[1:][marked[other.indptr[1:]]]
     group_a, group_b = np.searchsorted(ends, by_bytes.indptr[1:]), np.searchsorted(ends, other.indptr[1:])
     sides = Csr.of_labels(group_a, len(ends)), Csr.of_labels(group_b, len(ends)).transposed()
     n_shared = np.bincount(word_of, weights=product_sizes(*sides), minlength=n).astype(np.int64)
     first_of = np.searchsorted(group_a, np.arange(len(ends)))
     n_groups = np.bincount(word_of[first_of], minlength=n) if len(ends) else np.zeros(n, np.int64)
     texts = _group_texts(tokenizers.names, a, b, group_a, group_b, word_of, other_word, n)
-    out = Aligned(n_a, n_b, n_groups, n_links, n_shared, bad, texts, np.cumsum(np.bincount(word, minlength=n)), pair, times)
+    out = Aligned(n_a, n_b, n_groups, n_links, n_shared, bad, texts, np.cumsum(np.bincount(word, minlength=n)), pair)
     if not links:
         return out
     starts_a, starts_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
@@ -237,7 +272,7 @@ class WordAlignments:
         self.characters = 0
         self.groups: list[str] = []
         self.figures = np.zeros((0, 6), np.int64)
-        self.pair_ends, self.pairs, self.times = (np.zeros(k, np.int64) for k in (1, 0, 0))
+        self.pair_ends, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
         new = align_words(self.tokenizers, words)
@@ -246,7 +281,7 @@ class WordAlignments:
         self.groups += new.groups
         self.figures = np.concatenate((self.figures, np.stack([new.n_a, new.n_b, new.n_groups, new.n_links, new.n_shared, new.bad], axis=1)))
         self.pair_ends = np.concatenate((self.pair_ends, new.pair_ends + self.pair_ends[-1]))
-        self.pairs, self.times = np.concatenate((self.pairs, new.pairs)), np.concatenate((self.times, new.times))
+        self.pairs = np.concatenate((self.pairs, new.pairs))
 
     def of_texts(self, texts: list[str | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, n_shared, digest, pairs, times) of each text."""
@@ -272,7 +307,7 @@ class WordAlignments:
         lengths = ends[kinds + 1] - ends[kinds]
         flat = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths - ends[kinds], lengths)
         key, back = np.unique(self.pairs[flat], return_inverse=True)
-        total = np.bincount(back, weights=self.times[flat] * np.repeat(many, lengths), minlength=len(key)).astype(np.int64)
+        total = np.bincount(back, weights=np.repeat(many, lengths), minlength=len(key)).astype(np.int64)
         return (*sums[:5].tolist(), digest.hexdigest(), key, total)
 
 
