@@ -39,7 +39,7 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast, the commonest.
 FREQUENT = 1 << 20
 #: A task drops the words that it has worked out where they are more, or have more characters, than this.
-KEPT_WORDS, KEPT_CHARACTERS = 300_000, 6_000_000
+KEPT_WORDS, KEPT_CHARACTERS = 150_000, 3_000_000
 #: Texts that are aligned at a time.
 TEXTS = 256
 #: Cells of a product that are worked out at once.
