@@ -120,9 +120,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         # A record's id is its own among all archives: this writing, the task's part of it, and a count.
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):  # one page at a time, as payloads may be long
                 n += 1
-                found = page_records(page_id, f"{written}/{part}/{n}", url, payload, digest, refers_to, segment_bytes)
+                found = page_records(batch.column(0)[row].as_py(), f"{written}/{part}/{n}", *(c[row].as_py() for c in batch.columns[1:]), segment_bytes)
                 # The text writer ends each row with a line feed, which is the record's last byte.
                 yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in found], pa.binary())], ["record"])
 
