@@ -25,56 +25,90 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return packets.withColumn("key", F.concat_ws("|", lo, hi, F.col("proto").cast("string")))
 
 
-def assemble_flows(packets: DataFrame, *, idle: float = 120.0, active: float = 300.0, linger: float = 10.0) -> DataFrame:
+class FlowTable:
+    """One key's open flow, fed with its packets in order of time; what is held is the flow, or when one was closed."""
+
+    def __init__(self, key: str, idle: float, active: float, linger: float, probe: float):
+        self.key, self.idle, self.active, self.linger, self.probe = key, idle, active, linger, probe
+        self.flow: list | None = None
+        self.closed_at: float | None = None
+        self.number = 0
+
+    def due(self) -> float | None:
+        """The time after which the open flow is over without a packet until then."""
+        return self.flow[3] + (self.probe if self._single() else self.idle) if self.flow else None
+
+    def expire(self, now: float) -> list[tuple]:
+        """The flow, if it was over before now; a closing that no packet can follow any more is forgotten."""
+        if self.closed_at is not None and now - self.closed_at > self.linger:
+            self.closed_at = None
+        return [self._close("probe" if self._single() else "idle")] if self.flow and now > self.due() else []
+
+    def add(self, ts: float, src: str, dst: str, sport: int, dport: int, proto: int, flags: int, size: int) -> list[tuple]:
+        """The flows that this packet ends."""
+        bare_syn = bool(flags & SYN) and not flags & ACK
+        if self.flow is None and self.closed_at is not None and ts - self.closed_at <= self.linger and not bare_syn:
+            return []
+        done = self.expire(ts)
+        if self.flow is None:
+            self.flow, self.closed_at = [self.key, self.number, ts, ts, src, dst, sport, dport, proto, 0, 0, 0, 0], None
+            self.number += 1
+        flow = self.flow
+        back = src != flow[4] or sport != flow[6]
+        flow[9 + back] += 1
+        flow[11 + back] += size
+        flow[3] = ts
+        if flags & (FIN | RST):
+            done.append(self._close("fin" if flags & FIN else "rst"))
+            self.closed_at = ts
+        elif ts - flow[2] > self.active:
+            done.append(self._close("active"))
+        return done
+
+    def end(self) -> list[tuple]:
+        return [self._close("end")] if self.flow else []
+
+    def _single(self) -> bool:
+        return self.flow[9] + self.flow[10] == 1
+
+    def _close(self, why: str) -> tuple:
+        out = (*self.flow, why, self._single())
+        self.flow = None
+        return out
+
+
+#: Packets of one time are taken in the order of the other fields, so that every run makes the same flows.
+PACKET_ORDER = ["ts", "src", "sport", "flags", "payload_size"]
+PACKET = ["key", "ts", "src", "dst", "sport", "dport", "proto", "flags", "payload_size"]
+
+
+def assemble_flows(packets: DataFrame, *, idle: float = 120.0, active: float = 300.0, linger: float = 10.0, probe: float = 5.0) -> DataFrame:
     """Bidirectional flows from packets (ts, src, dst, sport, dport, proto, flags, payload_size).
 
     The first packet gives the direction. A flow ends with FIN or RST, on the packet that makes it longer than
-    ``active``, or before a packet that comes more than ``idle`` after the last. For ``linger`` seconds after FIN or
-    RST, packets other than a bare SYN are absorbed. Flows of a single packet are stubs. Packets stream through each
-    task sorted by key and time, so no flow or key is held whole.
+    ``active``, or when none comes within ``idle`` after the last; a single packet, such as an unanswered SYN, is over
+    after ``probe``. For ``linger`` seconds after FIN or RST, packets other than a bare SYN are absorbed. Flows of a
+    single packet are stubs. Packets stream through each task sorted by key and time, so no flow or key is held whole.
     """
-    columns = ["key", "ts", "src", "dst", "sport", "dport", "proto", "flags", "payload_size"]
     names = [c.split()[0] for c in FLOW_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, flow, closed_at, number = None, None, None, 0
-
-        def close(why: str) -> tuple:
-            return (*flow, why, flow[9] + flow[10] == 1)
-
+        table = None
         for batch in batches:
             out = []
-            for k, ts, src, dst, sport, dport, proto, flags, size in batch[columns].itertuples(index=False):
-                if k != key:
-                    if flow is not None:
-                        out.append(close("end"))
-                    key, flow, closed_at, number = k, None, None, 0
-                bare_syn = bool(flags & SYN) and not flags & ACK
-                if flow is None and closed_at is not None and ts - closed_at <= linger and not bare_syn:
-                    continue
-                if flow is not None and ts - flow[3] > idle:
-                    out.append(close("idle"))
-                    flow = None
-                if flow is None:
-                    flow, closed_at = [k, number, ts, ts, src, dst, sport, dport, proto, 0, 0, 0, 0], None
-                    number += 1
-                back = src != flow[4] or sport != flow[6]
-                flow[9 + back] += 1
-                flow[11 + back] += size
-                flow[3] = ts
-                if flags & (FIN | RST):
-                    out.append(close("fin" if flags & FIN else "rst"))
-                    flow, closed_at = None, ts
-                elif ts - flow[2] > active:
-                    out.append(close("active"))
-                    flow = None
+            for k, *packet in batch[PACKET].itertuples(index=False):
+                if table is None or k != table.key:
+                    if table is not None:
+                        out += table.end()
+                    table = FlowTable(k, idle, active, linger, probe)
+                out += table.add(*packet)
             if out:
                 yield pd.DataFrame(out, columns=names)
-        if flow is not None:
-            yield pd.DataFrame([close("end")], columns=names)
+        if table is not None and (last := table.end()):
+            yield pd.DataFrame(last, columns=names)
 
-    keyed = with_flow_key(packets).select(*columns)
-    return keyed.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, FLOW_SCHEMA)
+    keyed = with_flow_key(packets).select(*PACKET)
+    return keyed.repartition("key").sortWithinPartitions("key", *PACKET_ORDER).mapInPandas(run, FLOW_SCHEMA)
 
 
 def idle_sessions(flows: DataFrame, keys: list[str], *, idle: float = 300.0, ts: str = "ts", order: str = "event_id", amount: str = "fwd_bytes") -> DataFrame:

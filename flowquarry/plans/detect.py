@@ -141,9 +141,34 @@ def jn9_attach_evidence(spark, sf_dir):
 # ---- sessions
 
 
-@query()
+def flow_table(probe: int, until: str = "true") -> str:
+    """SQL for the flows of the packets for which ``until`` holds: a state is carried from each packet of a key to the next."""
+    return (
+        "raw AS (SELECT ts, src, dst, 40000 AS sport, dport, proto, syn * 2 + ack * 16 + rst * 4 + fin AS flags, fwd_bytes AS size FROM flows UNION ALL "
+        "SELECT ts + 1, dst, src, dport, 40000, proto, 16, bwd_bytes FROM flows WHERE bwd_pkts > 0), "
+        "p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, src, sport, flags, size) AS i FROM (SELECT *, least(src || '|' || sport, dst || '|' || dport) || '|' || "
+        f"greatest(src || '|' || sport, dst || '|' || dport) || '|' || proto AS key FROM raw) WHERE {until}), "
+        "x AS (SELECT key, 0::BIGINT AS i, NULL::DOUBLE AS ts, -1 AS flow_no, false AS open, false AS single, NULL::DOUBLE AS first, NULL::DOUBLE AS last, NULL::DOUBLE AS closed_at, "
+        "true AS absorbed, NULL::VARCHAR AS ended FROM p WHERE i = 1 UNION ALL "
+        "SELECT key, i, ts, flow_no + new::INT, NOT absorbed AND ended IS NULL, new, first, CASE WHEN absorbed THEN last ELSE ts END, CASE WHEN absorbed THEN closed_at WHEN ended IN ('fin', 'rst') THEN ts END, absorbed, ended "
+        "FROM (SELECT *, CASE WHEN absorbed THEN NULL WHEN flags & 1 > 0 THEN 'fin' WHEN flags & 4 > 0 THEN 'rst' WHEN ts - first > 86400 THEN 'active' END AS ended "
+        "FROM (SELECT * REPLACE (CASE WHEN new THEN ts ELSE first END AS first) FROM (SELECT *, NOT absorbed AND (NOT open OR ts - last > limit_) AS new FROM ("
+        "SELECT p.key, p.i, p.ts, p.flags, x.flow_no, x.open, x.first, x.last, x.closed_at, "
+        f"CASE WHEN x.single THEN {probe} ELSE 7200 END AS limit_, NOT x.open AND coalesce(p.ts - x.closed_at <= 10, false) AND NOT (p.flags & 2 > 0 AND p.flags & 16 = 0) AS absorbed "
+        "FROM x JOIN p ON p.key = x.key AND p.i = x.i + 1))))), "
+        "own AS (SELECT key, flow_no, p.*, ended FROM x JOIN p USING (key, i) WHERE NOT absorbed), "
+        "f AS (SELECT key, flow_no, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(src, i) AS fsrc, arg_min(dst, i) AS fdst, arg_min(sport, i)::INT AS fsport, arg_min(dport, i)::INT AS fdport, any_value(proto)::INT AS proto, "
+        "count(*) AS n, max(ended) AS why FROM own GROUP BY key, flow_no), "
+        "flow AS (SELECT f.key, f.flow_no, first_ts, last_ts, fsrc AS src, fdst AS dst, fsport AS sport, fdport AS dport, f.proto, count(*) FILTER (src = fsrc AND own.sport = fsport) AS fwd_pkts, "
+        "count(*) FILTER (src <> fsrc OR own.sport <> fsport) AS bwd_pkts, coalesce(sum(size) FILTER (src = fsrc AND own.sport = fsport), 0)::BIGINT AS fwd_bytes, "
+        "coalesce(sum(size) FILTER (src <> fsrc OR own.sport <> fsport), 0)::BIGINT AS bwd_bytes, coalesce(any_value(why), CASE WHEN any_value(f.flow_no) < max(top) THEN CASE WHEN any_value(n) = 1 THEN 'probe' "
+        "ELSE 'idle' END ELSE 'end' END) AS ended, any_value(n) = 1 AS stub FROM f JOIN own USING (key, flow_no) JOIN (SELECT key, max(flow_no) AS top FROM f GROUP BY key) USING (key) GROUP BY ALL)"
+    )
+
+
+@query(f"WITH RECURSIVE {flow_table(300)} SELECT * FROM flow")
 def ses1_assemble_flows(spark, sf_dir):
-    return sessions.assemble_flows(packets(spark, sf_dir), idle=7200.0, active=DAY)
+    return sessions.assemble_flows(packets(spark, sf_dir), idle=7200.0, active=DAY, probe=300.0)
 
 
 @query(

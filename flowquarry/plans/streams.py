@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.corpus import shared_path
 from ..streaming import jobs
+from .detect import flow_table
 from .registry import query
 from .views import alerts, flows, packets
 
@@ -39,9 +40,18 @@ def _run(df: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts",
     return spark.read.schema(made.schema).parquet(out), runs
 
 
-@query()
+#: Where the watermark stands at the end, in seconds.
+MARK = "(SELECT (floor(max(CASE WHEN bwd_pkts > 0 THEN ts + 1 ELSE ts END) * 1000) - 10000) / 1000 FROM flows)"
+
+
+@query(
+    f"WITH RECURSIVE {flow_table(300, f'ts <= {MARK}')} SELECT * EXCLUDE (flow_no, ended), CASE WHEN ended <> 'end' THEN ended WHEN stub THEN 'probe' ELSE 'idle' END AS ended FROM flow "
+    f"WHERE ended <> 'end' OR last_ts + CASE WHEN stub THEN 300 ELSE 7200 END < {MARK}"
+)
 def stm1_stream_flows(spark, sf_dir):
-    return _run(packets(spark, sf_dir), lambda s: jobs.stream_flows(s, idle=7200.0, active=86_400.0))[0]
+    """The flows that have ended by the end of the stream."""
+    jobs.use_rocksdb(spark)
+    return _run(packets(spark, sf_dir), lambda s: jobs.stream_flows(s, idle=7200.0, active=86_400.0, probe=300.0))[0].drop("flow_no")
 
 
 @query(

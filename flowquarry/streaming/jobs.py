@@ -5,20 +5,22 @@ Every function takes a streaming DataFrame with a timestamp column ``time`` besi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.behaviour import LIFECYCLE, next_state
-from ..operators.sessions import ACK, FIN, RST, SYN, with_flow_key
+from ..operators.sessions import FLOW_SCHEMA, PACKET, FlowTable, with_flow_key
 
-FLOW = "key string, first_ts double, last_ts double, src string, sport int, pkts long, bytes long, ended string"
+PACKETS = "ts double, src string, dst string, sport int, dport int, proto int, flags int, payload_size long"
 
 
 def with_state_limits(sdf: DataFrame, *, delay: str) -> DataFrame:
@@ -26,46 +28,90 @@ def with_state_limits(sdf: DataFrame, *, delay: str) -> DataFrame:
     return sdf.withWatermark("time", delay)
 
 
-def stream_flows(sdf: DataFrame, *, idle: float = 120.0, active: float = 300.0, linger: float = 10.0, delay: str = "10 seconds") -> DataFrame:
-    """Flows by canonical 5-tuple with event-time timeouts. State is one open flow, or the time one was closed."""
+class FlowProcessor(StatefulProcessor):
+    """Flows of one key. State is the packets that the watermark has not reached, the open flow and the time of the last
+    closing; timers are set for the waiting packets, for the open flow's end (probe or idle) and for the end of the
+    closing's linger, so that each is dropped when it is over. Packets and flows also have a time to live."""
 
-    def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow = list(state.get) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            if flow and flow[0] == "open":
-                out.append((key[0], *flow[1:7], "idle"))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-            for ts, src, sport, flags, size in rows[["ts", "src", "sport", "flags", "payload_size"]].itertuples(index=False):
-                bare = bool(flags & SYN) and not flags & ACK
-                if flow and flow[0] == "closed":
-                    if ts - flow[2] <= linger and not bare:
-                        continue
-                    flow = None
-                if flow and ts - flow[2] > idle:
-                    out.append((key[0], *flow[1:7], "idle"))
-                    flow = None
-                if flow is None:
-                    flow = ["open", ts, ts, src, int(sport), 0, 0]
-                flow[2], flow[5], flow[6] = ts, flow[5] + 1, flow[6] + int(size)
-                why = "fin" if flags & FIN else "rst" if flags & RST else "active" if ts - flow[1] > active else None
-                if why:
-                    out.append((key[0], *flow[1:7], why))
-                    flow = ["closed", *flow[1:]] if why != "active" else None
-            if flow is None:
-                state.remove()
-            else:
-                state.update(tuple(flow))
-                due = flow[2] + (idle if flow[0] == "open" else linger)
-                state.setTimeoutTimestamp(max(int(due * 1000), state.getCurrentWatermarkMs() + 1))
+    def __init__(self, limits: dict[str, float], live: int | None):
+        self.limits, self.live = limits, live
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", PACKETS, self.live)
+        self.flow = handle.getValueState("flow", "number int, closed_at double, open boolean, " + FLOW_SCHEMA.split(", ended")[0].split("flow_no int, ")[1], self.live)
+
+    def _load(self, key: str) -> FlowTable:
+        table = FlowTable(key, **self.limits)
+        held = self.flow.get()
+        if held is not None:
+            table.number, table.closed_at = int(held[0]), held[1]
+            if held[2]:
+                table.flow = [key, table.number - 1, *held[3:]]
+        return table
+
+    def _save(self, table: FlowTable) -> None:
+        if table.flow is None and table.closed_at is None:
+            self.flow.clear()
+            return
+        self.flow.update((table.number, table.closed_at, table.flow is not None, *(table.flow[2:] if table.flow else [None] * 11)))
+        due = table.due() if table.flow else table.closed_at + table.linger
+        self.handle.registerTimer(_milliseconds(due) + 1)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            packets = list(frame[PACKET[1:]].itertuples(index=False, name=None))
+            if packets:
+                self.waiting.appendList([(float(p[0]), p[1], p[2], *map(int, p[3:])) for p in packets])
+                first = min([p[0] for p in packets] + ([] if first is None else [first]))
+        if first is not None:
+            self.handle.registerTimer(max(_milliseconds(first) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() / 1000
+        packets = sorted(self.waiting.get(), key=lambda p: (p[0], p[1], p[3], p[6], p[7]))  # as PACKET_ORDER
+        ready = [p for p in packets if p[0] <= mark]
+        table, out = self._load(key[0]), []
+        for packet in ready:
+            out += table.add(*packet)
+        out += table.expire(mark)
+        if ready:
+            rest = packets[len(ready) :]
+            self.waiting.put([tuple(p) for p in rest]) if rest else self.waiting.clear()
+            if rest:
+                self.handle.registerTimer(_milliseconds(rest[0][0]) + 1)
+        self._save(table)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOW.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _milliseconds(ts: float) -> int:
+    return math.ceil(ts * 1000)
+
+
+def stream_flows(
+    sdf: DataFrame, *, idle: float = 120.0, active: float = 300.0, linger: float = 10.0, probe: float = 5.0, delay: str = "10 seconds", live: int | None = None
+) -> DataFrame:
+    """The flows of sessions.assemble_flows, as they end, by canonical 5-tuple.
+
+    A packet waits until the watermark has passed it, so packets that come out of order within the delay make the same
+    flows. A flow is out once the watermark is past its end. ``live`` is a time to live of state in milliseconds of the
+    clock, for streams whose watermark may stand still. State is kept in RocksDB, which the session must be set to use
+    (use_rocksdb).
+    """
+    keyed = with_flow_key(sdf).select(*PACKET, "time").withWatermark("time", delay)
+    processor = FlowProcessor({"idle": idle, "active": active, "linger": linger, "probe": probe}, live)
+    return keyed.groupBy("key").transformWithStateInPandas(processor, FLOW_SCHEMA, "append", "EventTime")
+
 
-    held = "kind string, first_ts double, last_ts double, src string, sport int, pkts long, bytes long"
-    keyed = with_flow_key(sdf).withWatermark("time", delay)
-    return keyed.groupBy("key").applyInPandasWithState(run, FLOW, held, "append", GroupStateTimeout.EventTimeTimeout)
+def use_rocksdb(spark: SparkSession) -> None:
+    """State of keyed streams in RocksDB, which keeps it on disk and has timers and a time to live."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def stream_scan_events(sdf: DataFrame, *, window: str = "60 seconds", delay: str = "2 minutes") -> DataFrame:
