@@ -10,6 +10,9 @@ from ..functions import net, ordered
 #: External service ports that a normal client fans out on.
 EXEMPT_PORTS = (53, 80, 123, 443, 853, 5353)
 LONGEST_SUCCESSION = 2333
+#: The ICMP type of an unreachable destination, and its codes that a scan brings about.
+UNREACHABLE = 3
+UNREACHABLE_CODES = (0, 1, 2, 3, 9, 10, 13)
 
 
 def window_start(ts: str, seconds: float) -> Column:
@@ -22,19 +25,48 @@ def scan_candidates(flows: DataFrame) -> DataFrame:
     return flows.where(~net.is_group_dst(F.col("dst")) & ~served)
 
 
-def network_events(flows: DataFrame, *, known_hosts: DataFrame | None = None, known_ports: DataFrame | None = None, seconds: int = 60, one_way: bool = False) -> DataFrame:
-    """Per source and window: counts of targets that reset (rst), did not answer (rwa), are not known hosts (neip) or
-    known hosts' ports that are not open (netcp), with distinct ports and addresses and the commonest destination.
+def unreachable(messages: DataFrame) -> DataFrame:
+    """The ICMP messages that say that a destination cannot be reached, as a probe of a closed UDP port is told."""
+    return messages.where((F.col("icmp_type") == UNREACHABLE) & (F.col("icmp_code").isNull() | F.col("icmp_code").isin(*UNREACHABLE_CODES)))
 
-    Flows are first made distinct on (source, window, destination, port), so every indicator is a plain sum and a
-    busy source is pre-aggregated. known_hosts has column host, known_ports has host and port; without them the last
-    two indicators are 0. A host without listed ports counts as open. one_way reads every flow as unanswered.
+
+def icmp_causes(messages: DataFrame, flows: DataFrame, *, within: float = 10.0) -> DataFrame:
+    """messages with cause, the event_id of the flow whose packet an ICMP error quotes: the last one with those addresses,
+    ports and protocol that began at most ``within`` seconds before the message. Null without a quoted header or such a flow.
+    """
+    quoted = ["q_src", "q_dst", "q_sport", "q_dport", "q_proto"]
+    begun = flows.select(*[F.col(c.removeprefix("q_")).alias(c) for c in quoted], F.col("ts").alias("__began"), F.col("event_id").alias("__cause"))
+    # Equal messages have one cause, so a message is known by what it says.
+    told = messages.withColumn("__message", F.to_json(F.struct(*messages.columns)))
+    # Times are cut into slots, so that a busy pair's flows and messages are shared out.
+    slot = lambda ts: F.floor(ts / within).cast("long")
+    near = told.where(F.col("q_src").isNotNull()).withColumn("__slot", F.explode(F.array(slot(F.col("ts")) - 1, slot(F.col("ts")))))
+    met = near.join(begun.withColumn("__slot", slot(F.col("__began"))), [*quoted, "__slot"]).where((F.col("__began") <= F.col("ts")) & (F.col("ts") - F.col("__began") <= within))
+    cause = met.groupBy("__message").agg(F.max_by("__cause", F.struct("__began", "__cause")).alias("cause"))
+    return told.join(cause, "__message", "left").drop("__message")
+
+
+def network_events(
+    flows: DataFrame, *, known_hosts: DataFrame | None = None, known_ports: DataFrame | None = None, icmp: DataFrame | None = None, seconds: int = 60, one_way: bool = False
+) -> DataFrame:
+    """Per source and window: ICMP errors that it was told of (icmp_error), and counts of targets that reset a connection
+    that was never there (rst), left a flow without an answer (rwa), are not known hosts (neip) or known hosts' ports that
+    are not open (netcp), with distinct ports and addresses and the commonest destination.
+
+    Flows are first made distinct on (source, window, destination, port), and ports on (source, window, port), so every
+    indicator is a plain sum or count and a busy source is pre-aggregated. known_hosts has column host, known_ports has
+    host and port; without them the last two indicators are 0. A host without listed ports counts as open. icmp has messages
+    (ts, dst, icmp_type, icmp_code and, where the packet quotes one, q_src); the one told of is the source of the quoted
+    packet, or else the message's destination. one_way reads every flow as unanswered.
     """
     keyed = flows.withColumn("window_start", window_start("ts", seconds))
     answered = F.lit(False) if one_way else (F.col("bwd_pkts") > 0)
+    tcp = F.col("proto") == 6
+    reset = tcp & (F.col("syn") > 0) & (F.col("rst") > 0) & ~((F.col("ack") > 0) & (F.col("bwd_pkts") > 0))
     targets = keyed.groupBy("src", "window_start", "dst", "dport").agg(
-        F.count("*").alias("n"), F.max((F.col("rst") > 0).cast("int")).alias("rst"), F.max(answered.cast("int")).alias("answered"), F.max((F.col("proto") == 6).cast("int")).alias("tcp")
+        F.count("*").alias("n"), F.max(reset.cast("int")).alias("rst"), F.min(answered.cast("int")).alias("answered"), F.max((tcp | (F.col("proto") == 17)).cast("int")).alias("ported")
     )
+    ports = targets.select("src", "window_start", "dport").distinct().groupBy("src", "window_start").agg(F.count("*").alias("ports"))
     if known_hosts is not None:
         targets = targets.join(known_hosts.select(F.col("host").alias("dst"), F.lit(True).alias("__known")).distinct(), "dst", "left")
     else:
@@ -46,15 +78,32 @@ def network_events(flows: DataFrame, *, known_hosts: DataFrame | None = None, kn
     else:
         targets = targets.withColumns({"__listed": F.lit(None).cast("boolean"), "__open": F.lit(None).cast("boolean")})
     new_host = F.lit(False) if known_hosts is None else F.col("__known").isNull() & net.is_internal(F.col("dst"))
-    closed = F.col("__listed").isNotNull() & F.col("__open").isNull() & (F.col("tcp") == 1)
+    there = F.lit(True) if known_hosts is None else F.col("__known").isNotNull()
+    closed = F.col("__listed").isNotNull() & F.col("__open").isNull() & (F.col("ported") == 1) & there & net.is_internal(F.col("dst"))
     silent = (F.col("answered") == 0) & (F.col("rst") == 0) & ~net.is_group_dst(F.col("dst"))
     hosts = targets.groupBy("src", "window_start", "dst").agg(
-        F.sum("n").alias("n"), F.sum("rst").alias("rst"), F.sum(silent.cast("int")).alias("rwa"), F.max(new_host.cast("int")).alias("neip"), F.sum(closed.cast("int")).alias("netcp"), F.collect_set("dport").alias("ports")
+        F.sum("n").alias("n"), F.sum("rst").alias("rst"), F.sum(silent.cast("int")).alias("rwa"), F.max(new_host.cast("int")).alias("neip"), F.sum(closed.cast("int")).alias("netcp")
     )
-    return hosts.groupBy("src", "window_start").agg(
+    events = hosts.groupBy("src", "window_start").agg(
         F.sum("rst").alias("rst"), F.sum("rwa").alias("rwa"), F.sum("neip").alias("neip"), F.sum("netcp").alias("netcp"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("ports"), F.count("*").alias("hosts"), F.max_by("dst", F.struct("n", "dst")).alias("top_dst"),
-    )
+        F.count("*").alias("hosts"), F.max_by("dst", F.struct("n", "dst")).alias("top_dst"),
+    ).join(ports, ["src", "window_start"])
+    if icmp is None:
+        return events.withColumn("icmp_error", F.lit(0).cast("long"))
+    told_of = F.coalesce("q_src", "dst") if "q_src" in icmp.columns else F.col("dst")
+    errors = unreachable(icmp).groupBy(told_of.alias("src"), window_start("ts", seconds).alias("window_start")).agg(F.count("*").alias("icmp_error"))
+    return events.join(errors, ["src", "window_start"], "left").fillna(0, ["icmp_error"])
+
+
+def suspicion() -> Column:
+    """What succession goes by: any indicator."""
+    return F.col("icmp_error") + F.col("rst") + F.col("rwa") + F.col("neip") + F.col("netcp")
+
+
+def indicator_sum() -> Column:
+    """What sequential tests go by: ICMP errors, unknown hosts and closed ports. Resets and missing answers are common in
+    normal traffic."""
+    return F.col("icmp_error") + F.col("neip") + F.col("netcp")
 
 
 def fanout(flows: DataFrame, *, seconds: int = 60) -> DataFrame:

@@ -70,18 +70,32 @@ def jn4_blocklist_hits(spark, sf_dir):
 
 
 EVENTS = """
-t AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport, count(*) AS n, max((rst > 0)::INT) AS rst, max((bwd_pkts > 0)::INT) AS answered, max((proto = 6)::INT) AS tcp FROM flows GROUP BY ALL),
+t AS (SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, dst, dport, count(*) AS n, max((proto = 6 AND syn > 0 AND rst > 0 AND NOT (ack > 0 AND bwd_pkts > 0))::INT) AS rst, min((bwd_pkts > 0)::INT) AS answered FROM flows GROUP BY ALL),
 known AS (SELECT '192.168.10.' || i AS host FROM range(0, 15) r(i)), opened AS (SELECT '192.168.10.' || i AS host, p AS port FROM range(0, 5) r(i), (VALUES (80), (443)) v(p)),
-m AS (SELECT t.*, (rst = 0 AND answered = 0)::INT AS silent, (dst LIKE '192.168.%' AND dst NOT IN (SELECT host FROM known))::INT AS is_new, (dst IN (SELECT host FROM opened) AND tcp = 1 AND NOT EXISTS (SELECT 1 FROM opened o WHERE o.host = t.dst AND o.port = t.dport))::INT AS closed FROM t),
+m AS (SELECT t.*, (rst = 0 AND answered = 0)::INT AS silent, (dst LIKE '192.168.%' AND dst NOT IN (SELECT host FROM known))::INT AS is_new, (dst IN (SELECT host FROM opened) AND NOT EXISTS (SELECT 1 FROM opened o WHERE o.host = t.dst AND o.port = t.dport))::INT AS closed FROM t),
 h AS (SELECT src, window_start, dst, sum(n) AS n, sum(rst) AS rst, sum(silent) AS rwa, max(is_new) AS neip, sum(closed) AS netcp, list(dport) AS ports FROM m GROUP BY ALL),
-ev AS (SELECT src, window_start, sum(rst)::BIGINT AS rst, sum(rwa)::BIGINT AS rwa, sum(neip)::BIGINT AS neip, sum(netcp)::BIGINT AS netcp, len(list_distinct(flatten(list(ports))))::INT AS ports, count(*) AS hosts, max_by(dst, n::BIGINT * 1000000 + hash_rank) AS top_dst FROM
-  (SELECT *, row_number() OVER (PARTITION BY src, window_start ORDER BY dst) AS hash_rank FROM h) GROUP BY ALL)"""
+told AS (SELECT src, floor((ts + 0.5) / 86400)::BIGINT * 86400 AS window_start, count(*) AS icmp_error FROM flows WHERE proto = 17 AND k % 5 < 3 AND k % 16 IN (0, 1, 2, 3, 9, 10, 13) GROUP BY ALL),
+ev AS (SELECT * REPLACE (coalesce(icmp_error, 0)::BIGINT AS icmp_error) FROM (SELECT src, window_start, sum(rst)::BIGINT AS rst, sum(rwa)::BIGINT AS rwa, sum(neip)::BIGINT AS neip, sum(netcp)::BIGINT AS netcp, len(list_distinct(flatten(list(ports))))::BIGINT AS ports, count(*) AS hosts, max_by(dst, n::BIGINT * 1000000 + hash_rank) AS top_dst FROM
+  (SELECT *, row_number() OVER (PARTITION BY src, window_start ORDER BY dst) AS hash_rank FROM h) GROUP BY ALL) LEFT JOIN told USING (src, window_start))"""
+
+
+def _icmp(spark, sf_dir):
+    """Answers to UDP flows half a second later: errors of all codes, most of which quote the flow's packet."""
+    f, k = flows(spark, sf_dir).where("proto = 17"), F.col("k")
+    quoted = {f"q_{c}": F.when(k % 2 == 0, F.col(c)) for c in ("src", "dst", "sport", "dport", "proto")}
+    return f.where(k % 5 < 3).select((F.col("ts") + 0.5).alias("ts"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(3).alias("icmp_type"), (k % 16).alias("icmp_code"), *[c.alias(n) for n, c in quoted.items()], "event_id")
 
 
 def _events(spark, sf_dir):
     hosts = spark.range(0, 15).select(F.concat(F.lit("192.168.10."), "id").alias("host"))
     ports = spark.range(0, 5).select(F.concat(F.lit("192.168.10."), "id").alias("host"), F.explode(F.array(F.lit(80), F.lit(443))).alias("port"))
-    return scan.network_events(flows(spark, sf_dir), known_hosts=hosts, known_ports=ports, seconds=DAY)
+    return scan.network_events(flows(spark, sf_dir), known_hosts=hosts, known_ports=ports, icmp=_icmp(spark, sf_dir), seconds=DAY)
+
+
+@query("SELECT event_id, CASE WHEN k % 2 = 0 THEN event_id END AS cause FROM flows WHERE proto = 17 AND k % 5 < 3")
+def ag3_icmp_causes(spark, sf_dir):
+    """The flow that each ICMP error is about, from the header that it quotes."""
+    return scan.icmp_causes(_icmp(spark, sf_dir), flows(spark, sf_dir)).select("event_id", "cause")
 
 
 @query(f"WITH {EVENTS} SELECT * FROM ev")
@@ -286,22 +300,22 @@ def ml2_scan_decide(spark, sf_dir):
 
 
 @query(
-    f"WITH {EVENTS}, a AS (SELECT src, window_start, neip + netcp AS alpha, sum((neip + netcp = 0)::INT) OVER (PARTITION BY src ORDER BY window_start) AS island "
+    f"WITH {EVENTS}, a AS (SELECT src, window_start, icmp_error + rst + rwa + neip + netcp AS alpha, sum((icmp_error + rst + rwa + neip + netcp = 0)::INT) OVER (PARTITION BY src ORDER BY window_start) AS island "
     f"FROM ev) SELECT src, window_start, least(sum((alpha > 0)::INT) OVER (PARTITION BY src, island ORDER BY window_start), 2333)::BIGINT AS succession FROM a"
 )
 def win16_succession(spark, sf_dir):
-    return scan.succession(_events(spark, sf_dir).withColumn("alpha", F.col("neip") + F.col("netcp"))).select("src", "window_start", "succession")
+    return scan.succession(_events(spark, sf_dir).withColumn("alpha", scan.suspicion())).select("src", "window_start", "succession")
 
 
 @query(
-    f"WITH RECURSIVE {EVENTS}, a AS (SELECT src, window_start, neip + netcp AS alpha, row_number() OVER (PARTITION BY src ORDER BY window_start) AS i FROM ev), "
+    f"WITH RECURSIVE {EVENTS}, a AS (SELECT src, window_start, icmp_error + neip + netcp AS alpha, row_number() OVER (PARTITION BY src ORDER BY window_start) AS i FROM ev), "
     "s AS (SELECT src, window_start, i, CASE WHEN alpha > 0 THEN 0.8 / (1 - 0.8) ELSE 0.2 / 0.8 END::DOUBLE AS ratio FROM a WHERE i = 1 UNION ALL "
     "SELECT a.src, a.window_start, a.i, (CASE WHEN s.ratio >= 999 OR s.ratio <= 0.001 THEN 1.0 ELSE s.ratio END * CASE WHEN a.alpha > 0 THEN 0.8 / (1 - 0.8) ELSE "
     "0.2 / 0.8 END)::DOUBLE FROM s JOIN a ON a.src = s.src AND a.i = s.i + 1) "
     "SELECT src, window_start, round(ratio, 6) AS ratio, CASE WHEN ratio >= 999 THEN 'scanner' WHEN ratio <= 0.001 THEN 'normal' ELSE 'pending' END AS decision FROM s"
 )
 def win17_sprt(spark, sf_dir):
-    return _rounded(scan.sprt(_events(spark, sf_dir).withColumn("alpha", F.col("neip") + F.col("netcp"))), "ratio")
+    return _rounded(scan.sprt(_events(spark, sf_dir).withColumn("alpha", scan.indicator_sum())), "ratio")
 
 
 @query(

@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 from ..functions import text
 
 PACKET_SCHEMA = "file string, ts double, src string, dst string, proto int, sport int, dport int, flags int, window int, header_size int, payload_size int, l4_len int, wire_len int, payload binary"
+ICMP_SCHEMA = "file string, ts double, src string, dst string, proto int, icmp_type int, icmp_code int, q_src string, q_dst string, q_proto int, q_sport int, q_dport int"
 DNS_SCHEMA = "ts double, src string, dst string, name string, qtype int, is_response boolean, rcode int, answers int, answer_ips array<string>, bytes int"
 
 #: Link types, with where the network header begins and where its type stands (None: from its version).
 LINK_LAYERS = {1: (14, 12), 12: (0, None), 14: (0, None), 101: (0, None), 228: (0, None), 229: (0, None), 113: (16, 14), 276: (20, 0), 0: (4, None)}
+#: The types of ICMP and ICMPv6 errors, which quote the packet that they are about.
+ERRORS_V4, ERRORS_V6 = (3, 4, 5, 11, 12), (1, 2, 3, 4)
 VLAN_TAGS = (0x8100, 0x88A8, 0x9100)
 #: IPv6 extension headers that are skipped; 44 is the fragment header.
 EXTENSIONS = (0, 43, 44, 60)
@@ -76,37 +79,47 @@ def _clock(options: bytes, order: str) -> float:
     return 1e6
 
 
+def _network(link: int, frame: bytes) -> tuple[int, int, tuple[bytes, bytes], int, int, int] | None:
+    """(version, protocol, addresses, where its data begin, how many, where the header begins) of a frame's packet over IP."""
+    at, kind_at = LINK_LAYERS[link]
+    if kind_at is not None:
+        kind = int.from_bytes(frame[kind_at : kind_at + 2], "big")
+        while link == 1 and kind in VLAN_TAGS:
+            kind = int.from_bytes(frame[at + 2 : at + 4], "big")
+            at += 4
+        version = {0x0800: 4, 0x86DD: 6}.get(kind)
+    else:
+        version = frame[at] >> 4
+    return _header(frame, at, version)
+
+
+def _header(frame: bytes, at: int, version: int | None) -> tuple[int, int, tuple[bytes, bytes], int, int, int] | None:
+    """The same of a header of IP at a place; None for all but first fragments."""
+    if version == 4:
+        head = (frame[at] & 15) * 4
+        total, fragment = struct.unpack_from(">H2xH", frame, at + 2)
+        if fragment & 0x1FFF:
+            return None
+        return 4, frame[at + 9], (frame[at + 12 : at + 16], frame[at + 16 : at + 20]), at + head, total - head, at
+    if version == 6:
+        body, proto = struct.unpack_from(">HB", frame, at + 4)
+        ends, l4 = (frame[at + 8 : at + 24], frame[at + 24 : at + 40]), at + 40
+        while proto in EXTENSIONS:
+            if proto == 44 and struct.unpack_from(">H", frame, l4 + 2)[0] & 0xFFF8:
+                return None
+            size = 8 if proto == 44 else 8 * (frame[l4 + 1] + 1)
+            proto, l4, body = frame[l4], l4 + size, body - size
+        return 6, proto, ends, l4, body, at
+    return None
+
+
 def packet(ts: float, link: int, frame: bytes, wire: int) -> tuple | None:
     """The columns of a packet after its file; None for all but first fragments of TCP and UDP over IP."""
     try:
-        at, kind_at = LINK_LAYERS[link]
-        if kind_at is not None:
-            kind = int.from_bytes(frame[kind_at : kind_at + 2], "big")
-            while link == 1 and kind in VLAN_TAGS:
-                kind = int.from_bytes(frame[at + 2 : at + 4], "big")
-                at += 4
-            version = {0x0800: 4, 0x86DD: 6}.get(kind)
-        else:
-            version = frame[at] >> 4
-        if version == 4:
-            head = (frame[at] & 15) * 4
-            total, fragment = struct.unpack_from(">H2xH", frame, at + 2)
-            proto, ends = frame[at + 9], (frame[at + 12 : at + 16], frame[at + 16 : at + 20])
-            body, l4 = total - head, at + head
-            if fragment & 0x1FFF:
-                return None
-        elif version == 6:
-            body, proto = struct.unpack_from(">HB", frame, at + 4)
-            ends, l4 = (frame[at + 8 : at + 24], frame[at + 24 : at + 40]), at + 40
-            while proto in EXTENSIONS:
-                if proto == 44 and struct.unpack_from(">H", frame, l4 + 2)[0] & 0xFFF8:
-                    return None
-                size = 8 if proto == 44 else 8 * (frame[l4 + 1] + 1)
-                proto, l4, body = frame[l4], l4 + size, body - size
-        else:
-            return None
-        if proto not in (6, 17):
+        found = _network(link, frame)
+        if found is None or found[1] not in (6, 17):
             return None
+        version, proto, ends, l4, body, at = found
         sport, dport = struct.unpack_from(">HH", frame, l4)
         ip_payload = len(frame) - (at + (40 if version == 6 else (frame[at] & 15) * 4))
         if proto == 6:
@@ -123,6 +136,43 @@ def packet(ts: float, link: int, frame: bytes, wire: int) -> tuple | None:
     return ts, src, dst, proto, sport, dport, flags, window, header, max(0, ip_payload), length, wire, frame[l4 + header : l4 + header + length]
 
 
+def icmp_message(ts: float, link: int, frame: bytes) -> tuple | None:
+    """The columns of an ICMP message after its file, with the addresses and ports of the packet that an error quotes."""
+    try:
+        found = _network(link, frame)
+        if found is None or found[1] not in (1, 58):
+            return None
+        _, proto, ends, l4, _, _ = found
+        kind, code = frame[l4], frame[l4 + 1]
+        src, dst = (str(ipaddress.ip_address(e)) for e in ends)
+    except (KeyError, IndexError, struct.error, ValueError):
+        return None
+    quoted: tuple = (None,) * 5
+    if kind in (ERRORS_V4 if proto == 1 else ERRORS_V6):
+        try:
+            _, inner, addresses, at, _, _ = _header(frame, l4 + 8, frame[l4 + 8] >> 4)
+            ports = struct.unpack_from(">HH", frame, at) if inner in (6, 17) else (None, None)
+            quoted = (*(str(ipaddress.ip_address(e)) for e in addresses), inner, *ports)
+        except (TypeError, IndexError, struct.error, ValueError):
+            pass  # a quotation that is cut short names no packet
+    return ts, src, dst, proto, kind, code, *quoted
+
+
+def parse_icmp(files: DataFrame) -> DataFrame:
+    """ICMP messages of captures given as rows (path, content)."""
+    names = [c.split()[0] for c in ICMP_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in batch[["path", "content"]].itertuples(index=False):
+                found = [(path, *row) for ts, link, frame, _ in frames(bytes(content)) if (row := icmp_message(ts, link, frame)) is not None]
+                if found:
+                    table = pd.DataFrame(found, columns=names)
+                    yield table.astype({c: "Int32" for c in ("q_proto", "q_sport", "q_dport")})
+
+    return files.select("path", "content").mapInPandas(run, ICMP_SCHEMA)
+
+
 def parse_captures(files: DataFrame) -> DataFrame:
     """Packets of captures given as rows (path, content)."""
     names = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
