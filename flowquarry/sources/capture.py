@@ -40,21 +40,22 @@ def frames(data: bytes) -> Iterator[tuple[float, int, bytes, int]]:
             yield sec + part / unit, link, data[at + 16 : at + 16 + size], wire
             at += 16 + size
     elif data[:4] == b"\x0a\x0d\x0d\x0a":
-        yield from _blocks(data)
+        yield from blocks(lambda at, n: data[at : at + n])
     else:
         raise ValueError("neither pcap nor pcapng")
 
 
-def _blocks(data: bytes) -> Iterator[tuple[float, int, bytes, int]]:
+def blocks(get: Callable[[int, int], bytes]) -> Iterator[tuple[float, int, bytes, int]]:
+    """The same of a pcapng file, of which get(place, n) gives n bytes, fewer at the end; places only grow."""
     at, order, interfaces = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
+    while len(head := get(at, 12)) == 12:
+        if head[:4] == b"\x0a\x0d\x0d\x0a":
+            order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
             interfaces = []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
+        kind, size = struct.unpack_from(order + "II", head)
+        if size < 12 or len(block := get(at, size)) < size:
             return
-        body = data[at + 8 : at + size - 4]
+        body = block[8 : size - 4]
         if kind == 1:
             interfaces.append((struct.unpack_from(order + "H", body)[0], _clock(body[8:], order)))
         elif kind == 6:
@@ -195,7 +196,7 @@ def parse_captures(files: DataFrame) -> DataFrame:
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Packets of all captures that the path matches, one task a few files. Spark reads the files, from any store; each
-    is held whole by its task, so a capture may have 2 GB at most."""
+    is held whole by its task, so a capture may have 2 GB at most; capture_source reads longer ones, in ranges."""
     return parse_captures(spark.read.format("binaryFile").load(path))
 
 
