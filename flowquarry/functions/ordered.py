@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,6 +22,7 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string"
 #: Windows' worth of time that one task takes of a key; a window's rows before it are copied to it.
 SLICE_WINDOWS = 8
 KINDS = T.StructType().add("kinds", "long").add("most", "long").add("bits", "double")
+MIDDLE = T.StructType().add("n", "long").add("median", "double").add("mad", "double")
 TOP_KINDS = T.StructType(list(KINDS.fields)).add("top", T.ArrayType(T.StructType().add("value", "string").add("n", "long")))
 
 
@@ -197,46 +199,120 @@ class _Kinds:
         return out
 
 
+class _Sorted:
+    """A window's numbers in order, in blocks of bounded length, kept up to date as rows come and go."""
+
+    MOST = 512
+
+    def __init__(self):
+        self.blocks: list[list[float]] = []
+        self.highest: list[float] = []  # the last number of each block
+        self.n = 0
+
+    def change(self, value: float | None, by: int) -> None:
+        """One row with the number more or less."""
+        if value is None:
+            return
+        self.n += by
+        if not self.blocks:
+            self.blocks, self.highest = [[value]], [value]
+            return
+        at = min(bisect_left(self.highest, value), len(self.blocks) - 1)
+        block = self.blocks[at]
+        if by > 0:
+            insort(block, value)
+        else:
+            del block[bisect_left(block, value)]
+        if len(block) > self.MOST:
+            half = len(block) // 2
+            self.blocks[at : at + 1] = [block[:half], block[half:]]
+            self.highest[at : at + 1] = [block[half - 1], block[-1]]
+        elif block:
+            self.highest[at] = block[-1]
+        else:
+            del self.blocks[at], self.highest[at]
+
+    def at(self, place: int) -> float:
+        for block in self.blocks:
+            if place < len(block):
+                return block[place]
+            place -= len(block)
+        raise IndexError(place)
+
+    def below(self, value: float) -> int:
+        """How many numbers are less."""
+        at = bisect_left(self.highest, value)
+        return sum(map(len, self.blocks[:at])) + (bisect_left(self.blocks[at], value) if at < len(self.blocks) else 0)
+
+    def distance(self, k: int, middle: float, below: int) -> float:
+        """The k-th smallest distance from a number that ``below`` of them are less than: those less give distances in order
+        going down, the others going up, and halving finds how many of the k + 1 smallest are of the first kind."""
+        lo, hi = max(0, k + 1 - (self.n - below)), min(k + 1, below)
+        down, up = (lambda i: middle - self.at(below - 1 - i)), (lambda j: self.at(below + j) - middle)
+        while lo < hi:
+            i = (lo + hi) // 2
+            if down(i) < up(k - i):
+                lo = i + 1
+            else:
+                hi = i
+        return max(down(lo - 1) if lo else -math.inf, up(k - lo) if k - lo >= 0 else -math.inf)
+
+    def state(self) -> dict[str, Any]:
+        """How many, the median and the median distance from it."""
+        n = self.n
+        if not n:
+            return {"n": 0, "median": None, "mad": None}
+        low, high = (n - 1) // 2, n // 2
+        middle = self.at(low) if low == high else (self.at(low) + self.at(high)) / 2
+        below = self.below(middle)
+        mad = self.distance(low, middle, below) if low == high else (self.distance(low, middle, below) + self.distance(high, middle, below)) / 2
+        return {"n": n, "median": middle, "mad": mad}
+
+
 def _weight(count: int) -> float:
     return count * math.log2(count) if count > 1 else 0.0
 
 
 def trailing_state(
     df: DataFrame, keys: list[str], *, seconds: float, ts: str = "ts", n: str = "n", first: str | None = None, sums: dict[str, Column] | None = None, kinds: dict[str, Column] | None = None,
-    top: dict[str, int] | None = None,
+    top: dict[str, int] | None = None, medians: dict[str, Column] | None = None, gaps: str | None = None,
 ) -> DataFrame:
     """df with what the rows of the same keys in the seconds up to each row hold, both edges and ties included.
 
     n is how many, first the earliest time, sums of whole numbers, and for each of kinds a struct of how many values
     there are, the commonest one's count and the entropy in bits; nulls do not count. Kinds named in top also get the so
-    many commonest values with their counts, those with one count in order of the value. A key's time is cut into slices
+    many commonest values with their counts, those with one count in order of the value. For each of medians, and under the name
+    ``gaps`` for the times between one row and the next, there is a struct of how many numbers there are, their median and
+    the median distance from it. A key's time is cut into slices
     of a few windows, each a task's, so a hot key is shared out; the rows of the window before a slice are copied to it.
     Rows stream through a task once and what is held is the window.
     """
     sums, kinds, top = sums or {}, kinds or {}, top or {}
     tops = [top.get(name, 0) for name in kinds]
+    medians = medians or {}
     length = float(seconds) * SLICE_WINDOWS
     at = F.floor(F.col(ts) / length).cast("long")
     late = F.col(ts) >= (at + 1) * length - seconds - (1e-6 + length * 1e-9)
     to = F.array_compact(F.array(F.struct(at.alias("slice"), F.lit(True).alias("own")), F.when(late, F.struct((at + 1).alias("slice"), F.lit(False).alias("own")))))
     names, width = df.columns, len(df.columns)
-    own = {f"__s{i}": c.cast("long") for i, c in enumerate(sums.values())} | {f"__k{i}": c.cast("string") for i, c in enumerate(kinds.values())}
+    own = {f"__s{i}": c.cast("long") for i, c in enumerate(sums.values())} | {f"__k{i}": c.cast("string") for i, c in enumerate(kinds.values())} | {f"__m{i}": c.cast("double") for i, c in enumerate(medians.values())}
     dealt = df.withColumns({**own, "__to": F.explode(to)}).select(*names, *own, F.col("__to.slice").alias("__slice"), F.col("__to.own").alias("__own"))
     at_key = [dealt.columns.index(k) for k in [*keys, "__slice"]]
-    at_ts, n_sums, n_kinds = names.index(ts), len(sums), len(kinds)
-    structs = [to_arrow_type(TOP_KINDS if k else KINDS) for k in tops]
+    at_ts, n_sums, n_kinds, n_medians = names.index(ts), len(sums), len(kinds), len(medians)
+    structs = [to_arrow_type(TOP_KINDS if k else KINDS) for k in tops] + [to_arrow_type(MIDDLE)] * (n_medians + bool(gaps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now, tied = None, None, 0  # tied: own rows at the time that is now
         window: deque = deque()
-        totals, counters = [0] * n_sums, [_Kinds(k) for k in tops]
+        totals, counters = [0] * n_sums, [_Kinds(k) for k in tops] + [_Sorted() for _ in range(n_medians)]
+        between = _Sorted()
         waiting: deque[pa.RecordBatch] = deque()
         found: list[tuple] = []
 
         def settle() -> None:
             nonlocal tied
             if tied:
-                found.extend([(len(window), window[0][0], *totals, *[c.state() for c in counters])] * tied)
+                found.extend([(len(window), window[0][0], *totals, *[c.state() for c in counters], *([between.state()] if gaps else []))] * tied)
                 tied = 0
 
         def ready() -> Iterator[pa.RecordBatch]:
@@ -254,7 +330,7 @@ def trailing_state(
         for batch in batches:
             mine = batch.column(batch.num_columns - 1)
             waiting.append(batch.filter(mine))
-            columns = [batch.column(i).to_pylist() for i in (*at_key, at_ts, *range(width, width + n_sums + n_kinds))]
+            columns = [batch.column(i).to_pylist() for i in (*at_key, at_ts, *range(width, width + n_sums + n_kinds + n_medians))]
             n_key = len(at_key)
             rows = zip(*columns[n_key:], strict=True)
             for k, row, is_own in zip(zip(*columns[:n_key], strict=True), rows, mine.to_pylist(), strict=True):
@@ -263,7 +339,8 @@ def trailing_state(
                     settle()
                     key, now = k, t
                     window.clear()
-                    totals, counters = [0] * n_sums, [_Kinds(k) for k in tops]
+                    totals, counters = [0] * n_sums, [_Kinds(k) for k in tops] + [_Sorted() for _ in range(n_medians)]
+                    between = _Sorted()
                 elif t != now:
                     settle()
                     now = t
@@ -271,12 +348,16 @@ def trailing_state(
                         gone = window.popleft()
                         for i in range(n_sums):
                             totals[i] -= gone[1 + i] or 0
-                        for i in range(n_kinds):
+                        for i in range(n_kinds + n_medians):
                             counters[i].change(gone[1 + n_sums + i], -1)
+                        if gaps and window and gone[0] is not None:
+                            between.change(window[0][0] - gone[0], -1)
+                if gaps and window and window[-1][0] is not None:
+                    between.change(t - window[-1][0], 1)
                 window.append(row)
                 for i in range(n_sums):
                     totals[i] += row[1 + i] or 0
-                for i in range(n_kinds):
+                for i in range(n_kinds + n_medians):
                     counters[i].change(row[1 + n_sums + i], 1)
                 tied += is_own
             yield from ready()
@@ -290,6 +371,8 @@ def trailing_state(
         schema = schema.add(name, "long")
     for name, k in zip(kinds, tops, strict=True):
         schema = schema.add(name, TOP_KINDS if k else KINDS)
+    for name in [*medians, *([gaps] if gaps else [])]:
+        schema = schema.add(name, MIDDLE)
     out_names = schema.fieldNames()
     dealt = dealt.repartition(*keys, "__slice").sortWithinPartitions(*keys, "__slice", ts)
     return dealt.mapInArrow(run, schema)

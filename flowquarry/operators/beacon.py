@@ -99,23 +99,19 @@ def tls_profile(flows: DataFrame, *, seconds: float = 21_600.0, least_sessions:
     their weighted score. Rarity counts clients of the fingerprint so far, 0 until five clients have been seen."""
     base = running_distinct(flows, of="src", order=["ts", "event_id"], by=["sensor"], name="population")
     base = running_distinct(base, of="src", order=["ts", "event_id"], by=["sensor", "ja4"], name="clients")
-    base = ordered.trailing_state(base, ["src", "dst", "ja4"], seconds=seconds, n="__n", kinds={"__shapes": F.col("shape")})
-    w = stats.trailing("src", "dst", "ja4", seconds=seconds)
-    # Medians need the window's values themselves: of a client and server with one fingerprint, and only where it has enough.
-    f = base.withColumns({"times": F.sort_array(F.collect_list("ts").over(w)), "sizes": F.collect_list(F.col("fwd_bytes").cast("double")).over(w)}).where(F.col("__n") >= least_sessions)
-    n = F.col("__n")
-    gaps = stats.differences(F.col("times"))
-    commonest = F.col("__shapes.most")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    f = f.withColumns({
+    # Medians are kept up to date as sessions come and go, so a busy client costs no more a session than a quiet one.
+    base = ordered.trailing_state(base, ["src", "dst", "ja4"], seconds=seconds, n="__n", kinds={"__shapes": F.col("shape")}, medians={"__sizes": F.col("fwd_bytes")}, gaps="__gaps")
+    n, one, zero = F.col("__n"), F.lit(1.0), F.lit(0.0)
+    regular = lambda c: F.when(F.col(f"{c}.n") >= 3, 1 - F.when(F.col(f"{c}.median") > 0, F.least(one, F.col(f"{c}.mad") / F.col(f"{c}.median"))).otherwise(one)).otherwise(zero)
+    f = base.where(n >= least_sessions).withColumns({
         "sessions": n,
         "r": F.when(F.col("population") < 5, zero).otherwise(1 - F.least(one, (F.col("clients") - 1) / 4)),
-        "t": F.when(F.size(gaps) >= 3, 1 - F.least(one, stats.mad_ratio(gaps))).otherwise(zero),
-        "s": F.when(F.size("sizes") >= 3, 1 - F.least(one, stats.mad_ratio(F.col("sizes")))).otherwise(zero),
-        "p": commonest / n,
+        "t": regular("__gaps"),
+        "s": regular("__sizes"),
+        "p": F.col("__shapes.most") / n,
         "h": F.least(one, F.col("flags") / 3),
     })
-    return f.withColumn("score", 0.30 * F.col("r") + 0.20 * F.col("t") + 0.15 * F.col("s") + 0.15 * F.col("p") + 0.20 * F.col("h")).drop("times", "sizes", "__shapes", "__n")
+    return f.withColumn("score", 0.30 * F.col("r") + 0.20 * F.col("t") + 0.15 * F.col("s") + 0.15 * F.col("p") + 0.20 * F.col("h")).drop("__gaps", "__sizes", "__shapes", "__n")
 
 
 def top_fingerprints(flows: DataFrame, *, n: int = 10) -> DataFrame:

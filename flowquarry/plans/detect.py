@@ -597,6 +597,14 @@ def _tls(spark, sf_dir):
     )
 
 
+
+
+def _regular(numbers: str) -> str:
+    """How regular a list of numbers is: 1 less the median distance from the median over it; 0 for fewer than three."""
+    median, mad = f"list_aggregate({numbers}, 'median')", f"list_aggregate({numbers}, 'mad')"
+    return f"CASE WHEN len({numbers}) < 3 OR {median} <= 0 THEN 0 ELSE 1 - least(1.0, {mad} / {median}) END"
+
+
 TLS = "tls AS (SELECT event_id, ts, src, 's' || (k % 3) AS dst, fwd_bytes, 'j' || (k % 2) AS ja4, k % 4 AS shape, k % 4 AS flags FROM flows)"
 
 
@@ -604,15 +612,16 @@ TLS = "tls AS (SELECT event_id, ts, src, 's' || (k % 3) AS dst, fwd_bytes, 'j' |
     f"WITH {TLS}, d AS (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY ts, event_id) = 1)::INT AS f, (row_number() OVER (PARTITION BY ja4, src ORDER BY "
     f"ts, event_id) = 1)::INT AS fc FROM tls), p AS (SELECT *, sum(f) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS population, sum(fc) OVER (PARTITION "
     f"BY ja4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clients FROM d), "
-    "w AS (SELECT event_id, population, clients, flags, count(*) OVER w AS n, list(shape) OVER w AS shapes FROM p WINDOW w AS (PARTITION BY src, dst, ja4 ORDER BY "
-    "ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW)) "
-    "SELECT event_id, n AS sessions, round(CASE WHEN population < 5 THEN 0 ELSE 1 - least(1.0, (clients - 1) / 4) END, 6) AS r, "
-    "round(list_max(list_transform(list_distinct(shapes), lambda s: len(list_filter(shapes, lambda x: x = s)))) / n, 6) AS p, round(least(1.0, flags / 3), 6) AS h "
-    "FROM w WHERE n >= 4"
+    "w AS (SELECT event_id, population, clients, flags, count(*) OVER w AS n, list(shape) OVER w AS shapes, list(fwd_bytes::DOUBLE) OVER w AS sizes, list_sort(list(ts) OVER w) AS times FROM p WINDOW w AS (PARTITION BY src, dst, ja4 ORDER BY "
+    "ts RANGE BETWEEN 864000 PRECEDING AND CURRENT ROW)), "
+    "g AS (SELECT *, list_transform(range(1, len(times)), lambda i: times[i + 1] - times[i]) AS gaps FROM w WHERE n >= 4), "
+    "x AS (SELECT event_id, n, CASE WHEN population < 5 THEN 0 ELSE 1 - least(1.0, (clients - 1) / 4) END AS r, "
+    f"{_regular('gaps')} AS t, {_regular('sizes')} AS s, list_max(list_transform(list_distinct(shapes), lambda s: len(list_filter(shapes, lambda x: x = s)))) / n AS p, least(1.0, flags / 3) AS h FROM g) "
+    "SELECT event_id, n AS sessions, round(r, 6) AS r, round(t, 6) AS t, round(s, 6) AS s, round(p, 6) AS p, round(h, 6) AS h, round(0.3 * r + 0.2 * t + 0.15 * s + 0.15 * p + 0.2 * h, 6) AS score FROM x"
 )
 def win11_tls_profile(spark, sf_dir):
-    t = _rounded(beacon.tls_profile(_tls(spark, sf_dir), seconds=864_000.0, least_sessions=4), "r", "p", "h")
-    return t.select("event_id", F.col("sessions").cast("long").alias("sessions"), "r", "p", "h")
+    t = _rounded(beacon.tls_profile(_tls(spark, sf_dir), seconds=864_000.0, least_sessions=4), "r", "t", "s", "p", "h", "score")
+    return t.select("event_id", F.col("sessions").cast("long").alias("sessions"), "r", "t", "s", "p", "h", "score")
 
 
 @query(

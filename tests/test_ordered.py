@@ -2,6 +2,8 @@
 
 import math
 import random
+import statistics
+import time
 from collections import Counter
 
 import pytest
@@ -105,3 +107,52 @@ def test_quantiles(spark):
         (r,) = ordered.quantiles(df, "x", {"a": 0.0, "b": 0.5, "c": 0.99}).collect()
         assert [r.a, r.b, r.c] == pytest.approx(np.quantile(x, [0, 0.5, 0.99]).tolist(), abs=1e-12)
     assert ordered.quantiles(df.where("false"), "x", {"b": 0.5}).first().b is None
+
+
+def test_medians_of_a_changing_window():
+    rng = random.Random(8)
+    for most in (4, 512):
+        ordered._Sorted.MOST, held, window = most, ordered._Sorted(), []
+        for i in range(3000):
+            if window and rng.random() < (0.4 if i < 1800 else 0.6):
+                held.change(window.pop(rng.randrange(len(window))), -1)
+            else:
+                window.append(rng.choice([rng.uniform(-5, 5), float(rng.randrange(-3, 4))]))
+                held.change(window[-1], 1)
+            state = held.state()
+            if not window:
+                assert state == {"n": 0, "median": None, "mad": None}
+                continue
+            middle = statistics.median(window)
+            assert state["n"] == len(window) and state["median"] == middle
+            assert state["mad"] == pytest.approx(statistics.median([abs(x - middle) for x in window]), abs=1e-12)
+            assert all(held.blocks) and max(map(len, held.blocks)) <= most and held.highest == [b[-1] for b in held.blocks]
+
+
+@pytest.mark.parametrize("seconds", [2.0, 40.0, 1000.0])
+def test_medians_and_gaps_of_trailing_windows(spark, seconds):
+    rng = random.Random(3)
+    rows = [(i, "hot" if rng.random() < 0.8 else None, round(rng.uniform(0, 60), 1) if rng.random() < 0.98 else 7.0, rng.choice([None, 1.5, 2.5, rng.random()])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, key string, ts double, size double").repartition(5)
+    for r in ordered.trailing_state(df, ["key"], seconds=seconds, medians={"m": F.col("size")}, gaps="g").collect():
+        inside = sorted((x for x in rows if x[1] == r.key and r.ts - seconds <= x[2] <= r.ts), key=lambda x: x[2])
+        sizes, gaps = [x[3] for x in inside if x[3] is not None], [b[2] - a[2] for a, b in zip(inside, inside[1:])]
+        for state, own in ((r.m, sizes), (r.g, gaps)):
+            assert state.n == len(own)
+            if own:
+                middle = statistics.median(own)
+                assert state.median == pytest.approx(middle, abs=1e-9) and state.mad == pytest.approx(statistics.median([abs(x - middle) for x in own]), abs=1e-9)
+
+
+def test_a_busy_client_costs_no_more_a_session():
+    def seconds(n):
+        held, window = ordered._Sorted(), []
+        began = time.process_time()
+        for i in range(n):
+            window.append(float(i * 7919 % 10_007))
+            held.change(window[-1], 1)
+            held.state()
+        return time.process_time() - began
+
+    few, many = min(seconds(5_000) for _ in range(3)), min(seconds(20_000) for _ in range(2))
+    assert many < 4 * few * 2.5
