@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,11 +18,13 @@ from .views import alerts, flows, packets
 PARTS = 3
 
 
-def _run(df: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts", late: Callable[[DataFrame, float], DataFrame] | None = None) -> tuple[DataFrame, list[StreamingQuery]]:
+def _run(
+    df: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts", late: Callable[[DataFrame, float], DataFrame] | None = None, mode: str | None = None
+) -> tuple[DataFrame, list[StreamingQuery]]:
     """What the stream that ``build`` makes puts out, and its runs.
 
     A part of the rows is put into files, the stream runs over what is new and stops, and goes on with the next part from
-    its checkpoint. ``late`` makes rows, from all rows and the time before which the first part ended, that come with
+    its checkpoint. With a mode, batches are written each to a folder. ``late`` makes rows, from all rows and the time before which the first part ended, that come with
     the last part.
     """
     spark = df.sparkSession
@@ -36,8 +39,14 @@ def _run(df: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str = "ts",
             part = part.unionByName(late(timed, edges[1]))
         part.write.mode("append").parquet(path)
         made = build(spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1000).parquet(path))
-        runs.append(jobs.run_available(made, out, state))
-    return spark.read.schema(made.schema).parquet(out), runs
+        if mode is None:
+            runs.append(jobs.run_available(made, out, state))
+        else:
+            runs.append(jobs.write_batches(made, out, state, mode=mode))
+            runs[-1].awaitTermination()
+    if mode is None:
+        return spark.read.schema(made.schema).parquet(out), runs
+    return spark.read.schema(made.schema.add("batch", "long")).parquet(out), runs
 
 
 #: Where the watermark stands at the end, in seconds.
@@ -56,7 +65,7 @@ def stm1_stream_flows(spark, sf_dir):
 
 @query(
     "WITH m AS (SELECT max(ts) - 120 AS w FROM flows) SELECT src, floor(ts / 86400)::BIGINT * 86400 AS window_start, count(*) AS n, count(*) FILTER (WHERE bwd_pkts = "
-    "0) AS unanswered, count(DISTINCT dport)::INT AS ports, count(DISTINCT dst)::INT AS hosts FROM flows, m GROUP BY 1, 2 HAVING floor(any_value(ts) / 86400)::BIGINT "
+    "0) AS unanswered, count(DISTINCT dport) AS ports, count(DISTINCT dst) AS hosts FROM flows, m GROUP BY 1, 2 HAVING floor(any_value(ts) / 86400)::BIGINT "
     "* 86400 + 86400 <= any_value(w)"
 )
 def stm2_stream_scan_events(spark, sf_dir):
@@ -66,7 +75,7 @@ def stm2_stream_scan_events(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT dst, ts, src, fwd_bytes, unnest([floor(ts / 1800)::BIGINT * 1800, floor(ts / 1800)::BIGINT * 1800 - 1800]) AS start FROM flows) SELECT dst, "
-    "start, count(*) AS n, count(DISTINCT src)::INT AS sources, sum(fwd_bytes)::BIGINT AS bytes FROM s GROUP BY ALL HAVING start + 3600 <= (SELECT max(ts) - 5 FROM "
+    "start, count(*) AS n, count(DISTINCT src) AS sources, sum(fwd_bytes)::BIGINT AS bytes FROM s GROUP BY ALL HAVING start + 3600 <= (SELECT max(ts) - 5 FROM "
     "flows)"
 )
 def stm3_stream_flood_windows(spark, sf_dir):
@@ -76,7 +85,7 @@ def stm3_stream_flood_windows(spark, sf_dir):
 
 @query(
     "SELECT user_id AS host, event_type AS cat, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n, sum(fwd_bytes)::BIGINT AS up, sum(bwd_bytes)::BIGINT AS down, "
-    "count(DISTINCT dst)::INT AS peers FROM flows GROUP BY 1, 2, 3 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 <= (SELECT max(ts) - 420 FROM flows)"
+    "count(DISTINCT dst) AS peers FROM flows GROUP BY 1, 2, 3 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 <= (SELECT max(ts) - 420 FROM flows)"
 )
 def stm4_stream_behaviour_windows(spark, sf_dir):
     f = flows(spark, sf_dir).select(
@@ -86,6 +95,20 @@ def stm4_stream_behaviour_windows(spark, sf_dir):
     return _run(f, jobs.stream_behaviour_windows)[0].select("host", "cat", F.unix_timestamp("window.start").alias("start"), "n", "up", "down", "peers")
 
 
+@query(
+    "SELECT user_id AS host, event_type AS cat, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n, sum(fwd_bytes)::BIGINT AS up, sum(bwd_bytes)::BIGINT AS down, "
+    "count(DISTINCT dst) AS peers FROM flows GROUP BY 1, 2, 3"
+)
+def stm4_provisional_windows(spark, sf_dir):
+    """The same in update mode: the last row put out of every window, the open ones included."""
+    f = flows(spark, sf_dir).select(
+        "ts", F.col("user_id").alias("host"), F.col("event_type").alias("cat"), F.col("fwd_bytes").alias("up"), F.col("bwd_bytes").alias("down"),
+        F.col("dst").alias("peer"),
+    )
+    found, _ = _run(f, jobs.stream_behaviour_windows, mode="update")
+    return jobs.latest(found, ["window", "host", "cat"]).select("host", "cat", F.unix_timestamp("window.start").alias("start"), "n", "up", "down", "peers")
+
+
 @query(
     "SELECT user_id AS host, floor(ts / 3600)::BIGINT * 3600 AS start, count(*) AS n FROM flows GROUP BY 1, 2 HAVING floor(any_value(ts) / 3600)::BIGINT * 3600 + 3600 "
     "<= (SELECT max(ts) - 21600 FROM flows)"
@@ -136,8 +159,26 @@ def stm9_state_limits(spark, sf_dir):
     return found.groupBy(F.lit("put out").alias("what")).agg(F.count("*").alias("n")).unionByName(held)
 
 
-@query("SELECT id FROM alerts")
+@query("SELECT id, threat_class FROM alerts")
 def stm10_alert_sink(spark, sf_dir):
     """Every alert comes twice."""
-    a = alerts(spark, sf_dir).select("id", "ts")
-    return _run(a.unionByName(a), lambda s: jobs.once_each(s))[0].select("id")
+    a = alerts(spark, sf_dir).select("id", "ts", "threat_class")
+    return _run(a.unionByName(a), lambda s: jobs.once_each(s), mode="append")[0].select("id", "threat_class")
+
+
+@query("SELECT threat_class, count(*) AS n FROM alerts GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM alerts")
+def stm10_alert_metrics(spark, sf_dir):
+    """What the sink's listener counts by class while the alerts, each twice, go through."""
+    listener, kinds = jobs.AlertMetrics("alerts"), ["C2 Beacon", "DGA", "Data Exfiltration", "Port Scan", "DDoS"]
+    a = alerts(spark, sf_dir).select("id", "ts", "threat_class")
+    spark.streams.addListener(listener)
+    try:
+        runs = _run(a.unionByName(a), lambda s: jobs.with_metrics(jobs.once_each(s), "alerts", kinds), mode="append")[1]
+        due = max((p["batchId"] for p in runs[-1].recentProgress), default=-1)
+        for _ in range(600):  # events come after the batches that they are about
+            if due <= max(listener.batches, default=-1):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(k, int(n)) for k, n in listener.totals().items() if n], "threat_class string, n long")

@@ -11,15 +11,18 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.behaviour import LIFECYCLE, next_state
 from ..operators.sessions import FLOW_SCHEMA, PACKET, FlowTable, with_flow_key
 
+#: Registers of a sketch of distinct values, as a power of two: about 4 KB, and an error of 1.6 %.
+SKETCH_BITS = 12
 PACKETS = "ts double, src string, dst string, sport int, dport int, proto int, flags int, payload_size long"
 
 
@@ -114,21 +117,32 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_scan_events(sdf: DataFrame, *, window: str = "60 seconds", delay: str = "2 minutes") -> DataFrame:
-    """Per source and window: flows, unanswered ones, and about how many ports and hosts; each window once, when closed."""
+def _kinds(column: str, exact: bool) -> Column:
+    """How many values of a column: exactly, with all of them in state, or from a sketch of fixed size, whose count is exact
+    for few values and has a standard error of about 1.04 / sqrt(2 ** SKETCH_BITS) for many."""
+    return F.size(F.collect_set(column)).cast("long") if exact else F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(SKETCH_BITS)))
+
+
+def stream_scan_events(sdf: DataFrame, *, window: str = "60 seconds", delay: str = "2 minutes", exact: bool = False) -> DataFrame:
+    """Per source and window: flows, unanswered ones, ports and hosts; each window once, when closed.
+
+    Ports and hosts are counted by sketches, so a window's state is bounded under a sweep of all ports; ``exact`` keeps all.
+    """
     w = sdf.withWatermark("time", delay).groupBy(F.window("time", window), "src")
-    return w.agg(F.count("*").alias("n"), F.count_if(F.col("bwd_pkts") == 0).alias("unanswered"), F.size(F.collect_set("dport")).alias("ports"), F.size(F.collect_set("dst")).alias("hosts"))
+    return w.agg(F.count("*").alias("n"), F.count_if(F.col("bwd_pkts") == 0).alias("unanswered"), _kinds("dport", exact).alias("ports"), _kinds("dst", exact).alias("hosts"))
 
 
-def stream_flood_windows(sdf: DataFrame, *, window: str = "10 seconds", slide: str = "1 second", delay: str = "5 seconds") -> DataFrame:
+def stream_flood_windows(sdf: DataFrame, *, window: str = "10 seconds", slide: str = "1 second", delay: str = "5 seconds", exact: bool = False) -> DataFrame:
+    """Per destination and sliding window: flows, sources (by a sketch, or ``exact``), bytes and the share of UDP."""
     w = sdf.withWatermark("time", delay).groupBy(F.window("time", window, slide), "dst")
-    return w.agg(F.count("*").alias("n"), F.size(F.collect_set("src")).alias("sources"), F.sum("fwd_bytes").alias("bytes"), F.avg((F.col("proto") == 17).cast("int")).alias("udp_share"))
+    return w.agg(F.count("*").alias("n"), _kinds("src", exact).alias("sources"), F.sum("fwd_bytes").alias("bytes"), F.avg((F.col("proto") == 17).cast("int")).alias("udp_share"))
 
 
-def stream_behaviour_windows(sdf: DataFrame, *, delay: str = "7 minutes") -> DataFrame:
-    """Hourly windows, closed the delay after the hour; run in update mode for provisional rows of the open one."""
+def stream_behaviour_windows(sdf: DataFrame, *, delay: str = "7 minutes", exact: bool = False) -> DataFrame:
+    """Hourly windows, closed the delay after the hour. In append mode each comes once, when closed; in update mode (see
+    run_updates) rows of the open hour come as they change."""
     w = sdf.withWatermark("time", delay).groupBy(F.window("time", "1 hour"), "host", "cat")
-    return w.agg(F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"), F.size(F.collect_set("peer")).alias("peers"))
+    return w.agg(F.count("*").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"), _kinds("peer", exact).alias("peers"))
 
 
 def drop_and_count_late(sdf: DataFrame, *, delay: str = "6 hours") -> DataFrame:
@@ -217,9 +231,63 @@ def once_each(sdf: DataFrame, *, delay: str = "1 hour") -> DataFrame:
     return sdf.withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def write_alert_stream(sdf: DataFrame, path: str, checkpoint: str, *, delay: str = "1 hour") -> StreamingQuery:
-    """Appends alerts to path, each id once within the delay."""
-    return once_each(sdf, delay=delay).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+class AlertMetrics(StreamingQueryListener):
+    """Counts of what a sink with metrics let through, by class, and of its batches, as the stream reports them.
+
+    A batch that runs again after a failure is reported again, so a batch counts with its last report.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event: Any) -> None:
+        pass
+
+    def onQueryProgress(self, event: Any) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches[event.progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+    def totals(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for row in self.batches.values():
+            for k, v in row.items():
+                out[k] = out.get(k, 0) + (v or 0)
+        return out
+
+
+def with_metrics(sdf: DataFrame, name: str, classes: list[str], *, column: str = "threat_class") -> DataFrame:
+    """sdf observed under a name: rows in all, and of each class."""
+    return sdf.observe(name, F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(column) == c).alias(c) for c in classes])
+
+
+def write_batches(sdf: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
+    """Each batch of a stream in a folder of its own, named by the batch, which a batch that runs again replaces: so every
+    row is there once, whatever failed between writing and commit. Runs over all that is there now."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sdf.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that came in update mode (see write_batches), the last of each key."""
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
+
+
+def write_alert_stream(sdf: DataFrame, path: str, checkpoint: str, *, delay: str = "1 hour", name: str = "alerts", classes: list[str] | None = None) -> StreamingQuery:
+    """Writes alerts under path, each id once within the delay and each batch once; with classes also metrics under the name,
+    for an AlertMetrics listener."""
+    once = once_each(sdf, delay=delay)
+    return write_batches(with_metrics(once, name, classes) if classes else once, path, checkpoint)
 
 
 def run_available(sdf: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
