@@ -378,6 +378,73 @@ def trailing_state(
     return dealt.mapInArrow(run, schema)
 
 
+def last_counts(df: DataFrame, by: list[str], order: list[str], *, n: int, same: dict[str, list[str]], of: dict[str, Column] | None = None, slice_rows: int | None = None) -> DataFrame:
+    """df with counts over the last n rows of the same ``by`` up to each one: for each of ``same``, of the rows that agree
+    with it on those columns, and for each of ``of``, of the rows for which it holds. A null agrees with nothing.
+
+    Rows are numbered in two levels and cut into slices of slice_rows, with the n - 1 rows before a slice copied to it, so
+    one key's rows are shared out whatever their times. Counters add and take away a row as the window moves on; what is
+    held is n rows.
+    """
+    of, length = of or {}, slice_rows or max(16 * n, 4096)
+    names, width = df.columns, len(df.columns)
+    needs = list(dict.fromkeys(c for columns in same.values() for c in columns))
+    numbered = running_total(df, F.lit(1), order, by=by, name="__i")
+    at = F.floor((F.col("__i") - 1) / length).cast("long")
+    late = (F.col("__i") - 1) % length >= length - (n - 1)
+    to = F.array_compact(F.array(F.struct(at.alias("slice"), F.lit(True).alias("own")), F.when(late, F.struct((at + 1).alias("slice"), F.lit(False).alias("own")))))
+    marks = {f"__f{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(of.values())}
+    dealt = numbered.withColumns({**marks, "__to": F.explode(to)}).select(*names, *marks, "__i", F.col("__to.slice").alias("__slice"), F.col("__to.own").alias("__own"))
+    at_key, at_needs = [dealt.columns.index(k) for k in [*by, "__slice"]], [names.index(c) for c in needs]
+    groups = [[needs.index(c) for c in columns] for columns in same.values()]
+    out_names, n_of = [*names, *same, *of], len(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window = None, deque()
+        counters: list[dict[tuple, int]] = [{} for _ in groups]
+        held = [0] * n_of
+
+        def change(row: tuple, by_: int) -> None:
+            values, flags = row
+            for counter, value in zip(counters, values, strict=True):
+                if value is not None:
+                    left = counter.get(value, 0) + by_
+                    if left:
+                        counter[value] = left
+                    else:
+                        del counter[value]
+            for i, flag in enumerate(flags):
+                held[i] += by_ * flag
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in at_key), strict=True)
+            columns = [batch.column(i).to_pylist() for i in at_needs]
+            flags = list(zip(*(batch.column(width + i).to_pylist() for i in range(n_of)), strict=True)) if n_of else [()] * batch.num_rows
+            own = batch.column(batch.num_columns - 1).to_pylist()
+            found: list[list[int]] = []
+            for k, mine, flag, *row in zip(keys, own, flags, *columns, strict=True):
+                if k != key:
+                    key = k
+                    window.clear()
+                    counters[:], held[:] = [{} for _ in groups], [0] * n_of
+                values = [tuple(row[i] for i in places) for places in groups]
+                values = [None if None in v else v for v in values]
+                if len(window) == n:
+                    change(window.popleft(), -1)
+                window.append((values, flag))
+                change(window[-1], 1)
+                if mine:
+                    found.append([*[0 if v is None else c[v] for c, v in zip(counters, values, strict=True)], *held])
+            kept = batch.filter(batch.column(batch.num_columns - 1))
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays([*kept.columns[:width], *[pa.array(c, pa.int32()) for c in zip(*found, strict=True)]], out_names)
+
+    schema = T.StructType(list(df.schema.fields))
+    for name in (*same, *of):
+        schema = schema.add(name, "integer")
+    return dealt.repartition(*by, "__slice").sortWithinPartitions(*by, "__slice", "__i").mapInArrow(run, schema)
+
+
 def running_total(df: DataFrame, value: Column, order: list[str], *, by: list[str] | None = None, name: str, buckets: int | None = None) -> DataFrame:
     """df with the sum of ``value`` over the rows up to each one in ``order``, within ``by``.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered, stats
@@ -97,23 +97,16 @@ def bag_features(windows: DataFrame, features: list[str], categories: list[str])
 
 
 def ct_features(flows: DataFrame, *, n: int = 100) -> DataFrame:
-    """Counts over the n connections of a sensor up to each one: of its service, ends, ports, pair and state."""
-    w = Window.partitionBy("sensor").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    row = F.struct("service", "src", "dst", "sport", "dport", "state", "ttl_bucket")
-    last = flows.withColumn("__last", F.collect_list(row).over(w))
-    same = lambda *names: F.size(F.filter("__last", lambda x: F.expr("true") & _all([x[c] == F.col(c) for c in names])))
-    of = lambda *values: F.size(F.filter("__last", lambda x: x["service"].isin(*values)))
-    return last.withColumns({
-        "ct_srv_src": same("service", "src"), "ct_srv_dst": same("service", "dst"), "ct_dst_ltm": same("dst"), "ct_src_ltm": same("src"), "ct_src_dport_ltm": same("src", "dport"), "ct_dst_sport_ltm": same("dst", "sport"),
-        "ct_dst_src_ltm": same("dst", "src"), "ct_state_ttl": same("state", "ttl_bucket"), "ct_flw_http_mthd": of("http"), "ct_ftp_cmd": of("ftp", "ftp-data"),
-    }).drop("__last")
-
-
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    """Counts over the n connections of a sensor up to each one: of its service, ends, ports, pair and state.
+
+    A sensor's connections are shared out among tasks by their numbers.
+    """
+    same = {
+        "ct_srv_src": ["service", "src"], "ct_srv_dst": ["service", "dst"], "ct_dst_ltm": ["dst"], "ct_src_ltm": ["src"], "ct_src_dport_ltm": ["src", "dport"], "ct_dst_sport_ltm": ["dst", "sport"],
+        "ct_dst_src_ltm": ["dst", "src"], "ct_state_ttl": ["state", "ttl_bucket"],
+    }
+    of = {"ct_flw_http_mthd": F.col("service") == "http", "ct_ftp_cmd": F.col("service").isin("ftp", "ftp-data")}
+    return ordered.last_counts(flows, ["sensor"], ["ts", "event_id"], n=n, same=same, of=of)
 
 
 def host_rank(scores: DataFrame) -> DataFrame:

@@ -500,23 +500,26 @@ def win27_trigger_hours(spark, sf_dir):
 CT = (
     "cf AS (SELECT event_id, src, dst, sport, dport, ts, 'one' AS sensor, CASE dport WHEN 80 THEN 'http' WHEN 53 THEN 'dns' WHEN 443 THEN 'ssl' WHEN 22 THEN 'ssh' "
     "WHEN 445 THEN 'smb' ELSE 'other' END AS service, CASE WHEN rst > 0 THEN 'RST' WHEN fin > 0 THEN 'FIN' WHEN bwd_pkts = 0 THEN 'REQ' ELSE 'CON' END AS state, k % 4 "
-    "AS ttl_bucket FROM flows), ci AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, event_id) AS i FROM cf)"
+    "AS ttl_bucket FROM flows), ci AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i FROM cf)"
 )
 
 
 @query(
-    f"WITH {CT} SELECT a.event_id, count(*) FILTER (WHERE b.service = a.service)::INT AS ct_srv_src, count(*) FILTER (WHERE b.dst = a.dst)::INT AS ct_dst_ltm, "
-    f"count(*) FILTER (WHERE b.dport = a.dport)::INT AS ct_src_dport_ltm, count(*) FILTER (WHERE b.state = a.state AND b.ttl_bucket = a.ttl_bucket)::INT AS "
-    f"ct_state_ttl, count(*) FILTER (WHERE b.service = 'http')::INT AS ct_flw_http_mthd FROM ci a JOIN ci b ON a.src = b.src AND b.i BETWEEN a.i - 19 AND a.i GROUP "
-    f"BY 1"
+    f"WITH {CT} SELECT a.event_id, count(*) FILTER (WHERE b.service = a.service AND b.src = a.src)::INT AS ct_srv_src, count(*) FILTER (WHERE b.service = a.service AND b.dst = a.dst)::INT AS ct_srv_dst, "
+    f"count(*) FILTER (WHERE b.dst = a.dst)::INT AS ct_dst_ltm, count(*) FILTER (WHERE b.src = a.src)::INT AS ct_src_ltm, count(*) FILTER (WHERE b.src = a.src AND b.dport = a.dport)::INT AS ct_src_dport_ltm, "
+    f"count(*) FILTER (WHERE b.dst = a.dst AND b.sport = a.sport)::INT AS ct_dst_sport_ltm, count(*) FILTER (WHERE b.dst = a.dst AND b.src = a.src)::INT AS ct_dst_src_ltm, "
+    f"count(*) FILTER (WHERE b.state = a.state AND b.ttl_bucket = a.ttl_bucket)::INT AS ct_state_ttl, count(*) FILTER (WHERE b.service = 'http')::INT AS ct_flw_http_mthd "
+    f"FROM ci a JOIN ci b ON b.i BETWEEN a.i - 99 AND a.i GROUP BY 1"
 )
 def win18_ct_features(spark, sf_dir):
     from ..functions import net
 
     f = flows(spark, sf_dir)
     c = F.col
-    f = f.withColumns({"sensor": c("src"), "service": net.port_service(c("dport"), c("proto")), "state": net.conn_state(c("rst"), c("fin"), c("bwd_pkts"), c("fwd_pkts")), "ttl_bucket": c("k") % 4})
-    return ops.ct_features(f, n=20).select("event_id", "ct_srv_src", "ct_dst_ltm", "ct_src_dport_ltm", "ct_state_ttl", "ct_flw_http_mthd")
+    f = f.withColumns({"sensor": F.lit("one"), "service": net.port_service(c("dport"), c("proto")), "state": net.conn_state(c("rst"), c("fin"), c("bwd_pkts"), c("fwd_pkts")), "ttl_bucket": c("k") % 4})
+    return ops.ct_features(f, n=100).select(
+        "event_id", "ct_srv_src", "ct_srv_dst", "ct_dst_ltm", "ct_src_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm", "ct_state_ttl", "ct_flw_http_mthd"
+    )
 
 
 @query(

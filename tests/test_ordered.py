@@ -156,3 +156,31 @@ def test_a_busy_client_costs_no_more_a_session():
 
     few, many = min(seconds(5_000) for _ in range(3)), min(seconds(20_000) for _ in range(2))
     assert many < 4 * few * 2.5
+
+
+@pytest.mark.parametrize(("n", "length"), [(1, 7), (5, 9), (20, 20), (50, 64), (3000, 4000)])
+def test_counts_over_the_last_rows(spark, n, length):
+    rng = random.Random(n)
+    rows = [(i, "hot" if rng.random() < 0.9 else rng.choice(["k", None]), float(rng.randrange(300)), rng.choice(["a", "b", "c", None]), rng.randrange(4), rng.choice([True, False, None])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, key string, ts double, x string, y int, ok boolean").repartition(6)
+    got = ordered.last_counts(df, ["key"], ["ts", "id"], n=n, same={"cx": ["x"], "cxy": ["x", "y"]}, of={"good": F.col("ok")}, slice_rows=length)
+    assert got.columns == [*df.columns, "cx", "cxy", "good"]
+    want = {}
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        for at, r in enumerate(own):
+            last = own[max(0, at - n + 1) : at + 1]
+            want[r[0]] = (sum(o[3] == r[3] for o in last if r[3] is not None), sum(o[3:5] == r[3:5] for o in last if r[3] is not None), sum(o[5] is True for o in last))
+    assert {r.id: (r.cx, r.cxy, r.good) for r in got.collect()} == want
+    assert ordered.last_counts(df.where("false"), ["key"], ["ts", "id"], n=n, same={"cx": ["x"]}).count() == 0
+
+
+def test_one_sensor_is_many_tasks(spark):
+    df = spark.range(0, 40_000).selectExpr("id", "'one' as sensor", "cast(id as double) as ts", "id % 7 as x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would be put together again
+    try:
+        got = ordered.last_counts(df, ["sensor"], ["ts", "id"], n=100, same={"c": ["x"]}).withColumn("task", F.spark_partition_id())
+        assert got.select("task").distinct().count() > 1
+        assert tuple(got.where("id >= 99").agg(F.min("c"), F.max("c")).first()) == (14, 15)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
