@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -207,6 +208,7 @@ class _Sorted:
     def __init__(self):
         self.blocks: list[list[float]] = []
         self.highest: list[float] = []  # the last number of each block
+        self.ends: list[int] = []  # how many numbers there are up to the end of each, when they were last looked up
         self.n = 0
 
     def change(self, value: float | None, by: int) -> None:
@@ -233,16 +235,14 @@ class _Sorted:
             del self.blocks[at], self.highest[at]
 
     def at(self, place: int) -> float:
-        for block in self.blocks:
-            if place < len(block):
-                return block[place]
-            place -= len(block)
-        raise IndexError(place)
+        """The number at a place in order; ``ends`` must be up to date."""
+        own = bisect_right(self.ends, place)
+        return self.blocks[own][place - (self.ends[own - 1] if own else 0)]
 
     def below(self, value: float) -> int:
         """How many numbers are less."""
         at = bisect_left(self.highest, value)
-        return sum(map(len, self.blocks[:at])) + (bisect_left(self.blocks[at], value) if at < len(self.blocks) else 0)
+        return (self.ends[at - 1] if at else 0) + (bisect_left(self.blocks[at], value) if at < len(self.blocks) else 0)
 
     def distance(self, k: int, middle: float, below: int) -> float:
         """The k-th smallest distance from a number that ``below`` of them are less than: those less give distances in order
@@ -262,6 +262,7 @@ class _Sorted:
         n = self.n
         if not n:
             return {"n": 0, "median": None, "mad": None}
+        self.ends = list(accumulate(map(len, self.blocks)))
         low, high = (n - 1) // 2, n // 2
         middle = self.at(low) if low == high else (self.at(low) + self.at(high)) / 2
         below = self.below(middle)

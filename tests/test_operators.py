@@ -88,7 +88,7 @@ def test_flow_assembly(spark):
     ]
     df = spark.createDataFrame(rows, "ts double, src string, dst string, sport int, dport int, proto int, flags int, payload_size int")
     got = sorted((r.key, r.flow_no, r.fwd_pkts, r.bwd_pkts, r.ended, r.stub) for r in sessions.assemble_flows(df).collect())
-    assert [x[1:] for x in got] == [(0, 2, 1, "fin", False), (1, 1, 0, "idle", True), (2, 1, 0, "end", True), (0, 1, 0, "end", True)]
+    assert [x[1:] for x in got] == [(0, 2, 1, "fin", False), (1, 1, 0, "probe", True), (2, 1, 0, "end", True), (0, 1, 0, "end", True)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 13])
