@@ -69,10 +69,14 @@ def novelty(rows: DataFrame, *, freeze: int) -> DataFrame:
 
 
 def cohort(windows: DataFrame, feature: str) -> DataFrame:
-    """The mean of a feature over the other hosts in the same hour and category; 0 where there are none."""
-    w = Window.partitionBy("lhour", "cat")
-    total, n = F.sum(feature).over(w), F.count(feature).over(w)
-    return windows.withColumn("cohort", F.when(n > 1, (total - F.col(feature)) / (n - 1)).otherwise(0.0))
+    """The mean of a feature over the other hosts in the same hour and category; 0 where there are none.
+
+    An hour's hosts are added up where they lie, so no task takes them all.
+    """
+    totals = windows.groupBy(F.col("lhour").alias("__hour"), F.col("cat").alias("__cat")).agg(F.sum(feature).alias("__total"), F.count(feature).alias("__n"))
+    joined = windows.join(totals, F.col("lhour").eqNullSafe(F.col("__hour")) & F.col("cat").eqNullSafe(F.col("__cat")), "left")
+    others = (F.col("__total") - F.col(feature)) / (F.col("__n") - 1)
+    return joined.withColumn("cohort", F.when(F.col("__n") > 1, others).otherwise(0.0)).drop("__hour", "__cat", "__total", "__n")
 
 
 def reference_stats(windows: DataFrame, features: list[str]) -> DataFrame:
