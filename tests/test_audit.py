@@ -32,3 +32,21 @@ def test_altered_and_added_receipts_are_not_included(spark):
     assert not v[3].holds and not v[18].holds
     bare = audit.verify_alerts(a, later, blocks, replayed, evidence=EVIDENCE, seconds=60).collect()
     assert {r.inclusion for r in bare} == {"UNVERIFIABLE"}
+
+
+def test_removed_reordered_and_doubled_receipts_break_the_chain(spark):
+    rows = [(i, i * 10.0, None if i % 2 else "s", f"10.0.0.{i}", "DDoS", 0.9) for i in range(40)]
+    a = spark.createDataFrame(rows, "id long, ts double, sensor string, src string, threat_class string, confidence double")
+    whole = audit.build_receipts(a, evidence=EVIDENCE, decision=["threat_class"])
+    replayed = a.select("id", F.lit("PASS").alias("verdict"), F.lit(False).alias("drift"))
+    blocks = audit.checkpoint_blocks(whole, seconds=60)
+    claims = lambda receipts: {r.id: (r.chain, r.sequence) for r in audit.verify_alerts(a, receipts, blocks, replayed, evidence=EVIDENCE, seconds=60).collect()}
+    good = ("PASS", "PASS")
+    assert set(claims(whole).values()) == {good}
+    removed = claims(whole.where("id <> 10"))  # 12 is the sensor's next
+    assert removed.pop(10) == ("UNVERIFIABLE",) * 2 and removed.pop(12) == ("FAIL", "FAIL") and set(removed.values()) == {good}
+    seq = F.when(F.col("id") == 20, 12).when(F.col("id") == 22, 11).otherwise(F.col("seq"))  # 20 and 22 change places
+    moved = claims(whole.withColumn("seq", seq))
+    assert [moved.pop(i)[0] for i in (20, 22, 24)] == ["FAIL"] * 3 and {m for m in moved.values()} == {good}
+    doubled = claims(whole.unionByName(whole.where("id = 31").withColumn("id", F.lit(33).cast("long"))).where("not (id = 33 and seq = 17)"))
+    assert doubled[31][1] == "FAIL" and doubled[33][1] == "FAIL"
