@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..sources.corpus import shared_path
 from . import alerts as alert_ops
 
 GENESIS = "0" * 64
@@ -47,27 +48,52 @@ class TreeHead:
         return h
 
 
-def merkle_roots(leaves: DataFrame) -> DataFrame:
-    """(block, root, n) from (block, seq, leaf hash in hex): leaves stream through each task in order, and a block
-    holds one hash for each power of two of its size."""
+def _numbered(leaves: DataFrame, order: list[str]) -> DataFrame:
+    """leaves with ``at``, a leaf's number in its block from 0, found in two levels."""
+    return ordered.running_total(leaves.where("block is not null"), F.lit(1), order, by=["block"], name="at").withColumn("at", F.col("at") - 1)
+
+
+def _dealt(nodes: DataFrame, size: int) -> DataFrame:
+    """Nodes with ``part``, the aligned subtree of ``size`` nodes that they are in, each subtree in order in one task."""
+    return nodes.withColumn("part", F.expr(f"at div {size}")).repartition("block", "part").sortWithinPartitions("block", "part", "at")
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def merkle_roots(leaves: DataFrame, *, order: list[str] | None = None, size: int = 4096) -> DataFrame:
+    """(block, root, n) from (block, leaf hash in hex, the columns of ``order``, of which the first is a number).
+
+    A block is cut into aligned subtrees of ``size`` leaves (a power of two, from 2), which any tasks take; their heads are
+    the leaves of the next level, up to one node a block. A task holds one hash for each power of two of a subtree. Leaves
+    without a block are left out.
+    """
+    size = max(size, 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, head, n = None, TreeHead(), 0
+        at, head, n = None, TreeHead(), 0
         for batch in batches:
             out = []
-            for b, leaf in batch[["block", "leaf"]].itertuples(index=False):
-                if b != block:
-                    if block is not None:
-                        out.append((block, head.root().hex(), n))
-                    block, head, n = b, TreeHead(), 0
+            for b, part, leaf, below in batch[["block", "part", "leaf", "n"]].itertuples(index=False):
+                if (b, part) != at:
+                    if at is not None:
+                        out.append((*at, head.root().hex(), n))
+                    at, head, n = (b, part), TreeHead(), 0
                 head.add(bytes.fromhex(leaf))
-                n += 1
+                n += below
             if out:
-                yield pd.DataFrame(out, columns=["block", "root", "n"])
-        if block is not None:
-            yield pd.DataFrame([(block, head.root().hex(), n)], columns=["block", "root", "n"])
+                yield pd.DataFrame(out, columns=["block", "at", "leaf", "n"])
+        if at is not None:
+            yield pd.DataFrame([(*at, head.root().hex(), n)], columns=["block", "at", "leaf", "n"])
 
-    return leaves.select("block", "seq", "leaf").repartition("block").sortWithinPartitions("block", "seq").mapInPandas(run, "block long, root string, n long")
+    nodes = _numbered(leaves, order or ["seq"]).select("block", "at", "leaf", F.lit(1).cast("long").alias("n"))
+    while True:
+        nodes = _stored(_dealt(nodes, size).select("block", "part", "leaf", "n").mapInPandas(run, "block long, at long, leaf string, n long"), "subtrees")
+        if not nodes.agg(F.max("at")).first()[0]:
+            return nodes.select("block", F.col("leaf").alias("root"), "n")
 
 
 def _levels(hashes: list[bytes]) -> list[list[bytes]]:
@@ -92,40 +118,43 @@ def _siblings(levels: list[list[bytes]], at: int) -> list[tuple[str, str]]:
 SIBLINGS = "array<struct<hash:string,side:string>>"
 
 
-def sibling_paths(leaves: DataFrame, *, size: int = 4096) -> DataFrame:
-    """(id, block, siblings) from (id, block, seq, leaf hash in hex), for verify_inclusion.
+def sibling_paths(leaves: DataFrame, *, order: list[str] | None = None, size: int = 4096) -> DataFrame:
+    """(id, block, siblings) from (id, block, leaf hash in hex, the columns of ``order``), for verify_inclusion.
 
-    Leaves stream through each task in order, ``size`` (a power of two) of them at a time; a block's tree over the
-    roots of these subtrees, one in ``size`` of its leaves, is made in one piece.
+    Subtrees are those of merkle_roots: each level's siblings are found in subtrees of ``size`` nodes, and a leaf's are
+    its own, then those of the subtree that it is in, and so on up.
     """
-    names = ["id", "block", "part", "head", "low"]
+    size = max(size, 2)
+    kind = leaves.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def subtree() -> pd.DataFrame:
-            levels = _levels([bytes.fromhex(x) for _, x in held])
-            return pd.DataFrame([(i, block, part, levels[-1][0].hex(), _siblings(levels, at)) for at, (i, _) in enumerate(held)], columns=names)
+            levels = _levels([bytes.fromhex(x) for _, _, x in held])
+            rows = [(i, *now, at, levels[-1][0].hex(), _siblings(levels, j)) for j, (i, at, _) in enumerate(held)]
+            return pd.DataFrame(rows, columns=["id", "block", "part", "at", "head", "low"])
 
-        block, part, held = None, 0, []
+        now, held = None, []
         for batch in batches:
-            for i, b, leaf in batch[["id", "block", "leaf"]].itertuples(index=False):
-                if held and (b != block or len(held) == size):
+            for i, b, part, at, leaf in batch[["id", "block", "part", "at", "leaf"]].itertuples(index=False):
+                if held and (b, part) != now:
                     yield subtree()
-                    part, held = part + 1, []
-                if b != block:
-                    block, part = b, 0
-                held.append((i, leaf))
+                    held = []
+                now = (b, part)
+                held.append((i, at, leaf))
         if held:
             yield subtree()
 
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        levels = _levels([bytes.fromhex(x) for x in pdf["head"]])
-        return pd.DataFrame([(b, part, _siblings(levels, at)) for at, (b, part) in enumerate(pdf[["block", "part"]].itertuples(index=False))], columns=["block", "part", "high"])
-
-    kind = leaves.schema["id"].dataType.simpleString()
-    rows = leaves.select("id", "block", "seq", "leaf").repartition("block").sortWithinPartitions("block", "seq").mapInPandas(run, f"id {kind}, block long, part long, head string, low {SIBLINGS}")
-    high = rows.select("block", "part", "head").distinct().groupBy("block").applyInPandas(top, f"block long, part long, high {SIBLINGS}")
-    return rows.join(high, ["block", "part"]).select("id", "block", F.concat("low", "high").alias("siblings"))
+    levels, nodes = [], _numbered(leaves, order or ["seq"])
+    while not levels or levels[-1].agg(F.max("part")).first()[0]:
+        dealt = _dealt(nodes, size).select("id", "block", "part", "at", "leaf")
+        levels.append(_stored(dealt.mapInPandas(run, f"id {kind}, block long, part long, at long, head string, low {SIBLINGS}"), "siblings"))
+        # a subtree's head stands by each of its nodes; the first one's is taken
+        nodes = levels[-1].where(F.col("at") % size == 0).select("id", "block", F.col("part").alias("at"), F.col("head").alias("leaf"))
+    found = levels.pop().select("id", "block", "at", F.col("low").alias("siblings"))
+    while levels:
+        above = found.select("block", F.col("at").alias("part"), F.col("siblings").alias("high"))
+        found = levels.pop().join(above, ["block", "part"]).select("id", "block", "at", F.concat("low", "high").alias("siblings"))
+    return found.select("id", "block", "siblings")
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
@@ -180,17 +209,17 @@ def receipt_digest() -> Column:
 
 
 def _block_leaves(receipts: DataFrame, seconds: int) -> DataFrame:
-    return receipts.select("id", (F.floor(F.col("ts") / seconds)).alias("block"), F.struct("ts", "id").alias("seq"), leaf_hash(F.col("digest")).alias("leaf"))
+    return receipts.select("id", (F.floor(F.col("ts") / seconds)).alias("block"), "ts", leaf_hash(F.col("digest")).alias("leaf"))
 
 
 def inclusion_proofs(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """(id, window_start, siblings): what is kept of each receipt when its block is sealed."""
-    return sibling_paths(_block_leaves(receipts, seconds)).select("id", (F.col("block") * seconds).alias("window_start"), "siblings")
+    return sibling_paths(_block_leaves(receipts, seconds), order=["ts", "id"]).select("id", (F.col("block") * seconds).alias("window_start"), "siblings")
 
 
 def checkpoint_blocks(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """A block for each window of time from the first receipt to the last, empty ones too: root and count."""
-    roots = merkle_roots(_block_leaves(receipts, seconds))
+    roots = merkle_roots(_block_leaves(receipts, seconds), order=["ts", "id"])
     spine = receipts.agg(F.floor(F.min("ts") / seconds).alias("lo"), F.floor(F.max("ts") / seconds).alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
     empty = hashlib.sha256(b"").hexdigest()
     return spine.join(roots, "block", "left").select((F.col("block") * seconds).alias("window_start"), F.coalesce("root", F.lit(empty)).alias("root"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -1,5 +1,7 @@
 """Receipts that were changed after their block was sealed."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,37 @@ def test_sibling_paths_lead_to_the_roots(spark, size):
     assert len(got) == len(rows) and all(r.valid for r in got)
 
 
+def plain_root(x):
+    """The root of a tree that is split at the largest power of two below its size."""
+    if len(x) == 1:
+        return x[0]
+    k = 1 << (len(x) - 1).bit_length() - 1
+    return hashlib.sha256(b"\x01" + plain_root(x[:k]) + plain_root(x[k:])).digest()
+
+
+def test_roots_over_several_levels_equal_the_plain_tree(spark):
+    rows = [(b * 1000 + i, b, i, hashlib.sha256(b"%d %d" % (b, i)).hexdigest()) for b in range(1, 71) for i in range(b)]
+    leaves = spark.createDataFrame([*rows, (-1, None, 0, "00")], "id long, block long, seq long, leaf string").repartition(7)
+    want = {b: (plain_root([bytes.fromhex(r[3]) for r in rows if r[1] == b]).hex(), b) for b in range(1, 71)}
+    assert {r.block: (r.root, r.n) for r in audit.merkle_roots(leaves, size=4).collect()} == want
+    proofs = leaves.join(audit.sibling_paths(leaves, size=4), ["id", "block"]).join(audit.merkle_roots(leaves, size=8), "block")
+    assert proofs.count() == len(rows) and all(r.valid for r in audit.verify_inclusion(proofs).collect())
+    assert audit.merkle_roots(leaves.where("id < -1")).collect() == []
+
+
+def test_one_block_is_many_tasks(spark):
+    leaves = spark.range(0, 60_000, numPartitions=8).select("id", F.lit(3).cast("long").alias("block"), F.col("id").alias("seq"), audit.leaf_hash(F.col("id").cast("string")).alias("leaf"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join partitions as small as these
+    try:
+        dealt = audit._dealt(audit._numbered(leaves, ["seq"]), 1024)
+        per = [r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) > 1 and max(per) < 30_000
+    (got,) = audit.merkle_roots(leaves, size=1024).collect()
+    assert (got.n, got.root) == (60_000, plain_root([hashlib.sha256(b"\0%d" % i).digest() for i in range(60_000)]).hex())
+
+
 def test_altered_and_added_receipts_are_not_included(spark):
     a = spark.createDataFrame([(i, i * 10.0, "s", f"10.0.0.{i}", "DDoS", 0.9) for i in range(20)], "id long, ts double, sensor string, src string, threat_class string, confidence double")
     first = a.where("id < 18")
