@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+
 
 def _packed(vectors: DataFrame, size: int, dims: int | None) -> DataFrame:
     """(ids, data): vectors in rows of at most size, as bytes."""
@@ -75,83 +79,60 @@ def knn_overlap(vectors: DataFrame, *, first: int, k: int, every: int = 50) -> D
     return whole.join(part, "vec_id").withColumn("shared", F.size(F.array_intersect("neighbours", "others")))
 
 
-def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim: float = 0.05) -> DataFrame:
+def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim: float = 0.05, piece_rows: int = 20_000) -> DataFrame:
     """(host, id, distance): the least robust Mahalanobis distance of each row from its host's components.
 
-    A host's components are clusters of all its fit rows (host, id, x array), started at the rows whose ids hash
-    lowest; their covariance is shrunk towards its diagonal, and a share of far rows is trimmed. Each step is a pass
-    over rows laid out by host, which adds up counts, sums and outer products; a host's rows may be in any number of
-    tasks. Broadcast are the centres, one a host and component, which is all that the driver collects.
+    A host's components are clusters of all its fit rows (host, id, x array, all of one length), started at the rows whose
+    ids hash lowest; their covariance is shrunk towards its diagonal, and a share of far rows is trimmed. Rows are laid out
+    once, in buckets by host and piece of about ``piece_rows`` rows, and centres are a table that each step joins with
+    them, where they lie; a step's one figure for the driver is how far the centres moved. Rows without a host or x are
+    left out, and only hosts that are scored get a model.
     """
     from ..sources.corpus import shared_path
 
     spark = fit.sparkSession
     kind = fit.schema["host"].dataType.simpleString()
-    path = shared_path(spark, "baseline")
-    mixed = fit.where("host is not null").select("host", "id", "x", F.xxhash64("id").alias("h"))
-    mixed.repartitionByRange("host", "h").sortWithinPartitions("host").write.parquet(path)
-    rows = spark.read.parquet(path)
-    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("h", "id"))).where(F.col("i") <= components)
-    centres: dict = {}
-    for r in first.select("host", "x").orderBy("host", "i").collect():
-        centres.setdefault(r.host, []).append(r.x)
-    centres = {host: np.array(c, float) for host, c in centres.items()}
-
-    def moments(own: dict, limits: dict | None) -> DataFrame:
-        """(host, i, part, n, total, outer) of the rows nearest to centre i, those over its limit left out; outer only
-        where there are limits. Both sums are of differences from the centre."""
-        shared = spark.sparkContext.broadcast((own, limits))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            own, limits = shared.value
-            part, host, sums = TaskContext.get().partitionId(), None, {}
-            frame = lambda: pd.DataFrame([(host, i, part, n, t, o.ravel()) for i, (n, t, o) in sums.items()], columns=["host", "i", "part", "n", "total", "outer"])
-            for batch in batches:
-                for k, g in batch.groupby("host", sort=False):
-                    if k != host:
-                        if sums:
-                            yield frame()
-                        host, sums = k, {}
-                    x, near, d = _nearest(g["x"], own[k])
-                    for i in np.unique(near):
-                        mine = near == i if limits is None else (near == i) & (d <= limits[k, i])
-                        z = x[mine] - own[k][i]
-                        n, t, o = sums.get(i, (0, 0.0, np.zeros(0)))
-                        sums[i] = (n + len(z), t + z.sum(axis=0), o if limits is None else (o if o.size else 0) + z.T @ z)
-            if sums:
-                yield frame()
-
-        return rows.select("host", "x").mapInPandas(run, f"host {kind}, i int, part int, n long, total array<double>, outer array<double>")
-
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        return pd.DataFrame([(pdf["host"].iloc[0], pdf["i"].iloc[0], np.sum(pdf["total"].tolist(), axis=0) / pdf["n"].sum())], columns=["host", "i", "shift"])
-
-    for _ in range(20):
-        moved = 0.0
-        for r in moments(centres, None).groupBy("host", "i").applyInPandas(mean, f"host {kind}, i int, shift array<double>").collect():
-            centres[r.host][r.i] += r.shift
-            moved = max(moved, np.abs(r.shift).max() / (np.abs(centres[r.host]).max() or 1.0))
-        if moved < 1e-12:
-            break
-    limits = _nearest_share(rows, centres, 1 - trim, kind)
-
-    def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        host, i, n = pdf["host"].iloc[0], pdf["i"].iloc[0], pdf["n"].sum()
-        shift = np.sum(pdf["total"].tolist(), axis=0) / n
-        cov = np.sum(pdf["outer"].tolist(), axis=0).reshape(len(shift), -1) / n - np.outer(shift, shift)
-        shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-6 * np.eye(len(shift))
-        return pd.DataFrame([(host, known.value[host][i] + shift, np.linalg.inv(shrunk).ravel())], columns=["host", "centre", "inverse"])
-
-    known = spark.sparkContext.broadcast(centres)
-    models = moments(centres, limits).groupBy("host", "i").applyInPandas(model, f"host {kind}, centre array<double>, inverse array<double>")
+    schema = f"host {kind}, id {score.schema['id'].dataType.simpleString()}, distance double"
+
+    def stored(df: DataFrame, tag: str) -> DataFrame:
+        path = shared_path(spark, tag)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    known = fit.where("host is not null and x is not null").select("host", "id", F.col("x").cast("array<double>").alias("x"), F.xxhash64("id").alias("h"))
+    per = stored(known.groupBy("host").agg(F.ceil(F.count("*") / piece_rows).alias("pieces"), F.first(F.size("x")).alias("dims")), "baseline-hosts")
+    some = per.first()
+    if some is None:
+        return spark.createDataFrame([], schema)
+    dims, name = some.dims, f"baseline_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = known.join(per, "host").select("host", F.pmod("h", "pieces").alias("piece"), "h", "id", "x").repartition(buckets, "host", "piece")
+    placed.write.bucketBy(buckets, "host", "piece").sortBy("host", "piece").option("path", shared_path(spark, "baseline")).saveAsTable(name)
+    try:
+        rows = spark.table(name)
+        first = rows.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("h", "id"))).where(F.col("i") <= components)
+        seeds = first.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+        # hosts of fewer rows than components get centres that nothing is near to
+        far = F.array_repeat(F.array_repeat(F.lit(float("inf")), dims), components)
+        centres = stored(seeds.select("host", F.slice(F.concat("c", far), 1, components).alias("c")), "baseline-centres")
+        for _ in range(20):
+            centres = stored(_moved(centres, _beside(rows, centres, per).mapInArrow(_sums(components, dims), f"host {kind}, i int, n long, total array<double>"), dims), "baseline-centres")
+            if centres.agg(F.max("moved")).first()[0] < 1e-12:
+                break
+        far_off = stored(_beside(rows, centres, per).mapInArrow(_near_rows(components, dims), f"host {kind}, i int, d double"), "baseline-distances")
+        needed = far_off.groupBy("host", "i").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * (1 - trim))).alias("need"))
+        ranked = ordered.running_total(far_off, F.lit(1), ["d"], by=["host", "i"], name="rank").join(needed, ["host", "i"]).where("rank = need")
+        limits = ranked.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("limit"))
+        bounded = centres.join(limits, "host").join(score.select("host").distinct(), "host", "left_semi")
+        bounded = bounded.select("host", "c", F.transform("c", lambda c, i: F.coalesce(F.element_at("limit", i), F.lit(-1.0))).alias("limits"))
+        partial = _beside(rows, bounded, per).mapInPandas(_outer(components, dims), f"host {kind}, i int, centre array<double>, n long, total array<double>, outer array<double>")
+        models = stored(partial.groupBy("host", "i").applyInPandas(_model, f"host {kind}, centre array<double>, inverse array<double>"), "baseline-models")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def distances(own: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(models):
-            return pd.DataFrame({"host": [], "id": [], "distance": []})
+            return own[["host", "id"]].iloc[:0].assign(distance=0.0)
         x = np.array(own["x"].tolist(), float)
         least = np.full(len(x), np.inf)
         for centre, inverse in models[["centre", "inverse"]].itertuples(index=False):
@@ -163,45 +144,102 @@ def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim
     pieces = score.groupBy("host").agg(F.ceil(F.count("*") / 20_000).alias("pieces"))
     left = score.join(pieces, "host").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces"))
     right = models.join(pieces, "host").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    schema = f"host {kind}, id {score.schema['id'].dataType.simpleString()}, distance double"
     return left.select("host", "id", "x", "piece").groupBy("host", "piece").cogroup(right.select("host", "piece", "centre", "inverse").groupBy("host", "piece")).applyInPandas(distances, schema)
 
 
-def _nearest(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as a matrix, which centre each is nearest to, and the square of that distance."""
-    x = np.array(vectors.tolist(), float)
-    d = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
-    return x, d.argmin(axis=1), d.min(axis=1)
+def _beside(rows: DataFrame, centres: DataFrame, per: DataFrame) -> DataFrame:
+    """Rows with their host's centres, which go to each of the host's pieces."""
+    pieces = centres.join(per.select("host", "pieces"), "host").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    return rows.join(pieces.drop("pieces"), ["host", "piece"])
 
 
-def _nearest_share(rows: DataFrame, centres: dict, share: float, kind: str) -> dict:
-    """For each (host, component) the squared distance within which the given share of its rows lies, exactly.
+def _moved(centres: DataFrame, sums: DataFrame, dims: int) -> DataFrame:
+    """(host, c, moved): the centres at the means of the rows nearest to them, and the largest move, relative."""
+    added = sums.groupBy("host", "i").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(j))) for j in range(dims)]).alias("total"))
+    shift = added.select("host", "i", F.transform("total", lambda t: t / F.col("n")).alias("shift"))
+    moves = shift.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("i", "shift"))).alias("moves"))
+    widest = lambda x: F.array_max(F.transform(x, lambda v: F.abs(v)))
+    own = centres.select("host", "c").join(moves, "host")
+    own = own.withColumn("c", F.transform("c", lambda c, i: F.coalesce(F.zip_with(c, F.element_at("moves", i), lambda a, b: a + b), c)))
+    reach = F.array_max(F.transform(F.filter(F.flatten("c"), lambda v: v < float("inf")), lambda v: F.abs(v)))
+    return own.select("host", "c", (F.array_max(F.transform(F.map_values("moves"), widest)) / F.when(reach > 0, reach).otherwise(1.0)).alias("moved"))
 
-    It is found from the top 16 bits down: each pass counts the rows by the next 16 bits of their distance.
-    """
-    sc = rows.sparkSession.sparkContext
-    found: dict = {}  # (host, component): bits so far, and the rank among the rows that share them
-    for shift in (48, 32, 16, 0):
-        shared = sc.broadcast((centres, found))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, shift=shift) -> Iterator[pd.DataFrame]:
-            centres, found = shared.value
-            for batch in batches:
-                for host, g in batch.groupby("host", sort=False):
-                    _, near, d = _nearest(g["x"], centres[host])
-                    bits = d.view(np.uint64)
-                    for i in np.unique(near):
-                        own, need = bits[near == i], None
-                        if found:
-                            prefix, need = found[host, i]
-                            own = own[own >> np.uint64(shift + 16) == np.uint64(prefix)]
-                        digit, n = np.unique((own >> np.uint64(shift)) & np.uint64(0xFFFF), return_counts=True)
-                        yield pd.DataFrame({"host": host, "i": i, "digit": digit.astype(int), "n": n, "need": pd.array([need] * len(n), "Int64")})
-
-        counts = rows.select("host", "x").mapInPandas(run, f"host {kind}, i int, digit int, n long, need long").groupBy("host", "i", "digit").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-        w = Window.partitionBy("host", "i")
-        ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("digit")), "all": F.sum("n").over(w)})
-        need = F.coalesce("need", F.greatest(F.lit(1), F.ceil(F.col("all") * share)))
-        hit = ranked.withColumn("need", need).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-        found = {(r.host, r.i): ((found[r.host, r.i][0] if found else 0) << 16 | r.digit, r.need - (r.upto - r.n)) for r in hit.collect()}
-    return {k: float(np.uint64(bits).view(np.float64)) for k, (bits, _) in found.items()}
+
+def _nearest(batch: pa.RecordBatch, components: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows as differences from the centre that each is nearest to, which one that is, and the square of the distance."""
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    c = batch.column("c").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, components, dims)
+    d = np.stack([((x - c[:, i]) ** 2).sum(axis=1) for i in range(components)], axis=1)
+    near = d.argmin(axis=1)
+    every = np.arange(len(x))
+    return x - c[every, near], near, d[every, near]
+
+
+def _sums(components: int, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(host, i, n, total): in each batch, the differences from centre i added up over the rows that are nearest to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z, near, _ = _nearest(batch, components, dims)
+            key = batch.column("host").dictionary_encode().indices.to_numpy().astype(np.int64) * components + near
+            order = np.argsort(key, kind="stable")
+            _, start, n = np.unique(key[order], return_index=True, return_counts=True)
+            total = np.add.reduceat(z[order], start)
+            totals = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * dims, pa.int32()), pa.array(total.ravel()))
+            head = order[start]
+            columns = [batch.column("host").take(pa.array(head)), pa.array(near[head], pa.int32()), pa.array(n, pa.int64()), totals]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "i", "n", "total"])
+
+    return run
+
+
+def _near_rows(components: int, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(host, i, d): of each row, the centre that it is nearest to and the square of the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, near, d = _nearest(batch, components, dims)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(near, pa.int32()), pa.array(d)], names=["host", "i", "d"])
+
+    return run
+
+
+def _outer(components: int, dims: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(host, i, centre, n, total, outer): sums and outer products of the differences within a centre's limit. A task adds
+    up a host's as long as its rows follow each other, as they do in a bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, sums = None, {}
+
+        def ready() -> pd.DataFrame:
+            return pd.DataFrame([(host, i, c, n, t, o.ravel()) for i, (c, n, t, o) in sums.items()], columns=["host", "i", "centre", "n", "total", "outer"])
+
+        for batch in batches:
+            for k, g in batch.groupby("host", sort=False):
+                if k != host:
+                    if sums:
+                        yield ready()
+                    host, sums = k, {}
+                c, limits = np.array([list(v) for v in g["c"].iloc[0]], float), g["limits"].iloc[0]
+                x = np.array(g["x"].tolist(), float)
+                d = np.stack([((x - v) ** 2).sum(axis=1) for v in c], axis=1)
+                near, least = d.argmin(axis=1), d.min(axis=1)
+                for i in np.unique(near):
+                    z = x[(near == i) & (least <= limits[i])] - c[i]
+                    _, n, t, o = sums.get(i, (None, 0, np.zeros(dims), np.zeros((dims, dims))))
+                    sums[i] = (c[i], n + len(z), t + z.sum(axis=0), o + z.T @ z)
+        if sums:
+            yield ready()
+
+    return run
+
+
+def _model(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mean and the inverse of the shrunk covariance, from one row of sums a task."""
+    n = pdf["n"].sum()
+    shift = np.sum(pdf["total"].tolist(), axis=0) / n
+    cov = np.sum(pdf["outer"].tolist(), axis=0).reshape(len(shift), -1) / n - np.outer(shift, shift)
+    shrunk = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-6 * np.eye(len(shift))
+    return pd.DataFrame([(pdf["host"].iloc[0], pdf["centre"].iloc[0] + shift, np.linalg.inv(shrunk).ravel())], columns=["host", "centre", "inverse"])

@@ -1,5 +1,7 @@
 """Baselines of hosts against a version in numpy."""
 
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,33 @@ def test_baseline_is_fitted_on_all_rows_of_a_hot_host(spark):
         assert [got[h, i] for i in range(200)] == pytest.approx(want.tolist(), rel=1e-6)
 
 
+def test_baselines_of_a_hundred_thousand_hosts(spark):
+    """Six rows a host; what the driver gets does not grow with the hosts."""
+    x = F.array(*[F.randn(seed) + F.when(F.col("id") % 2 == 0, 0.0).otherwise(40.0) for seed in (1, 2)])
+    fit = spark.range(0, 600_000, numPartitions=8).select(F.expr("id div 6").alias("host"), "id", x.alias("x"))
+    fit.write.mode("overwrite").parquet(path := f"{tempfile.mkdtemp()}/fit")
+    fit = spark.read.parquet(path)
+    score = fit.where("host % 1000 = 7").withColumn("x", F.transform("x", lambda v: v + 0.5))
+    got = {(r.host, r.id): r.distance for r in embeddings.host_baseline(fit, score, components=2).collect()}
+    assert len(got) == 600
+    own = {}
+    for r in fit.where("host % 1000 = 7").select("host", "id", "x", F.xxhash64("id").alias("h")).orderBy("host", "h").collect():
+        own.setdefault(r.host, []).append((r.id, r.x))
+    for host, rows in own.items():
+        m = np.array([v for _, v in rows])
+        want = reference(m, m[:2], m + 0.5)
+        assert [got[host, i] for i, _ in rows] == pytest.approx(want.tolist(), rel=1e-6)
+
+
+def test_baseline_of_odd_hosts(spark):
+    rows = [("one", 1, [1.0, 2.0]), (None, 2, [1.0, 2.0]), ("two", 3, [0.0, 0.0]), ("two", 4, [0.0, 0.0]), ("two", 5, None)]
+    fit = spark.createDataFrame(rows, "host string, id long, x array<double>")
+    score = spark.createDataFrame([("one", 1, [1.0, 2.0]), ("two", 3, [0.0, 1.0]), ("new", 9, [0.0, 1.0])], "host string, id long, x array<double>")
+    got = {r.host: r.distance for r in embeddings.host_baseline(fit, score).collect()}
+    assert got == {"one": pytest.approx(0.0, abs=1e-9), "two": pytest.approx(1000.0)}
+    assert embeddings.host_baseline(fit.limit(0), score).collect() == []
+
+
 def test_ml5_sees_every_dimension(spark, tmp_path):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(800, 64))
