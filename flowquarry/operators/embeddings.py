@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
@@ -97,7 +97,7 @@ def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim
     def stored(df: DataFrame, tag: str) -> DataFrame:
         path = shared_path(spark, tag)
         df.write.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     known = fit.where("host is not null and x is not null").select("host", "id", F.col("x").cast("array<double>").alias("x"), F.xxhash64("id").alias("h"))
     per = stored(known.groupBy("host").agg(F.ceil(F.count("*") / piece_rows).alias("pieces"), F.first(F.size("x")).alias("dims")), "baseline-hosts")
@@ -114,18 +114,20 @@ def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim
         seeds = first.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
         # hosts of fewer rows than components get centres that nothing is near to
         far = F.array_repeat(F.array_repeat(F.lit(float("inf")), dims), components)
-        centres = stored(seeds.select("host", F.slice(F.concat("c", far), 1, components).alias("c")), "baseline-centres")
+        centres = stored(seeds.join(per, "host").select("host", "pieces", F.slice(F.concat("c", far), 1, components).alias("c")), "baseline-centres")
         for _ in range(20):
-            centres = stored(_moved(centres, _beside(rows, centres, per).mapInArrow(_sums(components, dims), f"host {kind}, i int, n long, total array<double>"), dims), "baseline-centres")
-            if centres.agg(F.max("moved")).first()[0] < 1e-12:
+            seen = Observation()
+            sums = _beside(rows, centres).mapInArrow(_sums(components, dims), f"host {kind}, i int, n long, total array<double>")
+            centres = stored(_moved(centres, sums, dims).observe(seen, F.max("moved").alias("moved")).drop("moved"), "baseline-centres")
+            if seen.get["moved"] < 1e-12:
                 break
-        far_off = stored(_beside(rows, centres, per).mapInArrow(_near_rows(components, dims), f"host {kind}, i int, d double"), "baseline-distances")
+        far_off = stored(_beside(rows, centres).mapInArrow(_near_rows(components, dims), f"host {kind}, i int, d double"), "baseline-distances")
         needed = far_off.groupBy("host", "i").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * (1 - trim))).alias("need"))
         ranked = ordered.running_total(far_off, F.lit(1), ["d"], by=["host", "i"], name="rank").join(needed, ["host", "i"]).where("rank = need")
         limits = ranked.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("limit"))
         bounded = centres.join(limits, "host").join(score.select("host").distinct(), "host", "left_semi")
-        bounded = bounded.select("host", "c", F.transform("c", lambda c, i: F.coalesce(F.element_at("limit", i), F.lit(-1.0))).alias("limits"))
-        partial = _beside(rows, bounded, per).mapInPandas(_outer(components, dims), f"host {kind}, i int, centre array<double>, n long, total array<double>, outer array<double>")
+        bounded = bounded.select("host", "pieces", "c", F.transform("c", lambda c, i: F.coalesce(F.element_at("limit", i), F.lit(-1.0))).alias("limits"))
+        partial = _beside(rows, bounded).mapInPandas(_outer(components, dims), f"host {kind}, i int, centre array<double>, n long, total array<double>, outer array<double>")
         models = stored(partial.groupBy("host", "i").applyInPandas(_model, f"host {kind}, centre array<double>, inverse array<double>"), "baseline-models")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -147,22 +149,22 @@ def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim
     return left.select("host", "id", "x", "piece").groupBy("host", "piece").cogroup(right.select("host", "piece", "centre", "inverse").groupBy("host", "piece")).applyInPandas(distances, schema)
 
 
-def _beside(rows: DataFrame, centres: DataFrame, per: DataFrame) -> DataFrame:
+def _beside(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """Rows with their host's centres, which go to each of the host's pieces."""
-    pieces = centres.join(per.select("host", "pieces"), "host").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    pieces = centres.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     return rows.join(pieces.drop("pieces"), ["host", "piece"])
 
 
 def _moved(centres: DataFrame, sums: DataFrame, dims: int) -> DataFrame:
-    """(host, c, moved): the centres at the means of the rows nearest to them, and the largest move, relative."""
+    """(host, pieces, c, moved): the centres at the means of the rows nearest to them, and the largest move, relative."""
     added = sums.groupBy("host", "i").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(j))) for j in range(dims)]).alias("total"))
     shift = added.select("host", "i", F.transform("total", lambda t: t / F.col("n")).alias("shift"))
     moves = shift.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("i", "shift"))).alias("moves"))
     widest = lambda x: F.array_max(F.transform(x, lambda v: F.abs(v)))
-    own = centres.select("host", "c").join(moves, "host")
+    own = centres.join(moves, "host")
     own = own.withColumn("c", F.transform("c", lambda c, i: F.coalesce(F.zip_with(c, F.element_at("moves", i), lambda a, b: a + b), c)))
     reach = F.array_max(F.transform(F.filter(F.flatten("c"), lambda v: v < float("inf")), lambda v: F.abs(v)))
-    return own.select("host", "c", (F.array_max(F.transform(F.map_values("moves"), widest)) / F.when(reach > 0, reach).otherwise(1.0)).alias("moved"))
+    return own.select("host", "pieces", "c", (F.array_max(F.transform(F.map_values("moves"), widest)) / F.when(reach > 0, reach).otherwise(1.0)).alias("moved"))
 
 
 def _nearest(batch: pa.RecordBatch, components: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..functions.sketch import Quantiles
 from ..operators.behaviour import LIFECYCLE, next_state
 from ..operators.sessions import FLOW_SCHEMA, PACKET, FlowTable, with_flow_key
 
@@ -154,17 +155,22 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
-def stream_cooldown(sdf: DataFrame, keys: list[str], *, seconds: float, delay: str = "10 seconds") -> DataFrame:
+def stream_cooldown(sdf: DataFrame, keys: list[str], *, seconds: float, delay: str = "10 seconds", close_after: float | None = None) -> DataFrame:
     """Alerts let through: a key's first, then the first at least seconds after the last one; with how many were held.
 
     State goes once the seconds have passed, but for a key with held alerts, which the next one let through tells of.
+    With ``close_after``, a row without an id tells of them once so many seconds (at least ``seconds``) have passed since
+    the last alert let through, and their state goes too.
     """
+    kept = seconds if close_after is None else max(close_after, seconds)
     schema = sdf.select(*keys).schema.add("ts", "double").add("id", "long").add("held", "long")
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
-            if not held:
+            if held and close_after is not None:
+                yield pd.DataFrame([(*key, last + kept, None, held)], columns=[f.name for f in schema])
+            if not held or close_after is not None:
                 state.remove()
             return
         out = []
@@ -175,50 +181,71 @@ def stream_cooldown(sdf: DataFrame, keys: list[str], *, seconds: float, delay: s
                 out.append((*key, ts, int(i), held))
                 last, held = ts, 0
         state.update((float(last), int(held)))
-        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((last + (kept if held else seconds)) * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
     return sdf.withWatermark("time", delay).groupBy(*keys).applyInPandasWithState(run, schema, "last double, held long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_calibrate(sdf: DataFrame, *, trained: float, device_hours: int = 24, hours_of_day: int = 6, delay: str = "10 minutes") -> DataFrame:
+def stream_calibrate(
+    sdf: DataFrame, *, trained: float, device_hours: int = 24, hours_of_day: int = 6, size: int = 8192, exact: bool = False
+) -> DataFrame:
     """The threshold of each network once it has enough device-hours over enough hours of day: the 99th percentile of
-    the errors until then, at least the trained one; no threshold before."""
+    the errors until then, at least the trained one; no threshold before.
+
+    State holds a sketch of the errors (sketch.Quantiles), exact up to ``size`` of them, whose rank error and size grow
+    with the logarithm of their number; ``exact`` keeps all. Device-hours are kept one by one until the threshold is out.
+    """
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, cells, done = state.get if state.exists else ([], [], False)
+        held, cells, done = state.get if state.exists else ([], [], False)
         cells = set(cells)
-        if not done:
-            parts = [np.asarray(errors, float)]  # all errors until then: an exact percentile needs them
-            for batch in batches:
-                parts.append(batch["error"].to_numpy(float, copy=True))
-                cells.update(f"{host}|{int(hour)}" for host, hour in batch[["host", "hour"]].drop_duplicates().itertuples(index=False))
-            errors = np.concatenate(parts)
-            if len(cells) >= device_hours and len({int(c.rsplit("|", 1)[1]) % 24 for c in cells}) >= hours_of_day:
-                done = True
-                yield pd.DataFrame([(key[0], max(float(pd.Series(errors).quantile(0.99)), trained), len(cells))], columns=["network", "threshold", "device_hours"])
-                errors, cells = [], set()
-        state.update((np.asarray(errors, float).tolist(), sorted(cells), done))
+        if done:
+            return
+        errors = Quantiles(np.iinfo(np.int64).max if exact else size, held)
+        for batch in batches:
+            errors.add(batch["error"].to_numpy(float))
+            cells.update(f"{host}|{int(hour)}" for host, hour in batch[["host", "hour"]].drop_duplicates().itertuples(index=False))
+        if len(cells) >= device_hours and len({int(c.rsplit("|", 1)[1]) % 24 for c in cells}) >= hours_of_day:
+            own = errors.at(0.99)
+            yield pd.DataFrame([(key[0], trained if math.isnan(own) else max(own, trained), len(cells))], columns=["network", "threshold", "device_hours"])
+            state.update(([], [], True))
+        else:
+            state.update((errors.state(), sorted(cells), False))
 
     return sdf.groupBy("network").applyInPandasWithState(
-        run, "network string, threshold double, device_hours int", "errors array<double>, cells array<string>, done boolean", "append", GroupStateTimeout.NoTimeout,
+        run, "network string, threshold double, device_hours int", "errors array<array<double>>, cells array<string>, done boolean", "append", GroupStateTimeout.NoTimeout,
     )
 
 
-def stream_lifecycle(sdf: DataFrame) -> DataFrame:
-    """A host's state after each command; the state is its name."""
+def stream_lifecycle(sdf: DataFrame, *, live: float | None = None, delay: str = "10 minutes") -> DataFrame:
+    """A host's state after each command; what is kept of a host is its state and the time of its last command.
+
+    With ``live``, a host without a command for more than these seconds starts anew, and nothing is kept of it once the
+    watermark has passed them; without, hosts are kept for ever.
+    """
 
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (s,) = state.get if state.exists else (LIFECYCLE[0],)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s, last = state.get if state.exists else (LIFECYCLE[0], None)
         out = []
-        for seq, command, ready in sorted(x for batch in batches for x in batch[["seq", "command", "ready"]].itertuples(index=False, name=None)):
-            s = next_state(s, command, ready)
+        for seq, command, ready, at in sorted(x for batch in batches for x in batch[["seq", "command", "ready", "at"]].itertuples(index=False, name=None)):
+            if live is not None and last is not None and at - last > live:
+                s = LIFECYCLE[0]
+            s, last = next_state(s, command, ready), at
             out.append((int(key[0]), int(seq), s))
-        state.update((s,))
+        state.update((s, float(last)))
+        if live is not None:
+            state.setTimeoutTimestamp(max(_milliseconds(last + live) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["host", "seq", "state"])
 
-    return sdf.groupBy("host").applyInPandasWithState(run, "host long, seq long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+    timed = sdf.withColumn("at", F.unix_micros("time") / 1e6)
+    timed = timed.withWatermark("time", delay) if live is not None else timed
+    timeout = GroupStateTimeout.EventTimeTimeout if live is not None else GroupStateTimeout.NoTimeout
+    return timed.groupBy("host").applyInPandasWithState(run, "host long, seq long, state string", "state string, last double", "append", timeout)
 
 
 def rows_held(query: StreamingQuery) -> int:
