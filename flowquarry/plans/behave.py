@@ -122,6 +122,52 @@ def ag20_capture_audit(spark, sf_dir):
     return a.select("file", "packets", *[F.round(c, 6).alias(c) for c in ("tls_share", "udp_share", "silent_share")], "hosts")
 
 
+def _audited(spark, sf_dir):
+    """Packets and DNS messages of five files; some of the web's are QUIC, and some hellos have no readable name."""
+    k, p, kind = F.col("k"), F.col("page_id"), F.col("event_type")
+    packets = flows(spark, sf_dir).select(
+        F.concat(F.lit("f"), k % 5).alias("file"), "dst", "sport", F.when((kind == "view") & (k % 2 == 0), 443).otherwise(F.col("dport")).alias("dport"), "proto",
+        (kind == "purchase").alias("hello"), F.when((kind == "purchase") & (k % 4 != 0), F.concat(F.lit("h"), k, F.lit(".example.com"))).alias("sni"),
+    )
+    first = F.when(p % 9 == 0, "doh.").when(p % 4 == 1, "github.").when(p % 4 == 2, "zoom.us.").otherwise("")
+    messages = dns(spark, sf_dir).select(
+        F.concat(F.lit("f"), p % 5).alias("file"), "ts", F.concat(first, "name").alias("name"), F.when(F.col("rcode") == 0, F.concat(F.lit("203.0.113."), p % 250)).alias("answer")
+    )
+    return packets, messages
+
+
+AUDITED = """p AS (SELECT 'f' || (k % 5) AS file, dst, proto, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 443 ELSE dport END AS dport, event_type = 'purchase' AS hello,
+  CASE WHEN event_type = 'purchase' AND k % 4 <> 0 THEN 'h' || k || '.example.com' END AS sni FROM flows),
+m AS (SELECT page_id, 'f' || (page_id % 5) AS file, CASE WHEN page_id % 9 = 0 THEN 'doh.' WHEN page_id % 4 = 1 THEN 'github.' WHEN page_id % 4 = 2 THEN 'zoom.us.' ELSE '' END || name AS name,
+  CASE WHEN rcode = 0 THEN '203.0.113.' || (page_id % 250) END AS answer FROM dns),
+w AS (SELECT answer AS dst, max_by(name, page_id) AS name FROM m WHERE answer IS NOT NULL GROUP BY 1),
+o AS (SELECT file, name FROM p LEFT JOIN w USING (dst) WHERE dst LIKE '203.%')"""
+
+
+@query(
+    f"WITH {AUDITED}, a AS (SELECT file, count(*) AS packets, count(*) FILTER (WHERE proto = 6 AND dport = 443) AS tcp443, count(*) FILTER (WHERE proto = 17 AND dport = 443) AS quic, "
+    "count(*) FILTER (WHERE hello) AS hellos, count(sni) AS sni FROM p GROUP BY 1), b AS (SELECT file, count(*) AS queries, count(*) FILTER (WHERE name LIKE 'doh.%') AS doh FROM m GROUP BY 1), "
+    "c AS (SELECT file, count(*) AS outside, count(name) AS named FROM o GROUP BY 1) SELECT *, round(coalesce(sni / nullif(hellos, 0), 0), 6) AS sni_share, "
+    "round(coalesce(quic / nullif(quic + tcp443, 0), 0), 6) AS quic_share, round(coalesce(doh / nullif(queries, 0), 0), 6) AS doh_share, round(coalesce(named / nullif(outside, 0), 0), 6) AS named_share "
+    "FROM a JOIN b USING (file) JOIN c USING (file)"
+)
+def ag20_packet_audit(spark, sf_dir):
+    from ..operators.capture import packet_audit
+
+    a = packet_audit(*_audited(spark, sf_dir))
+    return a.withColumns({c: F.round(c, 6) for c in ("sni_share", "quic_share", "doh_share", "named_share")})
+
+
+@query(
+    f"WITH {AUDITED}, c AS (SELECT file, CASE WHEN name LIKE 'github.%' THEN 'Code_Repo_Paste' WHEN name LIKE 'zoom.us.%' THEN 'Messaging_API' WHEN name IS NOT NULL THEN 'Browse' "
+    "ELSE 'Unknown_External' END AS category, count(*)::BIGINT AS packets FROM o GROUP BY ALL) SELECT *, round(packets / sum(packets) OVER (PARTITION BY file), 6) AS share FROM c"
+)
+def ag20_category_histogram(spark, sf_dir):
+    from ..operators.capture import category_histogram
+
+    return category_histogram(*_audited(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
 @query(
     "WITH m AS (SELECT k % 10 AS mac, count(*) AS n, count(DISTINCT src) AS sources FROM flows GROUP BY 1), c AS (SELECT * FROM m WHERE n >= 0.01 * (SELECT sum(n) "
     "FROM m) ORDER BY sources, mac LIMIT 1) SELECT mac, n, sources FROM c"

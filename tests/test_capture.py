@@ -110,3 +110,31 @@ def test_a_given_model(spark):
         z = np.array([a or 0.0, b or 0.0]) @ np.array(weights) + bias
         p = np.exp(z) / np.exp(z).sum()
         assert got[i] == pytest.approx(p.tolist() if a or b else [1.0, 0.0, 0.0], abs=1e-5)
+
+
+def test_audit_of_names_in_odd_captures(spark):
+    """Answers are learned over all files, the last one counts; nulls, files without packets and without messages have rows."""
+    from flowquarry.operators.capture import category_histogram, packet_audit
+
+    packets = spark.createDataFrame(
+        [
+            ("a", "8.8.8.8", 5000, 443, 17, None, None), ("a", "10.0.0.1", 443, 5000, 17, None, None), ("a", "2001:db8::1", 1, 443, 6, True, "x.dns.google"),
+            ("a", "1.2.3.4", 1, 443, 6, True, None), ("a", None, None, None, None, None, None), ("b", "8.8.8.8", 1, 53, 17, False, None), ("d", "10.0.0.2", 1, 80, 6, False, None),
+        ],
+        "file string, dst string, sport int, dport int, proto int, hello boolean, sni string",
+    )
+    messages = spark.createDataFrame(
+        [("b", 1.0, "old.example", "8.8.8.8"), ("c", 9.0, "GitHub.com", "8.8.8.8"), ("c", 2.0, "DoH.example", None), ("c", 3.0, None, None), ("b", 4.0, "plain.example", "2001:db8::1")],
+        "file string, ts double, name string, answer string",
+    )
+    got = {r.file: r.asDict() for r in packet_audit(packets, messages).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    a = got["a"]
+    assert (a["packets"], a["tcp443"], a["quic"], a["hellos"], a["sni"], a["outside"], a["named"], a["doh"]) == (5, 2, 2, 2, 1, 3, 2, 1)
+    assert (a["sni_share"], a["quic_share"], a["doh_share"], a["named_share"]) == (0.5, 0.5, 0.0, pytest.approx(2 / 3))
+    assert (got["c"]["packets"], got["c"]["queries"], got["c"]["doh"]) == (0, 3, 1) and got["c"]["doh_share"] == pytest.approx(1 / 3)
+    assert (got["d"]["outside"], got["d"]["named_share"], got["b"]["named_share"]) == (0, 0.0, 1.0)
+    shares = {(r.file, r.category): (r.packets, r.share) for r in category_histogram(packets, messages).collect()}
+    third = pytest.approx(1 / 3)
+    assert shares == {("a", "Code_Repo_Paste"): (1, third), ("a", "Browse"): (1, third), ("a", "Unknown_External"): (1, third), ("b", "Code_Repo_Paste"): (1, 1.0)}
+    assert packet_audit(packets.limit(0), messages.limit(0)).collect() == [] == category_histogram(packets.limit(0), messages.limit(0)).collect()
