@@ -61,15 +61,15 @@ def prj4_is_local(spark, sf_dir):
 
 
 @query(
-    r"""WITH a AS (SELECT event_id, dst AS ip FROM flows WHERE dst LIKE '192.168.%'), n AS (SELECT * FROM (VALUES ('192.168.10.0', 29), ('192.168.10.8', 30), ('192.168.10.16', 28)) t(net, bits)),
+    r"""WITH a AS (SELECT event_id, dst AS ip FROM flows), n AS (SELECT * FROM (VALUES ('192.168.10.0', 29), ('192.168.10.8', 30), ('192.168.10.16', 28), ('203.0.113.0', 30)) t(net, bits)),
     b AS (SELECT event_id, ip, split_part(ip, '.', 4)::INT AS last FROM a)
-    SELECT event_id, ip, net, last = split_part(net, '.', 4)::INT + (1 << (32 - bits)) - 1 AS is_broadcast FROM b JOIN n ON last BETWEEN split_part(net, '.', 4)::INT AND split_part(net, '.', 4)::INT + (1 << (32 - bits)) - 1"""
+    SELECT event_id, ip, net, last = split_part(net, '.', 4)::INT + (1 << (32 - bits)) - 1 AS is_broadcast FROM b JOIN n ON regexp_replace(ip, '\d+$', '') = regexp_replace(net, '\d+$', '') AND last BETWEEN split_part(net, '.', 4)::INT AND split_part(net, '.', 4)::INT + (1 << (32 - bits)) - 1"""
 )
 def prj5_in_subnets(spark, sf_dir):
     from ..operators.enrich import in_subnets
 
-    nets = spark.createDataFrame([("192.168.10.0", 29), ("192.168.10.8", 30), ("192.168.10.16", 28)], "net string, bits int")
-    ips = flows(spark, sf_dir).where("dst like '192.168.%'").select("event_id", F.col("dst").alias("ip"))
+    nets = spark.createDataFrame([("192.168.10.0", 29), ("192.168.10.8", 30), ("192.168.10.16", 28), ("203.0.113.0", 30)], "net string, bits int")
+    ips = flows(spark, sf_dir).select("event_id", F.col("dst").alias("ip"))
     return in_subnets(ips, nets).select("event_id", "ip", "net", "is_broadcast")
 
 
@@ -322,12 +322,12 @@ def str10_ja4(spark, sf_dir):
 
 @query(
     "SELECT event_id, 'h' || k || '.example.com' AS sni, 49195 + k AS first_cipher, 'h2' AS alpn, 4865 + k % 3 AS cipher, 772 AS negotiated, md5('771,' || (49195 "
-    "+ k) || '-4865,0-16-10-11,29-23,0') AS ja3, md5('771,' || (4865 + k % 3) || ',43-' || (60 + k)) AS ja3s FROM flows WHERE event_type = 'purchase' AND k % 5 <> "
+    "+ k) || '-4865,0-16-10-11,29-23,0') AS ja3, md5('771,' || (4865 + k % 3) || ',43-' || (60 + k)) AS ja3s FROM flows WHERE k % 5 <> "
     "0 UNION ALL "
-    "SELECT event_id, 'h' || k || '.example.com', 49195 + k, 'h2', NULL, NULL, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0'), NULL FROM flows WHERE event_type = 'purchase' AND k % 5 = 0"
+    "SELECT event_id, 'h' || k || '.example.com', 49195 + k, 'h2', NULL, NULL, md5('771,' || (49195 + k) || '-4865,0-16-10-11,29-23,0'), NULL FROM flows WHERE k % 5 = 0"
 )
 def str11_tls_hellos(spark, sf_dir):
-    """A TLS handshake for each purchase, its ClientHello in two records and two packets; some servers do not answer."""
+    """A TLS handshake for each flow, its ClientHello in two records and two packets; some servers do not answer."""
     from ..sources import capture
 
     def u(n: int, x):
@@ -344,7 +344,7 @@ def str11_tls_hellos(spark, sf_dir):
     client = F.concat(raw("01"), sized(3, raw("0303" + "11" * 32 + "00"), sized(2, u(2, 49195 + k), raw("1301")), raw("0100"), sized(2, extensions)))
     server = F.concat(raw("02"), sized(3, raw("0303" + "22" * 32 + "00"), u(2, 4865 + k % 3), raw("00"), sized(2, raw("002b00020304"), u(2, 60 + k), raw("0000"))))
     record = lambda part: F.concat(raw("160301"), sized(2, part))
-    f = flows(spark, sf_dir).where("event_type = 'purchase'").withColumns({"client": client, "server": server})
+    f = flows(spark, sf_dir).withColumns({"client": client, "server": server})
     two = F.array(
         F.struct(F.lit(0).alias("i"), F.lit("c").alias("src"), record(F.substring("client", 1, 50)).alias("payload")),
         F.struct(F.lit(1).alias("i"), F.lit("c").alias("src"), record(F.substring("client", 51, 10_000)).alias("payload")),

@@ -152,14 +152,17 @@ def src11_read_conns(spark, sf_dir):
 
 
 @query(
-    "SELECT 'host' AS what, dst AS a, NULL::INT AS b FROM (SELECT DISTINCT dst FROM flows WHERE dst LIKE '192.168.%') UNION ALL SELECT 'net', '192.168.10.0', 24 UNION "
-    "ALL SELECT DISTINCT 'port', dst, dport FROM flows WHERE dst LIKE '192.168.%' AND dport < 100"
+    r"SELECT 'host' AS what, dst AS a, NULL::INT AS b FROM (SELECT DISTINCT dst FROM flows) UNION ALL SELECT DISTINCT 'net', regexp_replace(dst, '\d+$', '0'), 24 FROM flows UNION "
+    "ALL SELECT DISTINCT 'port', dst, dport FROM flows"
 )
 def src12_load_network_info(spark, sf_dir):
-    f = flows(spark, sf_dir).where("dst like '192.168.%'")
-    ports = f.where("dport < 100").groupBy("dst").agg(F.sort_array(F.collect_set("dport")).alias("p"))
-    one = f.agg(F.sort_array(F.collect_set("dst")).alias("known_hosts")).crossJoin(ports.agg(F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("known_open_ports")))  # one row each
-    nets, hosts, opened, _ = logs.load_network_info(spark, _put(one.withColumn("internal_subnets", F.array(F.lit("192.168.10.0/24"))).coalesce(1), "json"))
+    """A file for each site, a network of 256 addresses."""
+    ports = flows(spark, sf_dir).groupBy("dst").agg(F.sort_array(F.collect_set("dport")).alias("p"))  # at most all ports
+    site = F.concat(F.substring_index("dst", ".", 3), F.lit(".0/24"))
+    per = ports.groupBy(site.alias("cidr")).agg(F.sort_array(F.collect_list("dst")).alias("known_hosts"), F.map_from_entries(F.collect_list(F.struct("dst", "p"))).alias("known_open_ports"))
+    path = corpus.shared_path(spark, "networks")
+    per.select(F.translate("cidr", "/", "-").alias("site"), F.array("cidr").alias("internal_subnets"), "known_hosts", "known_open_ports").write.partitionBy("site").json(path)
+    nets, hosts, opened, _ = logs.load_network_info(spark, path)
     none = F.lit(None).cast("int").alias("b")
     return hosts.select(F.lit("host").alias("what"), F.col("host").alias("a"), none).union(nets.select(F.lit("net"), "net", "bits")).union(opened.select(F.lit("port"), "host", "port"))
 
