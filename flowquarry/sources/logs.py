@@ -91,9 +91,8 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
 
 def read_events_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Events in JSON lines; lines that hold no object of the schema are skipped."""
-    raw = spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").json(path).cache()  # asking for bad rows alone needs the rest read
-    good = raw.where("__bad is null").drop("__bad")
-    return good.dropna(how="all")
+    parsed = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return spark.read.text(path).select(F.inline(F.array(parsed))).where("__bad is null").drop("__bad").dropna(how="all")
 
 
 def read_conns(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_sketches_bound_state_and_are_close(spark, tmp_path, kind):
         for c in ("ports", "hosts") if kind == "scan" else ("sources",):
             assert abs(found[False][at][c] - exact[c]) <= max(0, 0.06 * exact[c]), c
         assert found[False][at].n == exact.n == 65_535
+
+
+def test_lines_that_hold_no_event_are_skipped(spark, tmp_path):
+    from flowquarry.sources.logs import read_events_json
+
+    lines = ['{"a": 1, "b": "x"}', "", "not json", '{"a": "word", "b": "y"}', '{"b": null}', "[1]", "null", '{"a": 2}', '{"a": 3, "b": "z", "more": 1}']
+    (tmp_path / "events.json").write_text("\n".join(lines))
+    got = read_events_json(spark, str(tmp_path), "a long, b string")
+    assert sorted(((r.a, r.b) for r in got.collect()), key=str) == [(1, "x"), (2, None), (3, "z")]
+    assert got.select("b").where("b = 'y'").count() == 0 and not got.is_cached
+    assert read_events_json(spark, str(tmp_path), "b string").count() == 3
