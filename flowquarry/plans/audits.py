@@ -122,12 +122,16 @@ def jn12_inclusion(spark, sf_dir):
 
 
 @query(
-    f"SELECT event_id AS id, 'PASS' AS schema, CASE WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 "
-    f"THEN 'FAIL' ELSE 'PASS' END AS decision, {INCLUSION} AS inclusion, 'PASS' AS chain, 'PASS' AS sequence, "
-    f"NOT (k % 13 = 0 OR {INCLUSION} = 'FAIL' OR (k % 5 <> 0 AND (k % 7 = 0 OR k % 11 = 0))) AS holds FROM flows"
+    "WITH n AS (SELECT event_id, k, k % 23 = 0 AS gone, coalesce(lag(k) OVER (PARTITION BY k % 4 ORDER BY ts, event_id) % 23 = 0, false) AS cut FROM flows), c AS (SELECT event_id AS id, "
+    "'PASS' AS schema, CASE WHEN gone THEN 'UNVERIFIABLE' WHEN k % 13 = 0 THEN 'FAIL' ELSE 'PASS' END AS evidence, CASE WHEN k % 5 = 0 THEN 'UNVERIFIABLE' WHEN k % 7 = 0 THEN 'FAIL' ELSE 'PASS' "
+    f"END AS decision, CASE WHEN gone THEN 'UNVERIFIABLE' ELSE {INCLUSION} END AS inclusion, CASE WHEN gone THEN 'UNVERIFIABLE' WHEN cut THEN 'FAIL' ELSE 'PASS' END AS chain, "
+    "k % 11 = 0 AND k % 5 <> 0 AS drift FROM n) "
+    "SELECT * EXCLUDE (drift), chain AS sequence, NOT ('FAIL' IN (evidence, decision, inclusion, chain) OR drift) AS holds FROM c"
 )
 def au1_verify_alerts(spark, sf_dir):
+    """As sealed and changed above; some receipts are gone altogether, which breaks the chain and the numbers of the next."""
     tampered, receipts, blocks, proofs = _sealed(spark, sf_dir)
+    gone = flows(spark, sf_dir).where("k % 23 = 0").select(F.col("event_id").alias("id"))
     replayed = ops.replay_alerts(_replayable(spark, sf_dir), _known(spark))
-    v = ops.verify_alerts(tampered, receipts, blocks, replayed, evidence=["src"], seconds=86_400, proofs=proofs)
+    v = ops.verify_alerts(tampered, receipts.join(gone, "id", "left_anti"), blocks, replayed, evidence=["src"], seconds=86_400, proofs=proofs)
     return v.select("id", "schema", "evidence", "decision", "inclusion", "chain", "sequence", "holds")
