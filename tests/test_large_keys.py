@@ -38,3 +38,7 @@ def test_kinds_of_entities(spark, large_keys):
 
 def test_connections(spark, large_keys):
     check(spark, large_keys, "prj11_to_connections")
+
+
+def test_outflow(spark, large_keys):
+    check(spark, large_keys, "win10_exfil_ratio")
