@@ -8,7 +8,7 @@ from ..operators import behaviour
 from ..operators import evaluate as ev
 from ..sources import capture, capture_source, corpus, logs
 from .registry import query
-from .views import alerts, conns, dns, flows, read, seconds
+from .views import alerts, conns, dns, flows, from_wire, read, seconds, wired
 
 
 def _put(df, fmt: str, **options) -> str:
@@ -49,9 +49,9 @@ def _captures(f):
 def src1_read_captures(spark, sf_dir):
     path = corpus.shared_path(spark, "captures")
     # The text writer puts bytes out as they are; the line feed it adds to a file is a cut-off record to the reader.
-    _captures(flows(spark, sf_dir)).select("capture", F.col("content").cast("string").alias("value")).write.partitionBy("capture").text(path)
+    _captures(wired(flows(spark, sf_dir))).select("capture", F.col("content").cast("string").alias("value")).write.partitionBy("capture").text(path)
     p = capture_source.read_capture_ranges(spark, path, split_bytes=32 << 10)
-    return p.groupBy("src", "dst", "proto", "sport", "dport", (F.col("payload_size") - 0).alias("payload_size"), "l4_len").agg(F.count("*").alias("n"))
+    return p.groupBy(from_wire(F.col("src")).alias("src"), "dst", "proto", "sport", "dport", (F.col("payload_size") - 0).alias("payload_size"), "l4_len").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, name, qtype, true AS is_response, rcode, 1 AS answers, '203.0.113.' || (page_id % 250) AS answer_ip FROM dns")

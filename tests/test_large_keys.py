@@ -46,3 +46,7 @@ def test_outflow(spark, large_keys):
 
 def test_community_ids(spark, large_keys):
     check(spark, large_keys, "prj16_community_id")
+
+
+def test_captures(spark, large_keys):
+    check(spark, large_keys, "src1_read_captures")
