@@ -159,14 +159,19 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         per = rows.groupBy(c).agg(F.count("*").alias("__n"))
         per = ordered.running_total(per, F.col("__n"), [c], name="__upto")
         out = out.join(per.select(F.col(c), (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}")), c)
-    return out.agg(F.corr(f"__rank_{x}", f"__rank_{y}").alias("spearman"))
+    return out.agg(correlation(f"__rank_{x}", f"__rank_{y}").alias("spearman"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; no number where one of the two is the same in all rows, where corr() divides by zero."""
+    return F.coalesce(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)), F.lit(math.nan))
 
 
 def joint_corr(windows: DataFrame, category: str) -> DataFrame:
     """Per host, over all its hours from first to last: the correlation of a category's presence with other traffic."""
     per = windows.groupBy("host", "lhour").agg(F.max((F.col("cat") == category).cast("int")).alias("own"), F.max((F.col("cat") != category).cast("int")).alias("rest"))
     spine = per.groupBy("host").agg(F.min("lhour").alias("lo"), F.max("lhour").alias("hi")).select("host", F.explode(F.sequence("lo", "hi")).alias("lhour"))
-    return spine.join(per, ["host", "lhour"], "left").fillna(0, ["own", "rest"]).groupBy("host").agg(F.corr("own", "rest").alias("corr"), F.count("*").alias("hours"))
+    return spine.join(per, ["host", "lhour"], "left").fillna(0, ["own", "rest"]).groupBy("host").agg(correlation("own", "rest").alias("corr"), F.count("*").alias("hours"))
 
 
 def heldout_report(scores: DataFrame, *, cut: float) -> DataFrame:

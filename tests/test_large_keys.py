@@ -50,3 +50,11 @@ def test_community_ids(spark, large_keys):
 
 def test_captures(spark, large_keys):
     check(spark, large_keys, "src1_read_captures")
+
+
+def test_correlation_of_what_never_changes_is_no_number(spark):
+    from flowquarry.operators import evaluate as ev
+
+    rows = [("a", h, "click") for h in (1, 2)] + [("b", h, c) for h, c in enumerate(["click", "other", "click", "other"])]
+    got = {r.host: (r.corr, r.hours) for r in ev.joint_corr(spark.createDataFrame(rows, "host string, lhour long, cat string"), "click").collect()}
+    assert got["a"][0] != got["a"][0] and got["a"][1] == 2 and got["b"] == (pytest.approx(-1.0), 4)
