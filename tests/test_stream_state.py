@@ -66,3 +66,14 @@ def test_held_alerts_are_told_of_when_their_key_is_closed(spark):
     got, runs = _run(df, lambda s: jobs.stream_cooldown(s, ["src"], seconds=10.0, close_after=60.0))
     assert sorted((r.src, r.id is None, r.held) for r in got.collect()) == [("a", False, 0), ("a", True, 2), ("b", False, 0), ("b", False, 0), ("b", False, 0)]
     assert jobs.rows_held(runs[-1]) <= 1
+
+
+def test_sources_of_a_flood_are_counted_exactly(spark):
+    rows = spark.range(0, 9000).select((1e6 + F.col("id") / 10).alias("ts"), F.lit("d").alias("dst"), F.concat(F.lit("s"), F.col("id") % 4001).alias("src"), F.lit(17).alias("proto"), F.lit(2).cast("long").alias("fwd_bytes"))
+    got = _run(rows, lambda s: jobs.stream_flood_windows(s, window="10 minutes", slide="5 minutes", exact=True))[0]
+    want = rows.groupBy(F.window(F.timestamp_seconds("ts"), "10 minutes", "5 minutes")).agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.sum("fwd_bytes").alias("bytes"))
+    want = {r.window.start: (r.n, r.sources, r.bytes, 1.0) for r in want.collect() if r.window.end.timestamp() <= 1e6 + 899.9 - 5}
+    assert len(want) > 1 and {r.window.start: (r.n, r.sources, r.bytes, r.udp_share) for r in got.collect()} == want
+    from flowquarry.plans import streams
+
+    assert "exact=True" in __import__("inspect").getsource(streams.stm3_stream_flood_windows)
