@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+
 
 def hash_unit(*cols: Column | str, seed: int) -> Column:
     """A number in [0, 1) from the columns and a seed, the same in every run."""
@@ -86,12 +88,16 @@ def rank_of(rows: DataFrame, *, scores: list[str], positive: str = "attack") ->
 
 
 def thin_to_density(rows: DataFrame, *, target: float, hours: int = 24, seed: int = 7) -> DataFrame:
-    """Rows of hosts with an attack, and of other hosts as many rows, in hashed order, as the target density allows."""
-    w = Window.partitionBy("host")
-    attacked = F.max(F.col("attack").cast("int")).over(w) == 1
-    allowed = F.ceil(F.lit(target) * hours * F.size(F.collect_set("day").over(w)))
-    i = F.row_number().over(w.orderBy(hash_unit("doc_id", seed=seed), "doc_id"))
-    return rows.withColumns({"__a": attacked, "__k": allowed, "__i": i}).where(F.col("__a") | (F.col("__i") <= F.col("__k"))).drop("__a", "__k", "__i")
+    """Rows of hosts with an attack, and of other hosts as many rows, in hashed order, as the target density allows.
+
+    Rows are numbered in two levels, so one host's rows are shared out among tasks.
+    """
+    days = rows.groupBy("host", "day").agg(F.max(F.col("attack").cast("int")).alias("__a"))
+    hosts = days.groupBy("host").agg(F.max("__a").alias("__a"), F.ceil(F.lit(target) * hours * F.count("day")).alias("__k"))
+    hosts = hosts.select(F.col("host").alias("__host"), F.coalesce(F.col("__a") == 1, F.lit(False)).alias("__a"), "__k")
+    numbered = ordered.running_total(rows.withColumn("__h", hash_unit("doc_id", seed=seed)), F.lit(1), ["__h", "doc_id"], by=["host"], name="__i")
+    kept = numbered.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("__a") | (F.col("__i") <= F.col("__k")))
+    return kept.select(*rows.columns)
 
 
 def permute_hours(rows: DataFrame, *, seed: int = 7) -> DataFrame:
