@@ -77,3 +77,19 @@ def test_sources_of_a_flood_are_counted_exactly(spark):
     from flowquarry.plans import streams
 
     assert "exact=True" in __import__("inspect").getsource(streams.stm3_stream_flood_windows)
+
+
+@pytest.fixture(scope="module")
+def few_commands(spark):
+    commands = ["step", "escalate", "open_incident", "release_incident", "mark_stale"]
+    rows = [(1e6 + 37.0 * i, i % 11, i, commands[(i * 7 + i // 11) % 5], i % 2 == 0) for i in range(300)]
+    return spark.createDataFrame(rows, "ts double, host long, seq long, command string, ready boolean")
+
+
+@pytest.mark.parametrize("close_after", [None, 900.0])
+def test_cooldown_in_buckets(spark, few_commands, close_after):
+    a = few_commands.select("ts", F.col("seq").alias("id"), "host", "command")
+    (kept, _), (many, runs) = (_run(a, lambda s, b=b: jobs.stream_cooldown(s, ["host"], seconds=600.0, close_after=close_after, buckets=b)) for b in (None, 3))
+    got = sorted(map(str, many.collect()))
+    assert got == sorted(map(str, kept.collect())) and len(got) > 20
+    assert jobs.rows_held(runs[-1]) <= 3
