@@ -86,6 +86,13 @@ def few_commands(spark):
     return spark.createDataFrame(rows, "ts double, host long, seq long, command string, ready boolean")
 
 
+@pytest.mark.parametrize("live", [None, 300.0])
+def test_lifecycle_in_buckets(spark, few_commands, live):
+    (kept, _), (many, runs) = (_run(few_commands, lambda s, b=b: jobs.stream_lifecycle(s, live=live, delay="1 second", buckets=b)) for b in (None, 3))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, kept.collect()))
+    assert jobs.rows_held(runs[-1]) <= 3
+
+
 @pytest.mark.parametrize("close_after", [None, 900.0])
 def test_cooldown_in_buckets(spark, few_commands, close_after):
     a = few_commands.select("ts", F.col("seq").alias("id"), "host", "command")
