@@ -100,3 +100,15 @@ def test_cooldown_in_buckets(spark, few_commands, close_after):
     got = sorted(map(str, many.collect()))
     assert got == sorted(map(str, kept.collect())) and len(got) > 20
     assert jobs.rows_held(runs[-1]) <= 3
+
+
+def test_flows_in_buckets(spark):
+    rows = [(1e6 + 3.0 * i + (0.5 if i % 7 == 0 else 0.0), f"h{i % 13}", "d", 1000 + i % 3, 80, 6, 2 if i % 9 == 0 else 17 if i % 31 == 0 else 16, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "ts double, src string, dst string, sport int, dport int, proto int, flags int, payload_size long")
+    from flowquarry.operators.sessions import assemble_flows
+
+    many = _run(df, lambda s: jobs.stream_flows(s, idle=60.0, active=200.0, probe=30.0, buckets=3))[0]
+    mark = max(r[0] for r in rows) - 10
+    batch = [r for r in assemble_flows(df.where(F.col("ts") <= mark), idle=60.0, active=200.0, probe=30.0).drop("flow_no").collect() if r.ended != "end"]
+    got = {(r.key, r.first_ts): r for r in many.drop("flow_no").collect()}
+    assert len(batch) > 20 and all(got[r.key, r.first_ts] == r for r in batch)
