@@ -197,7 +197,9 @@ def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str
     """A receipt for each alert: digests of its evidence and decision, its sensor's sequence number and the digest of
     the receipt before. A receipt's own digest leaves the chain out, so no fold is needed."""
     base = alerts.withColumns({"evidence_digest": alert_ops.canonical_digest(evidence), "decision_digest": alert_ops.canonical_digest(decision)})
+    base = base.select("id", "sensor", "ts", "evidence_digest", "decision_digest")
     numbered = ordered.running_total(base, F.lit(1), ["ts", "id"], by=["sensor"], name="seq").withColumn("seq", F.col("seq").cast("int")).withColumn("digest", receipt_digest())
+    numbered = _stored(numbered, "receipts")  # read twice, each by the one after it
     before = numbered.select(F.col("sensor").alias("__sensor"), (F.col("seq") + 1).alias("__seq"), F.col("digest").alias("__digest"))
     linked = numbered.join(before, F.col("sensor").eqNullSafe(F.col("__sensor")) & (F.col("seq") == F.col("__seq")), "left")
     return linked.withColumn("previous", F.coalesce("__digest", F.lit(GENESIS))).select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", "digest", "previous")
@@ -214,13 +216,14 @@ def _block_leaves(receipts: DataFrame, seconds: int) -> DataFrame:
 
 def inclusion_proofs(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """(id, window_start, siblings): what is kept of each receipt when its block is sealed."""
-    return sibling_paths(_block_leaves(receipts, seconds), order=["ts", "id"]).select("id", (F.col("block") * seconds).alias("window_start"), "siblings")
+    return sibling_paths(_stored(_block_leaves(receipts, seconds), "leaves"), order=["ts", "id"]).select("id", (F.col("block") * seconds).alias("window_start"), "siblings")
 
 
 def checkpoint_blocks(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """A block for each window of time from the first receipt to the last, empty ones too: root and count."""
-    roots = merkle_roots(_block_leaves(receipts, seconds), order=["ts", "id"])
-    spine = receipts.agg(F.floor(F.min("ts") / seconds).alias("lo"), F.floor(F.max("ts") / seconds).alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
+    leaves = _stored(_block_leaves(receipts, seconds), "leaves")  # read for the cuts, the numbers and the spine
+    roots = merkle_roots(leaves, order=["ts", "id"])
+    spine = leaves.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
     empty = hashlib.sha256(b"").hexdigest()
     return spine.join(roots, "block", "left").select((F.col("block") * seconds).alias("window_start"), F.coalesce("root", F.lit(empty)).alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
 
