@@ -192,12 +192,14 @@ def guarded_threshold(rows: DataFrame, *, q: float = 0.99, least: int = 200, ste
 def cusum(rows: DataFrame, *, mu0: float, sigma: float, k: float = 0.5, h: float = 10.6) -> DataFrame:
     """Per host: when the one-sided cumulative sum of its standardised scores first passes h, and its value there.
 
-    The sum that restarts at 0 is the running sum less its least value so far (or 0).
+    The sum that restarts at 0 is the running sum less its least value so far (or 0). Rows may share a seq, as a replayed
+    event's do: they are added by rising score, and the value is that of the row at which the sum passes h.
     """
-    w = Window.partitionBy("host").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    p = rows.withColumn("__p", F.sum((F.col("score") - mu0) / sigma - k).over(w))
+    in_order = Window.partitionBy("host").orderBy("seq", "score")
+    w = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    p = rows.withColumns({"__p": F.sum((F.col("score") - mu0) / sigma - k).over(w), "__i": F.row_number().over(in_order)})
     s = p.withColumn("s", F.col("__p") - F.least(F.lit(0.0), F.min("__p").over(w)))
-    return s.where(F.col("s") > h).groupBy("host").agg(F.min("seq").alias("alarm_at"), F.min_by("s", "seq").alias("value"))
+    return s.where(F.col("s") > h).groupBy("host").agg(F.min("seq").alias("alarm_at"), F.min_by("s", "__i").alias("value"))
 
 
 def markov_surprise(train: DataFrame, test: DataFrame, *, smoothing: float = 1.0) -> DataFrame:
