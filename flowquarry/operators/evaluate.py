@@ -132,17 +132,30 @@ def classification_report(rows: DataFrame, *, truth: str = "truth", predicted: s
 
 
 def drift_report(a: DataFrame, b: DataFrame, features: list[str], *, least: float = 0.1) -> DataFrame:
-    """Per feature: means, deviations and the two-sample KS distance of a and b, from counts at each distinct value."""
+    """Per feature: means, deviations and the two-sample KS distance of a and b, from counts at each distinct value.
+
+    Values are dealt by range; a part's running counts are its own, and only its two widest gaps and its totals go on, so
+    no task takes all values of a feature. A side without values has no distance.
+    """
     long = lambda df, side: df.select(F.lit(side).alias("side"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])))
     both = long(a, 0).unionByName(long(b, 1)).where("x is not null")
     n0, n1 = F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)
-    per = both.groupBy("feature", "x").agg(n0.alias("n0"), n1.alias("n1"))
-    run, whole = Window.partitionBy("feature").orderBy("x"), Window.partitionBy("feature")
-    gap = F.abs(F.sum("n0").over(run) / F.sum("n0").over(whole) - F.sum("n1").over(run) / F.sum("n1").over(whole))
-    ks = per.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks"))
     of = lambda side: F.when(F.col("side") == side, F.col("x"))
-    m = both.groupBy("feature").agg(F.avg(of(0)).alias("mean_a"), F.avg(of(1)).alias("mean_b"), F.stddev_pop(of(0)).alias("std_a"), F.stddev_pop(of(1)).alias("std_b"))
-    return m.join(ks, "feature").withColumn("shifted", F.col("ks") > least)
+    m = both.groupBy("feature").agg(
+        F.avg(of(0)).alias("mean_a"), F.avg(of(1)).alias("mean_b"), F.stddev_pop(of(0)).alias("std_a"), F.stddev_pop(of(1)).alias("std_b"), n0.alias("all0"), n1.alias("all1"),
+    )
+    share = lambda n, side: n / F.nullif(F.col(f"all{side}"), F.lit(0))
+    per = both.groupBy("feature", "x").agg(n0.alias("n0"), n1.alias("n1")).repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id())
+    run = Window.partitionBy("feature", "part").orderBy("x")
+    upto = per.select("feature", "part", "n0", "n1", F.sum("n0").over(run).alias("c0"), F.sum("n1").over(run).alias("c1")).join(F.broadcast(m), "feature")  # one row a feature
+    own = share(F.col("c0"), 0) - share(F.col("c1"), 1)
+    ends = [pick(f"c{i}", own).alias(f"{name}{i}") for name, pick in (("most", F.max_by), ("least", F.min_by)) for i in (0, 1)]
+    parts = upto.groupBy(*m.columns, "part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *ends)
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    ahead = [F.coalesce(F.sum(f"n{i}").over(before), F.lit(0)).alias(f"ahead{i}") for i in (0, 1)]
+    gap = lambda name: F.abs(share(F.col("ahead0") + F.col(f"{name}0"), 0) - share(F.col("ahead1") + F.col(f"{name}1"), 1))
+    ks = parts.select("*", *ahead).groupBy(*m.columns).agg(F.max(F.greatest(gap("most"), gap("least"))).alias("ks"))
+    return ks.drop("all0", "all1").withColumn("shifted", F.col("ks") > least)
 
 
 def threshold_transfer(a: DataFrame, b: DataFrame, *, q: float = 0.99) -> DataFrame:
