@@ -10,18 +10,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ordered
 
 
-def _packed(vectors: DataFrame, size: int, dims: int | None) -> DataFrame:
+def _packed(vectors: DataFrame, size: int, dims: int | None, dtype: type) -> DataFrame:
     """(ids, data): vectors in rows of at most size, as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), size):
                 part = batch.iloc[i : i + size]
-                data = np.array([e[:dims] for e in part["embedding"]], np.float64)
+                data = np.array([e[:dims] for e in part["embedding"]], dtype)
                 yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
 
     return vectors.select("vec_id", "embedding").mapInPandas(run, "ids binary, data binary")
@@ -30,27 +31,32 @@ def _packed(vectors: DataFrame, size: int, dims: int | None) -> DataFrame:
 def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = None, block: int = 512) -> DataFrame:
     """(vec_id, neighbours): the k nearest others of each query, exactly.
 
-    Blocks of ``block`` queries meet all vectors, packed in rows of ``block`` too. A matrix product gives distances
-    that are a little off; those within its error of the k-th are worked out again from the differences. A task keeps
-    k for each query of the block that it is at, and the best of those are kept per query.
+    Blocks of ``block`` queries meet all vectors, packed in rows of ``block`` too, as floats where they are floats. A matrix
+    product of doubles gives distances that are a little off; those within its error of the k-th are worked out again from
+    the differences. A task reads blocks where Arrow has put them and keeps k for each query of the block that it is at;
+    the best of those are kept per query.
     """
+    dtype = np.float32 if vectors.schema["embedding"].dataType == queries.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else np.float64
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, q, best = None, None, None, {}
 
-        def out() -> pd.DataFrame:
-            rows = [(ids[i], o, d) for i, found in best.items() for d, o in found]
-            return pd.DataFrame(rows, columns=["vec_id", "other", "distance"])
+        def out() -> pa.RecordBatch:
+            rows = [(int(ids[i]), o, d) for i, found in best.items() for d, o in found]
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["vec_id", "other", "distance"])
 
         for batch in batches:
-            for name, data, own, theirs in batch[["qids", "qdata", "ids", "data"]].itertuples(index=False):
-                if name != at:
+            for row in zip(*batch.select(["qids", "qdata", "ids", "data"]).columns, strict=True):
+                name, data, own, theirs = (x.as_buffer() for x in row)
+                if at is None or not name.equals(at):
                     if best:
                         yield out()
-                    at, ids, best = name, np.frombuffer(name, np.int64), {}
-                    q = np.frombuffer(data, np.float64).reshape(len(ids), -1)
+                    at, best = pa.py_buffer(name.to_pybytes()), {}
+                    ids = np.frombuffer(at, np.int64)
+                    q = np.frombuffer(data, dtype).astype(np.float64).reshape(len(ids), -1)
                 own = np.frombuffer(own, np.int64)
-                v = np.frombuffer(theirs, np.float64).reshape(len(own), -1)
+                v = np.frombuffer(theirs, dtype).astype(np.float64).reshape(len(own), -1)
                 qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
                 near = qq[:, None] + vv[None] - 2 * (q @ v.T)
                 near[ids[:, None] == own[None]] = np.inf
@@ -63,11 +69,14 @@ def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = No
                     if len(few):
                         d = ((q[i] - v[few]) ** 2).sum(axis=1)
                         best[i] = sorted([*held, *zip(d.tolist(), own[few].tolist())])[:k]
+            batch = row = name = data = own = theirs = None  # else they are held while the next batch is read
         if best:
             yield out()
 
-    left = _packed(queries, block, dims).toDF("qids", "qdata")
-    near = left.crossJoin(_packed(vectors, block, dims)).mapInPandas(run, "vec_id long, other long, distance double")
+    # dealt out, so that blocks are packed once, not by each task that needs them; queries in four parts, as each part meets
+    # each partition of vectors; the hint keeps a block's pairs together
+    left = _packed(queries, block, dims, dtype).toDF("qids", "qdata").repartition(4).hint("shuffle_replicate_nl")
+    near = left.crossJoin(_packed(vectors, block, dims, dtype).repartition("ids")).mapInArrow(run, "vec_id long, other long, distance double")
     return near.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n")).select("vec_id", F.transform("n", lambda x: x["other"]).alias("neighbours"))
 
 
