@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
@@ -193,21 +194,42 @@ def verify_chain(blocks: DataFrame, *, chain: str = "chain") -> DataFrame:
     return linked.groupBy(chain).agg(F.min(F.when(wrong, F.col("idx"))).alias("first_bad"), F.count("*").alias("blocks"))
 
 
-def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str]) -> DataFrame:
+def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str], keep: list[str] | None = None) -> DataFrame:
     """A receipt for each alert: digests of its evidence and decision, its sensor's sequence number and the digest of
-    the receipt before. A receipt's own digest leaves the chain out, so no fold is needed."""
-    base = alerts.withColumns({"evidence_digest": alert_ops.canonical_digest(evidence), "decision_digest": alert_ops.canonical_digest(decision)})
-    base = base.select("id", "sensor", "ts", "evidence_digest", "decision_digest")
-    numbered = ordered.running_total(base, F.lit(1), ["ts", "id"], by=["sensor"], name="seq").withColumn("seq", F.col("seq").cast("int")).withColumn("digest", receipt_digest())
-    numbered = _stored(numbered, "receipts")  # read twice, each by the one after it
-    before = numbered.select(F.col("sensor").alias("__sensor"), (F.col("seq") + 1).alias("__seq"), F.col("digest").alias("__digest"))
-    linked = numbered.join(before, F.col("sensor").eqNullSafe(F.col("__sensor")) & (F.col("seq") == F.col("__seq")), "left")
-    return linked.withColumn("previous", F.coalesce("__digest", F.lit(GENESIS))).select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", "digest", "previous")
+    the receipt before, and the columns ``keep`` of the alert. A receipt's own digest leaves the chain out, so no fold is
+    needed. Digests are dealt and stored as bytes, and a receipt's own is worked out as it is read."""
+    keep = keep or []
+    digests = {"evidence": alert_ops.canonical_digest(evidence), "decision": alert_ops.canonical_digest(decision)}
+    base = alerts.select("id", "sensor", "ts", *keep, *[F.unhex(F.substring(d, len(TAG) + 1, 64)).alias(f"__{n}") for n, d in digests.items()])
+    numbered = ordered.running_total(base, F.lit(1), ["ts", "id"], by=["sensor"], name="seq", before=["__evidence", "__decision"])
+    own = lambda seq, e, d: receipt_digest(seq, tagged(F.col(e)), tagged(F.col(d)))
+    earlier = F.unhex(own(F.col("seq") - 1, "before___evidence", "before___decision"))
+    numbered = _stored(numbered.select(*base.columns, F.col("seq").cast("int").alias("seq"), "opens", "closes", F.when(~F.col("opens"), earlier).alias("__previous")), "receipts")
+    # the first receipt of a range follows the last one of another
+    last = numbered.where("closes").select(F.col("sensor").alias("__sensor"), (F.col("seq") + 1).alias("__seq"), F.unhex(own(F.col("seq"), "__evidence", "__decision")).alias("__last"))
+    opening = numbered.where("opens and seq > 1").join(last, F.col("sensor").eqNullSafe(F.col("__sensor")) & (F.col("seq") == F.col("__seq")))
+    linked = numbered.where("not opens or seq = 1").unionByName(opening.withColumn("__previous", F.col("__last")).select(*numbered.columns))
+    typed = linked.select("*", tagged(F.col("__evidence")).alias("evidence_digest"), tagged(F.col("__decision")).alias("decision_digest"))
+    return typed.select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", receipt_digest().alias("digest"), F.coalesce(F.lower(F.hex("__previous")), F.lit(GENESIS)).alias("previous"), *keep)
 
 
-def receipt_digest() -> Column:
+TAG = "sha256:"
+
+
+def tagged(digest: Column) -> Column:
+    """A digest's bytes as text."""
+    return F.concat(F.lit(TAG), F.lower(F.hex(digest)))
+
+
+def _short(text: Column, tag: str = "") -> Column:
+    """Texts that are digests as their bytes, others longer than those, so that only equal texts are equal."""
+    return F.when(text.rlike(f"^{tag}[0-9a-f]{{64}}$"), F.unhex(F.substring(text, len(tag) + 1, 64))).otherwise(F.concat(F.lit(" " * 33).cast("binary"), text.cast("binary")))
+
+
+def receipt_digest(seq: Column | str = "seq", evidence: Column | str = "evidence_digest", decision: Column | str = "decision_digest") -> Column:
     """A receipt's own digest, from its fields."""
-    return F.sha2(F.concat_ws("|", "sensor", F.col("seq").cast("string"), "evidence_digest", "decision_digest").cast("binary"), 256)
+    number = F.col(seq) if isinstance(seq, str) else seq
+    return F.sha2(F.concat_ws("|", "sensor", number.cast("string"), evidence, decision).cast("binary"), 256)
 
 
 def _block_leaves(receipts: DataFrame, seconds: int) -> DataFrame:
@@ -222,12 +244,103 @@ def inclusion_proofs(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
 def checkpoint_blocks(receipts: DataFrame, *, seconds: int = 60) -> DataFrame:
     """A block for each window of time from the first receipt to the last, empty ones too: root and count."""
     leaves = _stored(_block_leaves(receipts, seconds), "leaves")  # read for the cuts, the numbers and the spine
-    roots = merkle_roots(leaves, order=["ts", "id"])
-    spine = leaves.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
+    return _all_blocks(leaves, merkle_roots(leaves, order=["ts", "id"]), seconds)
+
+
+def _all_blocks(rows: DataFrame, roots: DataFrame, seconds: int) -> DataFrame:
+    spine = rows.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("block"))
     empty = hashlib.sha256(b"").hexdigest()
     return spine.join(roots, "block", "left").select((F.col("block") * seconds).alias("window_start"), F.coalesce("root", F.lit(empty)).alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+class SharedProofs(NamedTuple):
+    """Proofs of all receipts of blocks, which share their siblings: kept with each receipt they would take a hash for each
+    level of the tree, here they take one leaf. ``places``: (id, window_start, at), what is kept for each receipt.
+    ``subtrees``: (window_start, part, leaves), aligned subtrees' leaf hashes as bytes. ``above``: (window_start, part,
+    siblings), each subtree's own path."""
+
+    places: DataFrame
+    subtrees: DataFrame
+    above: DataFrame
+    size: int
+
+
+def seal(receipts: DataFrame, *, seconds: int = 60, size: int = 4096) -> tuple[DataFrame, SharedProofs]:
+    """What checkpoint_blocks returns, and the proofs that are kept, from one numbering of the receipts (which are read
+    three times). A task holds a subtree of ``size`` leaves (a power of two)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def subtree() -> pd.DataFrame:
+            row = (*now, _levels(leaves)[-1][0].hex(), len(ids), ids, b"".join(leaves))
+            return pd.DataFrame([row], columns=["block", "part", "head", "n", "ids", "leaves"])
+
+        now, ids, leaves = None, [], []
+        for batch in batches:
+            for i, b, part, leaf in batch[["id", "block", "part", "leaf"]].itertuples(index=False):
+                if ids and (b, part) != now:
+                    yield subtree()
+                    ids, leaves = [], []
+                now = (b, part)
+                ids.append(i)
+                leaves.append(bytes(leaf))
+        if ids:
+            yield subtree()
+
+    kind = receipts.schema["id"].dataType.simpleString()
+    numbered = _numbered(_block_leaves(receipts, seconds).withColumn("leaf", F.unhex("leaf")), ["ts", "id"])
+    dealt = _dealt(numbered.select("id", "block", "at", "leaf"), size).select("id", "block", "part", "leaf")
+    kept = _stored(dealt.mapInPandas(run, f"block long, part long, head string, n long, ids array<{kind}>, leaves binary"), "sealed")
+    heads = kept.select("block", "part", F.col("part").alias("id"), F.col("head").alias("leaf"))
+    counts = kept.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks = _all_blocks(kept, merkle_roots(heads, order=["part"], size=size).select("block", "root").join(counts, "block"), seconds)
+    start = (F.col("block") * seconds).alias("window_start")
+    places = kept.select(start, "part", F.posexplode("ids").alias("i", "id")).select("id", "window_start", (F.col("part") * size + F.col("i")).alias("at"))
+    above = sibling_paths(heads, order=["part"], size=size).select(start, F.col("id").alias("part"), "siblings")
+    return blocks, SharedProofs(places, kept.select(start, "part", "leaves"), above, size)
+
+
+def _led(levels: list[list[bytes]], at: int, h: bytes) -> bytes:
+    """Where a hash in the place of leaf ``at`` leads to with that leaf's siblings."""
+    for x in levels[:-1]:
+        if at ^ 1 < len(x):
+            h = hashlib.sha256(b"\x01" + (x[at ^ 1] + h if at & 1 else h + x[at ^ 1])).digest()
+        at >>= 1
+    return h
+
+
+def _shared_verdicts(receipts: DataFrame, blocks: DataFrame, proofs: SharedProofs) -> DataFrame:
+    """(id, inclusion) of the receipts that have a place: each is taken to its subtree, and from there up to the root."""
+    kind, size = receipts.schema["id"].dataType.simpleString(), proofs.size
+
+    def run(claims: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"id": claims["id"], "valid": False})
+        if not len(claims) or not len(trees):
+            return out
+        data, hashes, sides, root = trees[["leaves", "hashes", "sides", "root"]].iloc[0]
+        leaves = [data[i : i + 32] for i in range(0, len(data), 32)]
+        levels = _levels(leaves)
+
+        def included(h: bytes) -> bool:
+            for i, side in enumerate(sides):
+                s = hashes[32 * i : 32 * i + 32]
+                h = hashlib.sha256(b"\x01" + (s + h if side == "L" else h + s)).digest()
+            return h.hex() == root
+
+        unchanged = included(levels[-1][0])  # where a leaf that is as it was leads to
+        places = zip(claims["at"] % size, claims["leaf"], strict=True)
+        out["valid"] = [at < len(leaves) and (unchanged if h == leaves[at] else included(_led(levels, at, h))) for at, h in places]
+        return out
+
+    mine = receipts.select("id", F.unhex(leaf_hash(receipt_digest())).alias("leaf"))
+    claims = mine.join(proofs.places, "id").select("id", "leaf", "window_start", "at", F.expr(f"at div {size}").alias("part"))
+    path = [F.unhex(F.array_join(F.transform("siblings", lambda s: s["hash"]), "")).alias("hashes"), F.array_join(F.transform("siblings", lambda s: s["side"]), "").alias("sides")]
+    above = proofs.above.select("window_start", "part", *path).join(blocks.select("window_start", "root"), "window_start")
+    trees = proofs.subtrees.join(above, ["window_start", "part"])
+    at = ("window_start", "part")
+    found = claims.groupBy(*at).cogroup(trees.groupBy(*at)).applyInPandas(run, f"id {kind}, valid boolean")
+    return found.select("id", F.when(F.col("valid"), "PASS").otherwise("FAIL").alias("inclusion"))
+
+
 def replay_alerts(alerts: DataFrame, digests: DataFrame) -> DataFrame:
     """Recomputes each alert's class and confidence, in parts per million, from its stored inputs (JSON in
     replay_inputs); verdict is PASS, FAIL or UNVERIFIABLE, and drift tells of a changed parameter digest."""
@@ -250,11 +363,14 @@ def replay_alerts(alerts: DataFrame, digests: DataFrame) -> DataFrame:
     }).drop("i", "rule")
 
 
-def inclusion(receipts: DataFrame, blocks: DataFrame, proofs: DataFrame | None) -> DataFrame:
+def inclusion(receipts: DataFrame, blocks: DataFrame, proofs: DataFrame | SharedProofs | None) -> DataFrame:
     """(id, inclusion) of each receipt: PASS if its digest, worked out anew, and the siblings kept when its block was sealed
     lead to the block's root, FAIL if not or if there is no such block, UNVERIFIABLE without siblings."""
     if proofs is None:
         return receipts.select("id", F.lit("UNVERIFIABLE").alias("inclusion"))
+    if isinstance(proofs, SharedProofs):
+        lost = receipts.select("id").join(proofs.places.select("id"), "id", "left_anti")
+        return _shared_verdicts(receipts, blocks, proofs).unionByName(lost.select("id", F.lit("UNVERIFIABLE").alias("inclusion")))
     kept = proofs.select("id", F.col("window_start").alias("__window"), "siblings")
     found = receipts.select("id", leaf_hash(receipt_digest()).alias("leaf")).join(kept, "id", "left").join(blocks.select(F.col("window_start").alias("__window"), "root"), "__window", "left")
     verdict = F.when(F.col("siblings").isNull(), "UNVERIFIABLE").when(F.col("valid"), "PASS").otherwise("FAIL")
@@ -264,32 +380,43 @@ def inclusion(receipts: DataFrame, blocks: DataFrame, proofs: DataFrame | None)
 CLAIMS = ("schema", "evidence", "feature_source", "model_weights", "decision", "policy", "inclusion", "chain", "sequence")
 
 
-def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, replayed: DataFrame, *, evidence: list[str], seconds: int = 60, proofs: DataFrame | None = None) -> DataFrame:
+def _links(receipts: DataFrame, *, piece: int = 4096) -> DataFrame:
+    """receipts' (id, evidence, chain, sequence): whether each names the one before, which there is, and has its number
+    alone. A sensor's receipts are dealt in pieces by number; the last number of a piece also goes to the next one."""
+    c = F.col
+    rows = receipts.select("id", "sensor", "seq", _short(c("evidence_digest"), TAG).alias("evidence"), _short(c("previous")).alias("previous"), _short(c("digest")).alias("digest"), F.expr(f"seq div {piece}").alias("at"))
+    again = F.when(c("seq") % piece == piece - 1, F.array(c("at"), c("at") + 1)).otherwise(F.array("at"))
+    dealt = rows.withColumn("piece", F.explode(again))
+    w = Window.partitionBy("sensor", "piece").orderBy("seq")
+    beside = dealt.withColumns({"before": F.min("digest").over(w.rangeBetween(-1, -1)), "many": F.count("*").over(w.rangeBetween(0, 0))}).where("piece = at or piece is null")
+    known = c("seq").isNotNull()
+    named = known & (c("previous") == F.when(c("seq") == 1, _short(F.lit(GENESIS))).otherwise(c("before")))
+    return beside.select("id", "evidence", named.alias("chain"), (known & ((c("seq") == 1) | c("before").isNotNull()) & (c("many") == 1)).alias("sequence"))
+
+
+def verify_alerts(alerts: DataFrame, receipts: DataFrame, blocks: DataFrame, replayed: DataFrame, *, evidence: list[str], seconds: int = 60, proofs: DataFrame | SharedProofs | None = None) -> DataFrame:
     """Nine claims for each alert, each PASS, FAIL or UNVERIFIABLE, and whether none fails. What is not kept, the source
     of features and the weights of models, is never verifiable; nor is the inclusion of a receipt without one of the
-    proofs (inclusion_proofs) that were kept when its block was sealed."""
+    proofs (inclusion_proofs, seal) that were kept when its block was sealed."""
     c = F.col
     say = lambda known, ok: F.when(known, F.when(ok, "PASS").otherwise("FAIL")).otherwise("UNVERIFIABLE")
-    own = alerts.withColumn("__evidence", alert_ops.canonical_digest(evidence))
-    # A receipt is held to the one before by its number, so a sensor's receipts need not go through one task.
-    numbered = receipts.groupBy(c("sensor").alias("__sensor"), c("seq").alias("__seq")).agg(F.min("digest").alias("__prev"), F.count("*").alias("__many"))
-    sealed = inclusion(receipts, blocks, proofs).select("id", F.col("inclusion").alias("__sealed"))
-    r = receipts.select("id", "sensor", "evidence_digest", "previous", "seq")
-    mine = c("sensor").eqNullSafe(c("__sensor")) & (c("seq") == c("__seq"))
-    r = r.join(numbered.select("__sensor", (c("__seq") + 1).alias("__seq"), "__prev"), mine, "left").drop("__sensor", "__seq")
-    r = r.join(numbered.select("__sensor", "__seq", "__many"), mine, "left").drop("sensor", "__sensor", "__seq")
-    j = own.join(r, "id", "left").join(sealed, "id", "left").join(replayed.select("id", "verdict", "drift"), "id", "left")
-    have = c("evidence_digest").isNotNull()
+    # what is dealt by id is short: bytes of digests and what was found
+    sound = c("confidence").between(0, 1) & c("threat_class").isNotNull()
+    own = alerts.select("id", sound.alias("__sound"), _short(alert_ops.canonical_digest(evidence), TAG).alias("__evidence"))
+    links = _links(receipts).withColumnsRenamed({"evidence": "__receipt", "chain": "__chain", "sequence": "__sequence"})
+    verdicts = _shared_verdicts(receipts, blocks, proofs) if isinstance(proofs, SharedProofs) else inclusion(receipts, blocks, proofs)
+    j = own.join(links, "id", "left").join(verdicts.select("id", c("inclusion").alias("__sealed")), "id", "left").join(replayed.select("id", "verdict", "drift"), "id", "left")
+    have = c("__receipt").isNotNull()
     claims = {
-        "schema": say(F.lit(True), c("confidence").between(0, 1) & c("threat_class").isNotNull()),
-        "evidence": say(have, c("evidence_digest") == c("__evidence")),
+        "schema": say(F.lit(True), c("__sound")),
+        "evidence": say(have, c("__receipt") == c("__evidence")),
         "feature_source": F.lit("UNVERIFIABLE"),
         "model_weights": F.lit("UNVERIFIABLE"),
         "decision": F.coalesce("verdict", F.lit("UNVERIFIABLE")),
         "policy": say(c("drift").isNotNull(), ~c("drift")),
         "inclusion": F.coalesce("__sealed", F.lit("UNVERIFIABLE")),
-        "chain": say(have, c("previous") == F.when(c("seq") == 1, F.lit(GENESIS)).otherwise(c("__prev"))),
-        "sequence": say(have, ((c("seq") == 1) | c("__prev").isNotNull()) & (c("__many") == 1)),
+        "chain": say(have, c("__chain")),
+        "sequence": say(have, c("__sequence")),
     }
     out = j.withColumns(claims)
     return out.withColumn("holds", ~F.array_contains(F.array(*CLAIMS), "FAIL")).select("id", *CLAIMS, "holds")
