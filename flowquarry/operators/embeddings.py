@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,64 +28,94 @@ def _packed(vectors: DataFrame, size: int, dims: int | None, dtype: type) -> Dat
     return vectors.select("vec_id", "embedding").mapInPandas(run, "ids binary, data binary")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = None, block: int = 512) -> DataFrame:
-    """(vec_id, neighbours): the k nearest others of each query, exactly.
+def _merged(d: np.ndarray, o: np.ndarray, rows: np.ndarray, distances: np.ndarray, others: np.ndarray) -> None:
+    """Puts found distances and ids into the nearest of each row, d and o, in place; equal distances by id."""
+    k, hit = d.shape[1], np.unique(rows)
+    r = np.concatenate([np.repeat(hit, k), rows])
+    x, y = np.concatenate([d[hit].ravel(), distances]), np.concatenate([o[hit].ravel(), others])
+    order = np.lexsort((y, x, r))
+    best = order[np.searchsorted(r[order], hit)[:, None] + np.arange(k)]
+    d[hit], o[hit] = x[best], y[best]
+
+
+def _near(vectors: DataFrame, queries: DataFrame, *, k: int, spaces: list[int | None], block: int) -> DataFrame:
+    """(vec_id, space, other, distance): of each query, the k nearest others in a part of the vectors, exactly, in each
+    space, which is the first so many dimensions (None: all; the widest comes last).
 
     Blocks of ``block`` queries meet all vectors, packed in rows of ``block`` too, as floats where they are floats. A matrix
-    product of doubles gives distances that are a little off; those within its error of the k-th are worked out again from
-    the differences. A task reads blocks where Arrow has put them and keeps k for each query of the block that it is at;
-    the best of those are kept per query.
+    product of doubles, which a wider space takes over from the one before, gives distances that are a little off; those
+    within its error of the k-th are worked out again from the differences. A task reads blocks where Arrow has put them
+    and keeps k for each query of the block that it is at.
     """
     dtype = np.float32 if vectors.schema["embedding"].dataType == queries.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else np.float64
+    widest, most = spaces[-1], 1 << 15
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, q, best = None, None, None, {}
+        at, ids, q, held = None, None, None, []
 
-        def out() -> pa.RecordBatch:
-            rows = [(int(ids[i]), o, d) for i, found in best.items() for d, o in found]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["vec_id", "other", "distance"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for space, (d, o) in enumerate(held):
+                known = np.isfinite(d).ravel()
+                found = np.repeat(ids, k)[known], np.full(known.sum(), space, np.int32), o.ravel()[known], d.ravel()[known]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["vec_id", "space", "other", "distance"])
 
         for batch in batches:
             for row in zip(*batch.select(["qids", "qdata", "ids", "data"]).columns, strict=True):
                 name, data, own, theirs = (x.as_buffer() for x in row)
                 if at is None or not name.equals(at):
-                    if best:
-                        yield out()
-                    at, best = pa.py_buffer(name.to_pybytes()), {}
+                    yield from out()
+                    at = pa.py_buffer(name.to_pybytes())
                     ids = np.frombuffer(at, np.int64)
                     q = np.frombuffer(data, dtype).astype(np.float64).reshape(len(ids), -1)
+                    held = [(np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)) for _ in spaces]
                 own = np.frombuffer(own, np.int64)
                 v = np.frombuffer(theirs, dtype).astype(np.float64).reshape(len(own), -1)
-                qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
-                near = qq[:, None] + vv[None] - 2 * (q @ v.T)
-                near[ids[:, None] == own[None]] = np.inf
-                slack = 1e-9 * (qq + vv.max())
-                kth = np.partition(near, k - 1, axis=1)[:, k - 1] if len(own) >= k else np.full(len(ids), np.inf)
-                for i in range(len(ids)):
-                    held = best.get(i, [])
-                    limit = min(kth[i], held[-1][0] if len(held) == k else np.inf) + slack[i]
-                    few = np.flatnonzero((near[i] <= limit) & np.isfinite(near[i]))
-                    if len(few):
-                        d = ((q[i] - v[few]) ** 2).sum(axis=1)
-                        best[i] = sorted([*held, *zip(d.tolist(), own[few].tolist())])[:k]
+                same = np.isin(ids, own).any() and ids[:, None] == own[None]
+                qq, vv, near, done = 0.0, 0.0, 0.0, 0
+                for width, (d, o) in zip(spaces, held, strict=True):
+                    x, y = q[:, done:width], v[:, done:width]
+                    more, done = (y * y).sum(axis=1), width
+                    qq, vv = qq + (x * x).sum(axis=1), vv + more
+                    # the square of the distance, less that of the query, which is the same along a row
+                    near = near + np.c_[-2 * x, np.ones(len(x))] @ np.c_[y, more].T
+                    if same is not False:
+                        near[same] = np.inf
+                    limit = d[:, -1] - qq
+                    if len(own) >= k and np.isinf(limit).any():
+                        limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
+                    few = np.flatnonzero(near <= (limit + 1e-9 * (qq + vv.max()))[:, None])
+                    for i in range(0, len(few), most):
+                        rows, cols = np.divmod(few[i : i + most], len(own))
+                        fit = np.isfinite(near[rows, cols])
+                        rows, cols = rows[fit], cols[fit]
+                        if len(rows):
+                            _merged(d, o, rows, ((q[rows, :width] - v[cols, :width]) ** 2).sum(axis=1), own[cols])
             batch = row = name = data = own = theirs = None  # else they are held while the next batch is read
-        if best:
-            yield out()
-
-    # dealt out, so that blocks are packed once, not by each task that needs them; queries in four parts, as each part meets
-    # each partition of vectors; the hint keeps a block's pairs together
-    left = _packed(queries, block, dims, dtype).toDF("qids", "qdata").repartition(4).hint("shuffle_replicate_nl")
-    near = left.crossJoin(_packed(vectors, block, dims, dtype).repartition("ids")).mapInArrow(run, "vec_id long, other long, distance double")
-    return near.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("n")).select("vec_id", F.transform("n", lambda x: x["other"]).alias("neighbours"))
-
-
-def knn_overlap(vectors: DataFrame, *, first: int, k: int, every: int = 50) -> DataFrame:
-    """How many of its k nearest a vector shares between the whole space and its first dimensions."""
-    queries = vectors.where(F.col("vec_id") % every == 0)
-    whole = knn(vectors, queries, k=k)
-    part = knn(vectors, queries, k=k, dims=first).withColumnRenamed("neighbours", "others")
-    return whole.join(part, "vec_id").withColumn("shared", F.size(F.array_intersect("neighbours", "others")))
+        yield from out()
+
+    # dealt out, so that blocks are packed once, not by each task that needs them; vectors in four parts, so a query has four
+    # times k rows to choose from; the hint keeps a block's pairs together
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = _packed(queries, block, widest, dtype).toDF("qids", "qdata").repartition(parts).hint("shuffle_replicate_nl")
+    return left.crossJoin(_packed(vectors, block, widest, dtype).repartition(4)).mapInArrow(run, "vec_id long, space int, other long, distance double")
+
+
+def _nearest_of(k: int, space: int) -> Column:
+    own = F.collect_list(F.when(F.col("space") == space, F.struct("distance", "other")))
+    return F.transform(F.slice(F.sort_array(own), 1, k), lambda x: x["other"])
+
+
+def knn(vectors: DataFrame, queries: DataFrame, *, k: int, dims: int | None = None, block: int = 512) -> DataFrame:
+    """(vec_id, neighbours): the k nearest others of each query, exactly; equal distances by id."""
+    near = _near(vectors, queries, k=k, spaces=[dims], block=block)
+    return near.groupBy("vec_id").agg(_nearest_of(k, 0).alias("neighbours"))
+
+
+def knn_overlap(vectors: DataFrame, *, first: int, k: int, block: int = 512) -> DataFrame:
+    """How many of its k nearest each vector shares between the whole space and its first dimensions."""
+    near = _near(vectors, vectors, k=k, spaces=[first, None], block=block)
+    both = near.groupBy("vec_id").agg(_nearest_of(k, 1).alias("neighbours"), _nearest_of(k, 0).alias("others"))
+    return both.withColumn("shared", F.size(F.array_intersect("neighbours", "others")))
 
 
 def host_baseline(fit: DataFrame, score: DataFrame, *, components: int = 3, trim: float = 0.05, piece_rows: int = 20_000) -> DataFrame:
