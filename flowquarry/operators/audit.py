@@ -72,7 +72,11 @@ def merkle_roots(leaves: DataFrame, *, order: list[str] | None = None, size: int
     the leaves of the next level, up to one node a block. A task holds one hash for each power of two of a subtree. Leaves
     without a block are left out.
     """
-    size = max(size, 2)
+    return _roots(_numbered(leaves, order or ["seq"]).select("block", "at", "leaf", F.lit(1).cast("long").alias("n")), max(size, 2))
+
+
+def _roots(nodes: DataFrame, size: int) -> DataFrame:
+    """(block, root, n) from nodes (block, at, leaf, n), which are numbered in their block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, head, n = None, TreeHead(), 0
@@ -90,7 +94,6 @@ def merkle_roots(leaves: DataFrame, *, order: list[str] | None = None, size: int
         if at is not None:
             yield pd.DataFrame([(*at, head.root().hex(), n)], columns=["block", "at", "leaf", "n"])
 
-    nodes = _numbered(leaves, order or ["seq"]).select("block", "at", "leaf", F.lit(1).cast("long").alias("n"))
     while True:
         nodes = _stored(_dealt(nodes, size).select("block", "part", "leaf", "n").mapInPandas(run, "block long, at long, leaf string, n long"), "subtrees")
         if not nodes.agg(F.max("at")).first()[0]:
@@ -125,8 +128,12 @@ def sibling_paths(leaves: DataFrame, *, order: list[str] | None = None, size: in
     Subtrees are those of merkle_roots: each level's siblings are found in subtrees of ``size`` nodes, and a leaf's are
     its own, then those of the subtree that it is in, and so on up.
     """
-    size = max(size, 2)
-    kind = leaves.schema["id"].dataType.simpleString()
+    return _paths(_numbered(leaves, order or ["seq"]), max(size, 2))
+
+
+def _paths(nodes: DataFrame, size: int) -> DataFrame:
+    """(id, block, siblings) of nodes (id, block, at, leaf), which are numbered in their block."""
+    kind = nodes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def subtree() -> pd.DataFrame:
@@ -145,7 +152,7 @@ def sibling_paths(leaves: DataFrame, *, order: list[str] | None = None, size: in
         if held:
             yield subtree()
 
-    levels, nodes = [], _numbered(leaves, order or ["seq"])
+    levels = []
     while not levels or levels[-1].agg(F.max("part")).first()[0]:
         dealt = _dealt(nodes, size).select("id", "block", "part", "at", "leaf")
         levels.append(_stored(dealt.mapInPandas(run, f"id {kind}, block long, part long, at long, head string, low {SIBLINGS}"), "siblings"))
@@ -267,7 +274,8 @@ class SharedProofs(NamedTuple):
 
 def seal(receipts: DataFrame, *, seconds: int = 60, size: int = 4096) -> tuple[DataFrame, SharedProofs]:
     """What checkpoint_blocks returns, and the proofs that are kept, from one numbering of the receipts (which are read
-    three times). A task holds a subtree of ``size`` leaves (a power of two)."""
+    three times). A task holds a subtree of ``size`` leaves (a power of two, from 2)."""
+    size = max(size, 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def subtree() -> pd.DataFrame:
@@ -290,12 +298,11 @@ def seal(receipts: DataFrame, *, seconds: int = 60, size: int = 4096) -> tuple[D
     numbered = _numbered(_block_leaves(receipts, seconds).withColumn("leaf", F.unhex("leaf")), ["ts", "id"])
     dealt = _dealt(numbered.select("id", "block", "at", "leaf"), size).select("id", "block", "part", "leaf")
     kept = _stored(dealt.mapInPandas(run, f"block long, part long, head string, n long, ids array<{kind}>, leaves binary"), "sealed")
-    heads = kept.select("block", "part", F.col("part").alias("id"), F.col("head").alias("leaf"))
-    counts = kept.groupBy("block").agg(F.sum("n").alias("n"))
-    blocks = _all_blocks(kept, merkle_roots(heads, order=["part"], size=size).select("block", "root").join(counts, "block"), seconds)
+    heads = kept.select("block", F.col("part").alias("at"), F.col("head").alias("leaf"), F.col("part").alias("id"), "n")
+    blocks = _all_blocks(kept, _roots(heads, size), seconds)
     start = (F.col("block") * seconds).alias("window_start")
     places = kept.select(start, "part", F.posexplode("ids").alias("i", "id")).select("id", "window_start", (F.col("part") * size + F.col("i")).alias("at"))
-    above = sibling_paths(heads, order=["part"], size=size).select(start, F.col("id").alias("part"), "siblings")
+    above = _paths(heads, size).select(start, F.col("id").alias("part"), "siblings")
     return blocks, SharedProofs(places, kept.select(start, "part", "leaves"), above, size)
 
 
