@@ -59,10 +59,14 @@ def _dealt(nodes: DataFrame, size: int) -> DataFrame:
     return nodes.withColumn("part", F.expr(f"at div {size}")).repartition("block", "part").sortWithinPartitions("block", "part", "at")
 
 
-def _stored(df: DataFrame, tag: str) -> DataFrame:
+def _written(df: DataFrame, tag: str) -> str:
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    return df.sparkSession.read.parquet(_written(df, tag))
 
 
 def merkle_roots(leaves: DataFrame, *, order: list[str] | None = None, size: int = 4096) -> DataFrame:
@@ -211,11 +215,13 @@ def build_receipts(alerts: DataFrame, *, evidence: list[str], decision: list[str
     numbered = ordered.running_total(base, F.lit(1), ["ts", "id"], by=["sensor"], name="seq", before=["__evidence", "__decision"])
     own = lambda seq, e, d: receipt_digest(seq, tagged(F.col(e)), tagged(F.col(d)))
     earlier = F.unhex(own(F.col("seq") - 1, "before___evidence", "before___decision"))
-    numbered = _stored(numbered.select(*base.columns, F.col("seq").cast("int").alias("seq"), "opens", "closes", F.when(~F.col("opens"), earlier).alias("__previous")), "receipts")
-    # the first receipt of a range follows the last one of another
+    path = _written(numbered.select(*base.columns, F.col("seq").cast("int").alias("seq"), "opens", "closes", F.when(~F.col("opens"), earlier).alias("__previous")), "receipts")
+    numbered = alerts.sparkSession.read.parquet(path)
+    # the first receipt of a range follows the last one of another; these few are written beside the others
     last = numbered.where("closes").select(F.col("sensor").alias("__sensor"), (F.col("seq") + 1).alias("__seq"), F.unhex(own(F.col("seq"), "__evidence", "__decision")).alias("__last"))
     opening = numbered.where("opens and seq > 1").join(last, F.col("sensor").eqNullSafe(F.col("__sensor")) & (F.col("seq") == F.col("__seq")))
-    linked = numbered.where("not opens or seq = 1").unionByName(opening.withColumn("__previous", F.col("__last")).select(*numbered.columns))
+    beside = _written(opening.withColumn("__previous", F.col("__last")).select(*numbered.columns), "receipts")
+    linked = alerts.sparkSession.read.schema(numbered.schema).parquet(path, beside).where("seq = 1 or __previous is not null")
     typed = linked.select("*", tagged(F.col("__evidence")).alias("evidence_digest"), tagged(F.col("__decision")).alias("decision_digest"))
     return typed.select("id", "sensor", "ts", "seq", "evidence_digest", "decision_digest", receipt_digest().alias("digest"), F.coalesce(F.lower(F.hex("__previous")), F.lit(GENESIS)).alias("previous"), *keep)
 
